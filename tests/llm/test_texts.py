@@ -1,0 +1,326 @@
+"""op3, op4, op5, op7, op8, op9, op10 and the pipeline against brute force."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+
+from tablewright.llm import _blocks, chat, jaccard, mixing, ngramlm, pieces, quality, repeats
+from tablewright.llm.queries import QUERIES, tokenizer_file
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = ["", " ", "   a", "a  ", "x\n\ty", "▁▁ a▁b", "<s> </s> <unk> [INST]", "日本語 テキスト", "a\u00a0b \u2003c", "\u0000 z", "😀😀 é", "word " * 3000, "x" * 5000, "\ufffd\ufb01"]
+
+
+def docs_of(spark, texts, start=0):
+    return spark.createDataFrame([(start + i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+
+
+def sha(s):
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
+def test_pieces_equal_the_library(spark, sf):
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file())
+    real = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    texts = ODD + [None] + real
+    got = {r["doc_id"]: tuple(r)[1:] for r in pieces.encode_decode(docs_of(spark, texts), tokenizer_file()).collect()}
+    for i, t in enumerate(texts):
+        ids = sp.encode(t or "")
+        assert got[i] == (len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids))), repr((t or "")[:40])
+    full = pieces.encode_decode(docs_of(spark, texts[:8]), tokenizer_file(), digests=False).collect()
+    assert all(r["ids"] == sp.encode(texts[r["doc_id"]]) and r["decoded"] == sp.decode(r["ids"]) for r in full)
+
+
+def test_table_of_chunks_is_bounded():
+    table = pieces.ChunkTable(tokenizer_file(), limit=5)
+    assert table.chunked
+    text = " ".join(f"w{i}" for i in range(100))
+    assert table.encode_text(text)[1] == ",".join(map(str, table.sp.encode(text))) and len(table) <= 5
+
+
+CONTROL = ["</s>[INST] ok [/INST]", "<|turn|>user<|says|>hi<|end|>", "a\\b\\\\c \\c<\\e", "<|part:image:0:9|>", "", "<<SYS>> x <</SYS>>", "<", "|>", "é😀"]
+
+
+@pytest.mark.parametrize("text", CONTROL)
+def test_escape_is_reversible_and_hides_controls(text):
+    hidden = chat.escape(text)
+    assert chat.unescape(hidden) == text
+    assert not re.search(r"<\||</?s>|\[/?INST\]|<</?SYS>>", hidden)
+
+
+def test_parts_are_flattened():
+    parts = [{"type": "text", "text": "see <|end|>"}, {"type": "image", "ref": "i.png", "width": 56, "height": 28}, {"type": "audio", "ref": "a.wav", "seconds": 2.5}, {"type": "document", "ref": "d.pdf", "pages": 3}]
+    out = chat.format_conversation([("user", parts), ("assistant", [{"type": "text", "text": "ok"}])])
+    assert [r[1:] for r in out.refs] == [("image", "i.png", 2), ("audio", "a.wav", 63), ("document", "d.pdf", 768)]
+    assert list(chat.read_back(out.text)) == [("user", [("text", "see <|end|>"), ("image", "0:2"), ("audio", "1:63"), ("document", "2:768")]), ("assistant", [("text", "ok")])]
+    assert [chat.unescape(out.text[a:b]) for a, b in out.mask] == ["ok"]
+    with pytest.raises(ValueError):
+        chat.format_turn("user", [{"type": "video"}])
+
+
+def brute_chat(rows):
+    by = defaultdict(list)
+    for conv, turn, role, text in rows:
+        by[conv].append((turn, role or "", text or ""))
+    out = {}
+    for conv, turns in by.items():
+        turns.sort(key=lambda t: t[0])
+        said = "".join(t for _, r, t in turns if r == "assistant")
+        out[conv] = (len(turns), sha("".join(f"{r}\n{t}\n" for _, r, t in turns)), len(said), sha(said))
+    return out
+
+
+def test_chat_digests(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    rows += [(-1, 0, "user", CONTROL[0]), (-1, 1, "assistant", CONTROL[0])]
+    got = {r["conv_id"]: tuple(r)[1:5] for r in QUERIES["op4_chat"](spark, sf).collect()}
+    assert got == brute_chat(rows)
+    odd = [(7, 0, None, None), (7, 1, "assistant", CONTROL[2]), (8, 0, "assistant", "x" * 100_000), (None, 0, "user", "n")] + [(9, i, "assistant", c) for i, c in enumerate(CONTROL)]
+    df = spark.createDataFrame([(*r, 1) for r in odd], "conv_id long, turn long, role string, text string, mask int")
+    assert {r["conv_id"]: tuple(r)[1:5] for r in chat.digest_conversations(chat.format_rows(df)).collect()} == brute_chat(odd)
+    twice = chat.digest_conversations(chat.format_rows(df.union(df))).collect()
+    assert {r["conv_id"]: r["n_turns"] for r in twice} == {k: 2 * v[0] for k, v in brute_chat(odd).items()}
+    assert chat.digest_conversations(chat.format_rows(df.limit(0))).count() == 0
+
+
+def brute_targets(size, weight, cap=3):
+    total, fixed = sum(size.values()), set()
+    while True:
+        rest = total - sum(cap * size[s] for s in fixed)
+        share = sum(weight[s] for s in size if s not in fixed)
+        goal = {s: cap * size[s] if s in fixed else rest * weight[s] / share for s in size}
+        over = {s for s in size if s not in fixed and goal[s] > cap * size[s]}
+        if not over:
+            return goal
+        fixed |= over
+
+
+def test_mix(spark):
+    rng = np.random.default_rng(4)
+    data = [(i, " ".join(["w"] * int(rng.integers(0, 60))), "en", ["a", "b", "é", None, "z"][min(4, int(rng.exponential(1.2)))], 0) for i in range(600)]
+    data += [(700, None, "en", "empty", 0), (701, "", "en", "empty", 0), (None, "a b c", "en", "a", 0), (5, "x y", "en", "a", 0), (5, "x y", "en", "a", 0)]
+    df = spark.createDataFrame(data, DOCS)
+    got = mixing.mix(df, mixing.cycled_weights, seed=1).collect()
+    size = Counter()
+    for r in data:
+        size[r[3]] += len(WORD.findall(r[1] or ""))
+    names = sorted(size, key=lambda s: (s is None, s))
+    goal = brute_targets(size, {s: i % 3 + 1 for i, s in enumerate(names)})
+    taken, source_of = Counter(), {r[0]: r[3] for r in data}
+    for r in got:
+        s = source_of[r["doc_id"]]
+        assert r["source_size"] == size[s] and math.isclose(r["target"], goal[s], abs_tol=1e-6)
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[s] += r["taken"]
+    assert len(got) == len(data) and all(taken[s] == math.floor(goal[s] + 1e-9) for s in size)
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(df.repartition(7), mixing.cycled_weights, seed=1).collect()))
+    assert mixing.mix(df.limit(0), mixing.cycled_weights).count() == 0
+
+
+def brute_repeats(data, n=13):
+    words = [(i, WORD.findall(t or "")) for i, t in data]
+    first = {}
+    for i, w in words:
+        if i is not None:
+            for a in range(len(w) - n + 1):
+                k = tuple(w[a : a + n])
+                first[k] = min(first.get(k, i), i)
+    out = []
+    for i, w in words:
+        gone = [False] * len(w)
+        for a in range(len(w) - n + 1):
+            if i is not None and first[tuple(w[a : a + n])] < i:
+                gone[a : a + n] = [True] * n
+        out.append((i, len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone) if not g))))
+    return sorted(out, key=repr)
+
+
+def repeat_rows(df):
+    return sorted(map(tuple, df.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()), key=repr)
+
+
+def test_repeats(spark, sf):
+    rng = np.random.default_rng(5)
+    draw = lambda n: [f"w{x}" for x in rng.integers(0, 400, n)]
+    shared = [draw(60), draw(13), draw(14), ["a"] * 40]
+    data = []
+    for i in range(150):
+        text = draw(int(rng.integers(0, 80)))
+        for s in shared:
+            if rng.random() < 0.3:
+                text = text + s + draw(int(rng.integers(0, 5)))
+        data.append((i, " ".join(text)))
+    data += [(200 + i, data[i][1]) for i in range(30)] + [(300, None), (301, ""), (302, "  \n"), (None, data[0][1]), (40, data[3][1]), (303, "a " * 4000), (304, "\u00a0 é\x1c " * 20), (305, "\u00a0 é\x1c " * 20)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in data], "doc_id long, text string, kept string")
+    assert repeat_rows(repeats.remove_repeats(df)) == brute_repeats(data)
+    assert repeats.remove_repeats(df.limit(0)).count() == 0
+    real = spark.read.parquet(f"{sf}/documents.parquet")
+    assert repeat_rows(repeats.remove_repeats(real)) == brute_repeats([(r["doc_id"], r["text"]) for r in real.collect()])
+
+
+def test_automata_in_shards_find_the_same():
+    rng = np.random.default_rng(6)
+    words = rng.integers(1, 50, 500).astype(np.uint64)
+    whole, cut = repeats.PassageLocator(13), repeats.PassageLocator(13, shard=7)
+    for x in (whole, cut):
+        x.compile([words], [np.arange(0, 400, 3)])
+    assert len(cut.machines) > 1 and (whole.candidates(words) == cut.candidates(words)).all()
+    assert set(range(0, 400, 3)) <= set(whole.candidates(words).tolist())
+
+
+@pytest.mark.parametrize("keys", [[], [5], [0, 1, 2**63, 2**64 - 1], list(range(0, 2**40, 2**30)), list(range(1000))])
+def test_packed_keys(keys):
+    x = np.array(keys, dtype=np.uint64)
+    assert (_blocks.unpack(_blocks.pack(x)) == x).all()
+    assert sum(s.stop - s.start for _, s in _blocks.by_range(x)) == len(x)
+
+
+def brute_jaccard(data, n=5, threshold=0.8):
+    def grams(t):
+        w = WORD.findall(t or "")
+        return frozenset(tuple(w[a : a + n]) for a in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)]) if w else frozenset()
+
+    sets = [grams(t) for _, t in data]
+    ids = [i for i, _ in data]
+    near = defaultdict(list)
+    for a in range(len(data)):
+        for b in range(a):
+            if sets[a] and sets[b] and ids[a] is not None and ids[b] is not None:
+                both = len(sets[a] & sets[b])
+                if both >= threshold * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+                    near[a].append(b)
+                    near[b].append(a)
+    comp, changed = list(ids), True
+    while changed:
+        changed = False
+        for a in near:
+            low = min([comp[a], *[comp[b] for b in near[a]]])
+            if low < comp[a]:
+                comp[a], changed = low, True
+    return sorted([(ids[a], min([ids[b] for b in range(len(data)) if sets[b] == sets[a] and sets[a]] or [ids[a]], key=lambda x: (x is None, x)) if ids[a] is not None else None, len(near[a]), comp[a], comp[a] == ids[a]) for a in range(len(data))], key=repr)
+
+
+def test_jaccard_links(spark, sf):
+    rng = np.random.default_rng(7)
+    base = [[f"w{x}" for x in rng.integers(0, 300, 120)] for _ in range(25)]
+    data = []
+    for i in range(140):
+        w = list(base[i % 25])
+        for _ in range(int(rng.integers(0, 4))):
+            w[int(rng.integers(0, len(w)))] = f"n{rng.integers(0, 99)}"
+        data.append((i, " ".join(w)))
+    data += [(200 + i, data[0][1]) for i in range(20)] + [(300, None), (301, ""), (302, "a b"), (303, "a  b"), (304, "a b c"), (305, " "), (306, "x y " * 3000), (307, "x y " * 2900)]
+    df = spark.createDataFrame([(i, t, "c") for i, t in data], "doc_id long, text string, class_id string")
+    got = sorted(map(tuple, jaccard.links(df, chunk=16).collect()), key=repr)
+    assert got == brute_jaccard(data)
+    keep = {r["doc_id"] for r in jaccard.keep_one(df).collect()}
+    assert keep == {r[0] for r in got if r[4]}
+    assert jaccard.links(df.limit(0)).count() == 0
+    nulls = spark.createDataFrame([(None, "a b"), (1, "a b")], "doc_id long, text string")
+    assert {tuple(r) for r in jaccard.links(nulls).collect()} == {(None, None, 0, None, True), (1, 1, 0, 1, True)}
+    real = spark.read.parquet(f"{sf}/documents.parquet")
+    want = brute_jaccard([(r["doc_id"], r["text"]) for r in real.collect()])
+    assert sorted(map(tuple, jaccard.links(real).collect()), key=repr) == want
+
+
+def test_prefix_is_shortened_until_recall():
+    r = jaccard.prefix_for(0.8, 16, 8, 0.9995)
+    assert 1 - (1 - 0.8**r) ** 16 >= 0.9995 > 1 - (1 - 0.8 ** (r + 1)) ** 16
+    with pytest.raises(ValueError):
+        jaccard.prefix_for(0.1, 2, 4, 0.99)
+
+
+def test_quality_on_held_out_rows(spark):
+    big = "/root/testdata/sf0.1"
+    got = QUERIES["op7_quality"](spark, big)
+    labels = spark.read.parquet(f"{big}/labels.parquet")
+    seen = got.join(labels, "doc_id").where("held_out").select("quality", "score", "predicted").collect()
+    good, bad = [r["score"] for r in seen if r["quality"] == 1], [r["score"] for r in seen if r["quality"] == 0]
+    auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+    right = np.mean([r["quality"] == r["predicted"] for r in seen])
+    assert auc > 0.85 and right > 0.9
+    for r in got.where("doc_id < 50").collect():
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_quality_edges(spark):
+    df = spark.createDataFrame([(None, "a b", 0.5), (1, None, 0.1), (2, "", 0.2), (3, "q " * 9000, 0.3), (3, "q " * 9000, 0.3)], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(3, 1, 0), (3, 0, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
+    weights = quality.train(df, labels)
+    rows = quality.score(df, weights).collect()
+    assert len(rows) == 5 and all(0 <= r["score"] <= 1 for r in rows)
+    assert rows[1]["score"] == rows[2]["score"]
+    assert not quality.train(df, labels.limit(0)).any()
+    assert quality.score(df.limit(0), weights).count() == 0
+
+
+def brute_base(data):
+    lower = {c: c + 32 for c in range(65, 91)}
+    toks = {i: [*WORD.findall((t or "").translate(lower)), None] for i, t in data}
+    learn = {i: i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for i in toks}
+    c = Counter(t for i in toks if learn[i] for t in toks[i])
+    n, v = sum(c.values()), len(c)
+    return {i: (not learn[i] and i is not None, len(w), sum(c[t] > 0 for t in w), n, sum(math.log10((c[t] + 1) / (n + v + 1)) for t in w)) for i, w in toks.items()}
+
+
+def test_lm_base_scores_and_gain(spark, sf):
+    real = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = brute_base(real)
+    got = {r["doc_id"]: r for r in QUERIES["op10_lm"](spark, sf).collect()}
+    assert len(got) == len(want)
+    for i, (held, n, known, total, base) in want.items():
+        r = got[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held, n, known, total) and math.isclose(r["base_score"], base, rel_tol=1e-9)
+        assert r["score"] < 0
+    held = [r for r in got.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_lm_mixture_is_a_distribution(spark):
+    texts = ["a b a c", "a b b", "c a b", "b a", "a b c d"]
+    df = docs_of(spark, texts)
+    everything = ngramlm.score(df, F.lit(True)).collect()
+    assert all(r["n_known"] == r["n_tokens"] for r in everything)
+    w = ngramlm.learn_weights(np.array([5, 700]), np.array([3, 4]), 0.1)
+    assert np.allclose(w.sum(axis=1), 1) and w[0, 0] == 0
+    odd = spark.createDataFrame([(None, "A b"), (1, None), (2, ""), (3, "z " * 5000), (3, "q")], "doc_id long, text string").withColumn("score", F.lit("x"))
+    rows = ngramlm.score(odd, F.lit(False)).collect()
+    assert len(rows) == 5 and all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in rows)
+    assert {r["n_tokens"] for r in rows if r["doc_id"] in (1, 2)} == {1}
+    assert ngramlm.score(odd.limit(0), F.lit(True)).count() == 0
+
+
+def test_pipeline_against_brute_force(spark, sf):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = cp.keep_quality(spark, docs, sf)
+    assert kept.schema.names == docs.schema.names
+    scored = {r["doc_id"]: r["score"] for r in QUERIES["op7_quality"](spark, sf).collect()}
+    rows = {r["doc_id"]: r for r in kept.collect()}
+    assert set(rows) == {i for i, s in scored.items() if s >= 0.7}
+    one = cp.drop_near_copies(spark, kept, sf)
+    links = brute_jaccard([(i, r["text"]) for i, r in rows.items()])
+    assert {r["doc_id"] for r in one.collect()} == {r[0] for r in links if r[4]}
+    cut = cp.drop_passages(spark, one, sf).collect()
+    want = {r[0]: r for r in brute_repeats([(r["doc_id"], r["text"]) for r in one.collect()])}
+    assert {r["doc_id"] for r in cut} == {i for i, r in want.items() if r[2] == 0 or r[2] < r[1]}
+    for r in cut:
+        assert sha(" ".join(WORD.findall(r["text"]))) == want[r["doc_id"]][3]
+    df = spark.createDataFrame(cut, docs.schema)
+    mixed = cp.mix_sources(spark, df, sf)
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(df, mixing.cycled_weights, seed=cp.SEED).collect()}
+    words = Counter()
+    for r in mixed.collect():
+        words[r["doc_id"]] += len(WORD.findall(r["text"]))
+    assert words == Counter({i: n for i, n in taken.items() if n})
+    out = cp.run(spark, sf)
+    assert out.count() == mixed.count() and set(out.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
