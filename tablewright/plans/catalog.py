@@ -1,0 +1,29 @@
+"""Named queries over the fixture tables and their DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+QUERIES, ORACLES = {}, {}
+
+
+def query(sql=None):
+    """Registers a function ``(spark, sf_dir) -> DataFrame`` under its name, with its SQL if there is one."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("SELECT CAST(round(sum(l_extendedprice), 2) AS DOUBLE) AS total FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40")
+def agg_sum_where(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A' and l_quantity > 40")
+    return lines.agg(F.round(F.sum("l_extendedprice"), 2).alias("total"))
