@@ -25,8 +25,9 @@ from ._words import WordHashes, as_utf8, split_words, window_hashes
 ANCHOR = 5
 #: Anchors in one automaton, at most.
 SHARD = 200_000
-#: Code points that may stand for words: all but the surrogates and U+0000.
-_ALPHABET = 0x10FFFF - 0x800 - 1
+#: A word is spelt in digits of this base, each place with characters of its own: nodes of the automata keep
+#: few children, which they search one by one, and no match begins inside a word.
+BASE = 32
 
 
 def _ask(n: int):
@@ -80,29 +81,33 @@ class PassageLocator:
         for a in range(0, len(phrases), self.shard):
             part = phrases[a : a + self.shard]
             letters = np.unique(part)
-            if len(letters) > _ALPHABET:
-                raise ValueError("a shard's words exceed the alphabet; lower shard")
+            digits = 1
+            while BASE**digits < len(letters):
+                digits += 1
             machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-            for row in self._spell(np.searchsorted(letters, part) + 1):
-                machine.add_word(row)
+            size = digits * self.anchor
+            flat = self._spell(np.searchsorted(letters, part).ravel(), digits)
+            for i in range(0, len(flat), size):
+                machine.add_word(flat[i : i + size])
             machine.make_automaton()
-            self.machines.append((letters, machine))
+            self.machines.append((letters, digits, machine))
 
     @staticmethod
-    def _spell(numbers: np.ndarray) -> list[str] | str:
-        codes = numbers.astype(np.uint32)
-        codes[codes >= 0xD800] += 0x800
-        flat = codes.astype("<u4").tobytes().decode("utf-32-le")
-        return flat if numbers.ndim == 1 else [flat[i : i + numbers.shape[1]] for i in range(0, len(flat), numbers.shape[1])]
+    def _spell(numbers: np.ndarray, digits: int) -> str:
+        """Fixed-width spelling; -1 is a word that no phrase holds."""
+        places = np.arange(digits, dtype=np.int64)
+        codes = numbers[:, None] // BASE**places % BASE + places * BASE + 1
+        codes[numbers < 0] = 0
+        return codes.astype("<u4").tobytes().decode("utf-32-le")
 
     def hits(self, words: np.ndarray) -> np.ndarray:
         """First words of all anchors in a document, from every shard's automaton."""
-        ends: list[int] = []
-        for letters, machine in self.machines:
+        ends: list[np.ndarray] = []
+        for letters, digits, machine in self.machines:
             spot = np.minimum(np.searchsorted(letters, words), len(letters) - 1)
-            text = self._spell(np.where(letters[spot] == words, spot + 1, 0))
-            ends += [end for end, _ in machine.iter(text)]
-        return np.unique(np.array(ends, dtype=np.int64)) - (self.anchor - 1)
+            text = self._spell(np.where(letters[spot] == words, spot, -1), digits)
+            ends.append(np.array([end for end, _ in machine.iter(text)], dtype=np.int64) // digits)
+        return np.unique(np.concatenate(ends)) - (self.anchor - 1)
 
     def candidates(self, words: np.ndarray) -> np.ndarray:
         """First words of the windows around the hits."""
