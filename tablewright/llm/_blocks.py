@@ -52,13 +52,13 @@ def _range_of(x: Column, bounds: list[int]) -> Column:
 
 
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted distinct uint64 as differences of 5, 6 or 8 bytes."""
+    """Sorted distinct uint64 as differences of 4, 5, 6 or 8 bytes."""
     if not len(keys):
         return b""
     steps = np.diff(keys, prepend=np.uint64(0))
     head, rest = keys[:1].astype("<u8").tobytes(), steps[1:]
     top = int(rest.max()) if len(rest) else 0
-    width = 5 if top < 1 << 40 else 6 if top < 1 << 48 else 8
+    width = 4 if top < 1 << 32 else 5 if top < 1 << 40 else 6 if top < 1 << 48 else 8
     body = rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
     return bytes([width]) + head + np.ascontiguousarray(body).tobytes()
 

@@ -27,50 +27,69 @@ from ._words import WordHashes, as_utf8, mix
 
 #: The token that ends every text; no word equals it, as a word has no blank.
 END = b" "
-#: Bigram keys have their lowest bit set, token keys do not.
-_ONE = np.uint64(1)
+#: Key ranges of bigrams are numbered after those of tokens.
+_PAIRS = 256
 BUCKETS = 24
 _LEVELS = 96
 
 
+def pair_bits(text_bytes: int) -> int:
+    """Bits of a bigram's key: so many that two bigrams of this corpus rarely (about 1 in 2**18) share one.
+
+    A shared key adds counts of another bigram; tokens always have all 64 bits.
+    """
+    return 48 if text_bytes < 1 << 30 else 56 if text_bytes < 1 << 38 else 64
+
+
 def tokens_of(text: bytes | None, hashes: WordHashes) -> np.ndarray:
     """Keys of a text's tokens, A-Z lower-cased, the end last."""
-    return (hashes.of([*(text or b"").lower().split(), END]) << _ONE)
+    return hashes.of([*(text or b"").lower().split(), END])
 
 
-def bigrams_of(tokens: np.ndarray) -> np.ndarray:
+def bigrams_of(tokens: np.ndarray, bits: int) -> np.ndarray:
     """Keys of each token with the one before it; a text's first token follows the end."""
-    before = np.roll(tokens, 1)
-    return mix(before * np.uint64(0x9E3779B97F4A7C15) + tokens) | _ONE
+    return mix(np.roll(tokens, 1) * np.uint64(0x9E3779B97F4A7C15) + tokens) >> np.uint64(64 - bits)
+
+
+def _pack_counts(x: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(x, dtype="<i8").tobytes(), 1)
 
 
 def _counts(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), dtype="<i8") if blob else np.empty(0, dtype=np.int64)
+    return np.frombuffer(zlib.decompress(blob), dtype="<i8")
 
 
-def _pack_counts(x: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(x, dtype="<i8").tobytes(), 1)
+class _Block:
+    """A block's tokens and bigrams: sorted distinct keys, the block's own training counts, each token's place."""
 
+    def __init__(self, docs: pa.Table, bits: int):
+        hashes = WordHashes()
+        tokens = [tokens_of(t, hashes) for t in docs.column("_text").to_pylist()]
+        self.sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+        learn = np.repeat(np.array(docs.column("_learn").to_pylist(), dtype=np.float64), self.sizes)
+        self.sides = []
+        for first, width, keys in ((0, 64, tokens), (_PAIRS, bits, [bigrams_of(t, bits) for t in tokens])):
+            uniq, place = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.bincount(place, weights=learn, minlength=len(uniq)).astype(np.int64)
+            ranges = [(first + p, s) for p, s in by_range(uniq << np.uint64(64 - width))]
+            self.sides.append((uniq, place, n, ranges))
+
+
+def _ask(bits: int):
+    def run(table: pa.Table) -> pa.Table:
+        """All keys of the block in order, with their counts in its training texts."""
+        if not table.num_rows:
+            return asked([])
+        block = table.column("block")[0].as_py()
+        return asked([(p, block, pack(uniq[s]), _pack_counts(n[s])) for uniq, _, n, ranges in _Block(table, bits).sides for p, s in ranges])
 
-def _ask(table: pa.Table) -> pa.Table:
-    """All keys of the block, with their counts in its training texts."""
-    if not table.num_rows:
-        return asked([])
-    hashes, block = WordHashes(), table.column("block")[0].as_py()
-    seen, learnt = [], []
-    for text, learn in zip(table.column("_text").to_pylist(), table.column("_learn").to_pylist()):
-        t = tokens_of(text, hashes)
-        seen += [t, bigrams_of(t)]
-        learnt += [np.full(len(t), learn)] * 2
-    keys, inverse = np.unique(np.concatenate(seen), return_inverse=True)
-    n = np.bincount(inverse, weights=np.concatenate(learnt), minlength=len(keys)).astype(np.int64)
-    return asked([(p, block, pack(keys[s]), _pack_counts(n[s])) for p, s in by_range(keys)])
+    return run
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Corpus counts for every block that asked, where they differ from the block's own: the rest is known there.
+    """To every block that asked, in the order of its keys, how much the corpus counts exceed its own.
 
-    A row of block -1 holds the range's totals: training tokens and distinct training tokens.
+    A row of block -1 holds a range's totals: training tokens and distinct training tokens.
     """
     blocks, part = table.column("block").to_pylist(), table.column("part")[0].as_py()
     lists = [unpack(b) for b in table.column("keys").to_pylist()]
@@ -78,17 +97,15 @@ def _answer(table: pa.Table) -> pa.Table:
     keys, inverse = np.unique(np.concatenate(lists), return_inverse=True)
     n = np.bincount(inverse, weights=np.concatenate(own), minlength=len(keys)).astype(np.int64)
     out, at = [], 0
-    for block, k, mine in zip(blocks, lists, own):
-        all_of = n[inverse[at : at + len(k)]]
-        at += len(k)
-        differ = all_of != mine
-        out.append((block, part, pack(k[differ]), _pack_counts(all_of[differ])))
-    token = (keys & _ONE == 0) & (n > 0)
-    out.append((-1, part, b"", np.array([n[token].sum(), token.sum()], dtype="<i8").tobytes()))
+    for block, mine in zip(blocks, own):
+        out.append((block, part, b"", _pack_counts(n[inverse[at : at + len(mine)]] - mine)))
+        at += len(mine)
+    if part < _PAIRS:
+        out.append((-1, part, b"", np.array([n.sum(), (n > 0).sum()], dtype="<i8").tobytes()))
     return answered(out)
 
 
-def _resolve(names: list[str]):
+def _resolve(names: list[str], bits: int):
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         """Per document its tokens' counts and its bigrams' counts in the training texts.
 
@@ -98,22 +115,17 @@ def _resolve(names: list[str]):
             n, v = np.sum([np.frombuffer(x, dtype="<i8") for x in told.column("extra").to_pylist()], axis=0).tolist()
             row = [*[pa.nulls(1, docs.schema.field(c).type) for c in names], pa.nulls(1, pa.bool_()), pa.array([-1], pa.int64()), pa.array([np.array([n, v], dtype="<i8").tobytes()], pa.binary())]
             return pa.Table.from_arrays(row, names=[*names, "_learn", "n_tokens", "counts"])
-        hashes = WordHashes()
-        tokens = [tokens_of(t, hashes) for t in docs.column("_text").to_pylist()]
-        learn = docs.column("_learn").to_pylist()
-        both = [x for t in tokens for x in (t, bigrams_of(t))]
-        keys, inverse = np.unique(np.concatenate(both), return_inverse=True) if both else (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
-        flags = np.repeat(np.repeat(np.array(learn, dtype=bool), 2), [len(x) for x in both]) if both else np.empty(0)
-        n = np.bincount(inverse, weights=flags, minlength=len(keys)).astype(np.int64)
-        for blob, counts in zip(told.column("keys").to_pylist(), told.column("extra").to_pylist()):
-            n[np.searchsorted(keys, unpack(blob))] = _counts(counts)
-        found, at, packed = n[inverse], 0, []
-        for t in tokens:
-            m = len(t)
-            packed.append(zlib.compress(np.stack([found[at : at + m], found[at + m : at + 2 * m]]).astype("<u4").tobytes(), 1))
-            at += 2 * m
+        block = _Block(docs, bits)
+        more = dict(zip(told.column("part").to_pylist(), told.column("extra").to_pylist()))
+        found = []
+        for _, place, n, ranges in block.sides:
+            for p, s in ranges:
+                n[s] += _counts(more[p])
+            found.append(n[place].astype("<u4"))
+        edges = np.cumsum(block.sizes).tolist()
+        packed = [zlib.compress(found[0][b - m : b].tobytes() + found[1][b - m : b].tobytes(), 1) for b, m in zip(edges, block.sizes.tolist())]
         out = [docs.column(c).combine_chunks() for c in names]
-        return pa.Table.from_arrays([*out, docs.column("_learn").combine_chunks(), pa.array([len(t) for t in tokens], pa.int64()), pa.array(packed, pa.binary())], names=[*names, "_learn", "n_tokens", "counts"])
+        return pa.Table.from_arrays([*out, docs.column("_learn").combine_chunks(), pa.array(block.sizes, pa.int64()), pa.array(packed, pa.binary())], names=[*names, "_learn", "n_tokens", "counts"])
 
     return run
 
@@ -182,11 +194,12 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     training text all counts are 0. The driver gets two totals for each key range and one histogram of fixed size.
     """
     names = list(dict.fromkeys([id_col, *carry]))
+    bits = pair_bits(docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0)
     ready = with_block(docs, id_col, text_col).select("block", *names, as_utf8(text_col).alias("_text"), F.coalesce(learn, F.lit(False)).alias("_learn"))
-    told = exchange(ready, _ask, _answer)
+    told = exchange(ready, _ask(bits), _answer)
     fields = [StructField(c, docs.schema[c].dataType) for c in names]
     packed_type = StructType([*fields, StructField("_learn", BooleanType()), StructField("n_tokens", LongType()), StructField("counts", BinaryType())])
-    every = checkpoint(ready.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_resolve(names), packed_type))
+    every = checkpoint(ready.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_resolve(names, bits), packed_type))
     totals = every.where("n_tokens < 0").select("counts").collect()  # one row
     n, v = np.frombuffer(totals[0][0], dtype="<i8").tolist() if totals else (0, 0)
     packed = every.where("n_tokens >= 0")
