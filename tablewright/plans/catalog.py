@@ -1,13 +1,22 @@
-"""Named queries over the fixture tables and their DuckDB SQL."""
+"""Named queries over the fixture tables and their DuckDB SQL.
+
+Each applies operators of this package to whole tables. Counts are long; sums of doubles are rounded, and
+rankings use rounded scores with ids as ties, so results do not depend on the order of additions.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import numbers, text
+from ..operators import dedup, evaluate, layout, match, query, retrieval, segments, synth
+from ..schema import from_cells, rectangular, to_cells, wide_to_cells
+from ..sources import readers
+
 QUERIES, ORACLES = {}, {}
 
 
-def query(sql=None):
+def named(sql=None):
     """Registers a function ``(spark, sf_dir) -> DataFrame`` under its name, with its SQL if there is one."""
 
     def register(f):
@@ -23,7 +32,559 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("SELECT CAST(round(sum(l_extendedprice), 2) AS DOUBLE) AS total FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40")
-def agg_sum_where(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A' and l_quantity > 40")
-    return lines.agg(F.round(F.sum("l_extendedprice"), 2).alias("total"))
+def r6(c):
+    return F.round(c, 6)
+
+
+#: Words of letters a-z and digits, in lower case; the same in Spark and in DuckDB.
+ASCII_WORDS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
+
+
+def ascii_words(c):
+    return F.regexp_extract_all(F.lower(F.col(c)), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+# projections, filters, structured queries
+
+
+@named("SELECT p_partkey, p_name FROM part WHERE p_type = 'ECONOMY' AND p_size > 20")
+def select_where(spark, sf_dir):
+    q = query.TableQuery("p_name", where=(query.Condition("p_type", "=", "ECONOMY"), query.Condition("p_size", ">", 20)))
+    return q.rows(table(spark, sf_dir, "part")).select("p_partkey", "p_name")
+
+
+_A40 = (query.Condition("l_returnflag", "=", "A"), query.Condition("l_quantity", ">", 40.0))
+
+
+def _structured(agg):
+    def run(spark, sf_dir):
+        lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
+        return query.TableQuery("l_extendedprice", agg, _A40).answer(lines).select(F.round("answer", 2).alias("answer"))
+
+    return run
+
+
+for _agg, _sql in (("sum", "sum(l_extendedprice)"), ("avg", "avg(l_extendedprice)"), ("count", "count(*)"), ("max", "max(l_extendedprice)"), ("min", "min(l_extendedprice)")):
+    _f = _structured({"avg": "AVERAGE"}.get(_agg, _agg.upper()))
+    _f.__name__ = f"agg_{_agg}_where"
+    named(f"SELECT round(CAST({_sql} AS DOUBLE), 2) AS answer FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40")(_f)
+
+
+def _extreme(greatest):
+    def run(spark, sf_dir):
+        return query.extreme_cell(table(spark, sf_dir, "part"), ["p_brand"], "p_size", "p_partkey", greatest)
+
+    return run
+
+
+for _name, _agg in (("argmin_cell", "min"), ("argmax_cell", "max")):
+    _f = _extreme(_agg == "max")
+    _f.__name__ = _name
+    named(f"SELECT p_brand, s.value AS value, s.position AS position FROM (SELECT p_brand, {_agg}(struct_pack(value := p_size, position := p_partkey)) AS s FROM part GROUP BY p_brand)")(_f)
+
+
+@named("""SELECT o_orderpriority, CASE WHEN n >= 2 THEN lo END AS lowest, CASE WHEN n >= 2 THEN hi END AS greatest, CASE WHEN n >= 2 THEN f END AS first_value, CASE WHEN n >= 2 THEN l END AS last_value,
+  round(CASE WHEN n >= 2 THEN s END, 2) AS total, round(CASE WHEN n >= 2 THEN hi - lo END, 6) AS value_range, round(CASE WHEN n >= 2 THEN a END, 4) AS average
+  FROM (SELECT o_orderpriority, count(*) n, min(o_totalprice) lo, max(o_totalprice) hi, arg_min(o_totalprice, o_orderkey) f, arg_max(o_totalprice, o_orderkey) l, sum(o_totalprice) s, avg(o_totalprice) a FROM orders GROUP BY 1)""")
+def grammar_range_first_last(spark, sf_dir):
+    g = query.grammar_aggregates(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", "o_orderkey")
+    return g.withColumns({"total": F.round("total", 2), "value_range": r6("value_range"), "average": F.round("average", 4)})
+
+
+@named("""WITH f AS (SELECT l_returnflag AS flag, l_linestatus AS status, min(l_quantity) lo, max(l_quantity) hi, list_sort(list_distinct(list(l_quantity))) v FROM lineitem GROUP BY 1, 2)
+  SELECT a.flag || a.status AS l, b.flag || b.status AS r, a.v = b.v AS equal, a.lo > b.hi AS greater, a.hi < b.lo AS lesser FROM f a JOIN f b ON a.flag || a.status < b.flag || b.status""")
+def set_compare_greater(spark, sf_dir):
+    s = table(spark, sf_dir, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("k")).agg(F.collect_set("l_quantity").alias("v"))
+    a, b = s.alias("a"), s.alias("b")
+    c = lambda op: query.compare_sets(F.col("a.v"), F.col("b.v"), op)
+    return a.join(b, F.col("a.k") < F.col("b.k")).select(F.col("a.k").alias("l"), F.col("b.k").alias("r"), c("=").alias("equal"), c(">").alias("greater"), c("<").alias("lesser"))
+
+
+@named("SELECT event_type, count(*) AS n, CAST(count(*) FILTER (value > 50) AS BIGINT) AS high, CAST(count(*) FILTER (value <= 50 AND user_id % 2 = 0) AS BIGINT) AS low_even, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def agg_multi_condition_report(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("high"), F.count_if(F.expr("value <= 50 and user_id % 2 = 0")).alias("low_even"), F.count_distinct("user_id").alias("users"))
+
+
+@named("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 300000 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_totalprice IS NULL)")
+def where_number_text(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("t", F.format_string("%.4f", "o_totalprice"))
+    return query.where_number(o, "t", ">", 300000.0).select("o_orderkey", "o_totalprice")
+
+
+@named("SELECT count(*) AS tables, CAST(sum(n) AS BIGINT) AS cells FROM (SELECT n_regionkey, 2 * count(*) AS n FROM nation GROUP BY 1)")
+def nested_table_roundtrip(spark, sf_dir):
+    cells = wide_to_cells(table(spark, sf_dir, "nation"), F.col("n_regionkey").cast("string"), ["n_nationkey"], ["n_nationkey", "n_name"])
+    return to_cells(rectangular(from_cells(cells))).agg(F.count_distinct("table_id").alias("tables"), F.count("*").alias("cells"))
+
+
+# metrics
+
+
+_PREDICTED = "CASE WHEN d.n_chars > 1500 THEN 1 ELSE 0 END"
+
+
+def _labelled(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang")
+    return table(spark, sf_dir, "labels").join(d, "doc_id").withColumn("pred", (F.col("n_chars") > 1500).cast("int"))
+
+
+@named("""SELECT l_returnflag AS question, 'SUM' AS aggregation, round(sum(l_quantity), 6) AS answer FROM lineitem GROUP BY 1
+  UNION ALL SELECT l_returnflag, 'COUNT', CAST(count(*) AS DOUBLE) FROM lineitem GROUP BY 1""")
+def denotation_values(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("question"), F.col("l_quantity").cast("string").alias("text"))
+    both = [evaluate.denotation(lines, "question", "text", F.lit(a)) for a in ("SUM", "COUNT")]
+    return both[0].unionByName(both[1]).select("question", "aggregation", F.col("values")[0].cast("double").alias("answer"))
+
+
+@named(f"SELECT round(avg(CASE WHEN l.quality = {_PREDICTED} THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM labels l JOIN documents d USING (doc_id)")
+def denotation_accuracy(spark, sf_dir):
+    return evaluate.accuracy(_labelled(spark, sf_dir), F.col("quality") == F.col("pred")).withColumn("accuracy", r6("accuracy"))
+
+
+@named(f"SELECT round(avg(d.n_chars / 1000.0 * CASE WHEN l.quality = {_PREDICTED} THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM labels l JOIN documents d USING (doc_id)")
+def weighted_accuracy(spark, sf_dir):
+    return evaluate.accuracy(_labelled(spark, sf_dir), F.col("quality") == F.col("pred"), F.col("n_chars") / 1000.0).withColumn("accuracy", r6("accuracy"))
+
+
+@named(f"SELECT l.quality AS quality, {_PREDICTED} AS pred, count(*) AS n FROM labels l JOIN documents d USING (doc_id) GROUP BY 1, 2")
+def confusion_matrix(spark, sf_dir):
+    return evaluate.confusion(_labelled(spark, sf_dir), "quality", "pred")
+
+
+@named(f"""WITH x AS (SELECT l.quality AS g, {_PREDICTED} AS p FROM labels l JOIN documents d USING (doc_id)), c AS (SELECT 0 AS label UNION ALL SELECT 1)
+  SELECT label, round(2.0 * count(*) FILTER (g = label AND p = label) / (count(*) FILTER (g = label) + count(*) FILTER (p = label)), 6) AS f1, CAST(count(*) FILTER (g = label) AS BIGINT) AS support FROM c, x GROUP BY 1""")
+def confusion_f1(spark, sf_dir):
+    return evaluate.f1_by_class(_labelled(spark, sf_dir), "quality", "pred").select("label", r6("f1").alias("f1"), "support")
+
+
+@named("""SELECT CASE WHEN grouping(event_type) = 1 THEN 'ALL' ELSE event_type END AS name, count(*) AS n, round(avg(value), 6) AS mean, CAST(count(*) FILTER (value > 50) AS BIGINT) AS high
+  FROM events GROUP BY GROUPING SETS ((event_type), ())""")
+def grouping_sets_metrics(spark, sf_dir):
+    return evaluate.grouped_report(table(spark, sf_dir, "events"), "event_type", "ALL", {"n": F.count("*"), "mean": r6(F.avg("value")), "high": F.count_if(F.col("value") > 50)})
+
+
+@named("SELECT CASE WHEN n_chars <= 500 THEN '<= 500' WHEN n_chars <= 2000 THEN '<= 2000' WHEN n_chars <= 8000 THEN '<= 8000' ELSE '> 8000' END AS bucket, count(*) AS n FROM documents GROUP BY 1")
+def bucket_histogram(spark, sf_dir):
+    return evaluate.histogram(table(spark, sf_dir, "documents"), "n_chars", [500, 2000, 8000])
+
+
+@named(f"""WITH t AS (SELECT conv_id, turn, {ASCII_WORDS.format('text')} AS a, lead({ASCII_WORDS.format('text')}) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
+  k AS (SELECT conv_id, turn, a, b, unnest(list_distinct(a)) AS w FROM t WHERE b IS NOT NULL AND len(a) > 0 AND len(b) > 0),
+  m AS (SELECT conv_id, turn, len(any_value(a)) AS na, len(any_value(b)) AS nb, sum(least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w)))) AS common FROM k GROUP BY 1, 2)
+  SELECT conv_id, turn, round(CASE WHEN common = 0 THEN 0.0 ELSE 2.0 * (common / nb) * (common / na) / (common / nb + common / na) END, 6) AS f1 FROM m""")
+def token_f1(spark, sf_dir):
+    c = segments.previous(table(spark, sf_dir, "conversations").select("conv_id", (-F.col("turn")).alias("back"), "turn", ascii_words("text").alias("a")), ["conv_id"], ["back"], "a")
+    some = c.where("previous is not null and size(a) > 0 and size(previous) > 0")
+    return some.select("conv_id", "turn", r6(evaluate.token_f1(F.col("a"), F.col("previous"))).alias("f1"))
+
+
+@named(f"""WITH x AS (SELECT l.quality = {_PREDICTED} AS ok, l.toxic = 0 AS hit, d.n_chars / 30000.0 AS f1, d.n_chars > 100 AS answered FROM labels l JOIN documents d USING (doc_id))
+  SELECT round(avg(CAST(hit AS DOUBLE)), 6) AS table_accuracy, round(avg(CAST(ok AS DOUBLE)), 6) AS answer_accuracy, round(avg(CAST(ok AS DOUBLE)) FILTER (answered), 6) AS answer_precision,
+  round(avg(f1), 6) AS answer_token_f1, round(avg(CAST(ok AS DOUBLE)) FILTER (hit), 6) AS oracle_accuracy FROM x""")
+def end_to_end_metrics(spark, sf_dir):
+    x = _labelled(spark, sf_dir).select((F.col("quality") == F.col("pred")).alias("ok"), (F.col("toxic") == 0).alias("hit"), (F.col("n_chars") / 30000.0).alias("f1"), (F.col("n_chars") > 100).alias("answered"))
+    m = evaluate.end_to_end(x, "hit", "f1", "ok", "answered")
+    return m.select(*[r6(c).alias(c) for c in m.columns])
+
+
+# windows and segments
+
+
+@named("""SELECT p_partkey, CAST(dense_rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) AS INTEGER) AS rank, CAST(dense_rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC) AS INTEGER) AS inverse_rank FROM part""")
+def numeric_rank(spark, sf_dir):
+    return segments.ranks(table(spark, sf_dir, "part"), ["p_brand"], "p_retailprice").select("p_partkey", "rank", "inverse_rank")
+
+
+@named("SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations")
+def prev_answer_lag(spark, sf_dir):
+    return segments.previous(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "role").select("conv_id", "turn", "previous")
+
+
+@named("SELECT conv_id, turn, md5(string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS running FROM conversations")
+def running_question_concat(spark, sf_dir):
+    return segments.running_text(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "text").select("conv_id", "turn", F.md5("running").alias("running"))
+
+
+@named("""WITH n AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), h AS (SELECT *, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS k FROM n WHERE value > 50)
+  SELECT user_id, CAST(min(i) AS INTEGER) AS "begin", CAST(max(i) AS INTEGER) AS "end", count(*) AS n, round(exp(avg(ln(value))), 6) AS score FROM h GROUP BY user_id, k""")
+def islands_above_threshold(spark, sf_dir):
+    i = segments.islands(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("value") > 50, F.col("value"))
+    return i.select("user_id", F.col("begin").cast("int").alias("begin"), F.col("end").cast("int").alias("end"), "n", r6("score").alias("score"))
+
+
+@named("""WITH l AS (SELECT event_id, user_id, ts, CASE WHEN value > 50 THEN 1 ELSE 0 END AS x FROM events)
+  SELECT event_id, CASE WHEN x - lag(x, 1, 0) OVER w > 0 THEN 1 ELSE 0 END AS is_start, CASE WHEN x - lead(x, 1, 0) OVER w > 0 THEN 1 ELSE 0 END AS is_end FROM l WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def run_boundaries(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("x", (F.col("value") > 50).cast("int"))
+    return segments.run_edges(e, ["user_id"], ["ts", "event_id"], "x").select("event_id", "is_start", "is_end")
+
+
+@named("SELECT l_orderkey, l_linenumber, least(3, l_linenumber - min(l_linenumber) OVER (PARTITION BY l_orderkey)) AS relative FROM lineitem")
+def relative_position(spark, sf_dir):
+    return segments.relative_position(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber", 4).select("l_orderkey", "l_linenumber", "relative")
+
+
+@named("SELECT p_partkey, CAST(greatest(floor((row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) - 1 - 4) / 16) + 1, 0) AS INTEGER) AS bucket FROM part")
+def bucket_by_rank(spark, sf_dir):
+    return segments.buckets_by_rank(table(spark, sf_dir, "part"), ["p_brand"], ["p_size", "p_partkey"], 16, 4).select("p_partkey", "bucket")
+
+
+@named("SELECT p_partkey, CASE WHEN row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) <= 5 THEN 1 ELSE 0 END AS kept FROM part")
+def topk_mask(spark, sf_dir):
+    return segments.top_mask(table(spark, sf_dir, "part"), ["p_brand"], "p_retailprice", "p_partkey", 5).select("p_partkey", "kept")
+
+
+@named("""WITH g AS (SELECT f.l_returnflag, s.seg FROM (SELECT DISTINCT l_returnflag FROM lineitem) f, (SELECT CAST(unnest(generate_series(0, 9)) AS INTEGER) AS seg) s),
+  v AS (SELECT l_returnflag, l_linenumber AS seg, avg(l_quantity) m, sum(l_quantity) t, max(l_quantity) hi, min(l_quantity) lo FROM lineitem GROUP BY 1, 2)
+  SELECT g.l_returnflag, g.seg, round(coalesce(m, 0), 6) AS mean, round(coalesce(t, 0), 2) AS total, hi AS greatest, lo AS least FROM g LEFT JOIN v ON g.l_returnflag = v.l_returnflag AND g.seg = v.seg""")
+def segment_reductions(spark, sf_dir):
+    s = segments.reduce_segments(table(spark, sf_dir, "lineitem").withColumnRenamed("l_linenumber", "seg"), "l_returnflag", "seg", "l_quantity", 10)
+    return s.select("l_returnflag", "seg", r6("mean").alias("mean"), F.round("total", 2).alias("total"), "greatest", "least")
+
+
+@named("SELECT l_returnflag, round(avg(m), 6) AS score FROM (SELECT l_returnflag, l_linestatus, avg(l_discount) m FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+def cell_mean_then_column_mean(spark, sf_dir):
+    return segments.nested_mean(table(spark, sf_dir, "lineitem"), ["l_returnflag"], ["l_linestatus"], "l_discount").withColumn("score", r6("score"))
+
+
+@named("""WITH c AS (SELECT unnest([struct_pack(k := 'c_name', v := c_name), struct_pack(k := 'c_acctbal', v := CAST(c_acctbal AS VARCHAR)), struct_pack(k := 'c_custkey', v := CAST(c_custkey AS VARCHAR))]) AS x FROM customer)
+  SELECT x.k AS column_name, count(*) AS n, CAST(count(*) FILTER (regexp_full_match(x.v, '-?[0-9.]+')) AS BIGINT) AS numbers, CAST(0 AS BIGINT) AS dates,
+  CASE WHEN count(*) FILTER (regexp_full_match(x.v, '-?[0-9.]+')) / count(*) >= 0.7 THEN 'number' END AS type FROM c GROUP BY 1""")
+def column_type_vote(spark, sf_dir):
+    texts = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("text")) for c in ("c_name", "c_acctbal", "c_custkey")]
+    cells = table(spark, sf_dir, "customer").select(F.explode(F.array(*texts)).alias("x")).select("x.*")
+    return segments.type_vote(cells, ["column_name"], numbers.to_float("text").isNotNull(), F.lit(False))
+
+
+@named("""SELECT user_id, CAST(bit_or(CASE WHEN value = c THEN 1 WHEN value < c THEN 2 ELSE 4 END) AS INTEGER) AS mask FROM events, (SELECT unnest([10.0, 50.0, 90.0]) AS c) GROUP BY 1""")
+def numeric_relation_bitmask(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("c", F.explode(F.array(F.lit(10.0), F.lit(50.0), F.lit(90.0))))
+    return segments.relation_mask(e, ["user_id"], numbers.numeric_relation("value", "c"))
+
+
+@named("""SELECT l_returnflag, round(sum(l_discount * 5 / l_linenumber), 4) AS expected_count, round(sum(l_discount * 5 / l_linenumber * l_quantity), 2) AS expected_sum,
+  round(sum(l_discount * 5 / l_linenumber * l_quantity) / (sum(l_discount * 5 / l_linenumber) + 1e-10), 6) AS expected_average FROM lineitem GROUP BY 1""")
+def soft_aggregates(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem").withColumn("p", F.col("l_discount") * 5)
+    s = segments.soft_aggregates(t, ["l_returnflag"], "p", "l_quantity", "l_linenumber")
+    return s.select("l_returnflag", F.round("expected_count", 4).alias("expected_count"), F.round("expected_sum", 2).alias("expected_sum"), r6("expected_average").alias("expected_average"))
+
+
+# retrieval
+
+
+_DOC_TF = f"d AS (SELECT doc_id, unnest({ASCII_WORDS.format('text')}) AS token FROM documents), tf AS (SELECT token, doc_id, count(*) AS tf FROM d GROUP BY 1, 2)"
+_ASKED = f"q AS (SELECT item_id, token, count(*) AS times FROM (SELECT item_id, unnest({ASCII_WORDS.format('text')}) AS token FROM benchmark) GROUP BY 1, 2)"
+_BEST = "r AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) SELECT item_id, doc_id, score, rank FROM r WHERE rank <= {}"
+
+
+def _texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+
+
+@named(f"WITH {_DOC_TF}, w AS (SELECT token, 1.0 / (log2(sum(tf)) + 1) AS weight FROM tf GROUP BY 1), {_ASKED}, s AS (SELECT item_id, doc_id, round(sum(times * weight), 6) AS score FROM tf JOIN w USING (token) JOIN q USING (token) GROUP BY 1, 2), {_BEST.format(3)}")
+def inverted_index_topk(spark, sf_dir):
+    docs, asks = _texts(spark, sf_dir)
+    scores = retrieval.lookup(asks, "item_id", ascii_words("text"), retrieval.postings(docs, "doc_id", ascii_words("text")), "doc_id", "weight")
+    return retrieval.best(scores, "item_id", "doc_id", 3)
+
+
+@named(f"""WITH {_DOC_TF}, n AS (SELECT count(*) AS n, avg(len({ASCII_WORDS.format('text')})) AS avgdl FROM documents), dl AS (SELECT doc_id, len({ASCII_WORDS.format('text')}) AS dl FROM documents),
+  i AS (SELECT token, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf, n GROUP BY token, n), j AS (SELECT token, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM i) ELSE idf END AS idf FROM i), {_ASKED},
+  s AS (SELECT item_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN j USING (token) JOIN dl USING (doc_id) JOIN q USING (token), n GROUP BY 1, 2), {_BEST.format(3)}""")
+def bm25_topk(spark, sf_dir):
+    docs, asks = _texts(spark, sf_dir)
+    scores = retrieval.lookup(asks, "item_id", ascii_words("text"), retrieval.bm25_index(docs, "doc_id", ascii_words("text")), "doc_id", "weight")
+    return retrieval.best(scores, "item_id", "doc_id", 3)
+
+
+@named(f"""WITH {_DOC_TF}, i AS (SELECT token, ln((1.0 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1), dn AS (SELECT doc_id, sqrt(sum(tf * idf * tf * idf)) AS norm FROM tf JOIN i USING (token) GROUP BY 1),
+  {_ASKED}, qn AS (SELECT item_id, sqrt(sum(times * idf * times * idf)) AS norm FROM q JOIN i USING (token) GROUP BY 1),
+  s AS (SELECT item_id, doc_id, round(sum(times * idf / qn.norm * tf * idf / dn.norm), 6) AS score FROM tf JOIN i USING (token) JOIN dn USING (doc_id) JOIN q USING (token) JOIN qn USING (item_id) GROUP BY 1, 2), {_BEST.format(3)}""")
+def tfidf_cosine_topk(spark, sf_dir):
+    docs, asks = _texts(spark, sf_dir)
+    index, idf = retrieval.tfidf_index(docs, "doc_id", ascii_words("text"))
+    return retrieval.best(retrieval.cosine(asks, "item_id", ascii_words("text"), index, idf, "doc_id"), "item_id", "doc_id", 3)
+
+
+_KNN = """s AS (SELECT a.vec_id AS item_id, b.vec_id AS doc_id, a.label AS ql, b.label AS pl, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s)"""
+
+
+def _neighbours(spark, sf_dir, k):
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("item_id"), "embedding")
+    points = e.select(F.col("vec_id").alias("doc_id"), "embedding")
+    found = retrieval.neighbours(q, "item_id", points, "doc_id", "embedding", k + 1).where("item_id <> doc_id")
+    order = found.drop("rank")
+    return retrieval.best(order, "item_id", "doc_id", k)
+
+
+@named(f"WITH {_KNN} SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 5")
+def knn_topk(spark, sf_dir):
+    return _neighbours(spark, sf_dir, 5)
+
+
+@named(f"WITH {_KNN}, f AS (SELECT item_id, min(rank) FILTER (ql = pl) AS first FROM r WHERE rank <= 10 GROUP BY 1) SELECT k, round(avg(CASE WHEN first <= k THEN 1.0 ELSE 0.0 END), 6) AS rate FROM f, (SELECT unnest([1, 5, 10]) AS k) GROUP BY 1")
+def hit_rate_at_k(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    ranked = _neighbours(spark, sf_dir, 10).join(e.toDF("item_id", "ql"), "item_id").join(e.toDF("doc_id", "pl"), "doc_id")
+    return retrieval.hit_rate(ranked, "item_id", F.col("ql") == F.col("pl"), [1, 5, 10]).withColumn("rate", r6("rate"))
+
+
+@named(f"WITH {_KNN}, n AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY rank) - 1 AS place FROM r WHERE rank <= 20 AND ql <> pl) SELECT item_id, doc_id, CAST(place AS INTEGER) AS place FROM n WHERE place < 3")
+def hard_negatives(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    ranked = _neighbours(spark, sf_dir, 20)
+    gold = ranked.join(e.toDF("item_id", "l"), "item_id").join(e.toDF("doc_id", "r"), "doc_id").where("l = r").select("item_id", "doc_id")
+    return retrieval.hard_negatives(ranked, "item_id", "doc_id", gold, 3).select("item_id", "doc_id", "place")
+
+
+@named("SELECT label, count(*) AS n, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS m0, round(avg(CAST(embedding[2] AS DOUBLE)), 6) AS m1 FROM embeddings GROUP BY 1")
+def merge_query_embeddings(spark, sf_dir):
+    m = retrieval.merge_queries(table(spark, sf_dir, "embeddings"), "label", "embedding", 2)
+    return m.select("label", "n", r6(F.col("mean")[0]).alias("m0"), r6(F.col("mean")[1]).alias("m1"))
+
+
+# matching, overlap, near duplicates
+
+
+@named("SELECT item_id, count(*) AS n, min(doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
+def answer_containment(spark, sf_dir):
+    docs, asks = _texts(spark, sf_dir)
+    a = retrieval.small(asks.select("item_id", F.array("text").alias("answers")))
+    return docs.join(a, match.contains_all(F.col("text"), F.col("answers"))).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+_SETS = "d AS (SELECT doc_id, list_distinct({0}) AS s FROM documents), b AS (SELECT item_id, list_distinct({0}) AS s FROM benchmark)".format(ASCII_WORDS.format("text"))
+
+
+@named(f"""WITH {_SETS}, dt AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM d), bt AS (SELECT item_id, len(s) AS n, unnest(s) AS t FROM b),
+  s AS (SELECT item_id, doc_id, round(count(*) / (any_value(dt.n) + any_value(bt.n) - count(*)), 6) AS score FROM dt JOIN bt USING (t) GROUP BY 1, 2), {_BEST.format(2)}""")
+def jaccard_overlap(spark, sf_dir):
+    docs, asks = _texts(spark, sf_dir)
+    sets = lambda df, key: df.select(key, F.array_distinct(ascii_words("text")).alias("s")).select(key, F.size("s").alias(f"n_{key}"), F.explode("s").alias("t"))
+    both = sets(docs, "doc_id").join(retrieval.small(sets(asks, "item_id"), 100_000), "t").groupBy("item_id", "doc_id", "n_doc_id", "n_item_id").agg(F.count("*").alias("both"))
+    scores = both.select("item_id", "doc_id", (F.col("both") / (F.col("n_doc_id") + F.col("n_item_id") - F.col("both"))).alias("score"))
+    return retrieval.best(scores, "item_id", "doc_id", 2)
+
+
+_PART_GRAMS = "g AS (SELECT p_brand, p_partkey, unnest(list_distinct(list_transform(generate_series(1, length(p_name) - 2), lambda i: substr(p_name, i, 3)))) AS gram FROM part), n AS (SELECT p_partkey, count(*) AS n FROM g GROUP BY 1)"
+
+
+def _part_pairs(spark, sf_dir):
+    grams = F.expr("transform(sequence(1, length(p_name) - 2), i -> substring(p_name, i, 3))")
+    return dedup.similar_pairs(table(spark, sf_dir, "part").withColumn("grams", grams), "p_brand", "p_partkey", "grams", 0.7)
+
+
+@named(f"""WITH {_PART_GRAMS} SELECT a.p_brand AS p_brand, a.p_partkey AS a, b.p_partkey AS b, round(count(*) / (any_value(na.n) + any_value(nb.n) - count(*)), 6) AS similarity
+  FROM g a JOIN g b ON a.p_brand = b.p_brand AND a.gram = b.gram AND a.p_partkey < b.p_partkey JOIN n na ON na.p_partkey = a.p_partkey JOIN n nb ON nb.p_partkey = b.p_partkey GROUP BY 1, 2, 3
+  HAVING count(*) / (any_value(na.n) + any_value(nb.n) - count(*)) >= 0.7""")
+def near_duplicate_pairs(spark, sf_dir):
+    return _part_pairs(spark, sf_dir).select("p_brand", "a", "b", r6("similarity").alias("similarity"))
+
+
+@named()
+def cluster_tables(spark, sf_dir):
+    return dedup.cluster(_part_pairs(spark, sf_dir), "p_brand")
+
+
+@named("""WITH x AS (SELECT source, doc_id, n_chars, lang FROM documents), m AS (SELECT source, arg_max(struct_pack(doc_id := doc_id, lang := lang), struct_pack(v := n_chars, d := doc_id)) AS b, max(n_chars) AS version, list_sort(list_distinct(list(lang))) AS l FROM x GROUP BY 1)
+  SELECT source, b.doc_id AS item, version, array_to_string(list_filter(l, lambda u: u <> b.lang), ',') AS alternatives FROM m""")
+def latest_version_merge(spark, sf_dir):
+    m = dedup.merge_versions(table(spark, sf_dir, "documents"), "source", "n_chars", "doc_id", "lang")
+    return m.withColumn("alternatives", F.array_join("alternatives", ","))
+
+
+@named("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+def dedupe_keep_first(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("h1"), F.md5("text").alias("h2"))
+    return dedup.keep_first(d, ["h1", "h2"], ["doc_id"]).select("doc_id", "source")
+
+
+@named("""SELECT 'union_all' AS op, c_nationkey AS k, count(*) AS n FROM (SELECT c_nationkey FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY 2
+  UNION ALL SELECT 'intersect', k, 1 FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'except', k, 1 FROM (SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier)""")
+def union_all_intersect_except(spark, sf_dir):
+    c, s = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))
+    one = lambda df, op: df.select(F.lit(op).alias("op"), "k", F.lit(1).cast("long").alias("n"))
+    union = c.unionAll(s).groupBy("k").agg(F.count("*").alias("n")).select(F.lit("union_all").alias("op"), "k", "n")
+    return union.unionByName(one(c.intersect(s), "intersect")).unionByName(one(c.subtract(s), "except"))
+
+
+_SHA32 = "list_sum(list_transform([0,1,2,3,4,5,6,7], lambda i: CAST(('0x' || substr(sha256({0}), 1 + 8 * i, 8)) AS UBIGINT))) % 4294967295"
+
+
+@named(f"SELECT doc_id, CASE WHEN CAST({_SHA32.format(chr(39) * 4 + ' || CAST(doc_id AS VARCHAR) || ' + chr(39) * 4)} AS BIGINT) % 10 = 0 THEN 'test' ELSE 'train' END AS split FROM documents")
+def hash_split(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.split_of(F.col("doc_id").cast("string"), 10).alias("split"))
+
+
+@named("""SELECT s_suppkey, x.mask AS mask, 'SUM' AS aggregation, round(x.t, 6) AS result FROM (SELECT -1 AS s_suppkey, unnest([struct_pack(mask := 0, t := 0.0)]) AS x) WHERE false""")
+def subset_sum_none(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").withColumn("g", F.col("s_suppkey"))
+    found = match.subsets(s, ["s_suppkey"], "g", "s_acctbal", F.lit(1e12))
+    return found.select("s_suppkey", "mask", "aggregation", r6("result").alias("result"))
+
+
+@named("""WITH v AS (SELECT n_regionkey AS g, list(CAST(n_nationkey AS DOUBLE) ORDER BY n_nationkey) AS v FROM nation GROUP BY 1), m AS (SELECT g, v, unnest(generate_series(1, CAST(2 ** len(v) AS BIGINT) - 1)) AS mask FROM v),
+  c AS (SELECT g, mask, list_filter(list_transform(generate_series(1, len(v)), lambda i: CASE WHEN (mask >> (i - 1)) & 1 = 1 THEN v[i] END), lambda x: x IS NOT NULL) AS c FROM m)
+  SELECT g, CAST(mask AS INTEGER) AS mask, 'SUM' AS aggregation, CAST(list_sum(c) AS DOUBLE) AS result FROM c WHERE abs(list_sum(c) - 20) < 0.01 UNION ALL SELECT g, CAST(mask AS INTEGER), 'AVERAGE', list_sum(c) / len(c) FROM c WHERE abs(list_sum(c) / len(c) - 20) < 0.01""")
+def subset_sum_candidates(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("g"), "n_nationkey", F.col("n_nationkey").cast("double").alias("v"))
+    return match.subsets(n, ["g"], "n_nationkey", "v", F.lit(20.0))
+
+
+# layout
+
+
+@named()
+def knapsack_columns(spark, sf_dir):
+    p = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct(F.col("p_size").alias("priority"), F.col("p_partkey").alias("id"), F.length("p_name").cast("long").alias("cost")))).alias("c"))
+    return p.select("p_brand", F.array_join(layout.knapsack(F.col("c"), 120), ",").alias("ids"))
+
+
+@named("""WITH RECURSIVE c AS (SELECT p_brand, p_partkey, CAST(length(p_name) AS BIGINT) AS cost, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS i FROM part),
+  k AS (SELECT p_brand, i, CASE WHEN cost <= 120 THEN cost ELSE 0 END AS used, CASE WHEN cost <= 120 THEN 1 ELSE 0 END AS took FROM c WHERE i = 1
+  UNION ALL SELECT c.p_brand, c.i, k.used + CASE WHEN k.used + cost <= 120 THEN cost ELSE 0 END, CASE WHEN k.used + cost <= 120 THEN 1 ELSE 0 END FROM k JOIN c ON c.p_brand = k.p_brand AND c.i = k.i + 1)
+  SELECT p_brand, max(used) AS used, CAST(sum(took) AS BIGINT) AS n FROM k GROUP BY 1""")
+def knapsack_totals(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumn("cost", F.length("p_name").cast("long"))
+    g = p.groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct(F.col("p_size").alias("priority"), F.col("p_partkey").alias("id"), "cost"))).alias("c"))
+    taken = g.select("p_brand", F.explode(layout.knapsack(F.col("c"), 120)).alias("p_partkey"))
+    return taken.join(p.select("p_partkey", "cost"), "p_partkey").groupBy("p_brand").agg(F.sum("cost").alias("used"), F.count("*").alias("n"))
+
+
+@named(f"""WITH t AS (SELECT doc_id, unnest({ASCII_WORDS.format('text')}) AS w, generate_subscripts({ASCII_WORDS.format('text')}, 1) AS i FROM documents),
+  u AS (SELECT doc_id, w, sum(1 + length(w) // 4) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS used FROM t) SELECT doc_id, count(*) AS kept FROM u WHERE used <= 128 GROUP BY 1""")
+def token_budget_trim(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(ascii_words("text")).alias("i", "w"))
+    return layout.trim_tokens(t, ["doc_id"], ["i"], F.expr("1 + length(w) div 4"), 128).groupBy("doc_id").agg(F.count("*").alias("kept"))
+
+
+@named("""WITH s AS (SELECT p_brand, length(p_name) AS s FROM part), t AS (SELECT p_brand, t, sum(least(s, t)) AS cost FROM s, (SELECT unnest(generate_series(1, 64)) AS t) GROUP BY 1, 2)
+  SELECT p_brand, CAST(coalesce(max(t) FILTER (cost <= 1000), 0) AS INTEGER) AS length FROM t GROUP BY 1""")
+def fit_to_budget(spark, sf_dir):
+    return layout.largest_length(table(spark, sf_dir, "part"), ["p_brand"], F.length("p_name"), 1000)
+
+
+@named()
+def row_shards(spark, sf_dir):
+    n = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
+    return n.select("p_brand", F.explode(layout.shard_ranges(F.col("n"), F.lit(6))).alias("r")).select("p_brand", "r.begin", "r.end")
+
+
+# scalar functions
+
+
+@named(r"""WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9][0-9.,]*[0-9]|[0-9]')) AS t FROM documents),
+  y AS (SELECT doc_id, t, length(t) - length(replace(t, ',', '')) AS c, length(t) - length(replace(t, '.', '')) AS d, len(list_filter(string_split(t, ','), lambda p: length(p) = 3)) > 0 AS k FROM x),
+  z AS (SELECT doc_id, t, CASE WHEN c > 0 AND d > 0 THEN replace(t, ',', '') WHEN c > 0 AND k THEN replace(t, ',', '') WHEN c = 1 THEN replace(t, ',', '.') WHEN d > 1 THEN replace(t, '.', '') WHEN c > 1 THEN replace(t, ',', '') ELSE t END AS f FROM y)
+  SELECT doc_id, t, TRY_CAST(f AS DOUBLE) AS number, count(*) AS n FROM z GROUP BY 1, 2, 3""")
+def float_ladder(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9][0-9.,]*[0-9]|[0-9]"), F.lit(0))).alias("t"))
+    return t.withColumn("number", numbers.to_float("t")).groupBy("doc_id", "t", "number").agg(F.count("*").alias("n"))
+
+
+_SQL_ANSWER = r"array_to_string(list_filter(regexp_split_to_array(translate(lower({}), '!\"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', ''), '\s+'), lambda t: t NOT IN ('', 'a', 'an', 'the')), ' ')".replace('\\"', '"')
+
+
+@named(f"SELECT item_id, {_SQL_ANSWER.format('text')} AS answer FROM benchmark")
+def answer_normalise(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", text.answer_normalize("text").alias("answer"))
+
+
+@named("""SELECT conv_id, turn, CAST(conv_id AS VARCHAR) || '-' || role || '_' || CAST(turn AS VARCHAR) AS question_id, CAST(conv_id AS VARCHAR) AS example_id, role AS annotator, CAST(turn AS INTEGER) AS position, CAST(conv_id AS VARCHAR) || '-' || role AS interaction_id FROM conversations""")
+def id_codec(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("question_id", text.question_id(text.sequence_id(F.col("conv_id").cast("string"), "role"), "turn"))
+    p = text.parse_question_id("question_id")
+    return c.select("conv_id", "turn", "question_id", p["example_id"].alias("example_id"), p["annotator"].alias("annotator"), p["position"].alias("position"), text.interaction_id("question_id").alias("interaction_id"))
+
+
+@named(r"SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s]+')) AS INTEGER) AS n FROM documents")
+def tokenize_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.tokenize("text")).alias("n"))
+
+
+@named(r"SELECT page_id, coalesce(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS version, CAST(len(regexp_extract_all(html, '(?i)<a\s[^>]*href')) AS INTEGER) AS links FROM pages")
+def html_links(spark, sf_dir):
+    links = F.size(F.regexp_extract_all("html", F.lit(r"(?i)<a\s[^>]*href"), F.lit(0)))
+    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.parse_url("url", F.lit("QUERY"), F.lit("page")), F.lit("")).alias("version"), links.alias("links"))
+
+
+@named("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
+def json_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+@named()
+def parse_number_spans(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(numbers.number_spans(text.normalize_for_match("text"))).alias("s"))
+    return d.groupBy("doc_id").agg(F.count("*").alias("spans"), F.count_if(F.exists("s.values", lambda v: v["date"].isNotNull())).alias("dates"))
+
+
+@named()
+def html_tables(spark, sf_dir):
+    return readers.html_tables(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+# sampling and synthesis
+
+
+@named("SELECT CAST(doc_id AS VARCHAR) || '_' || CAST(i AS VARCHAR) AS doc_id, quality FROM labels, (SELECT unnest([0, 1, 2]) AS i)")
+def dup_amplify(spark, sf_dir):
+    return synth.amplify(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", 3)
+
+
+@named("""WITH r AS (SELECT doc_id, CASE WHEN quality = 1 THEN 0.4 ELSE 2.5 END AS rate, CAST(('0x' || substr(md5('7|' || CAST(doc_id AS VARCHAR)), 1, 12)) AS BIGINT) / 281474976710656.0 AS u FROM labels),
+  n AS (SELECT doc_id, CAST(floor(rate) AS INTEGER) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS n FROM r) SELECT doc_id, CAST(unnest(generate_series(0, n - 1)) AS INTEGER) AS copy FROM n WHERE n > 0""")
+def label_sampling(spark, sf_dir):
+    rate = F.when(F.col("quality") == 1, F.lit(0.4)).otherwise(F.lit(2.5))
+    return synth.sample_copies(table(spark, sf_dir, "labels"), F.col("doc_id"), rate, seed=7).select("doc_id", "copy")
+
+
+@named()
+def synthesize_statements(spark, sf_dir):
+    p = wide_to_cells(table(spark, sf_dir, "part"), F.col("p_brand"), ["p_partkey"], ["p_size", "p_retailprice"])
+    return synth.statements(p)
+
+
+@named()
+def masked_positions(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", ascii_words("text").alias("t"))
+    return d.select("doc_id", F.array_join(synth.masked_positions(F.col("t"), F.col("doc_id")), ",").alias("positions"))
+
+
+# ranges and time
+
+
+@named("""WITH s AS (SELECT user_id, event_id, ts, ts + INTERVAL 1 HOUR AS te FROM events WHERE event_type = 'view') SELECT s.event_id AS view_id, count(e.event_id) AS inside FROM s LEFT JOIN events e ON e.user_id = s.user_id AND e.ts >= s.ts AND e.ts <= s.te AND e.event_type <> 'view' GROUP BY 1""")
+def range_containment(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    spans = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("begin"), F.expr("ts + interval 1 hour").alias("finish"))
+    points = e.where("event_type <> 'view'").select("user_id", "event_id", "ts")
+    met = spans.alias("s").join(points.alias("p"), (F.col("s.user_id") == F.col("p.user_id")) & F.col("p.ts").between(F.col("s.begin"), F.col("s.finish")), "left")
+    return met.groupBy("view_id").agg(F.count("event_id").alias("inside"))
+
+
+@named("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def hourly_windows(spark, sf_dir):
+    from ..streaming.files import windowed
+
+    w = windowed(table(spark, sf_dir, "events"), "ts", ["event_type"], "1 hour")
+    return w.select("event_type", F.col("w.start").alias("hour"), "n", F.round("total", 4).alias("total"))
+
+
+@named("SELECT n_name, r_name, count(c_custkey) AS customers FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2")
+def equi_and_left_join(spark, sf_dir):
+    n, r, c = (table(spark, sf_dir, t) for t in ("nation", "region", "customer"))
+    small = c.groupBy("c_nationkey").agg(F.count("*").alias("customers"))  # one row for each nation before the join
+    return n.join(r, n.n_regionkey == r.r_regionkey).join(small, n.n_nationkey == small.c_nationkey, "left").select("n_name", "r_name", F.coalesce("customers", F.lit(0)).alias("customers"))
+
+
+@named("SELECT (SELECT count(*) FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_totalprice > 200000)) AS semi, (SELECT count(*) FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)) AS anti")
+def semi_and_anti_join(spark, sf_dir):
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    semi = c.join(o.where("o_totalprice > 200000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").agg(F.count("*").alias("semi"))
+    anti = c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").agg(F.count("*").alias("anti"))
+    return semi.crossJoin(anti)  # one row each
