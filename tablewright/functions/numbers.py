@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import calendar
 import datetime
 import math
 import re
@@ -88,10 +89,13 @@ def _compiled() -> list:
 
 
 _FORMS = _compiled()
+_MONTHS = {m.lower() for m in calendar.month_name if m}
 
 
 def read_date(text: str) -> dict | None:
     """The first form that fits gives year, month and day as far as it has them; years outside the range fail."""
+    if text.lower() not in _MONTHS and not any(c.isdigit() for c in text):
+        return None  # every form but a lone month has digits
     text = re.sub(r"Sept\b", "Sep", text)
     for form, fields, shape in _FORMS:
         if shape.match(text):
@@ -137,11 +141,12 @@ def parse_spans(text: str) -> list[dict]:
     for a, b in token_spans(text, DATE_WORDS):
         if (d := read_date(text[a:b])) is not None:
             found.setdefault((a, b), []).append({"float_value": None, "date": d})
-    chosen: list[tuple[int, int]] = []
-    for a, b in sorted(found, key=lambda s: (s[0] - s[1], s[0])):
-        if not any(x <= a and b <= y for x, y in chosen):
+    chosen, reach = [], -1
+    for a, b in sorted(found, key=lambda s: (s[0], -s[1])):  # a span lies in another if an earlier start reaches its end
+        if b > reach:
             chosen.append((a, b))
-    return [{"begin": a, "end": b, "values": found[a, b]} for a, b in sorted(chosen)]
+            reach = b
+    return [{"begin": a, "end": b, "values": found[a, b]} for a, b in chosen]
 
 
 _DATE = T.StructType([T.StructField(f, T.IntegerType()) for f in ("year", "month", "day")])

@@ -69,7 +69,7 @@ def grammar_aggregates(df: DataFrame, group: list[str], value: str, position: st
     )
 
 
-def nonzero_count(rows: Column = F.lit("*")) -> Column:
+def nonzero_count() -> Column:
     """The grammar's count: an empty row set is an error (null), never 0."""
     return F.nullif(F.count(F.lit(1)), F.lit(0).cast("bigint"))
 
