@@ -14,9 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ._store import checkpoint
 from ._words import WORD_PATTERN
 
 BUCKETS = 4096
+#: Sources up to which the plan, a row of 60 bytes or so for each, is broadcast; beyond, a salted join.
+BROADCAST_SOURCES = 10_000
+SALTS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -62,9 +66,11 @@ def mix(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str = "text"
     source's sum is its target rounded down. Empty documents take 0. Null sources are a source of their own,
     a null id has a ticket of its own; rows of one id share their ticket and follow each other by size.
     """
-    base = docs.select(F.col(id_col), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size"), *[F.col(c).alias(f"_carry_{c}") for c in carry], ticket(F.col(id_col), seed).alias("_ticket"))
+    late = "_text"
+    base = docs.select(F.col(id_col), F.col(source_col).alias("_source"), F.col(text_col).alias(late), *[F.col(c).alias(f"_carry_{c}") for c in carry], ticket(F.col(id_col), seed).alias("_ticket"))
     base = base.withColumn("_bucket", F.expr(f"int(_ticket div {(1 << 60) // BUCKETS})"))
-    sums = base.groupBy("_source", "_bucket").agg(F.sum("size").alias("n"))
+    # a row for each source and bucket, however many documents there are
+    sums = checkpoint(base.groupBy("_source", "_bucket").agg(F.sum(word_count(F.col(late))).alias("n")))
     sizes = sums.groupBy(F.col("_source").alias("source")).agg(F.sum("n").alias("source_size"))
     goal = targets(weights(sizes), max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -78,13 +84,22 @@ def mix(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str = "text"
         .select("_s", F.col("_bucket").alias("cut"), (F.col("rest") - F.col("before")).alias("in_cut"))
     )
     plan = goal.alias("g").join(cut.alias("c"), F.col("g.source").eqNullSafe(F.col("c._s")), "left")
-    plan = plan.select(F.col("g.source").alias("_p"), "source_size", "target", "whole", F.coalesce("cut", F.lit(-1)).alias("cut"), F.coalesce("in_cut", F.lit(0)).cast("long").alias("in_cut"))
-    joined = base.join(plan, F.col("_source").eqNullSafe(F.col("_p")))
+    plan = checkpoint(plan.select(F.col("g.source").alias("_p"), "source_size", "target", "whole", F.coalesce("cut", F.lit(-1)).alias("cut"), F.coalesce("in_cut", F.lit(0)).cast("long").alias("in_cut")))
+    if plan.count() <= BROADCAST_SOURCES:
+        joined = base.join(F.broadcast(plan), F.col("_source").eqNullSafe(F.col("_p")))
+        size = word_count(F.col(late))
+    else:
+        # a hot source is dealt to SALTS keys; texts stay behind, only their sizes move
+        base = base.withColumn("size", word_count(F.col(late))).drop(late)
+        salted = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = base.join(salted, F.col("_source").eqNullSafe(F.col("_p")) & (F.col("_bucket") % SALTS == F.col("_salt")))
+        size = F.col("size")
     out = [F.col(id_col), F.col("size"), F.col("source_size"), F.col("target")]
     kept = [F.col(f"_carry_{c}").alias(c) for c in carry]
-    clear = joined.where("_bucket <> cut").select(*out, (F.col("whole") * F.col("size") + F.when(F.col("_bucket") < F.col("cut"), F.col("size")).otherwise(0)).cast("long").alias("taken"), *kept)
+    taken = F.col("whole") * F.col("size")
+    clear = joined.where("_bucket <> cut").withColumn("size", size).select(*out, (taken + F.when(F.col("_bucket") < F.col("cut"), F.col("size")).otherwise(0)).cast("long").alias("taken"), *kept)
+    # only the cut buckets, about one document in BUCKETS, are sorted
     turn = Window.partitionBy("_source").orderBy("_ticket", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("in_cut") - F.coalesce(F.sum("size").over(turn), F.lit(0))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), left))
-    edge = joined.where("_bucket = cut").withColumn("_part", part).select(*out, (F.col("whole") * F.col("size") + F.col("_part")).cast("long").alias("taken"), *kept)
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("in_cut") - F.coalesce(F.sum("size").over(turn), F.lit(0))))
+    edge = joined.where("_bucket = cut").withColumn("size", size).withColumn("_part", part).select(*out, (taken + F.col("_part")).cast("long").alias("taken"), *kept)
     return clear.unionByName(edge)

@@ -103,7 +103,7 @@ def brute_targets(size, weight, cap=3):
         fixed |= over
 
 
-def test_mix(spark):
+def test_mix(spark, monkeypatch):
     rng = np.random.default_rng(4)
     data = [(i, " ".join(["w"] * int(rng.integers(0, 60))), "en", ["a", "b", "é", None, "z"][min(4, int(rng.exponential(1.2)))], 0) for i in range(600)]
     data += [(700, None, "en", "empty", 0), (701, "", "en", "empty", 0), (None, "a b c", "en", "a", 0), (5, "x y", "en", "a", 0), (5, "x y", "en", "a", 0)]
@@ -122,6 +122,8 @@ def test_mix(spark):
         taken[s] += r["taken"]
     assert len(got) == len(data) and all(taken[s] == math.floor(goal[s] + 1e-9) for s in size)
     assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(df.repartition(7), mixing.cycled_weights, seed=1).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(df, mixing.cycled_weights, seed=1).collect()))
     assert mixing.mix(df.limit(0), mixing.cycled_weights).count() == 0
 
 
