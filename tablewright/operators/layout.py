@@ -21,10 +21,10 @@ def largest_length(cells: DataFrame, group: list[str], size: Column, budget: int
 
     Costs of all T come from one histogram of cell sizes; 0 means that not even one token each fits.
     """
-    sizes = cells.select(*group, F.least(size, F.lit(most)).cast("int").alias("s")).groupBy(*group, "s").agg(F.count("*").alias("n"))
-    tries = sizes.groupBy(*group).agg(F.collect_list(F.struct("s", "n")).alias("h")).withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(most))))
-    cost = F.aggregate("h", F.lit(0).cast("bigint"), lambda a, x: a + F.least(x["s"], F.col("t")) * x["n"])
-    return tries.groupBy(*group).agg(F.coalesce(F.max(F.when(cost <= budget, F.col("t"))), F.lit(0)).alias("length"))
+    sizes = cells.select(*group, F.least(size, F.lit(most)).cast("int").alias("_s")).groupBy(*group, "_s").agg(F.count("*").alias("_n"))
+    tries = sizes.groupBy(*group).agg(F.collect_list(F.struct("_s", "_n")).alias("_h")).withColumn("_len", F.explode(F.sequence(F.lit(1), F.lit(most))))
+    cost = F.aggregate("_h", F.lit(0).cast("bigint"), lambda a, x: a + F.least(x["_s"], F.col("_len")) * x["_n"])
+    return tries.groupBy(*group).agg(F.coalesce(F.max(F.when(cost <= budget, F.col("_len"))), F.lit(0)).alias("length"))
 
 
 def trim_tokens(tokens: DataFrame, group: list[str], order: list[str], cost: Column, budget: int) -> DataFrame:
@@ -42,7 +42,8 @@ def features(tokens: DataFrame, length: int) -> DataFrame:
     names = ["token_id", "segment_id", "column_id", "row_id"]
     one = tokens.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("pos", *names))).alias("_t"))
     mask = pad(F.transform("_t", lambda _: F.lit(1)), length).alias("input_mask")
-    return one.select("question_id", *[pad(F.transform("_t", lambda x, n=n: x[n]), length).alias(f"{n}s") for n in names], mask)
+    column = lambda n: pad(F.transform("_t", lambda x: x[n]), length).alias(f"{n}s")
+    return one.select("question_id", *[column(n) for n in names], mask)
 
 
 def shard_ranges(n_rows: Column, n_cols: Column, cells: int = 50) -> Column:

@@ -62,8 +62,8 @@ def tfidf_index(docs: DataFrame, doc_id: str, tokens: Column, min_df: int = 1, m
 def cosine(queries: DataFrame, query_id: str, tokens: Column, index: DataFrame, idf: DataFrame, doc_id: str) -> DataFrame:
     raw = queries.select(F.col(query_id), F.explode(tokens).alias("token")).groupBy(query_id, "token").agg(F.count("*").alias("tf")).join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
     norm = raw.groupBy(query_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = raw.join(norm, query_id).select(query_id, "token", (F.col("w") / F.col("norm")).alias("q"))
-    return index.join(small(unit, 100_000), "token").groupBy(query_id, doc_id).agg(F.sum(F.col("q") * F.col("weight")).alias("score"))
+    unit = raw.join(norm, query_id).select(query_id, "token", (F.col("w") / F.col("norm")).alias("_unit"))
+    return index.join(small(unit, 100_000), "token").groupBy(query_id, doc_id).agg(F.sum(F.col("_unit") * F.col("weight")).alias("score"))
 
 
 def best(scores: DataFrame, query_id: str, doc_id: str, k: int, digits: int = 6, above: float | None = None) -> DataFrame:

@@ -62,7 +62,7 @@ def csv_tables(spark: SparkSession, paths: str | list[str], sep: str = ",", esca
                 out += [(path, r, c, header[c] if c < len(header) else None, x) for r, row in enumerate(rows[1:]) for c, x in enumerate(row)]
             yield pd.DataFrame(out, columns=["table_file", "row_index", "column_index", "column_name", "text"])
 
-    files = spark.read.option("wholetext", True).text(paths).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("path"), "value")
+    files = spark.read.text(paths, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("path"), "value")
     return files.mapInPandas(cut, "table_file string, row_index int, column_index int, column_name string, text string")
 
 
@@ -90,7 +90,7 @@ def value_questions(spark: SparkSession, path: str) -> DataFrame:
 
 def statement_json(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object for each file, table id to [statements, labels, title]: a row for each statement."""
-    body = spark.read.option("wholetext", True).text(path)
+    body = spark.read.text(path, wholetext=True)
     entries = body.select(F.explode(F.from_json("value", "map<string,string>")).alias("table_id", "raw"))
     parts = entries.select("table_id", F.from_json("raw", "array<string>").alias("p"))
     both = F.arrays_zip(F.from_json(F.col("p")[0], "array<string>").alias("statement"), F.from_json(F.col("p")[1], "array<int>").alias("label"))
