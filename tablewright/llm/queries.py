@@ -17,6 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the cluster has cores, dealt out anew; others stay as they are.
+
+    Files of one row group cannot be split; on large tables, with many splits, nothing is moved.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
@@ -33,7 +42,7 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file())
+    return pieces.encode_decode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer_file())
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +61,7 @@ def op6_neardup_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     rest = quality.remainder(F.col("doc_id"), 4)
     weights = quality.train(docs, table(spark, sf_dir, "labels"), allowed=rest != 2)
     scored = quality.score(docs, weights)
@@ -65,7 +74,7 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.links(table(spark, sf_dir, "documents").select("doc_id", "text"), n=5, threshold=0.8)
+    return jaccard.links(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), n=5, threshold=0.8)
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
