@@ -32,6 +32,12 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan):
+    """A scan with fewer splits than the cluster has cores, dealt out anew; large tables stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def r6(c):
     return F.round(c, 6)
 
@@ -280,7 +286,7 @@ _BEST = "r AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION
 
 
 def _texts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark")
 
 
 @named(f"WITH {_DOC_TF}, w AS (SELECT token, 1.0 / (log2(sum(tf)) + 1) AS weight FROM tf GROUP BY 1), {_ASKED}, s AS (SELECT item_id, doc_id, round(sum(times * weight), 6) AS score FROM tf JOIN w USING (token) JOIN q USING (token) GROUP BY 1, 2), {_BEST.format(3)}")
@@ -519,7 +525,7 @@ def json_props(spark, sf_dir):
 
 @named()
 def parse_number_spans(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(numbers.number_spans(text.normalize_for_match("text"))).alias("s"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(numbers.number_spans(text.normalize_for_match("text"))).alias("s"))
     return d.groupBy("doc_id").agg(F.count("*").alias("spans"), F.count_if(F.exists("s.values", lambda v: v["date"].isNotNull())).alias("dates"))
 
 
