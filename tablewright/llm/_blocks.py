@@ -18,20 +18,29 @@ from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text in a block, at most, on average.
 BLOCK_BYTES = 12_000_000
-#: Ranges into which the key space is cut; keys of one range meet in one group.
-RANGES = 256
+#: UTF-8 bytes of text for each range of the key space; keys of one range meet in one group (of a few million).
+RANGE_BYTES = 48_000_000
+LEAST_RANGES = 64
 
 
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_block(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def text_bytes(docs: DataFrame, text_col: str) -> int:
+    return docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+
+
+def ranges_for(size: int) -> int:
+    """Number of key ranges, a power of two. Blocks times ranges bounds the rows of an exchange."""
+    return max(LEAST_RANGES, 1 << max(0, math.ceil(math.log2(max(1, size) / RANGE_BYTES))))
+
+
+def with_block(docs: DataFrame, id_col: str, size: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Adds ``block``: ranges of ``id_col`` of about equal row counts, ids of one value together.
 
     Only the bounds of the ranges come to the driver: one number for each block. Null ids go to block 0.
     """
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     n = max(4 * shuffle_partitions(docs), math.ceil(size / block_bytes))
     points = [i / n for i in range(1, n)]
     bounds = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), points, 20 * n)).first()[0] or []
@@ -74,11 +83,11 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
 
 
-def by_range(keys: np.ndarray) -> list[tuple[int, slice]]:
+def by_range(keys: np.ndarray, ranges: int) -> list[tuple[int, slice]]:
     """Slices of sorted keys that fall into one range, by the keys' upper bits."""
     if not len(keys):
         return []
-    part = (keys >> np.uint64(56)).astype(np.int64)
+    part = (keys >> np.uint64(65 - ranges.bit_length())).astype(np.int64)
     cuts = np.flatnonzero(np.diff(part)) + 1
     edges = [0, *cuts.tolist(), len(keys)]
     return [(int(part[a]), slice(a, b)) for a, b in zip(edges, edges[1:])]

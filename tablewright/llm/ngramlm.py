@@ -21,24 +21,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
-from ._blocks import answered, asked, by_range, exchange, pack, unpack, with_block
+from ._blocks import answered, asked, by_range, exchange, pack, ranges_for, text_bytes, unpack, with_block
 from ._store import checkpoint
 from ._words import WordHashes, as_utf8, mix
 
 #: The token that ends every text; no word equals it, as a word has no blank.
 END = b" "
 #: Key ranges of bigrams are numbered after those of tokens.
-_PAIRS = 256
+_PAIRS = 1 << 24
 BUCKETS = 24
 _LEVELS = 96
 
 
-def pair_bits(text_bytes: int) -> int:
+def pair_bits(size: int) -> int:
     """Bits of a bigram's key: so many that two bigrams of this corpus rarely (about 1 in 2**18) share one.
 
     A shared key adds counts of another bigram; tokens always have all 64 bits.
     """
-    return 48 if text_bytes < 1 << 30 else 56 if text_bytes < 1 << 38 else 64
+    return 48 if size < 1 << 30 else 56 if size < 1 << 38 else 64
 
 
 def tokens_of(text: bytes | None, hashes: WordHashes) -> np.ndarray:
@@ -62,7 +62,7 @@ def _counts(blob: bytes) -> np.ndarray:
 class _Block:
     """A block's tokens and bigrams: sorted distinct keys, the block's own training counts, each token's place."""
 
-    def __init__(self, docs: pa.Table, bits: int):
+    def __init__(self, docs: pa.Table, bits: int, parts: int):
         hashes = WordHashes()
         tokens = [tokens_of(t, hashes) for t in docs.column("_text").to_pylist()]
         self.sizes = np.array([len(t) for t in tokens], dtype=np.int64)
@@ -71,17 +71,17 @@ class _Block:
         for first, width, keys in ((0, 64, tokens), (_PAIRS, bits, [bigrams_of(t, bits) for t in tokens])):
             uniq, place = np.unique(np.concatenate(keys), return_inverse=True)
             n = np.bincount(place, weights=learn, minlength=len(uniq)).astype(np.int64)
-            ranges = [(first + p, s) for p, s in by_range(uniq << np.uint64(64 - width))]
+            ranges = [(first + p, s) for p, s in by_range(uniq << np.uint64(64 - width), parts)]
             self.sides.append((uniq, place, n, ranges))
 
 
-def _ask(bits: int):
+def _ask(bits: int, parts: int):
     def run(table: pa.Table) -> pa.Table:
         """All keys of the block in order, with their counts in its training texts."""
         if not table.num_rows:
             return asked([])
         block = table.column("block")[0].as_py()
-        return asked([(p, block, pack(uniq[s]), _pack_counts(n[s])) for uniq, _, n, ranges in _Block(table, bits).sides for p, s in ranges])
+        return asked([(p, block, pack(uniq[s]), _pack_counts(n[s])) for uniq, _, n, ranges in _Block(table, bits, parts).sides for p, s in ranges])
 
     return run
 
@@ -105,7 +105,7 @@ def _answer(table: pa.Table) -> pa.Table:
     return answered(out)
 
 
-def _resolve(names: list[str], bits: int):
+def _resolve(names: list[str], bits: int, parts: int):
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         """Per document its tokens' counts and its bigrams' counts in the training texts.
 
@@ -115,7 +115,7 @@ def _resolve(names: list[str], bits: int):
             n, v = np.sum([np.frombuffer(x, dtype="<i8") for x in told.column("extra").to_pylist()], axis=0).tolist()
             row = [*[pa.nulls(1, docs.schema.field(c).type) for c in names], pa.nulls(1, pa.bool_()), pa.array([-1], pa.int64()), pa.array([np.array([n, v], dtype="<i8").tobytes()], pa.binary())]
             return pa.Table.from_arrays(row, names=[*names, "_learn", "n_tokens", "counts"])
-        block = _Block(docs, bits)
+        block = _Block(docs, bits, parts)
         more = dict(zip(told.column("part").to_pylist(), told.column("extra").to_pylist()))
         found = []
         for _, place, n, ranges in block.sides:
@@ -194,12 +194,13 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     training text all counts are 0. The driver gets two totals for each key range and one histogram of fixed size.
     """
     names = list(dict.fromkeys([id_col, *carry]))
-    bits = pair_bits(docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0)
-    ready = with_block(docs, id_col, text_col).select("block", *names, as_utf8(text_col).alias("_text"), F.coalesce(learn, F.lit(False)).alias("_learn"))
-    told = exchange(ready, _ask(bits), _answer)
+    size = text_bytes(docs, text_col)
+    bits, parts = pair_bits(size), ranges_for(size)
+    ready = with_block(docs, id_col, size).select("block", *names, as_utf8(text_col).alias("_text"), F.coalesce(learn, F.lit(False)).alias("_learn"))
+    told = exchange(ready, _ask(bits, parts), _answer)
     fields = [StructField(c, docs.schema[c].dataType) for c in names]
     packed_type = StructType([*fields, StructField("_learn", BooleanType()), StructField("n_tokens", LongType()), StructField("counts", BinaryType())])
-    every = checkpoint(ready.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_resolve(names, bits), packed_type))
+    every = checkpoint(ready.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_resolve(names, bits, parts), packed_type))
     totals = every.where("n_tokens < 0").select("counts").collect()  # one row
     n, v = np.frombuffer(totals[0][0], dtype="<i8").tolist() if totals else (0, 0)
     packed = every.where("n_tokens >= 0")

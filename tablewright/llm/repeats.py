@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from ._blocks import answered, asked, by_range, exchange, pack, unpack, with_block
+from ._blocks import answered, asked, by_range, exchange, pack, ranges_for, text_bytes, unpack, with_block
 from ._words import WordHashes, as_utf8, split_words, window_hashes
 
 ANCHOR = 5
@@ -30,14 +30,14 @@ SHARD = 200_000
 BASE = 32
 
 
-def _ask(n: int):
+def _ask(n: int, ranges: int):
     def run(table: pa.Table) -> pa.Table:
         if not table.num_rows:
             return asked([])
         hashes, block = WordHashes(), table.column("block")[0].as_py()
         found = [window_hashes(hashes.of(split_words(t)), n) for i, t in zip(table.column("_id").to_pylist(), table.column("_text").to_pylist()) if i is not None]
         keys = np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.uint64)
-        return asked([(p, block, pack(keys[s]), b"") for p, s in by_range(keys)])
+        return asked([(p, block, pack(keys[s]), b"") for p, s in by_range(keys, ranges)])
 
     return run
 
@@ -172,8 +172,9 @@ def remove_repeats(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_co
     Null and empty texts have no words. Windows meet as 64-bit hashes; a text is never split over tasks.
     """
     names = [id_col, *carry]
-    ready = with_block(docs, id_col, text_col).select("block", F.col(id_col).cast("long").alias("_id"), as_utf8(text_col).alias("_text"), *names)
-    told = exchange(ready, _ask(n), _answer)  # the same rows, so Spark deals the texts out once
+    size = text_bytes(docs, text_col)
+    ready = with_block(docs, id_col, size).select("block", F.col(id_col).cast("long").alias("_id"), as_utf8(text_col).alias("_text"), *names)
+    told = exchange(ready, _ask(n, ranges_for(size)), _answer)  # the same rows, so Spark deals the texts out once
     fields = [docs.schema[c] for c in names]
     schema = StructType([*fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", BinaryType())])
     return ready.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_strip(n, names), schema)

@@ -182,7 +182,7 @@ def test_automata_in_shards_find_the_same():
 def test_packed_keys(keys):
     x = np.array(keys, dtype=np.uint64)
     assert (_blocks.unpack(_blocks.pack(x)) == x).all()
-    assert sum(s.stop - s.start for _, s in _blocks.by_range(x)) == len(x)
+    assert sum(s.stop - s.start for _, s in _blocks.by_range(x, 64)) == len(x)
 
 
 def brute_jaccard(data, n=5, threshold=0.8):
