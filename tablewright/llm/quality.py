@@ -109,9 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
     labelled rows all weights are 0.
     """
     rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (allowed if allowed is not None else F.lit(True)))
-    rank = F.xxhash64(F.col(id_col).cast("string"), F.lit(settings.seed))
     picked = rows.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_y")).withColumn("_rank", F.xxhash64(F.col("_id").cast("string"), F.lit(settings.seed))).orderBy("_rank", "_id").limit(settings.train_rows)
-    del rank
     sample = docs.join(F.broadcast(picked), F.col(id_col) == F.col("_id")).select(F.col("_rank").alias("rank"), F.col("_y").cast("int").alias("y"), as_utf8(text_col).alias("text"))
 
     def run(batches):

@@ -54,10 +54,9 @@ class ShiftAnd:
     """Patterns are compiled once and carried to the tasks as numpy arrays."""
 
     def __init__(self, globs: list[str]):
-        symbols: list[tuple[int, bytes | int]] = []  # (pattern, literal byte or star)
         starts, ends, keep_any, keep_seg, literal = [], [], [], [], []
         for glob in globs:
-            raw, first, bit = glob.encode(), True, len(literal)
+            raw, bit = glob.encode(), len(literal)
             literal.append(None)  # the state before the first symbol
             starts.append(bit)
             i = 0
@@ -72,7 +71,6 @@ class ShiftAnd:
                     literal.append(raw[i])
                     i += 1
             ends.append(len(literal) - 1)
-        del symbols
         self.n, self.words = len(literal), max(1, -(-len(literal) // 64))
         self.moves = np.zeros((256, self.words), dtype=np.uint64)
         self.stays = np.zeros((256, self.words), dtype=np.uint64)
