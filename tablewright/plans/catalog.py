@@ -286,7 +286,7 @@ _BEST = "r AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION
 
 
 def _texts(spark, sf_dir):
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark")
+    return table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
 
 
 @named(f"WITH {_DOC_TF}, w AS (SELECT token, 1.0 / (log2(sum(tf)) + 1) AS weight FROM tf GROUP BY 1), {_ASKED}, s AS (SELECT item_id, doc_id, round(sum(times * weight), 6) AS score FROM tf JOIN w USING (token) JOIN q USING (token) GROUP BY 1, 2), {_BEST.format(3)}")
@@ -360,7 +360,7 @@ def merge_query_embeddings(spark, sf_dir):
 def answer_containment(spark, sf_dir):
     docs, asks = _texts(spark, sf_dir)
     a = retrieval.small(asks.select("item_id", F.array("text").alias("answers")))
-    return docs.join(a, match.contains_all(F.col("text"), F.col("answers"))).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    return spread(docs).join(a, match.contains_all(F.col("text"), F.col("answers"))).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
 _SETS = "d AS (SELECT doc_id, list_distinct({0}) AS s FROM documents), b AS (SELECT item_id, list_distinct({0}) AS s FROM benchmark)".format(ASCII_WORDS.format("text"))
