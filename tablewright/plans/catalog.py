@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import numbers, text
-from ..operators import dedup, evaluate, layout, match, query, retrieval, segments, synth
+from ..functions import numbers, text, wordpiece
+from ..operators import attention, dedup, evaluate, layout, match, overlap, query, retrieval, segments, synth
 from ..schema import from_cells, rectangular, to_cells, wide_to_cells
 from ..sources import readers
 
@@ -594,3 +594,50 @@ def semi_and_anti_join(spark, sf_dir):
     semi = c.join(o.where("o_totalprice > 200000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").agg(F.count("*").alias("semi"))
     anti = c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").agg(F.count("*").alias("anti"))
     return semi.crossJoin(anti)  # one row each
+
+
+# attention, stems and pieces
+
+
+def _lines(spark, sf_dir):
+    """Orders as token sequences: a line is a token, the first one the question, lines after the sixth invalid."""
+    kinds = F.struct("l_linenumber", F.when(F.col("l_linenumber") == 1, 0).otherwise(1).alias("segment"), (F.col("l_suppkey") % 3).alias("column"), (F.col("l_partkey") % 4).alias("row"), F.when(F.col("l_linenumber") <= 6, 1).otherwise(0).alias("valid"))
+    one = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(kinds)).alias("_t"))
+    return one.select("l_orderkey", *[F.col(f"_t.{n}").alias(n) for n in ("segment", "column", "row", "valid")])
+
+
+def _ones(mask):
+    return F.aggregate(F.flatten(mask), F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+_TOKENS = """WITH t AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CASE WHEN l_linenumber = 1 THEN 0 ELSE 1 END, l_suppkey % 3, l_partkey % 4) AS p, CASE WHEN l_linenumber = 1 THEN 0 ELSE 1 END AS s, l_suppkey % 3 AS c, l_partkey % 4 AS r, CASE WHEN l_linenumber <= 6 THEN 1 ELSE 0 END AS v FROM lineitem)"""
+
+
+@named(_TOKENS + """ SELECT a.k AS l_orderkey, count(*) FILTER (WHERE b.v = 1 AND (a.c = b.c OR a.r = b.r OR a.s = 0 OR b.s = 0)) AS seen FROM t a JOIN t b ON a.k = b.k GROUP BY 1""")
+def sparse_attention(spark, sf_dir):
+    return _lines(spark, sf_dir).select("l_orderkey", _ones(attention.sparse_mask(F.col("segment"), F.col("column"), F.col("row"), F.col("valid"))).alias("seen"))
+
+
+@named(_TOKENS + """, g AS (SELECT *, greatest(CAST(floor((row_number() OVER (PARTITION BY k ORDER BY 1 - v, r, p) - 1 - 1) / 2.0) AS INTEGER) + 1, 0) AS b, count(*) OVER (PARTITION BY k) AS n FROM t)
+SELECT x.k AS l_orderkey, count(*) FILTER (WHERE y.v = 1 AND (x.r = y.r OR x.s = 0 OR y.s = 0) AND (abs(x.b - y.b) <= 1 OR abs(x.b - y.b) = x.n // 2 - 2 OR x.b = 0 OR y.b = 0)) AS seen FROM g x JOIN g y ON x.k = y.k GROUP BY 1""")
+def bucketed_row_attention(spark, sf_dir):
+    lines = _lines(spark, sf_dir).withColumn("bucket", attention.bucket_ids(F.col("row"), F.col("valid"), 2, 1))
+    return lines.select("l_orderkey", _ones(attention.headwise_mask(F.col("segment"), F.col("row"), F.col("valid"), F.col("bucket"), 2)).alias("seen"))
+
+
+@named("SELECT doc_id, greatest(length(regexp_replace(coalesce(text, ''), '[^a-z]+', '', 'g')), 1) AS pieces FROM documents")
+def wordpiece_counts(spark, sf_dir):
+    """With a vocabulary of letters a word has a piece for each letter."""
+    letters = [chr(c) for c in range(ord("a"), ord("z") + 1)]
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z]+", " ")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(wordpiece.pieces(plain, letters + [wordpiece.INNER + c for c in letters])).cast("bigint").alias("pieces"))
+
+
+@named()
+def overlap_columns(spark, sf_dir):
+    """Parts of a brand as a table, asked for polished names."""
+    part = table(spark, sf_dir, "part")
+    names = F.posexplode(F.array("p_name", "p_type", F.col("p_size").cast("string")))
+    cells = part.select(F.col("p_brand").alias("table_id"), F.col("p_partkey").alias("row_index"), names.alias("column_index", "text"))
+    asked = part.select(F.col("p_brand").alias("table_id")).distinct().select(F.col("table_id").alias("question_id"), "table_id", F.lit("Which economy parts are polished or plated, of size 20?").alias("question"))
+    return overlap.score_columns(asked, cells)
