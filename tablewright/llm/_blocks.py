@@ -21,6 +21,10 @@ BLOCK_BYTES = 12_000_000
 #: UTF-8 bytes of text for each range of the key space; keys of one range meet in one group (of a few million).
 RANGE_BYTES = 48_000_000
 LEAST_RANGES = 64
+#: Ranges of ids whose bounds come to the driver, at most.
+WIDE_RANGES = 1024
+#: Blocks whose bounds (8 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_BLOCKS = 16_000_000
 
 
 def shuffle_partitions(df: DataFrame) -> int:
@@ -39,12 +43,27 @@ def ranges_for(size: int) -> int:
 def with_block(docs: DataFrame, id_col: str, size: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Adds ``block``: ranges of ``id_col`` of about equal row counts, ids of one value together.
 
-    Only the bounds of the ranges come to the driver: one number for each block. Null ids go to block 0.
+    The driver gets the bounds of at most ``WIDE_RANGES`` ranges. Where more blocks are asked for, each of
+    these is cut again, by bounds that stay in a table: 8 bytes for each block, joined by range number.
+    Null ids go to block 0.
     """
     n = max(4 * shuffle_partitions(docs), math.ceil(size / block_bytes))
-    points = [i / n for i in range(1, n)]
-    bounds = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), points, 20 * n)).first()[0] or []
-    return docs.withColumn("block", _range_of(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), sorted(set(bounds))))
+    inner = math.ceil(n / WIDE_RANGES)
+    outer = math.ceil(n / inner)
+    points = lambda m: [i / m for i in range(1, m)]
+    bounds = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), points(outer), 20 * outer)).first()[0] or []
+    at = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    wide = _range_of(at, sorted(set(bounds)))
+    if inner == 1:
+        return docs.withColumn("block", wide)
+    ids = docs.where(F.col(id_col).isNotNull()).select(at.alias("_at"), wide.alias("_wide"))
+    cuts = ids.groupBy("_wide").agg(F.array_distinct(F.percentile_approx("_at", points(inner), 20 * inner)).alias("_cuts"))
+    cuts = F.broadcast(cuts) if n <= BROADCAST_BLOCKS else cuts
+    fine = F.coalesce(F.size(F.filter("_cuts", lambda b: b < F.col("_at"))), F.lit(0))
+    return (
+        docs.withColumns({"_at": at, "_wide": wide}).join(cuts, "_wide", "left")
+        .withColumn("block", (F.col("_wide") * inner + fine).cast("int")).drop("_at", "_wide", "_cuts")
+    )
 
 
 def _range_of(x: Column, bounds: list[int]) -> Column:

@@ -168,6 +168,26 @@ def test_repeats(spark, sf):
     assert repeat_rows(repeats.remove_repeats(real)) == brute_repeats([(r["doc_id"], r["text"]) for r in real.collect()])
 
 
+@pytest.mark.parametrize("broadcast", [0, 1_000_000])
+def test_blocks_of_two_levels_are_ranges_of_ids(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(_blocks, "WIDE_RANGES", 3)
+    monkeypatch.setattr(_blocks, "BROADCAST_BLOCKS", broadcast)
+    rng = np.random.default_rng(8)
+    ids = [*(int(x) for x in rng.integers(0, 1 << 40, 500) ** 2 % (1 << 45)), *[77] * 40, None, None]
+    df = spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string")
+    got = [(r["block"], r["doc_id"]) for r in _blocks.with_block(df, "doc_id", 0).collect()]
+    assert sorted(i for _, i in got if i is not None) == sorted(i for i in ids if i is not None) and [b for b, i in got if i is None] == [0, 0]
+    known = sorted((i, b) for b, i in got if i is not None)
+    assert [b for _, b in known] == sorted(b for _, b in known)  # blocks follow the ids
+    assert len({b for i, b in known if i == 77}) == 1
+    counts = Counter(b for i, b in known if i != 77)
+    assert 10 <= len(counts) <= 18 and max(counts.values()) < 3 * 500 / 16
+    shared = " ".join(f"w{i}" for i in range(20))
+    data = [(int(i), f"x{k} {shared}" if k % 3 == 0 else f"y{k} z") for k, i in enumerate(dict.fromkeys(ids[:60]))] + [(None, shared)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert repeat_rows(repeats.remove_repeats(docs)) == brute_repeats(data)
+
+
 def test_automata_in_shards_find_the_same():
     rng = np.random.default_rng(6)
     words = rng.integers(1, 50, 500).astype(np.uint64)
