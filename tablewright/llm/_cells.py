@@ -24,6 +24,16 @@ def to_cells(rows: DataFrame, chunk: int = 512) -> DataFrame:
     return met.withColumn("lo", F.least("part", "_other")).withColumn("hi", F.greatest("part", "_other")).drop("_k", "_n", "_other")
 
 
+def bundled(cells: DataFrame, rows: int, size: int = 2048) -> DataFrame:
+    """Adds ``bundle``: cells of one tree that a task may take in one call, about ``size`` rows of them.
+
+    ``rows`` is a tree's number of rows. The first cells of all keys hold each row once at most, so they share
+    the bundles; each further cell of a large key is a bundle of its own.
+    """
+    shared = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-rows // size))))
+    return cells.withColumn("bundle", F.when(F.col("hi") == 0, shared).otherwise(F.xxhash64("key", "lo", "hi")))
+
+
 def pair_mask(part: np.ndarray, lo: int, hi: int) -> np.ndarray:
     """Which of the pairs (i, j) belong to the cell; symmetric, without the diagonal."""
     if lo == hi:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cells import CELL, first_shared, pair_mask, roots, to_cells
+from ._cells import CELL, bundled, first_shared, pair_mask, to_cells
 from ._components import components
 from ._store import checkpoint
 
@@ -39,12 +39,18 @@ class BinaryCodes:
         turned = unit @ self.rotation.T
         return np.packbits(turned >= 0, axis=1), np.abs(turned).sum(axis=1) / math.sqrt(self.size)
 
+    def corner(self, packed: np.ndarray) -> np.ndarray:
+        return (np.unpackbits(packed, axis=1).astype(np.float32) * 2 - 1) / np.float32(math.sqrt(self.size))
+
+    def turn(self, queries: np.ndarray) -> np.ndarray:
+        return (queries @ self.rotation.T).astype(np.float32)
+
+    def error(self, factor: np.ndarray) -> np.ndarray:
+        return self.eps * np.sqrt(np.maximum(0, 1 - factor**2)) / (factor * math.sqrt(self.size - 1))
+
     def estimate(self, packed: np.ndarray, factor: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Estimated inner products of the coded rows with ``queries``, and their bounds on the error, by row."""
-        corner = (np.unpackbits(packed, axis=1).astype(np.float32) * 2 - 1) / math.sqrt(self.size)
-        guess = corner @ (queries @ self.rotation.T).T.astype(np.float32) / factor[:, None]
-        error = self.eps * np.sqrt(np.maximum(0, 1 - factor**2)) / (factor * math.sqrt(self.size - 1))
-        return guess, error[:, None]
+        return self.corner(packed) @ self.turn(queries).T / factor[:, None], self.error(factor)[:, None]
 
 
 def plan_bands(n: int, threshold: float, recall: float, size: int, seed: int = 4) -> list[np.ndarray]:
@@ -109,43 +115,110 @@ def _key(bits: np.ndarray) -> np.ndarray:
     return (bits.astype(np.uint64) * place).sum(axis=1).astype(np.int64)
 
 
-def _first_met(table: pa.Table, bands_by_dim: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(packed codes, mask of the pairs that meet in this cell and in no earlier tree)."""
-    lo, hi, tree, dim = (table.column(c)[0].as_py() for c in ("lo", "hi", "tree", "dim"))
+#: Cells of more rows are compared as matrices, smaller ones pair by pair over all cells of a bundle at once.
+_SMALL = 32
+
+
+class _Reach:
+    """Whether the estimate plus its bound reaches the threshold, by either's code."""
+
+    def __init__(self, coder: BinaryCodes, table: pa.Table, packed: np.ndarray, threshold: float):
+        query = np.array([np.frombuffer(x, dtype=np.int8) for x in table.column("small").to_pylist()]).astype(np.float64) / 127
+        self.factor, self.lost = table.column("factor").to_numpy(), table.column("lost").to_numpy()
+        self.corner, self.turned, self.error = coder.corner(packed), coder.turn(query), coder.error(self.factor)
+        self.threshold = threshold
+
+    def _by_code(self, guess, a, b):
+        return guess / self.factor[a] + self.error[a] + self.lost[b] / self.factor[a] >= self.threshold
+
+    def block(self, at: np.ndarray) -> np.ndarray:
+        reach = self._by_code(self.corner[at] @ self.turned[at].T, at[:, None], at[None, :])
+        return reach | reach.T
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        one = lambda a, b: self._by_code((self.corner[a] * self.turned[b]).sum(axis=1), a, b)
+        return one(a, b) | one(b, a)
+
+
+class _Cosine:
+    def __init__(self, unit: np.ndarray, threshold: float):
+        self.unit, self.threshold = unit, threshold
+
+    def block(self, at: np.ndarray) -> np.ndarray:
+        return self.unit[at] @ self.unit[at].T >= self.threshold
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (self.unit[a] * self.unit[b]).sum(axis=1) >= self.threshold
+
+
+def _near_pairs(table: pa.Table, keys: np.ndarray, tree: int, near: _Reach | _Cosine) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the pairs that meet in a cell of this bundle, in no earlier tree, and are ``near``; each pair once."""
+    key, lo, hi, part = (table.column(c).to_numpy() for c in ("key", "lo", "hi", "part"))
+    order = np.lexsort((hi, lo, key))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(order)))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for s, n in zip(begin[size > _SMALL], size[size > _SMALL]):
+        at = order[s : s + n]
+        mask = first_shared(keys[at], tree, pair_mask(part[at], lo[at[0]], hi[at[0]]))
+        if mask.any():
+            i, j = np.nonzero(np.triu(mask & near.block(at)))
+            found.append((at[i], at[j]))
+    left = np.repeat(np.where(size > _SMALL, 0, begin + size), size) - np.arange(len(order))  # rows from here to the cell's end
+    for step in range(1, _SMALL):
+        i = np.flatnonzero(left > step)
+        if not len(i):
+            break
+        a, b = order[i], order[i + step]
+        meet = ((lo[a] == hi[a]) | (part[a] != part[b])) & ~(keys[a, :tree] == keys[b, :tree]).any(axis=1)
+        a, b = a[meet], b[meet]
+        ok = near.pairs(a, b)
+        found.append((a[ok], b[ok]))
+    none = np.empty(0, dtype=np.int64)
+    return np.concatenate([none, *[a for a, _ in found]]), np.concatenate([none, *[b for _, b in found]])
+
+
+def _keys_of(table: pa.Table, bands_by_dim: dict) -> tuple[np.ndarray, np.ndarray, int]:
+    """(packed codes, keys of the earlier trees, the tree's number among its dimension's)."""
+    tree, dim = table.column("tree")[0].as_py() % _TREES, table.column("dim")[0].as_py()
     packed = np.array([np.frombuffer(x, dtype=np.uint8) for x in table.column("code").to_pylist()])
-    keys = _shared_keys(packed, bands_by_dim[dim][: max(1, tree % _TREES)])
-    return packed, first_shared(keys, tree % _TREES, pair_mask(table.column("part").to_numpy(), lo, hi))
+    return packed, _shared_keys(packed, bands_by_dim[dim][: max(1, tree)]), tree
 
 
 def _survivors(bits: int, bands_by_dim: dict, threshold: float, seed: int):
     coders: dict[int, BinaryCodes] = {}
 
     def run(table: pa.Table) -> pa.Table:
-        """Ids with a first-met partner whose estimate plus bound reaches the threshold, by either's code."""
-        packed, mask = _first_met(table, bands_by_dim)
-        if mask.any():
-            dim = table.column("dim")[0].as_py()
-            if dim not in coders:
-                coders[dim] = BinaryCodes(dim, bits, seed=seed)
-            coder = coders[dim]
-            query = np.array([np.frombuffer(x, dtype=np.int8) for x in table.column("small").to_pylist()]).astype(np.float64) / 127
-            factor, lost = table.column("factor").to_numpy(), table.column("lost").to_numpy()
-            guess, error = coder.estimate(packed, factor, query)
-            reach = guess + error + lost[None, :] / factor[:, None] >= threshold
-            mask &= reach | reach.T
-        return table.filter(pa.array(mask.any(axis=1))).select([*CELL, "id", "part"])
+        """Rows with a first-met partner whose estimate plus bound reaches the threshold."""
+        packed, keys, tree = _keys_of(table, bands_by_dim)
+        dim = table.column("dim")[0].as_py()
+        if dim not in coders:
+            coders[dim] = BinaryCodes(dim, bits, seed=seed)
+        a, b = _near_pairs(table, keys, tree, _Reach(coders[dim], table, packed, threshold))
+        keep = np.zeros(table.num_rows, dtype=bool)
+        keep[a] = keep[b] = True
+        return table.filter(pa.array(keep)).select([*CELL, "bundle", "id", "part"])
 
     return run
 
 
 def _recompute(bands_by_dim: dict, threshold: float):
     def run(table: pa.Table) -> pa.Table:
+        """Of each row with links: how many, and the smallest id that they reach inside the bundle."""
         ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
-        unit = unit_rows(table.column("vec").to_pylist())
-        mask = _first_met(table, bands_by_dim)[1]
-        mask &= unit @ unit.T >= threshold
-        linked = mask.any(axis=1)
-        return pa.table({"id": ids[linked], "links": (mask @ copies)[linked].astype(np.int64), "root": roots(mask, ids)[linked]})
+        _, keys, tree = _keys_of(table, bands_by_dim)
+        a, b = _near_pairs(table, keys, tree, _Cosine(unit_rows(table.column("vec").to_pylist()), threshold))
+        links, root = np.zeros(len(ids), dtype=np.int64), ids.copy()
+        np.add.at(links, a, copies[b])
+        np.add.at(links, b, copies[a])
+        while len(a) and (root[a] != root[b]).any():
+            least = np.minimum(root[a], root[b])
+            np.minimum.at(root, a, least)
+            np.minimum.at(root, b, least)
+        linked = links > 0
+        return pa.table({"id": ids[linked], "links": links[linked], "root": root[linked]})
 
     return run
 
@@ -167,10 +240,10 @@ def links(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.97, bits
     coded = checkpoint(classes.select("id", "vec").mapInArrow(_encode(bits, bands, seed), "id long, dim int, code binary, factor double, small binary, lost double, bands array<long>"))
     # only rows that share a key with somebody carry their codes into a cell
     keyed = coded.select("id", "dim", F.posexplode("bands").alias("tree", "key")).select("id", (F.col("tree") + F.col("dim") * _TREES).cast("int").alias("tree"), "key")
-    cells = to_cells(keyed, chunk).join(coded.drop("bands"), "id")
-    met = checkpoint(cells.groupBy(*CELL).applyInArrow(_survivors(bits, bands, threshold, seed), "tree int, key long, lo int, hi int, id long, part int"))
+    cells = bundled(to_cells(keyed, chunk), max(sizes.values(), default=0)).join(coded.drop("bands"), "id")
+    met = checkpoint(cells.groupBy("tree", "bundle").applyInArrow(_survivors(bits, bands, threshold, seed), "tree int, key long, lo int, hi int, bundle long, id long, part int"))
     loaded = met.join(coded.select("id", "dim", "code"), "id").join(classes, "id")
-    found = checkpoint(loaded.groupBy(*CELL).applyInArrow(_recompute(bands, threshold), "id long, links long, root long"))
+    found = checkpoint(loaded.groupBy("tree", "bundle").applyInArrow(_recompute(bands, threshold), "id long, links long, root long"))
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
     by_class = (
