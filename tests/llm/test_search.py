@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +141,28 @@ def test_vector_links(spark):
     assert vectors.links(vec_table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("small", [2, 8, 32])
+def test_pairs_of_a_bundle(monkeypatch, small):
+    monkeypatch.setattr(vectors, "_SMALL", small)
+    rng = np.random.default_rng(9)
+    cells = [(1, 0, 0, 50), (2, 0, 0, 3), (3, 0, 0, 1), (4, 0, 0, 9), (5, 0, 1, 40), (5, 1, 1, 12), (6, 1, 2, 5)]
+    rows_ = [(k, lo, hi, int(rng.choice([lo, hi]))) for k, lo, hi, n in cells for _ in range(n)]
+    rows_ = [rows_[i] for i in rng.permutation(len(rows_))]
+    table = pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("key", "lo", "hi", "part"), zip(*rows_))})
+    unit = vectors.unit_rows(rng.normal(size=(len(rows_), 3)).tolist())
+    keys = rng.integers(0, 6, (len(rows_), 4))
+    for tree in (0, 2, 4):
+        a, b = vectors._near_pairs(table, keys, tree, vectors._Cosine(unit, 0.5))
+        got = sorted(tuple(sorted(x)) for x in zip(a.tolist(), b.tolist()))
+        want = []
+        for i in range(len(rows_)):
+            for j in range(i + 1, len(rows_)):
+                (k, lo, hi, p), other = rows_[i], rows_[j]
+                if (k, lo, hi) == other[:3] and (lo == hi or p != other[3]) and not (keys[i, :tree] == keys[j, :tree]).any() and unit[i] @ unit[j] >= 0.5:
+                    want.append((i, j))
+        assert got == want and len(want) > 20
+
+
 def test_codes_are_unbiased_and_bounded():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 32))
