@@ -22,6 +22,10 @@ from ._components import components
 from ._store import checkpoint
 
 
+#: The trees of one dimension are numbered from a multiple of this.
+_TREES = 1 << 14
+
+
 class BinaryCodes:
     def __init__(self, dim: int, bits: int = 256, eps: float = 3.0, seed: int = 3):
         self.dim, self.eps = dim, eps
@@ -53,13 +57,37 @@ class BinaryCodes:
         return self.corner(packed) @ self.turn(queries).T / factor[:, None], self.error(factor)[:, None]
 
 
+def found_share(count: int, width: int, size: int, differ: float) -> float:
+    """Expected share of pairs that agree in all bits of one of ``count`` subsets, each bit differing with probability ``differ``.
+
+    All subsets are drawn from the same bits, so their hits are independent only given the number of bits that
+    differ: this is the mean over that number's binomial distribution.
+    """
+    k = np.arange(size + 1)
+    log_fact = np.array([math.lgamma(i + 1) for i in k])
+    weight = np.exp(log_fact[size] - log_fact - log_fact[::-1] + k * math.log(differ) + (size - k) * math.log1p(-differ))
+    most = size - width
+    hit = np.exp(log_fact[size - k[: most + 1]] - log_fact[most - k[: most + 1]] - log_fact[size] + log_fact[most])
+    missed = np.ones(size + 1)
+    missed[: most + 1] = (1 - np.minimum(hit, 1)) ** count
+    return float((weight * (1 - missed)).sum())
+
+
 def plan_bands(n: int, threshold: float, recall: float, size: int, seed: int = 4) -> list[np.ndarray]:
-    """Random bit subsets: about log2(n) bits each, as many as the recall asks for at the threshold."""
+    """Random bit subsets: about log2(n) bits each, as many as the recall asks for at the threshold.
+
+    Where more than ``_TREES`` would be needed, subsets have fewer bits instead, so the recall never gives way.
+    """
     width = int(min(size // 4, 48, max(8, math.ceil(math.log2(max(2, n))))))
-    agree = 1 - math.acos(threshold) / math.pi
-    count = max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree**width)))
+    differ = math.acos(threshold) / math.pi
+    while width > 1 and found_share(_TREES - 1, width, size, differ) < recall:
+        width -= 1
+    least, most = 1, _TREES - 1
+    while least < most:
+        count = (least + most) // 2
+        least, most = (least, count) if found_share(count, width, size, differ) >= recall else (count + 1, most)
     turn = np.random.default_rng([seed, width])
-    return [np.sort(turn.choice(size, width, replace=False)) for _ in range(count)]
+    return [np.sort(turn.choice(size, width, replace=False)) for _ in range(least)]
 
 
 def usable(col):
@@ -75,10 +103,6 @@ def unit_rows(rows: list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-#: The trees of one dimension are numbered from a multiple of this.
-_TREES = 1 << 14
-
-
 def _shared_keys(packed: np.ndarray, bands: list[np.ndarray]) -> np.ndarray:
     """The key of every row in every tree."""
     sign = np.unpackbits(packed, axis=1)

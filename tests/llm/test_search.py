@@ -180,6 +180,31 @@ def test_codes_are_unbiased_and_bounded():
     assert abs(np.mean(off)) < 0.01
 
 
+@pytest.mark.parametrize("n", [10_000, 1_000_000, 16_000_000, 1_000_000_000])
+def test_recall_at_the_threshold_of_large_tables(n):
+    rng = np.random.default_rng(n)
+    coder = vectors.BinaryCodes(64)
+    bands = vectors.plan_bands(n, 0.9, 0.97, coder.size)
+    assert len(bands[0]) == int(np.ceil(np.log2(n)))
+    x, z = (vectors.unit_rows(rng.normal(size=(10_000, 64)).tolist()) for _ in range(2))
+    z = vectors.unit_rows((z - (x * z).sum(axis=1, keepdims=True) * x).tolist())
+    last = 0
+    for cosine in (0.9, 0.91, 0.92):
+        packed, other = coder.encode(x)[0], coder.encode(cosine * x + np.sqrt(1 - cosine**2) * z)[0]
+        differ = np.unpackbits(packed ^ other, axis=1)
+        met = np.zeros(len(x), dtype=bool)
+        for s in bands:
+            met |= ~differ[:, s].any(axis=1)
+        assert met.mean() >= max(0.97, last)
+        last = met.mean()
+
+
+def test_bands_stay_within_their_numbering(monkeypatch):
+    monkeypatch.setattr(vectors, "_TREES", 128)
+    bands = vectors.plan_bands(1_000_000_000, 0.9, 0.97, 256)
+    assert len(bands) < 128 and vectors.found_share(len(bands), len(bands[0]), 256, np.arccos(0.9) / np.pi) >= 0.97
+
+
 def test_recall_on_the_fixture(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     data = [(r["vec_id"], r["embedding"], 0) for r in df.collect()]
