@@ -29,8 +29,9 @@ from ._words import WordHashes, as_utf8, mix
 END = b" "
 #: Key ranges of bigrams are numbered after those of tokens.
 _PAIRS = 1 << 24
-BUCKETS = 24
-_LEVELS = 96
+#: As many buckets and levels as 64-bit counts have powers of two, and quarters of them: nothing is ever clipped.
+BUCKETS = 65
+_LEVELS = 512
 
 
 def pair_bits(size: int) -> int:
@@ -146,32 +147,46 @@ def estimates(own: np.ndarray, pair: np.ndarray, context: np.ndarray, n: int, v:
     return np.stack([np.where(context > 0, pair / np.maximum(context, 1), 0.0), (own + 1) / (n + v + 1), np.full(len(own), 1 / (v + 1))])
 
 
-def _heldout(n: int, v: int):
-    """Histogram of held-out events over (bucket, level of the bigram estimate, level of the unigram estimate)."""
+def heldout_events(own: np.ndarray, pair: np.ndarray, context: np.ndarray, n: int, v: int) -> np.ndarray:
+    """Numbers of (bucket, level of the bigram estimate, level of the unigram estimate), each event taken out once."""
+    bi, uni, _ = estimates(own - 1, pair - 1, context - 1, n - 1, v)
+    return (bucket_of(context - 1) * _LEVELS + _level(bi)) * _LEVELS + _level(uni)
+
+
+def _heldout(n: int, v: int, most: int = 1 << 20):
+    """Histogram of held-out events; of the cells, only those that occur are kept."""
+
+    def add(kept: tuple[np.ndarray, np.ndarray], new: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        fresh, times = np.unique(np.concatenate(new), return_counts=True)
+        at, place = np.unique(np.concatenate([kept[0], fresh]), return_inverse=True)
+        total = np.zeros(len(at), dtype=np.int64)
+        np.add.at(total, place, np.concatenate([kept[1], times]))
+        return at, total
 
     def run(batches):
-        total = np.zeros(BUCKETS * _LEVELS * _LEVELS, dtype=np.int64)
+        kept, new, waiting = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)), [], 0
         for b in batches:
             for packed, learn in zip(b.column("counts").to_pylist(), b.column("_learn").to_pylist()):
                 if learn:
-                    own, pair, context = open_counts(packed)
-                    bi, uni, _ = estimates(own - 1, pair - 1, context - 1, n - 1, v)
-                    total += np.bincount((bucket_of(context - 1) * _LEVELS + _level(bi)) * _LEVELS + _level(uni), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["event", "n"])
+                    new.append(heldout_events(*open_counts(packed), n, v))
+                    waiting += len(new[-1])
+                    if waiting > most:
+                        kept, new, waiting = add(kept, new), [], 0
+        if new:
+            kept = add(kept, new)
+        yield pa.RecordBatch.from_arrays([pa.array(kept[0], pa.int64()), pa.array(kept[1], pa.int64())], names=["event", "n"])
 
     return run
 
 
 def _level(p: np.ndarray) -> np.ndarray:
-    """Level 0 for no mass; else quarter powers of two from the top."""
-    with np.errstate(divide="ignore"):
-        return np.where(p > 0, np.clip(_LEVELS - 1 + np.rint(4 * np.log2(np.maximum(p, 1e-300))), 1, _LEVELS - 1), 0).astype(np.int64)
+    """Level 0 for no mass; else 1 and up by quarter powers of two down from the top (at most 257 with 64-bit counts)."""
+    return np.where(p > 0, 1 - np.rint(4 * np.log2(np.where(p > 0, p, 1.0))), 0).astype(np.int64)
 
 
 def learn_weights(events: np.ndarray, n: np.ndarray, floor: float, rounds: int = 60) -> np.ndarray:
     """Mixture weights (bucket, 3) by expectation-maximisation; buckets without events take the mean."""
-    value = lambda level: np.where(level > 0, 2.0 ** ((level - (_LEVELS - 1)) / 4), 0.0)
+    value = lambda level: np.where(level > 0, 2.0 ** ((1 - level) / 4), 0.0)
     bucket, bi, uni = events // (_LEVELS * _LEVELS), events // _LEVELS % _LEVELS, events % _LEVELS
     p = np.stack([value(bi), value(uni), np.full(len(events), floor)])
     w = np.full((BUCKETS, 3), 1 / 3)
@@ -191,7 +206,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     ``learn`` says which rows' texts give the counts (null: no). ``base_score`` is the add-one unigram
     model's log10 probability, ``score`` the mixture's. Null and empty texts are the end token alone. With no
-    training text all counts are 0. The driver gets two totals for each key range and one histogram of fixed size.
+    training text all counts are 0. The driver gets two totals for each key range and one histogram of bounded size.
     """
     names = list(dict.fromkeys([id_col, *carry]))
     size = text_bytes(docs, text_col)

@@ -306,6 +306,34 @@ def test_lm_base_scores_and_gain(spark, sf):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def exact_weights(bucket, p, rounds=60):
+    out = {}
+    for b in np.unique(bucket):
+        q, w = p[:, bucket == b], np.full(3, 1 / 3)
+        for _ in range(rounds):
+            share = w[:, None] * q
+            w = (share / share.sum(axis=0)).sum(axis=1)
+            w /= w.sum()
+        out[b] = w
+    return out
+
+
+@pytest.mark.parametrize("n, v", [(200_000, 20_000), (80_000_000, 3_000_000), (30_000_000_000, 400_000_000)])
+def test_lm_weights_equal_those_of_exact_estimates(n, v):
+    rng = np.random.default_rng(11)
+    m = 40_000
+    context = 2 ** rng.choice(np.arange(3, int(math.log2(n)), 3), m) + 1
+    pair = np.where(rng.random(m) < 0.5, np.maximum(1, (context * rng.random(m) ** 3).astype(np.int64)), 1)
+    own = np.where(rng.random(m) < 0.3, 1, 2 + (n * rng.random(m) ** 12 / 20).astype(np.int64))
+    own = np.maximum(own, np.where(pair > 1, pair, 1))
+    events, times = np.unique(ngramlm.heldout_events(own, pair, context, n, v), return_counts=True)
+    got = ngramlm.learn_weights(events, times, 1 / (v + 1))
+    bucket = ngramlm.bucket_of(context - 1)
+    assert len(np.unique(bucket)) == len(np.unique(context))
+    for b, w in exact_weights(bucket, ngramlm.estimates(own - 1, pair - 1, context - 1, n - 1, v)).items():
+        assert np.allclose(got[b], w, atol=0.01), (b, got[b], w)
+
+
 def test_lm_mixture_is_a_distribution(spark):
     texts = ["a b a c", "a b b", "c a b", "b a", "a b c d"]
     df = docs_of(spark, texts)
