@@ -53,11 +53,17 @@ def bigrams_of(tokens: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _pack_counts(x: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(x, dtype="<i8").tobytes(), 1)
+    """Counts (64-bit, none negative) by bytes of like weight, as many as the largest needs."""
+    planes = np.ascontiguousarray(x, dtype="<i8").view(np.uint8).reshape(-1, 8)
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + zlib.compress(np.ascontiguousarray(planes[:, :width].T).tobytes(), 1)
 
 
 def _counts(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), dtype="<i8")
+    planes = np.frombuffer(zlib.decompress(memoryview(blob)[1:]), dtype=np.uint8).reshape(blob[0], -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, : blob[0]] = planes.T
+    return out.view("<i8").ravel()
 
 
 class _Block:
@@ -122,9 +128,9 @@ def _resolve(names: list[str], bits: int, parts: int):
         for _, place, n, ranges in block.sides:
             for p, s in ranges:
                 n[s] += _counts(more[p])
-            found.append(n[place].astype("<u4"))
+            found.append(n[place])
         edges = np.cumsum(block.sizes).tolist()
-        packed = [zlib.compress(found[0][b - m : b].tobytes() + found[1][b - m : b].tobytes(), 1) for b, m in zip(edges, block.sizes.tolist())]
+        packed = [_pack_counts(np.concatenate([f[b - m : b] for f in found])) for b, m in zip(edges, block.sizes.tolist())]
         out = [docs.column(c).combine_chunks() for c in names]
         return pa.Table.from_arrays([*out, docs.column("_learn").combine_chunks(), pa.array(block.sizes, pa.int64()), pa.array(packed, pa.binary())], names=[*names, "_learn", "n_tokens", "counts"])
 
@@ -133,7 +139,7 @@ def _resolve(names: list[str], bits: int, parts: int):
 
 def open_counts(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(tokens', bigrams', contexts' counts) of a document, from its packed ones."""
-    own, pair = np.frombuffer(zlib.decompress(packed), dtype="<u4").reshape(2, -1).astype(np.int64)
+    own, pair = _counts(packed).reshape(2, -1)
     return own, pair, np.roll(own, 1)
 
 
