@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, text, wordpiece
 from ..operators import attention, dedup, evaluate, layout, match, overlap, query, retrieval, segments, synth
-from ..schema import from_cells, rectangular, to_cells, wide_to_cells
+from ..schema import NUMERIC, from_cells, rectangular, to_cells, wide_to_cells
 from ..sources import readers
 
 QUERIES, ORACLES = {}, {}
@@ -393,7 +393,13 @@ def near_duplicate_pairs(spark, sf_dir):
 
 @named()
 def cluster_tables(spark, sf_dir):
-    return dedup.cluster(_part_pairs(spark, sf_dir), "p_brand")
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    cell = lambda x: F.struct(x.alias("text"), F.lit(None).cast(NUMERIC).alias("numeric_value"))
+    rows = F.transform(F.split("text", "\n"), lambda x: F.struct(F.array(cell(x)).alias("cells")))
+    title = F.array_join(F.slice(F.split(F.lower("text"), r"\s+"), 1, 4), " ")
+    url = F.concat_ws("/", "source", "doc_id")
+    tables = docs.select(F.col("doc_id").cast("string").alias("table_id"), F.array(cell(F.lit("text"))).alias("columns"), rows.alias("rows"), title.alias("document_title"), url.alias("document_url"))
+    return dedup.group_similar_tables(tables)
 
 
 @named("""WITH x AS (SELECT source, doc_id, n_chars, lang FROM documents), m AS (SELECT source, arg_max(struct_pack(doc_id := doc_id, lang := lang), struct_pack(v := n_chars, d := doc_id)) AS b, max(n_chars) AS version, list_sort(list_distinct(list(lang))) AS l FROM x GROUP BY 1)

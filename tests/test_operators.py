@@ -1,10 +1,14 @@
+import hashlib
 import math
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.operators import dedup, evaluate, layout, match, query, retrieval, segments, synth
-from tablewright.schema import from_cells, rectangular, to_cells, wide_to_cells
+from tablewright.schema import TABLE, from_cells, rectangular, to_cells, wide_to_cells
 
 
 @pytest.fixture(scope="module")
@@ -108,6 +112,62 @@ def test_similar_pairs_and_clusters(spark):
     assert {(r["item"], r["cluster"]) for r in dedup.cluster(pairs, "k").collect()} == {(0, 0), (1, 0), (2, 0)}
 
 
+def brute_groups(tables, threshold):
+    """The clusters of one title by the definition: every pair of tables, every pair of cluster members."""
+    vectors = {}
+    for i, (key, header, rows, _) in enumerate(tables):
+        x = np.zeros(2048)
+        for line in [header, *rows]:
+            tokens = [t for c in line for t in re.sub(r"\W", " ", c).lower().split()]
+            for a in range(len(tokens)):
+                for n in range(1, 5):
+                    if a + n <= len(tokens):
+                        x[int(hashlib.sha256(" ".join(tokens[a : a + n]).encode()).hexdigest(), 16) % 2048] += 1
+        vectors.setdefault(key, (i, x))
+    fit = lambda a, b: not set(a[3]) & set(b[3]) and abs(len(a[2]) - len(b[2])) <= 2 and len(a[1]) == len(b[1])
+    pairs = []
+    for a in sorted(vectors):
+        for b in sorted(vectors):
+            (i, x), (j, y) = vectors[a], vectors[b]
+            if a < b and fit(tables[i], tables[j]) and x @ y / np.sqrt((x @ x) * (y @ y)) >= threshold:
+                pairs.append((-(x @ y) / np.sqrt((x @ x) * (y @ y)), a, b))
+    groups = {k: [t for t in tables if t[0] == k] for k in vectors}
+    of = {k: k for k in vectors}
+    for _, a, b in sorted(pairs):
+        x, y = sorted((of[a], of[b]))
+        if x != y and all(fit(s, t) for s in groups[x] for t in groups[y]):
+            groups[x] += groups.pop(y)
+            of = {k: x if v == y else v for k, v in of.items()}
+    return of
+
+
+def test_similar_tables_are_grouped_with_vetoes(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "_STRIP", 7)
+    rng = np.random.default_rng(3)
+    tables = []
+    for i in range(60):
+        rows = [[f"w{(i % 4) * 50 + 3 * r + c} x" for c in range(2)] for r in range(10 + int(rng.integers(0, 4)))]
+        if rng.random() < 0.6:
+            rows[int(rng.integers(0, 8))][0] = f"Edit-{i % 7}"
+        tables.append((f"t{i:02}", ["A", "B b"] if i % 9 else ["A"], rows, [f"u{int(rng.integers(0, 40))}", f"v{i}"]))
+    tables += [("t03", tables[3][1], tables[3][2], ["u1", "v99"]), ("t90", ["?"], [[" "]], ["q"]), ("t91", ["?"], [[" "]], ["r"])]
+    cell = lambda x: (x, None)
+    data = [(k, [cell(c) for c in h], [([cell(c) for c in r],) for r in rows], "T" if k != "t91" else None, u[0], u[1:]) for k, h, rows, u in tables]
+    df = spark.createDataFrame(data, T.StructType([*TABLE.fields, T.StructField("alternative_document_urls", T.ArrayType(T.StringType()))]))
+    got = {(r["table_id"], r["document_url"]): r["cluster"] for r in dedup.group_similar_tables(df).collect()}
+    want = brute_groups([t for t in tables if t[0] != "t91"], 0.91) | {"t91": "t91"}
+    assert got == {(k, u[0]): want[k] for k, _, _, u in tables}
+    free = brute_groups([(k, h, rows, []) for k, h, rows, _ in tables if k != "t91"], 0.91)
+    assert 4 < len(set(want.values())) < 60 and len(set(free.values())) < len(set(want.values())) - 1
+
+
+@pytest.mark.parametrize("second, clusters", [((["A"], "b"), ["a", "a"]), ((["B"], "b"), ["a", "b"]), ((["A"], "a"), ["a", "b"])])
+def test_similar_tables_as_in_the_reference(spark, second, clusters):
+    one = lambda i, h, url: (i, [(c, None) for c in h], [([("a", None)],)], "T", url)
+    df = spark.createDataFrame([one("a", ["A"], "a"), one("b", *second)], TABLE)
+    assert [r["cluster"] for r in dedup.group_similar_tables(df, hash_dimension=16).orderBy("table_id").collect()] == clusters
+
+
 def test_locating_answers(spark):
     cells = spark.createDataFrame([("t", 0, 0, "Paris"), ("t", 1, 0, "café [1]"), ("t", 2, 0, "dup"), ("t", 3, 0, "dup")], "table_id string, row_index int, column_index int, text string")
     asks = spark.createDataFrame([("q", "t", "paris"), ("q", "t", "Cafe"), ("q", "t", "dup"), ("q", "t", "none")], "question_id string, table_id string, answer string")
