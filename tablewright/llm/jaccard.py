@@ -1,9 +1,9 @@
-"""N-gram Jaccard self-join: a MinHash LSH forest and exact verification.
+"""N-gram Jaccard self-join: MinHash bands and exact verification.
 
-Each document's set of word ``n``-grams gets ``trees * depth`` MinHash values. A tree of the forest is the
-sorted trie of its documents' strings of ``depth`` values; documents that share a prefix are candidates. The
-matched prefix starts at full depth and is shortened until the modelled recall at the threshold reaches the
-target (:func:`prefix_for`). Documents of one n-gram set are one class and enter the forest once. Candidates
+Each document's set of word ``n``-grams gets ``trees`` bands of MinHash values; documents that share a band are
+candidates. A band is the longest prefix of a tree's ``depth`` values whose modelled recall at the threshold
+reaches the target (:func:`prefix_for`): a fixed length by these constants, not one shortened from the data.
+Documents of one n-gram set are one class and enter the bands once. Candidates
 meet in cells (see ``_cells``), each pair in the first tree that joins it only: first to find out who has a
 candidate at all, then, with texts, to verify every candidate pair by the exact Jaccard similarity.
 """
