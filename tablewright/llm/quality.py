@@ -7,7 +7,9 @@ the one before it has a shape of its own. A score is a sparse dot product throug
 
 from __future__ import annotations
 
+import hashlib
 import re
+import tempfile
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._store import checkpoint
 from ._words import as_utf8, mix, split_words
 
 _RUNS = re.compile(r"([A-ZÀ-ÖØ-Þ]+)|([^\W\d_]+)|(\d+)|([\W_]+)")
@@ -23,11 +26,10 @@ _RUNS = re.compile(r"([A-ZÀ-ÖØ-Þ]+)|([^\W\d_]+)|(\d+)|([\W_]+)")
 
 @dataclass(frozen=True)
 class Settings:
-    """``train_rows`` bounds the labelled sample that comes to the driver, and with ``train_features`` its size."""
+    """``train_rows`` bounds the labelled sample that comes to the driver; each of its texts has at most ``2 ** bits`` features."""
 
     bits: int = 16
     train_rows: int = 6_000
-    train_features: int = 2_000
     epochs: int = 4
     alpha: float = 0.3
     beta: float = 1.0
@@ -105,7 +107,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
 
     The sample is those of the least seeded hash among the rows of ``labels`` that ``allowed`` admits and
     whose label is 0 or 1; only their ids (a bounded table) are broadcast to pick the texts, and only their
-    features come to the driver. Of a document labelled more than once the lowest label holds. Without
+    features come to the driver, all of them: partition by partition into a temporary file, from which they
+    are learnt row by row. Of a document labelled more than once the lowest label holds. Without
     labelled rows all weights are 0.
     """
     rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (allowed if allowed is not None else F.lit(True)))
@@ -116,20 +119,26 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
         features = Features(settings.bits)
         for b in batches:
             kept = [features.of(t) for t in b.column("text").to_pylist()]
-            # of more features the heaviest stay; the bound is part of the sample's
-            kept = [(at[o], x[o]) for at, x in kept for o in [np.argsort(-x, kind="stable")[: settings.train_features]]]
             yield pa.RecordBatch.from_arrays(
                 [b.column("rank"), b.column("y"), pa.array([at.astype("<i4").tobytes() for at, _ in kept], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in kept], pa.binary())], names=["rank", "y", "at", "x"]
             )
 
-    table = sample.mapInArrow(run, "rank long, y int, at binary, x binary").toArrow()
-    rows_ = sorted(zip(table.column("rank").to_pylist(), table.column("y").to_pylist(), table.column("at").to_pylist(), table.column("x").to_pylist()))
+    features = checkpoint(sample.mapInArrow(run, "rank long, y int, at binary, x binary"))
     model, bias = FTRL(settings), 1 << settings.bits
-    data = [(np.append(np.frombuffer(at, dtype="<i4"), bias), np.append(np.frombuffer(x, dtype="<f4").astype(float), 1.0), float(y)) for _, y, at, x in rows_]
     turn = np.random.default_rng(settings.seed)
-    for _ in range(settings.epochs):
-        for i in turn.permutation(len(data)):
-            model.learn(*data[i])
+    with tempfile.TemporaryFile() as file:
+        places = []  # (rank, label, features of equal rank in order, where, how many)
+        for r in features.toLocalIterator():
+            at, x = bytes(r["at"]), bytes(r["x"])
+            places.append((r["rank"], r["y"], hashlib.sha256(at + x).digest(), file.tell(), len(at) // 4))
+            file.write(at + x)
+        places.sort()
+        for _ in range(settings.epochs):
+            for i in turn.permutation(len(places)):
+                _, y, _, start, n = places[i]
+                file.seek(start)
+                at, x = np.frombuffer(file.read(4 * n), dtype="<i4"), np.frombuffer(file.read(4 * n), dtype="<f4")
+                model.learn(np.append(at, bias), np.append(x.astype(float), 1.0), float(y))
     return model.weights(slice(None))
 
 

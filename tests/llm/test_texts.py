@@ -284,6 +284,23 @@ def test_quality_edges(spark):
     assert quality.score(df.limit(0), weights).count() == 0
 
 
+def test_quality_learns_from_all_words_of_long_texts(spark):
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"{'good' if i % 2 else 'bad'}{x}" for x in rng.permutation(3000)) for i in range(6)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id long, quality int, toxic int")
+    settings = quality.Settings(l1=0.0)
+    weights = quality.train(docs_of(spark, texts), labels, settings)
+    seen = np.unique(np.concatenate([quality.Features(settings.bits).of(t.encode())[0] for t in texts]))
+    assert (weights[seen] != 0).mean() > 0.99
+    model, rank = quality.FTRL(settings), {r[0]: r[1] for r in labels.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit(settings.seed))).collect()}
+    turn, order = np.random.default_rng(settings.seed), sorted(range(6), key=rank.get)
+    for _ in range(settings.epochs):
+        for k in turn.permutation(6):
+            at, x = quality.Features(settings.bits).of(texts[order[k]].encode())
+            model.learn(np.append(at, 1 << settings.bits), np.append(x.astype("<f4").astype(float), 1.0), float(order[k] % 2))
+    assert np.allclose(weights, model.weights(slice(None)))
+
+
 def brute_base(data):
     lower = {c: c + 32 for c in range(65, 91)}
     toks = {i: [*WORD.findall((t or "").translate(lower)), None] for i, t in data}
