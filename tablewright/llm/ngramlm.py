@@ -34,22 +34,14 @@ BUCKETS = 65
 _LEVELS = 512
 
 
-def pair_bits(size: int) -> int:
-    """Bits of a bigram's key: so many that two bigrams of this corpus rarely (about 1 in 2**18) share one.
-
-    A shared key adds counts of another bigram; tokens always have all 64 bits.
-    """
-    return 48 if size < 1 << 30 else 56 if size < 1 << 38 else 64
-
-
 def tokens_of(text: bytes | None, hashes: WordHashes) -> np.ndarray:
     """Keys of a text's tokens, A-Z lower-cased, the end last."""
     return hashes.of([*(text or b"").lower().split(), END])
 
 
-def bigrams_of(tokens: np.ndarray, bits: int) -> np.ndarray:
+def bigrams_of(tokens: np.ndarray) -> np.ndarray:
     """Keys of each token with the one before it; a text's first token follows the end."""
-    return mix(np.roll(tokens, 1) * np.uint64(0x9E3779B97F4A7C15) + tokens) >> np.uint64(64 - bits)
+    return mix(np.roll(tokens, 1) * np.uint64(0x9E3779B97F4A7C15) + tokens)
 
 
 def _pack_counts(x: np.ndarray) -> bytes:
@@ -69,26 +61,26 @@ def _counts(blob: bytes) -> np.ndarray:
 class _Block:
     """A block's tokens and bigrams: sorted distinct keys, the block's own training counts, each token's place."""
 
-    def __init__(self, docs: pa.Table, bits: int, parts: int):
+    def __init__(self, docs: pa.Table, parts: int):
         hashes = WordHashes()
         tokens = [tokens_of(t, hashes) for t in docs.column("_text").to_pylist()]
         self.sizes = np.array([len(t) for t in tokens], dtype=np.int64)
         learn = np.repeat(np.array(docs.column("_learn").to_pylist(), dtype=np.float64), self.sizes)
         self.sides = []
-        for first, width, keys in ((0, 64, tokens), (_PAIRS, bits, [bigrams_of(t, bits) for t in tokens])):
+        for first, keys in ((0, tokens), (_PAIRS, [bigrams_of(t) for t in tokens])):
             uniq, place = np.unique(np.concatenate(keys), return_inverse=True)
             n = np.bincount(place, weights=learn, minlength=len(uniq)).astype(np.int64)
-            ranges = [(first + p, s) for p, s in by_range(uniq << np.uint64(64 - width), parts)]
+            ranges = [(first + p, s) for p, s in by_range(uniq, parts)]
             self.sides.append((uniq, place, n, ranges))
 
 
-def _ask(bits: int, parts: int):
+def _ask(parts: int):
     def run(table: pa.Table) -> pa.Table:
         """All keys of the block in order, with their counts in its training texts."""
         if not table.num_rows:
             return asked([])
         block = table.column("block")[0].as_py()
-        return asked([(p, block, pack(uniq[s]), _pack_counts(n[s])) for uniq, _, n, ranges in _Block(table, bits, parts).sides for p, s in ranges])
+        return asked([(p, block, pack(uniq[s]), _pack_counts(n[s])) for uniq, _, n, ranges in _Block(table, parts).sides for p, s in ranges])
 
     return run
 
@@ -112,7 +104,7 @@ def _answer(table: pa.Table) -> pa.Table:
     return answered(out)
 
 
-def _resolve(names: list[str], bits: int, parts: int):
+def _resolve(names: list[str], parts: int):
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         """Per document its tokens' counts and its bigrams' counts in the training texts.
 
@@ -122,7 +114,7 @@ def _resolve(names: list[str], bits: int, parts: int):
             n, v = np.sum([np.frombuffer(x, dtype="<i8") for x in told.column("extra").to_pylist()], axis=0).tolist()
             row = [*[pa.nulls(1, docs.schema.field(c).type) for c in names], pa.nulls(1, pa.bool_()), pa.array([-1], pa.int64()), pa.array([np.array([n, v], dtype="<i8").tobytes()], pa.binary())]
             return pa.Table.from_arrays(row, names=[*names, "_learn", "n_tokens", "counts"])
-        block = _Block(docs, bits, parts)
+        block = _Block(docs, parts)
         more = dict(zip(told.column("part").to_pylist(), told.column("extra").to_pylist()))
         found = []
         for _, place, n, ranges in block.sides:
@@ -216,12 +208,12 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     """
     names = list(dict.fromkeys([id_col, *carry]))
     size = text_bytes(docs, text_col)
-    bits, parts = pair_bits(size), ranges_for(size)
+    parts = ranges_for(size)
     ready = with_block(docs, id_col, size).select("block", *names, as_utf8(text_col).alias("_text"), F.coalesce(learn, F.lit(False)).alias("_learn"))
-    told = exchange(ready, _ask(bits, parts), _answer)
+    told = exchange(ready, _ask(parts), _answer)
     fields = [StructField(c, docs.schema[c].dataType) for c in names]
     packed_type = StructType([*fields, StructField("_learn", BooleanType()), StructField("n_tokens", LongType()), StructField("counts", BinaryType())])
-    every = checkpoint(ready.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_resolve(names, bits, parts), packed_type))
+    every = checkpoint(ready.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_resolve(names, parts), packed_type))
     totals = every.where("n_tokens < 0").select("counts").collect()  # one row
     n, v = np.frombuffer(totals[0][0], dtype="<i8").tolist() if totals else (0, 0)
     packed = every.where("n_tokens >= 0")

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -324,18 +325,24 @@ def test_lm_base_scores_and_gain(spark, sf):
 
 
 def test_lm_counts_above_32_bits():
-    import pyarrow as pa
-
     docs = pa.table({"doc_id": [1], "_text": [b"a b a"], "_learn": [True]})
-    told = ngramlm._ask(64, 64)(docs.append_column("block", pa.array([0], pa.int32())))
+    told = ngramlm._ask(64)(docs.append_column("block", pa.array([0], pa.int32())))
     more = [ngramlm._pack_counts(np.full(len(_blocks.unpack(k)), 2**32 + 5)) for k in told.column("keys").to_pylist()]
     back = _blocks.answered([(0, p, b"", x) for p, x in zip(told.column("part").to_pylist(), more)])
-    own, pair, context = ngramlm.open_counts(ngramlm._resolve(["doc_id"], 64, 64)(docs, back).column("counts")[0].as_py())
+    own, pair, context = ngramlm.open_counts(ngramlm._resolve(["doc_id"], 64)(docs, back).column("counts")[0].as_py())
     assert (own - 2**32).tolist() == [7, 6, 7, 6] and (pair - 2**32).tolist() == [6, 6, 6, 6] and context.tolist() == np.roll(own, 1).tolist()
     for x in ([], [0], [255, 256], [1, 2**63 - 1]):
         assert ngramlm._counts(ngramlm._pack_counts(np.array(x, dtype=np.int64))).tolist() == x
 
 
+def test_lm_bigram_keys_have_all_bits():
+    keys = ngramlm.bigrams_of(np.arange(1, 2000, dtype=np.uint64))
+    assert (keys >> np.uint64(63)).any() and len(np.unique(keys)) == len(keys)
+    asked = ngramlm._ask(64)(pa.table({"block": [0], "_text": [b"a b c d e f g h"], "_learn": [True]}))
+    pairs = [k for p, ks in zip(asked.column("part").to_pylist(), asked.column("keys").to_pylist()) if p >= ngramlm._PAIRS for k in _blocks.unpack(ks).tolist()]
+    assert len(pairs) == 9 and max(pairs) >= 1 << 56
+
+
 def exact_weights(bucket, p, rounds=60):
     out = {}
     for b in np.unique(bucket):
