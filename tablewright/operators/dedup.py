@@ -65,7 +65,7 @@ def merge_versions(df: DataFrame, cluster_col: str, version: str, item: str, url
 
 
 _SPECIAL = re.compile(r"\W")
-#: Rows of hashed vectors that are multiplied at once.
+#: Tables that are hashed, and rows of hashed vectors that are multiplied, at once.
 _STRIP = 256
 
 
@@ -79,14 +79,14 @@ def table_ngrams(header: list[str], rows: list[list[str]], header_weight: int, m
 
 
 def _hashed(header_weight: int, most: int, dimension: int):
-    def vector(header, rows) -> tuple[list[int], list[int]]:
+    def vector(header, rows) -> tuple[np.ndarray, np.ndarray]:
         count: Counter = Counter()
         for gram, n in Counter(table_ngrams(header, rows, header_weight, most)).items():
             count[int.from_bytes(hashlib.sha256(gram.encode()).digest(), "big") % dimension] += n
-        return list(count), list(count.values())
+        return np.fromiter(count, np.int32, len(count)), np.fromiter(count.values(), np.int32, len(count))
 
     def run(batches):
-        for b in batches:
+        for b in (part.slice(k, _STRIP) for part in batches for k in range(0, part.num_rows, _STRIP)):
             headers, rows = b.column("_header").to_pylist(), b.column("_rows").to_pylist()
             at, n = zip(*[vector(h or [], r or []) for h, r in zip(headers, rows)]) if len(headers) else ((), ())
             kept = [b.column(c) for c in ("title", "table_id", "document_url", "urls")]
