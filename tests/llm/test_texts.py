@@ -325,11 +325,11 @@ def test_lm_base_scores_and_gain(spark, sf):
 
 
 def test_lm_counts_above_32_bits():
-    docs = pa.table({"doc_id": [1], "_text": [b"a b a"], "_learn": [True]})
-    told = ngramlm._ask(64)(docs.append_column("block", pa.array([0], pa.int32())))
+    docs = pa.table({"block": pa.array([0], pa.int32()), "_text": [b"a b a"], "_learn": [True]})
+    told = ngramlm._ask(64)(docs)
     more = [ngramlm._pack_counts(np.full(len(_blocks.unpack(k)), 2**32 + 5)) for k in told.column("keys").to_pylist()]
     back = _blocks.answered([(0, p, b"", x) for p, x in zip(told.column("part").to_pylist(), more)])
-    own, pair, context = ngramlm.open_counts(ngramlm._resolve(["doc_id"], 64)(docs, back).column("counts")[0].as_py())
+    own, pair, context = ngramlm._Block(docs, 64).counts(back, "extra", True)
     assert (own - 2**32).tolist() == [7, 6, 7, 6] and (pair - 2**32).tolist() == [6, 6, 6, 6] and context.tolist() == np.roll(own, 1).tolist()
     for x in ([], [0], [255, 256], [1, 2**63 - 1]):
         assert ngramlm._counts(ngramlm._pack_counts(np.array(x, dtype=np.int64))).tolist() == x
@@ -359,28 +359,94 @@ def exact_weights(bucket, p, rounds=60):
 def test_lm_weights_equal_those_of_exact_estimates(n, v):
     rng = np.random.default_rng(11)
     m = 40_000
-    context = 2 ** rng.choice(np.arange(3, int(math.log2(n)), 3), m) + 1
-    pair = np.where(rng.random(m) < 0.5, np.maximum(1, (context * rng.random(m) ** 3).astype(np.int64)), 1)
-    own = np.where(rng.random(m) < 0.3, 1, 2 + (n * rng.random(m) ** 12 / 20).astype(np.int64))
-    own = np.maximum(own, np.where(pair > 1, pair, 1))
-    events, times = np.unique(ngramlm.heldout_events(own, pair, context, n, v), return_counts=True)
-    got = ngramlm.learn_weights(events, times, 1 / (v + 1))
-    bucket = ngramlm.bucket_of(context - 1)
+    context = 2 ** rng.choice(np.arange(3, int(math.log2(n)), 3), m)
+    pair = np.where(rng.random(m) < 0.5, np.maximum(1, (context * rng.random(m) ** 3).astype(np.int64)), 0)
+    own = np.where(rng.random(m) < 0.3, 0, 1 + (n * rng.random(m) ** 12 / 20).astype(np.int64))
+    own = np.maximum(own, pair)
+    events, times = np.unique(ngramlm.heldout_events(own, pair, context), return_counts=True)
+    got = ngramlm.learn_weights(events, times, n, v)
+    bucket = ngramlm.bucket_of(context)
     assert len(np.unique(bucket)) == len(np.unique(context))
-    for b, w in exact_weights(bucket, ngramlm.estimates(own - 1, pair - 1, context - 1, n - 1, v)).items():
+    for b, w in exact_weights(bucket, ngramlm.estimates(own, pair, context, n, v)).items():
         assert np.allclose(got[b], w, atol=0.01), (b, got[b], w)
 
 
+def brute_lm(rows, learn, fold):
+    """Scores by dictionaries of words, one token at a time; ``learn`` and ``fold`` say which rows count and which are held out."""
+    lower = {c: c + 32 for c in range(65, 91)}
+    texts = [[*WORD.findall((t or "").translate(lower)), None] for _, t in rows]
+
+    def count(use):
+        uni, bi = Counter(), Counter()
+        for words, u in zip(texts, use):
+            if u:
+                uni.update(words)
+                bi.update(zip([None, *words[:-1]], words))
+        return uni, bi, sum(uni.values()), len(uni)
+
+    def three(model, before, word):
+        uni, bi, n, v = model
+        return [bi[before, word] / uni[before] if uni[before] else 0.0, uni[word] / n if n else 0.0, 1 / (v + 1)]
+
+    def bucket(c):
+        return math.ceil(math.log2(c + 1))
+
+    rest, everything = count([a and not b for a, b in zip(learn, fold)]), count(learn)
+    events = defaultdict(list)
+    for words, a, b in zip(texts, learn, fold):
+        if a and b:
+            for before, word in zip([None, *words[:-1]], words):
+                events[bucket(rest[0][before])].append(three(rest, before, word))
+    weights = {k: exact_weights(np.zeros(len(x), dtype=int), np.array(x).T)[0] for k, x in events.items()}
+    mean = np.average([weights[k] for k in sorted(weights)], axis=0) if weights else np.array([0, 0, 1.0] if not rest[2] else [1 / 3] * 3)
+    out = []
+    for words in texts:
+        total = 0.0
+        for before, word in zip([None, *words[:-1]], words):
+            k = bucket(everything[0][before])
+            w = weights.get(k, mean)
+            w = np.array([0, w[1], w[2]]) / (w[1] + w[2]) if k == 0 else w
+            total += math.log10(float(w @ np.array(three(everything, before, word))))
+        out.append(total)
+    return out
+
+
+def test_lm_scores_equal_brute_force(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(None, "the a"), (rows[0][0], rows[0][1]), (-5, None), (-6, ""), (-7, "Zzz zzz")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, block string")
+    rest = quality.remainder(F.col("doc_id"), 7)
+    fold = ngramlm.in_fold(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
+    marks = df.select(F.coalesce(rest != 2, F.lit(False)), fold).collect()
+    want = brute_lm(rows, [m[0] for m in marks], [m[1] for m in marks])
+    got = ngramlm.score(df, rest != 2, carry=("text", "block"), block_bytes=40_000).collect()
+    assert len(got) == len(rows)
+    expected = defaultdict(list)
+    for (i, t), x in zip(rows, want):
+        expected[i, t].append(x)
+    for r in got:
+        x = expected[r["doc_id"], r["text"]].pop()
+        assert math.isclose(r["score"], x, rel_tol=2e-3), (r["doc_id"], r["score"], x)
+    again = ngramlm.score(df.repartition(3), rest != 2, carry=("text",), block_bytes=10**9).collect()
+    assert {(r["doc_id"], r["text"], round(r["score"], 6)) for r in again} == {(r["doc_id"], r["text"], round(r["score"], 6)) for r in got}
+
+
 def test_lm_mixture_is_a_distribution(spark):
-    texts = ["a b a c", "a b b", "c a b", "b a", "a b c d"]
-    df = docs_of(spark, texts)
-    everything = ngramlm.score(df, F.lit(True)).collect()
-    assert all(r["n_known"] == r["n_tokens"] for r in everything)
-    w = ngramlm.learn_weights(np.array([5, 700]), np.array([3, 4]), 0.1)
-    assert np.allclose(w.sum(axis=1), 1) and w[0, 0] == 0
+    texts = ["a b a c", "a b b", "c a b", "b a", "a b c d"] * 6
+    weights = ngramlm.learn_weights(np.array([5, 700, 512 * 512 * 2 + 512 * 3 + 9]), np.array([3, 4, 5]), 40, 5)
+    assert np.allclose(weights.sum(axis=1), 1) and weights[0, 0] == 0
+    words = [[*t.split(), None] for t in texts]
+    uni, bi = Counter(w for t in words for w in t), Counter(p for t in words for p in zip([None, *t[:-1]], t))
+    n, v = sum(uni.values()), len(uni)
+    for before in [*uni, "unseen"]:
+        context = uni[before]
+        own, pair = np.array([*uni.values(), 0]), np.array([*[bi[before, w] for w in uni], 0])  # all known tokens and the unknown one
+        p = ngramlm.estimates(own, pair, np.full(v + 1, context), n, v)
+        assert math.isclose((weights[ngramlm.bucket_of(np.array([context]))[0]] @ p).sum(), 1, rel_tol=1e-9)
+    assert all(r["n_known"] == r["n_tokens"] for r in ngramlm.score(docs_of(spark, texts), F.lit(True)).collect())
     odd = spark.createDataFrame([(None, "A b"), (1, None), (2, ""), (3, "z " * 5000), (3, "q")], "doc_id long, text string").withColumn("score", F.lit("x"))
     rows = ngramlm.score(odd, F.lit(False)).collect()
-    assert len(rows) == 5 and all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in rows)
+    assert len(rows) == 5 and all(r["train_tokens"] == 0 and r["n_known"] == 0 and abs(r["score"]) < 1e-9 for r in rows)
     assert {r["n_tokens"] for r in rows if r["doc_id"] in (1, 2)} == {1}
     assert ngramlm.score(odd.limit(0), F.lit(True)).count() == 0
 
