@@ -248,17 +248,69 @@ def test_jaccard_links(spark, sf):
     assert keep == {r[0] for r in got if r[4]}
     assert jaccard.links(df.limit(0)).count() == 0
     nulls = spark.createDataFrame([(None, "a b"), (1, "a b")], "doc_id long, text string")
+    assert jaccard.keep_one(nulls).count() == 2 and jaccard.keep_one(nulls.limit(0)).count() == 0
     assert {tuple(r) for r in jaccard.links(nulls).collect()} == {(None, None, 0, None, True), (1, 1, 0, 1, True)}
     real = spark.read.parquet(f"{sf}/documents.parquet")
     want = brute_jaccard([(r["doc_id"], r["text"]) for r in real.collect()])
     assert sorted(map(tuple, jaccard.links(real).collect()), key=repr) == want
 
 
+def test_jaccard_of_repeated_ids(spark):
+    rng = np.random.default_rng(13)
+    words = [[f"w{x}" for x in rng.integers(0, 900, 90)] for _ in range(2)]
+    near = [[*w[:-1], "end"] for w in words]
+    texts = [" ".join(x) for x in (words[0], words[1], near[0], near[1])]
+    data = [(1, texts[0]), (1, texts[1]), (2, texts[2]), (3, texts[3])]
+    cols = "doc_id long, text string, id int, print string, least int, best int, _id int, key int, part int"
+    table = lambda rows: spark.createDataFrame([(i, t, n % 2, "x", 1, 2, 3, 4, 5) for n, (i, t) in enumerate(rows)], cols)
+    got = sorted(map(tuple, jaccard.links(table(data)).collect()), key=repr)
+    assert got == brute_jaccard(data) == [(1, 1, 1, 1, True), (1, 1, 1, 1, True), (2, 2, 1, 1, False), (3, 3, 1, 1, False)]
+    stay = jaccard.keep_one(table(data))
+    assert stay.columns == table(data).columns and sorted((r["doc_id"], r["text"]) for r in stay.collect()) == sorted(data[:2])
+    more = [*data, (1, texts[0]), (1, texts[0]), (4, texts[0]), (5, None), (5, ""), (None, texts[0])]
+    assert sorted(map(tuple, jaccard.links(table(more)).collect()), key=repr) == brute_jaccard(more)
+    stay = sorted(((r["doc_id"], r["text"], r["id"]) for r in jaccard.keep_one(table(more)).collect()), key=repr)
+    assert stay == sorted([(1, texts[0], 0), (1, texts[1], 1), (5, None, 1), (5, "", 0), (None, texts[0], 1)], key=repr)
+
+
+def test_sorted_trie_has_the_common_prefixes():
+    rng = np.random.default_rng(14)
+    strings = rng.integers(0, 3, (200, 6)).astype(jaccard.VALUE)
+    nodes = jaccard.trie(strings)
+    for a, b in rng.integers(0, 200, (500, 2)):
+        same = (strings[a] == strings[b]).tolist()
+        assert (nodes[a] == nodes[b]).sum() == (same.index(False) if False in same else 6)
+
+
 def test_prefix_is_shortened_until_recall():
-    r = jaccard.prefix_for(0.8, 16, 8, 0.9995)
+    r = jaccard.floor_for(0.8, 16, 8, 0.9995)
     assert 1 - (1 - 0.8**r) ** 16 >= 0.9995 > 1 - (1 - 0.8 ** (r + 1)) ** 16
     with pytest.raises(ValueError):
-        jaccard.prefix_for(0.1, 2, 4, 0.99)
+        jaccard.floor_for(0.1, 2, 4, 0.99)
+    how = dict(values=128, threshold=0.8, trees=16, floor=4, depth=8)
+    seen = {(8, 128): 9000, (7, 110): 600, (6, 105): 300, (5, 100): 90, (4, 99): 10, (4, 40): 10**9, (8, 30): 10**9}
+    assert [jaccard.choose_prefix(seen, recall=x, **how) for x in (0.5, 0.95, 0.985, 0.9985, 0.9995)] == [8, 7, 6, 5, 4]
+    assert jaccard.choose_prefix({}, recall=0.9, **how) == 8
+
+
+def test_target_recall_decides_the_prefix(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    base = [[f"w{x}" for x in rng.integers(0, 5000, 200)] for _ in range(150)]
+    texts = [" ".join(w) for w in base]
+    for w in base:  # a similarity of 0.82 or so
+        v = list(w)
+        for k in rng.choice(np.arange(0, 195, 13), 4, replace=False):
+            v[k] = f"n{rng.integers(0, 10**9)}"
+        texts.append(" ".join(v))
+    used, choose = [], jaccard.choose_prefix
+    monkeypatch.setattr(jaccard, "choose_prefix", lambda *x: used.append(choose(*x)) or used[-1])
+    df = docs_of(spark, texts)
+    count = lambda **how: sum(r["n_links"] for r in jaccard.links(df, **how).collect()) // 2
+    want = sum(r[2] for r in brute_jaccard(list(enumerate(texts)))) // 2
+    low, high = count(recall=0.9, depth=12), count(recall=0.9995, depth=12)
+    assert used[0] > used[1] and want > 100 and 0.8 * want <= low < high == want
+    monkeypatch.setattr(jaccard, "trie", lambda strings: np.arange(strings.size).reshape(strings.shape))
+    assert count() == 0  # without the tries nothing is matched
 
 
 def test_quality_on_held_out_rows(spark):
