@@ -164,18 +164,7 @@ class _Reach:
         return one(a, b) | one(b, a)
 
 
-class _Cosine:
-    def __init__(self, unit: np.ndarray, threshold: float):
-        self.unit, self.threshold = unit, threshold
-
-    def block(self, at: np.ndarray) -> np.ndarray:
-        return self.unit[at] @ self.unit[at].T >= self.threshold
-
-    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (self.unit[a] * self.unit[b]).sum(axis=1) >= self.threshold
-
-
-def _near_pairs(table: pa.Table, keys: np.ndarray, tree: int, near: _Reach | _Cosine) -> tuple[np.ndarray, np.ndarray]:
+def _near_pairs(table: pa.Table, keys: np.ndarray, tree: int, near: _Reach) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the pairs that meet in a cell of this bundle, in no earlier tree, and are ``near``; each pair once."""
     key, lo, hi, part = (table.column(c).to_numpy() for c in ("key", "lo", "hi", "part"))
     order = np.lexsort((hi, lo, key))
@@ -204,23 +193,22 @@ def _near_pairs(table: pa.Table, keys: np.ndarray, tree: int, near: _Reach | _Co
     return np.concatenate([none, *[a for a, _ in found]]), np.concatenate([none, *[b for _, b in found]])
 
 
-def _keys_of(table: pa.Table, bands_by_dim: dict) -> tuple[np.ndarray, np.ndarray, int]:
-    """(packed codes, keys of the earlier trees, the tree's number among its dimension's)."""
+def _met_pairs(table: pa.Table, bits: int, bands_by_dim: dict, threshold: float, seed: int, coders: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a bundle that are met here first and whose estimate plus bound reaches the threshold."""
     tree, dim = table.column("tree")[0].as_py() % _TREES, table.column("dim")[0].as_py()
     packed = np.array([np.frombuffer(x, dtype=np.uint8) for x in table.column("code").to_pylist()])
-    return packed, _shared_keys(packed, bands_by_dim[dim][: max(1, tree)]), tree
+    if dim not in coders:
+        coders[dim] = BinaryCodes(dim, bits, seed=seed)
+    keys = _shared_keys(packed, bands_by_dim[dim][: max(1, tree)])
+    return _near_pairs(table, keys, tree, _Reach(coders[dim], table, packed, threshold))
 
 
 def _survivors(bits: int, bands_by_dim: dict, threshold: float, seed: int):
     coders: dict[int, BinaryCodes] = {}
 
     def run(table: pa.Table) -> pa.Table:
-        """Rows with a first-met partner whose estimate plus bound reaches the threshold."""
-        packed, keys, tree = _keys_of(table, bands_by_dim)
-        dim = table.column("dim")[0].as_py()
-        if dim not in coders:
-            coders[dim] = BinaryCodes(dim, bits, seed=seed)
-        a, b = _near_pairs(table, keys, tree, _Reach(coders[dim], table, packed, threshold))
+        """Rows with a pair that needs exact recomputation: only these bring their vectors."""
+        a, b = _met_pairs(table, bits, bands_by_dim, threshold, seed, coders)
         keep = np.zeros(table.num_rows, dtype=bool)
         keep[a] = keep[b] = True
         return table.filter(pa.array(keep)).select([*CELL, "bundle", "id", "part"])
@@ -228,12 +216,20 @@ def _survivors(bits: int, bands_by_dim: dict, threshold: float, seed: int):
     return run
 
 
-def _recompute(bands_by_dim: dict, threshold: float):
+def cosines(unit: np.ndarray, a: np.ndarray, b: np.ndarray, most: int = 1 << 16) -> np.ndarray:
+    """Inner products of pairs of rows in double precision, a bounded number of pairs at a time."""
+    return np.concatenate([np.empty(0), *[(unit[a[i : i + most]] * unit[b[i : i + most]]).sum(axis=1) for i in range(0, len(a), most)]])
+
+
+def _recompute(bits: int, bands_by_dim: dict, threshold: float, seed: int):
+    coders: dict[int, BinaryCodes] = {}
+
     def run(table: pa.Table) -> pa.Table:
-        """Of each row with links: how many, and the smallest id that they reach inside the bundle."""
+        """Exact cosines of the pairs that the bounds leave, and of no others: each row's links and the smallest class they reach."""
         ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
-        _, keys, tree = _keys_of(table, bands_by_dim)
-        a, b = _near_pairs(table, keys, tree, _Cosine(unit_rows(table.column("vec").to_pylist()), threshold))
+        a, b = _met_pairs(table, bits, bands_by_dim, threshold, seed, coders)
+        near = cosines(unit_rows(table.column("vec").to_pylist()), a, b) >= threshold
+        a, b = a[near], b[near]
         links, root = np.zeros(len(ids), dtype=np.int64), ids.copy()
         np.add.at(links, a, copies[b])
         np.add.at(links, b, copies[a])
@@ -250,15 +246,17 @@ def _recompute(bands_by_dim: dict, threshold: float):
 def links(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.97, bits: int = 256, chunk: int = 512, seed: int = 3, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(id, n_links, component_id, kept)``, a row for every row of ``vectors``.
 
-    Equal vectors are one class and are compared once; their rows are links of each other. Every row is in
-    the index; a pair at the threshold is a candidate with probability ``recall`` (pairs above it more
-    often), and each link holds exactly: cosine in double precision of at least ``threshold``. Vectors that
-    are null, empty, zero or hold a null or non-finite component link with nothing, nor do those of another
-    dimension. A row of a null id links with nothing.
+    Equal vectors are one class, numbered by the vector and not by a row's id, and are compared once; their rows
+    are links of each other, as are rows of one id only where their vectors are. Every row is in the index; a
+    pair at the threshold is a candidate with probability ``recall`` (pairs above it more often), and each link
+    holds exactly: cosine in double precision of at least ``threshold``, ties included. Vectors that are null,
+    empty, zero or hold a null or non-finite component link with nothing, nor do those of another dimension. A
+    row of a null id links with nothing. An empty table gives no rows; other columns play no part.
     """
     vec = F.col(vec_col).cast("array<double>")
     marked = vectors.select(F.col(id_col).cast("long").alias("_id"), F.when(usable(F.col(vec_col)) & F.col(id_col).isNotNull(), vec).alias("vec"))
-    classes = checkpoint(marked.where("vec is not null").groupBy("vec").agg(F.min("_id").alias("id"), F.count("*").alias("copies")))
+    grouped = marked.where("vec is not null").groupBy("vec").agg(F.min("_id").alias("least"), F.count("*").alias("copies"))
+    classes = checkpoint(grouped.withColumn("id", F.monotonically_increasing_id()))  # numbers last as long as the written table
     sizes = {r[0]: r[1] for r in classes.groupBy(F.size("vec")).count().collect()}  # a row for each dimension
     bands = {d: plan_bands(n, threshold, recall, BinaryCodes.padded(d, bits)) for d, n in sizes.items()}
     coded = checkpoint(classes.select("id", "vec").mapInArrow(_encode(bits, bands, seed), "id long, dim int, code binary, factor double, small binary, lost double, bands array<long>"))
@@ -266,13 +264,14 @@ def links(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.97, bits
     keyed = coded.select("id", "dim", F.posexplode("bands").alias("tree", "key")).select("id", (F.col("tree") + F.col("dim") * _TREES).cast("int").alias("tree"), "key")
     cells = bundled(to_cells(keyed, chunk), max(sizes.values(), default=0)).join(coded.drop("bands"), "id")
     met = checkpoint(cells.groupBy("tree", "bundle").applyInArrow(_survivors(bits, bands, threshold, seed), "tree int, key long, lo int, hi int, bundle long, id long, part int"))
-    loaded = met.join(coded.select("id", "dim", "code"), "id").join(classes, "id")
-    found = checkpoint(loaded.groupBy("tree", "bundle").applyInArrow(_recompute(bands, threshold), "id long, links long, root long"))
+    loaded = met.join(coded.drop("bands"), "id").join(classes.select("id", "vec", "copies"), "id")
+    found = checkpoint(loaded.groupBy("tree", "bundle").applyInArrow(_recompute(bits, bands, threshold, seed), "id long, links long, root long"))
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
-    parts = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
+    parts = components(found.select(F.col("id").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("id"), F.col("component").alias("root"))
+    heads = parts.join(classes.select("id", "least"), "id").groupBy("root").agg(F.min("least").alias("head"))
     by_class = (
-        classes.join(linked, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
-        .select(F.col("vec").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        classes.join(linked, "id", "left").join(parts.join(heads, "root").select("id", "head"), "id", "left")
+        .select(F.col("vec").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("head", "least").alias("component_id"))
     )
     joined = marked.where("vec is not null").join(by_class, F.col("vec") == F.col("_v")).select("_id", "n_links", "component_id")
     alone = marked.where("vec is null").select("_id", F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"))

@@ -141,6 +141,17 @@ def test_vector_links(spark):
     assert vectors.links(vec_table(spark, [])).count() == 0
 
 
+class Near:
+    def __init__(self, unit, threshold):
+        self.unit, self.threshold = unit, threshold
+
+    def block(self, at):
+        return self.unit[at] @ self.unit[at].T >= self.threshold
+
+    def pairs(self, a, b):
+        return vectors.cosines(self.unit, a, b, 7) >= self.threshold
+
+
 @pytest.mark.parametrize("small", [2, 8, 32])
 def test_pairs_of_a_bundle(monkeypatch, small):
     monkeypatch.setattr(vectors, "_SMALL", small)
@@ -152,7 +163,7 @@ def test_pairs_of_a_bundle(monkeypatch, small):
     unit = vectors.unit_rows(rng.normal(size=(len(rows_), 3)).tolist())
     keys = rng.integers(0, 6, (len(rows_), 4))
     for tree in (0, 2, 4):
-        a, b = vectors._near_pairs(table, keys, tree, vectors._Cosine(unit, 0.5))
+        a, b = vectors._near_pairs(table, keys, tree, Near(unit, 0.5))
         got = sorted(tuple(sorted(x)) for x in zip(a.tolist(), b.tolist()))
         want = []
         for i in range(len(rows_)):
@@ -163,6 +174,35 @@ def test_pairs_of_a_bundle(monkeypatch, small):
         assert got == want and len(want) > 20
 
 
+def test_vectors_of_repeated_and_null_ids(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(2, 16)).tolist()
+    near = [(np.array(v) + rng.normal(size=16) * 0.02).tolist() for v in (x, y)]
+    data = [(1, x, 0), (1, y, 0), (2, near[0], 0), (3, near[1], 0)]
+    cols = "vec_id long, embedding array<double>, label int, id long, least long, vec int, tree int, key int, dim int"
+    table = lambda rows: spark.createDataFrame([(*r, 1, 2, 3, 4, 5, 6) for r in rows], cols)
+    got = sorted(map(tuple, vectors.links(table(data)).collect()), key=repr)
+    assert got == brute_links(data) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+    more = [*data, (1, x, 0), (5, x, 0), (None, x, 0), (None, None, 0), (1, None, 0)]
+    assert sorted(map(tuple, vectors.links(table(more)).collect()), key=repr) == brute_links(more)
+
+
+def test_only_pairs_within_the_bounds_are_recomputed(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    base = rng.normal(size=16)
+    data = [(i, (base + rng.normal(size=16) * 0.05).tolist(), 0) for i in range(12)]
+    everything = rows(vectors.links(vec_table(spark, data), recall=0.999))
+    assert everything == brute_links(data) and everything[0][1] == 11
+    monkeypatch.setattr(vectors.BinaryCodes, "error", lambda self, factor: factor * 0 - 2)  # bounds that reject all pairs
+    bands = {16: vectors.plan_bands(12, 0.9, 0.97, 256)}
+    coded = next(vectors._encode(256, bands, 3)([pa.RecordBatch.from_pydict({"id": list(range(12)), "vec": [d[1] for d in data]})]))
+    fixed = {c: pa.array([v] * 12, t) for c, v, t in (("tree", 16 * vectors._TREES, pa.int32()), ("key", 0, pa.int64()), ("lo", 0, pa.int32()), ("hi", 0, pa.int32()), ("part", 0, pa.int32()), ("copies", 1, pa.int64()))}
+    table = pa.table({**{c: coded.column(c) for c in ("id", "dim", "code", "factor", "small", "lost")}, **fixed, "vec": pa.array([d[1] for d in data])})
+    assert vectors._recompute(256, bands, 0.9, 3)(table).num_rows == 0
+    monkeypatch.undo()
+    assert vectors._recompute(256, bands, 0.9, 3)(table).num_rows == 12
+
+
 def test_codes_are_unbiased_and_bounded():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 32))
