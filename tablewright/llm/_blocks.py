@@ -21,6 +21,8 @@ BLOCK_BYTES = 12_000_000
 #: UTF-8 bytes of text for each range of the key space; keys of one range meet in one group (of a few million).
 RANGE_BYTES = 48_000_000
 LEAST_RANGES = 64
+#: Bytes of text for which an id counts once more when blocks are cut.
+WEIGHT = 4096
 #: Ranges of ids whose bounds come to the driver, at most.
 WIDE_RANGES = 1024
 #: Blocks whose bounds (8 bytes each) are broadcast; more are joined by a shuffle.
@@ -40,30 +42,35 @@ def ranges_for(size: int) -> int:
     return max(LEAST_RANGES, 1 << max(0, math.ceil(math.log2(max(1, size) / RANGE_BYTES))))
 
 
-def with_block(docs: DataFrame, id_col: str, size: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Adds ``block``: ranges of ``id_col`` of about equal row counts, ids of one value together.
+def with_block(docs: DataFrame, id_col: str, text_col: str, size: int, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """Adds ``block``: ranges of ``id_col`` of about equal text bytes, ids of one value together; and how many there are.
 
+    An id stands in the quantiles once for every ``WEIGHT`` bytes of its text, so long texts fill a block sooner.
     The driver gets the bounds of at most ``WIDE_RANGES`` ranges. Where more blocks are asked for, each of
     these is cut again, by bounds that stay in a table: 8 bytes for each block, joined by range number.
-    Null ids go to block 0.
+    Rows of a null id are in no range: they are dealt to all blocks by their text.
     """
-    n = max(4 * shuffle_partitions(docs), math.ceil(size / block_bytes))
+    n = max(2 * shuffle_partitions(docs), math.ceil(size / block_bytes))
     inner = math.ceil(n / WIDE_RANGES)
     outer = math.ceil(n / inner)
     points = lambda m: [i / m for i in range(1, m)]
-    bounds = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), points(outer), 20 * outer)).first()[0] or []
     at = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    wide = _range_of(at, sorted(set(bounds)))
+    weight = (F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) / WEIGHT).cast("int") + 1
+    ids = docs.where(F.col(id_col).isNotNull()).select(F.explode(F.array_repeat(at, weight)).alias("_at"))
+    bounds = ids.agg(F.percentile_approx("_at", points(outer), 20 * outer)).first()[0] or []
+    bounds = sorted(set(bounds))
+    stray = F.pmod(F.xxhash64(text_col), F.lit(n)).cast("int")
+    dealt = lambda found: F.when(F.col(id_col).isNull(), stray).otherwise(found)
     if inner == 1:
-        return docs.withColumn("block", wide)
-    ids = docs.where(F.col(id_col).isNotNull()).select(at.alias("_at"), wide.alias("_wide"))
+        return docs.withColumn("block", dealt(_range_of(at, bounds))), n
+    ids = ids.withColumn("_wide", _range_of(F.col("_at"), bounds))
     cuts = ids.groupBy("_wide").agg(F.array_distinct(F.percentile_approx("_at", points(inner), 20 * inner)).alias("_cuts"))
     cuts = F.broadcast(cuts) if n <= BROADCAST_BLOCKS else cuts
     fine = F.coalesce(F.size(F.filter("_cuts", lambda b: b < F.col("_at"))), F.lit(0))
     return (
-        docs.withColumns({"_at": at, "_wide": wide}).join(cuts, "_wide", "left")
-        .withColumn("block", (F.col("_wide") * inner + fine).cast("int")).drop("_at", "_wide", "_cuts")
-    )
+        docs.withColumns({"_at": at, "_wide": _range_of(at, bounds)}).join(cuts, "_wide", "left")
+        .withColumn("block", dealt((F.col("_wide") * inner + fine).cast("int"))).drop("_at", "_wide", "_cuts")
+    ), n
 
 
 def _range_of(x: Column, bounds: list[int]) -> Column:
@@ -126,7 +133,10 @@ def answered(rows: list[tuple[int, int, bytes, bytes]]) -> pa.Table:
     return asked(rows, ("block", "part", "keys", "extra"))
 
 
-def exchange(blocks: DataFrame, ask: Callable[[pa.Table], pa.Table], answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    """``ask`` on every block, then ``answer`` on every key range: rows of ``ANSWERED``."""
+def exchange(blocks: DataFrame, ranges: int, ask: Callable[[pa.Table], pa.Table], answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """``ask`` on every block, then ``answer`` on every one of about ``ranges`` key ranges: rows of ``ANSWERED``.
+
+    Key ranges are dealt to a number of tasks that follows theirs, so no task's input grows with the corpus.
+    """
     questions = blocks.groupBy("block").applyInArrow(ask, ASKED)
-    return questions.groupBy("part").applyInArrow(answer, ANSWERED)
+    return questions.repartition(max(shuffle_partitions(blocks), ranges // 4), "part").groupBy("part").applyInArrow(answer, ANSWERED)

@@ -1,11 +1,12 @@
 """Substring dedup: passages of ``n`` words that an earlier document already holds.
 
 Three steps, each block by block (see ``_blocks``). *Confirm*: every block names the distinct hashes of its
-windows of ``n`` words once; a key range learns which of them lie in several blocks and tells each block the
-ones that an earlier block holds. *Compile*: the block's confirmed windows (those, and the ones repeated in
-the block) are reduced to anchors, the word 5-gram of least hash in each, and the anchors become Aho-Corasick
-automata, as many as their number asks for. *Stream*: all documents of the block run through the automata;
-around each hit the windows are checked and those of a document with a smaller id are covered.
+windows of ``n`` words once; a key range tells each block which of them an earlier block holds. With those and
+the windows that repeat in the block, the block knows which of its distinct windows recur, and by one place of
+each spells the recurring passages: maximal runs of such windows. *Compile*: the passages, cut into phrases of
+half a window so that every window holds a whole one, become Aho-Corasick automata, as many as their number
+asks for. *Stream*: all documents of the block run through the automata, which alone say where passages occur;
+the windows around each hit are compared with the passage word by word, and covered where it has a smaller id.
 
 Blocks are ranges of document ids, so "an earlier block holds it" means a smaller id does.
 """
@@ -15,19 +16,21 @@ from __future__ import annotations
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from ._blocks import answered, asked, by_range, exchange, pack, ranges_for, text_bytes, unpack, with_block
+from ._blocks import BLOCK_BYTES, answered, asked, by_range, exchange, pack, ranges_for, text_bytes, unpack, with_block
 from ._words import WordHashes, as_utf8, split_words, window_hashes
 
-ANCHOR = 5
-#: Anchors in one automaton, at most.
+#: Phrases in one automaton, at most.
 SHARD = 200_000
 #: A word is spelt in digits of this base, each place with characters of its own: nodes of the automata keep
 #: few children, which they search one by one, and no match begins inside a word.
 BASE = 32
+#: Windows compared word by word at once.
+_CHECKED = 1 << 18
 
 
 def _ask(n: int, ranges: int):
@@ -59,33 +62,33 @@ def _answer(table: pa.Table) -> pa.Table:
     return answered(out)
 
 
-class PassageLocator:
-    """Confirmed windows of a block, compiled; ``covered`` streams one document."""
+class Vocabulary(dict):
+    """word -> its number in the block, with the words' hashes by number. Equal numbers are equal words."""
 
-    def __init__(self, n: int, shard: int = SHARD):
-        self.n, self.shard, self.reach = n, shard, n - min(ANCHOR, n) + 1
-        self.anchor = min(ANCHOR, n)
+    def __init__(self):
+        super().__init__()
+        self.hashes: list[int] = []
 
-    def anchors_of(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Position of the least anchor hash in each window that begins at ``starts``."""
-        grams = window_hashes(words, self.anchor)
-        view = np.lib.stride_tricks.sliding_window_view(grams, self.reach)[starts]
-        return starts + view.argmin(axis=1)
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = len(self.hashes)
+        self.hashes.append(xxhash.xxh64_intdigest(word))
+        return found
 
-    def compile(self, docs: list[np.ndarray], at: list[np.ndarray]) -> None:
-        """``docs``: each document's word hashes; ``at``: first words of its confirmed windows."""
-        spots = [self.anchors_of(w, s) if len(s) else s for w, s in zip(docs, at)]
-        rows = [w[np.unique(p)[:, None] + np.arange(self.anchor)] for w, p in zip(docs, spots) if len(p)]
-        phrases = np.unique(np.concatenate(rows), axis=0) if rows else np.empty((0, self.anchor), dtype=np.uint64)
+
+class PhraseAutomata:
+    """Phrases of equal length over word numbers, in sharded Aho-Corasick automata."""
+
+    def __init__(self, phrases: np.ndarray, shard: int = SHARD):
+        self.length = phrases.shape[1]
         self.machines = []
-        for a in range(0, len(phrases), self.shard):
-            part = phrases[a : a + self.shard]
+        for a in range(0, len(phrases), shard):
+            part = phrases[a : a + shard]
             letters = np.unique(part)
             digits = 1
             while BASE**digits < len(letters):
                 digits += 1
             machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-            size = digits * self.anchor
+            size = digits * self.length
             flat = self._spell(np.searchsorted(letters, part).ravel(), digits)
             for i in range(0, len(flat), size):
                 machine.add_word(flat[i : i + size])
@@ -101,80 +104,113 @@ class PassageLocator:
         return codes.astype("<u4").tobytes().decode("utf-32-le")
 
     def hits(self, words: np.ndarray) -> np.ndarray:
-        """First words of all anchors in a document, from every shard's automaton."""
-        ends: list[np.ndarray] = []
+        """First words of all phrases in a text, from every shard's automaton."""
+        ends: list[np.ndarray] = [np.empty(0, dtype=np.int64)]
         for letters, digits, machine in self.machines:
             spot = np.minimum(np.searchsorted(letters, words), len(letters) - 1)
             text = self._spell(np.where(letters[spot] == words, spot, -1), digits)
-            ends.append(np.array([end for end, _ in machine.iter(text)], dtype=np.int64) // digits)
-        return np.unique(np.concatenate(ends)) - (self.anchor - 1)
-
-    def candidates(self, words: np.ndarray) -> np.ndarray:
-        """First words of the windows around the hits."""
-        if not self.machines or len(words) < self.n:
-            return np.empty(0, dtype=np.int64)
-        mark = np.zeros(len(words) - self.n + 1, dtype=bool)
-        hits = self.hits(words)
-        for back in range(self.reach):
-            s = hits - back
-            mark[s[(s >= 0) & (s < len(mark))]] = True
-        return np.flatnonzero(mark)
+            ends.append(np.fromiter((end for end, _ in machine.iter(text)), dtype=np.int64) // digits)
+        return np.unique(np.concatenate(ends)) - (self.length - 1)
+
+
+class RepeatedPassages:
+    """The recurring windows of a block's documents, and the automata of the passages that they make up."""
+
+    def __init__(self, n: int, documents: list[list[bytes]], ids: list[int | None], earlier: np.ndarray, shard: int = SHARD):
+        """``earlier``: sorted hashes of windows that documents of smaller ids, outside the block, hold."""
+        self.n, words = n, Vocabulary()
+        numbers = [np.fromiter(map(words.__getitem__, d), dtype=np.int64, count=len(d)) for d in documents]
+        self.sizes = np.array([len(x) for x in numbers], dtype=np.int64)
+        self.flat = np.concatenate([np.empty(0, dtype=np.int64), *numbers])
+        hashes = np.array(words.hashes, dtype=np.uint64)
+        self.keys = window_hashes(hashes[self.flat], n)
+        self.ends = np.cumsum(self.sizes)
+        end = np.repeat(np.where([i is None for i in ids], 0, self.ends), self.sizes)[: len(self.keys)] if ids else np.empty(0, dtype=np.int64)
+        self.whole = np.arange(len(self.keys)) + n <= end  # windows inside one document that has an id
+        self.owner = np.repeat(np.array([0 if i is None else i for i in ids], dtype=np.int64), self.sizes)
+        self._confirm(earlier)
+        self.automata = PhraseAutomata(self._phrases(), shard)
+
+    def _confirm(self, earlier: np.ndarray) -> None:
+        """Distinct windows that recur: their hashes, the smallest id that holds each, one place of each."""
+        at = np.flatnonzero(self.whole)
+        order = np.argsort(self.keys[at], kind="stable")
+        keys, owner = self.keys[at][order], self.owner[at][order]
+        starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), dtype=bool), keys[1:] != keys[:-1]]))
+        none = np.empty(0, dtype=np.int64)
+        first, last = (np.minimum.reduceat(owner, starts), np.maximum.reduceat(owner, starts)) if len(starts) else (none, none)
+        keys = keys[starts]
+        if len(earlier) and len(keys):
+            spot = np.minimum(np.searchsorted(earlier, keys), len(earlier) - 1)
+            first = np.where(earlier[spot] == keys, np.iinfo(np.int64).min, first)
+        recurs = first < last
+        # a place in the earliest rows, so neighbouring windows are spelt from one document
+        self.recurring, self.first, self.place = keys[recurs], first[recurs], at[order[starts[recurs]]] if len(starts) else none
+
+    def _phrases(self) -> np.ndarray:
+        """The passages, maximal runs of recurring windows, cut every half window."""
+        length = (self.n + 1) // 2
+        spots = np.sort(self.place)
+        if not len(spots):
+            return np.empty((0, length), dtype=np.int64)
+        cut = np.flatnonzero(np.diff(spots) != 1) + 1
+        begin, end = spots[np.concatenate([[0], cut])], spots[np.concatenate([cut - 1, [len(spots) - 1]])] + self.n
+        count = (end - begin) // length
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        rows = self.flat[(np.repeat(begin, count) + step * length)[:, None] + np.arange(length)]
+        return np.unique(rows, axis=0)
+
+    def covered(self) -> np.ndarray:
+        """Which words lie in an occurrence of a passage that a smaller id holds, as the automata find them."""
+        change = np.zeros(len(self.flat) + 1, dtype=np.int64)
+        hits = self.automata.hits(self.flat) if len(self.recurring) else np.empty(0, dtype=np.int64)
+        near = np.zeros(len(self.keys), dtype=bool)
+        for back in range(self.n - self.automata.length + 1):
+            at = hits - back
+            near[at[(at >= 0) & (at < len(near))]] = True
+        spots, width = np.flatnonzero(near & self.whole), np.arange(self.n)
+        for a in range(0, len(spots), _CHECKED):
+            at = spots[a : a + _CHECKED]
+            which = np.minimum(np.searchsorted(self.recurring, self.keys[at]), len(self.recurring) - 1)
+            same = (self.flat[at[:, None] + width] == self.flat[self.place[which][:, None] + width]).all(axis=1)
+            at = at[same & (self.first[which] < self.owner[at])]
+            change[at] += 1
+            change[at + self.n] -= 1
+        return np.cumsum(change[:-1]) > 0
 
 
 def _strip(n: int, names: list[str]):
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        ids, texts = docs.column("_id").to_pylist(), docs.column("_text").to_pylist()
-        hashes = WordHashes()
-        words = [hashes.of(split_words(t)) for t in texts]
-        known = np.sort(np.concatenate([unpack(b) for b in told.column("keys").to_pylist()])) if told.num_rows else np.empty(0, dtype=np.uint64)
-        windows = [window_hashes(w, n) if i is not None else np.empty(0, dtype=np.uint64) for i, w in zip(ids, words)]
-        keys = np.concatenate(windows) if windows else np.empty(0, dtype=np.uint64)
-        owner = np.repeat(np.array([-1 if i is None else i for i in ids], dtype=np.int64), [len(x) for x in windows]) if ids else np.empty(0, dtype=np.int64)
-        # the smallest id of the block that holds a key; an earlier block counts as smaller than all
-        uniq, inverse = np.unique(keys, return_inverse=True)
-        first = np.full(len(uniq), np.iinfo(np.int64).max)
-        np.minimum.at(first, inverse, owner)
-        if len(known) and len(uniq):
-            spot = np.minimum(np.searchsorted(known, uniq), len(known) - 1)
-            first[known[spot] == uniq] = np.iinfo(np.int64).min
-        repeated = first[inverse] < owner
-        confirmed = np.unique(keys[repeated])
-        first = first[np.searchsorted(uniq, confirmed)]
-        # compile: every confirmed window by one of its places
-        spread = np.split(repeated, np.cumsum([len(x) for x in windows])[:-1]) if windows else []
-        locator = PassageLocator(n)
-        locator.compile(words, [np.flatnonzero(r) for r in spread])
-        removed, kept = [], []
-        for i, text, w in zip(ids, texts, words):
-            cover = np.zeros(len(w) + 1, dtype=np.int64)
-            if i is not None and len(confirmed):
-                at = locator.candidates(w)
-                key = window_hashes(w, n)[at] if len(at) else np.empty(0, dtype=np.uint64)
-                spot = np.minimum(np.searchsorted(confirmed, key), len(confirmed) - 1)
-                at = at[(confirmed[spot] == key) & (first[spot] < i)]
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + n, -1)
-            gone = np.cumsum(cover[:-1]) > 0
-            removed.append(int(gone.sum()))
-            kept.append(b" ".join(split_words(text)) if not removed[-1] else b" ".join([x for x, g in zip(split_words(text), gone.tolist()) if not g]))
+        documents = [split_words(t) for t in docs.column("_text").to_pylist()]
+        earlier = np.sort(np.concatenate([unpack(b) for b in told.column("keys").to_pylist()])) if told.num_rows else np.empty(0, dtype=np.uint64)
+        passages = RepeatedPassages(n, documents, docs.column("_id").to_pylist(), earlier)
+        covered, kept = passages.covered(), []
+        total = np.concatenate([[0], np.cumsum(covered)])
+        removed = total[passages.ends] - total[passages.ends - passages.sizes]
+        for words, end, gone in zip(documents, passages.ends.tolist(), removed.tolist()):
+            kept.append(b" ".join(words if not gone else [w for w, g in zip(words, covered[end - len(words) : end].tolist()) if not g]))
         out = [docs.column(c).combine_chunks() for c in names]
-        return pa.Table.from_arrays([*out, pa.array([len(w) for w in words], pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=[*names, "n_words", "n_removed", "kept"])
+        return pa.Table.from_arrays([*out, pa.array(passages.sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=[*names, "_n_words", "_n_removed", "_kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(id, carry columns, n_words, n_removed, kept binary)``, a row for every row of ``docs``.
 
     A word goes if a window of ``n`` words that covers it also starts in a document of a smaller id; windows
     are those of the input. ``kept`` holds the other words joined by one blank. Rows of one id are one
     document, so they never count as earlier than each other; a null id counts for nobody and loses nothing.
-    Null and empty texts have no words. Windows meet as 64-bit hashes; a text is never split over tasks.
+    Null and empty texts have no words; an empty table gives no rows. Windows of different blocks meet as 64-bit
+    hashes, inside a block they are compared word by word; a text is never split over tasks.
     """
-    names = [id_col, *carry]
+    names, kept = [id_col, *carry], [f"_keep_{c}" for c in (id_col, *carry)]
     size = text_bytes(docs, text_col)
-    ready = with_block(docs, id_col, size).select("block", F.col(id_col).cast("long").alias("_id"), as_utf8(text_col).alias("_text"), *names)
-    told = exchange(ready, _ask(n, ranges_for(size)), _answer)  # the same rows, so Spark deals the texts out once
-    fields = [docs.schema[c] for c in names]
-    schema = StructType([*fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", BinaryType())])
-    return ready.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_strip(n, names), schema)
+    dealt, blocks = with_block(docs, id_col, text_col, size, block_bytes)
+    ready = dealt.select("block", F.col(id_col).cast("long").alias("_id"), as_utf8(text_col).alias("_text"), *[F.col(c).alias(k) for c, k in zip(names, kept)]).repartition(blocks, "block")
+    ranges = ranges_for(size)
+    told = exchange(ready, ranges, _ask(n, ranges), _answer).repartition(blocks, "block")  # the same rows, so Spark deals the texts out once
+    fields = [StructField(k, docs.schema[c].dataType) for c, k in zip(names, kept)]
+    schema = StructType([*fields, StructField("_n_words", LongType()), StructField("_n_removed", LongType()), StructField("_kept", BinaryType())])
+    out = ready.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_strip(n, kept), schema)
+    return out.select(*[F.col(k).alias(c) for c, k in zip(names, kept)], F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("_kept").alias("kept"))

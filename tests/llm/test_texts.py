@@ -176,8 +176,9 @@ def test_blocks_of_two_levels_are_ranges_of_ids(spark, monkeypatch, broadcast):
     rng = np.random.default_rng(8)
     ids = [*(int(x) for x in rng.integers(0, 1 << 40, 500) ** 2 % (1 << 45)), *[77] * 40, None, None]
     df = spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string")
-    got = [(r["block"], r["doc_id"]) for r in _blocks.with_block(df, "doc_id", 0).collect()]
-    assert sorted(i for _, i in got if i is not None) == sorted(i for i in ids if i is not None) and [b for b, i in got if i is None] == [0, 0]
+    dealt, n = _blocks.with_block(df, "doc_id", "text", 16, 1)
+    got = [(r["block"], r["doc_id"]) for r in dealt.collect()]
+    assert n == 16 and sorted(i for _, i in got if i is not None) == sorted(i for i in ids if i is not None)
     known = sorted((i, b) for b, i in got if i is not None)
     assert [b for _, b in known] == sorted(b for _, b in known)  # blocks follow the ids
     assert len({b for i, b in known if i == 77}) == 1
@@ -186,17 +187,33 @@ def test_blocks_of_two_levels_are_ranges_of_ids(spark, monkeypatch, broadcast):
     shared = " ".join(f"w{i}" for i in range(20))
     data = [(int(i), f"x{k} {shared}" if k % 3 == 0 else f"y{k} z") for k, i in enumerate(dict.fromkeys(ids[:60]))] + [(None, shared)]
     docs = spark.createDataFrame(data, "doc_id long, text string")
-    assert repeat_rows(repeats.remove_repeats(docs)) == brute_repeats(data)
+    assert repeat_rows(repeats.remove_repeats(docs, block_bytes=100)) == brute_repeats(data)
 
 
-def test_automata_in_shards_find_the_same():
+def test_blocks_follow_bytes_and_null_ids_are_dealt_out(spark):
+    data = [(i, "x" * (200_000 if i < 20 else 100)) for i in range(420)] + [(None, f"n{i}") for i in range(400)]
+    dealt, n = _blocks.with_block(spark.createDataFrame(data, "doc_id long, text string"), "doc_id", "text", 4_000_000, 200_000)
+    rows_ = dealt.collect()
+    long = Counter(r["block"] for r in rows_ if r["doc_id"] is not None and r["doc_id"] < 20)
+    assert n == 20 and max(long.values()) <= 3 and len({r["block"] for r in rows_ if r["doc_id"] is None}) > 15
+
+
+def test_automata_alone_find_the_passages(spark, monkeypatch):
     rng = np.random.default_rng(6)
-    words = rng.integers(1, 50, 500).astype(np.uint64)
-    whole, cut = repeats.PassageLocator(13), repeats.PassageLocator(13, shard=7)
-    for x in (whole, cut):
-        x.compile([words], [np.arange(0, 400, 3)])
-    assert len(cut.machines) > 1 and (whole.candidates(words) == cut.candidates(words)).all()
-    assert set(range(0, 400, 3)) <= set(whole.candidates(words).tolist())
+    words = [b"%d" % x for x in rng.integers(1, 5000, 700)]
+    docs, ids = [words[:300], words[280:600] + words[50:90], words[500:], words[100:130]], [3, 5, 9, 11]
+    found = [repeats.RepeatedPassages(13, docs, ids, np.empty(0, dtype=np.uint64), shard=s) for s in (repeats.SHARD, 3)]
+    assert len(found[1].automata.machines) > len(found[0].automata.machines) == 1
+    covered = [x.covered() for x in found]
+    assert (covered[0] == covered[1]).all() and covered[0].sum() == 20 + 40 + 100 + 30
+    monkeypatch.setattr(repeats.PhraseAutomata, "hits", lambda self, words: np.empty(0, dtype=np.int64))
+    assert not found[0].covered().any()
+
+
+def test_windows_of_equal_hashes_are_compared_by_words(monkeypatch):
+    monkeypatch.setattr(repeats, "window_hashes", lambda hashes, n: np.zeros(max(0, len(hashes) - n + 1), dtype=np.uint64))
+    docs = [[b"a", b"b", b"c"], [b"x", b"y", b"z"], [b"a", b"b", b"c"]]
+    assert repeats.RepeatedPassages(3, docs, [1, 2, 3], np.empty(0, dtype=np.uint64)).covered().tolist() == [False] * 6 + [True] * 3
 
 
 @pytest.mark.parametrize("keys", [[], [5], [0, 1, 2**63, 2**64 - 1], list(range(0, 2**40, 2**30)), list(range(1000))])
