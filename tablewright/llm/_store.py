@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one is set only where none is named (single-machine tests)."""
+    """The folder of ``spark.checkpoint.dir``; only where none is named and the master is local, a temporary one is set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
+        jvm, master = spark.sparkContext._jsc.sc().getCheckpointDir(), spark.sparkContext.master
+        if not jvm.isDefined() and not master.split("[")[0] == "local":
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master: {master})")
         named = jvm.get() if jvm.isDefined() else tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named

@@ -2,7 +2,8 @@
 
 A turn's content is a list of parts. A visitor flattens them in order: text is escaped, image, audio and
 document parts become placeholders whose reference and expanded token count are recorded. Control strings
-inside texts are escaped by a character that is itself escaped, so the output can be read back exactly.
+inside texts are escaped by a character that is itself escaped, so the output can be read back exactly. Where two
+text parts meet, an escaped border keeps them apart, so no control string arises from their ends.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 #: Fixed values of the template. OPEN, ROLE_END and CLOSE never occur inside an escaped text.
 OPEN, ROLE_END, CLOSE, PART, PART_END = "<|turn|>", "<|says|>", "<|end|>", "<|part:", "|>"
 _ESCAPE = "\\"
+_BORDER = _ESCAPE + "p"
 _SPECIAL = re.compile(r"<\||\\|</?s>|\[/?INST\]|<</?SYS>>")
 
 
@@ -28,14 +30,22 @@ def escape(text: str) -> str:
     return _SPECIAL.sub(lambda m: _ESCAPE + "b" if m[0] == _ESCAPE else _ESCAPE + "c" + (_ESCAPE + "j").join(m[0]) + _ESCAPE + "e", text)
 
 
-def unescape(text: str) -> str:
-    out, i = [], 0
+def text_parts(text: str) -> list[str]:
+    """The text parts that an escaped run of them stands for."""
+    parts, out, i = [], [], 0
     while (j := text.find(_ESCAPE, i)) >= 0:
         out.append(text[i:j])
         if text[j + 1] == "b":
             out.append(_ESCAPE)
+        elif text[j + 1] == "p":
+            parts.append("".join(out))
+            out = []
         i = j + 2
-    return "".join(out) + text[i:]
+    return [*parts, "".join(out) + text[i:]]
+
+
+def unescape(text: str) -> str:
+    return "".join(text_parts(text))
 
 
 @dataclass
@@ -49,31 +59,43 @@ class Formatted:
 
 
 class PartVisitor:
-    """Parts are mappings with ``type``; sizes decide how many tokens a placeholder stands for."""
+    """Parts are mappings with ``type`` (none: text); sizes decide how many tokens a placeholder stands for.
+
+    A size that is absent, no number or not above 0 counts as the least one (no seconds are no tokens). A part of
+    another type is a placeholder of kind ``other`` without tokens, so nothing is lost and no job ends by it.
+    """
 
     patch, patches_a_row, audio_rate, page_tokens = 14, 2, 25, 256
+    most = (1 << 31) - 1
 
     def visit(self, part: dict, refs: list) -> str:
-        kind = str(part.get("type") or "text")
-        method = getattr(self, f"visit_{kind}", None)
-        if method is None:
-            raise ValueError(f"unknown content part: {kind}")
-        return method(part, refs)
+        return getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_other)(part, refs)
 
     def visit_text(self, part: dict, refs: list) -> str:
         return escape(part.get("text") or "")
 
     def visit_image(self, part: dict, refs: list) -> str:
         side = self.patch * self.patches_a_row
-        return self._placeholder("image", part, math.ceil((part.get("width") or side) / side) * math.ceil((part.get("height") or side) / side), refs)
+        return self._placeholder("image", part, math.ceil(self._size(part, "width", side) / side) * math.ceil(self._size(part, "height", side) / side), refs)
 
     def visit_audio(self, part: dict, refs: list) -> str:
-        return self._placeholder("audio", part, math.ceil((part.get("seconds") or 0) * self.audio_rate), refs)
+        return self._placeholder("audio", part, math.ceil(self._size(part, "seconds", 0) * self.audio_rate), refs)
 
     def visit_document(self, part: dict, refs: list) -> str:
-        return self._placeholder("document", part, (part.get("pages") or 1) * self.page_tokens, refs)
+        return self._placeholder("document", part, math.ceil(self._size(part, "pages", 1)) * self.page_tokens, refs)
+
+    def visit_other(self, part: dict, refs: list) -> str:
+        return self._placeholder("other", part, 0, refs)
+
+    def _size(self, part: dict, name: str, least: float) -> float:
+        try:
+            found = float(part.get(name) or 0)
+        except (TypeError, ValueError):
+            return least
+        return min(found, self.most) if found > 0 else least
 
     def _placeholder(self, kind: str, part: dict, tokens: int, refs: list) -> str:
+        tokens = min(tokens, self.most)
         refs.append((len(refs), kind, str(part.get("ref") or ""), tokens))
         return f"{PART}{kind}:{len(refs) - 1}:{tokens}{PART_END}"
 
@@ -82,7 +104,12 @@ def format_turn(role: str, parts: list[dict], visitor: PartVisitor | None = None
     """One turn; a conversation's text is its turns' texts in a row."""
     visitor, out = visitor or PartVisitor(), Formatted()
     head = OPEN + escape(role) + ROLE_END
-    body = "".join(visitor.visit(p, out.refs) for p in parts)
+    said, before = [], None
+    for part in parts:
+        kind = part.get("type") or "text"
+        said += [_BORDER] * (kind == before == "text") + [visitor.visit(part, out.refs)]
+        before = kind
+    body = "".join(said)
     out.text = head + body + CLOSE
     out.spans = [(role, len(head), len(head) + len(body))]
     out.mask = list((a, b) for r, a, b in out.spans if r in learn)
@@ -103,7 +130,10 @@ def format_conversation(turns: list[tuple[str, list[dict]]], **how) -> Formatted
 
 
 def read_back(formatted: str) -> Iterator[tuple[str, list[tuple[str, str]]]]:
-    """(role, parts) of every turn of an output; parts are ("text", text) or (kind, "index:tokens")."""
+    """(role, parts) of every turn of an output; parts are ("text", text) or (kind, "index:tokens").
+
+    An empty text next to a placeholder leaves no trace and is not read back.
+    """
     i = 0
     while i < len(formatted):
         if not formatted.startswith(OPEN, i):
@@ -113,13 +143,13 @@ def read_back(formatted: str) -> Iterator[tuple[str, list[tuple[str, str]]]]:
         body, parts, at = formatted[says + len(ROLE_END) : end], [], 0
         while (p := body.find(PART, at)) >= 0:
             if p > at:
-                parts.append(("text", unescape(body[at:p])))
+                parts += [("text", t) for t in text_parts(body[at:p])]
             stop = body.index(PART_END, p)
             kind, rest = body[p + len(PART) : stop].split(":", 1)
             parts.append((kind, rest))
             at = stop + len(PART_END)
         if at < len(body) or not parts:
-            parts.append(("text", unescape(body[at:])))
+            parts += [("text", t) for t in text_parts(body[at:])]
         yield unescape(formatted[i + len(OPEN) : says]), parts
         i = end + len(CLOSE)
 
@@ -131,7 +161,9 @@ def format_rows(conversations: DataFrame) -> DataFrame:
     """Each row of ``(conv_id, turn, role, text)``, or with ``parts`` (an array of structs with ``type``), formatted.
 
     Mask spans and reference numbers count from the turn's own start. A null text, role or part list is an
-    empty one. One pass without shuffle: the longest conversation costs no more memory than its longest turn.
+    empty one, parts of unknown types and sizes as :class:`PartVisitor` says. Repeated rows are formatted each time,
+    an empty table gives no rows, other columns play no part. One pass without shuffle: the longest conversation
+    costs no more memory than its longest turn.
     """
     content = F.col("parts") if "parts" in conversations.columns else F.array(F.struct(F.lit("text").alias("type"), F.col("text").cast("string").alias("text")))
     ready = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(content, F.array()).alias("parts") if "parts" in conversations.columns else content.alias("parts"))
@@ -154,6 +186,7 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 def digest_conversations(formatted: DataFrame) -> DataFrame:
     """What the formatted turns say when read back, a row for each conversation; turns in order, ties by their text.
 
+    A null ``conv_id`` is a conversation of its own, null turns come first in theirs, repeated rows are turns each.
     Rows of a conversation are sorted into one task but streamed through running hashes, never gathered.
     """
 

@@ -1,7 +1,7 @@
 """Exact top-k inner products with a KD-tree per shard.
 
-Every shard of the candidates gets one tree: median splits along the widest side, tight bounding boxes at
-every node. A query descends best-first: the heap holds nodes by the largest inner product that a point of
+Every shard of the candidates gets one tree, through which all queries stream: median splits along the widest
+side, tight bounding boxes at every node. A query descends best-first: the heap holds nodes by the largest inner product that a point of
 their box can reach, and the search ends when that bound falls below the k-th score. A first round runs
 each query in one shard only; its k-th score is propagated to all other shards, which then cut boxes by it.
 Bounds are compared with ``<``, so equal scores are still visited and ties go to the smaller id.
@@ -27,8 +27,8 @@ LEAF = 128
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int = 1024) -> DataFrame:
     """``(vec_id, q array<long>, dim)`` with components floor(scale * x) in double.
 
-    Null vectors, empty ones and vectors with a null or non-finite component are left out. Products stay
-    whole numbers: components are held inside the 64-bit range by the cast.
+    Null ids, null vectors, empty ones and vectors with a null or non-finite component are left out. Components
+    beyond the 64-bit range are held at its ends.
     """
     x = F.col(vec_col).cast("array<double>")
     usable = F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -62,8 +62,8 @@ class KDTree:
         return np.maximum(q * self.lo[node], q * self.hi[node]).sum()
 
     def search(self, q: np.ndarray, ids: np.ndarray, own: int, k: int, floor=None) -> list[tuple]:
-        """At most ``k`` pairs (score, id) that reach ``floor``: largest score first, ties to smaller ids."""
-        best: list[tuple] = []  # a heap of (score, -id), least first
+        """At most ``k`` pairs (score, row) that reach ``floor``: largest score first, ties to smaller ids."""
+        best: list[tuple] = []  # a heap of (score, -id, row), least first
         if not self.lo:
             return best
         todo = [(-self.bound(0, q), 0)]
@@ -86,73 +86,108 @@ class KDTree:
             if len(rows) > k:
                 pick = np.lexsort((ids[rows], -scores))[:k]
                 rows, scores = rows[pick], scores[pick]
-            for s, i in zip(scores.tolist(), ids[rows].tolist()):
+            for found in zip(scores.tolist(), (-ids[rows]).tolist(), rows.tolist()):
                 if len(best) < k:
-                    heapq.heappush(best, (s, -i))
-                elif (s, -i) > best[0]:
-                    heapq.heapreplace(best, (s, -i))
-        return sorted(((s, -i) for s, i in best), key=lambda x: (-x[0], x[1]))
+                    heapq.heappush(best, found)
+                elif found > best[0]:
+                    heapq.heapreplace(best, found)
+        return [(s, row) for s, _, row in sorted(best, reverse=True)]
 
 
-def _matrix(col: pa.ChunkedArray, dim: int, wide: bool) -> np.ndarray:
-    flat = col.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+def _matrix(col: pa.Array, dim: int, wide: bool) -> np.ndarray:
+    flat = col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
     return flat.astype(object) if wide else flat.astype(np.float64)
 
 
-def _wide(*cols: pa.ChunkedArray) -> bool:
-    """Whether products could leave the whole numbers that doubles hold; then Python's integers are used."""
-    top, dim = [], 1
-    for c in cols:
-        flat = c.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        top.append(float(np.abs(flat.astype(np.float64)).max()) if len(flat) else 0.0)
-        dim = max(dim, len(flat) // max(1, len(c)))
-    return top[0] * top[1] * dim >= 2**52
-
-
-def _search_shard(k: int):
-    def run(points: pa.Table, queries: pa.Table) -> pa.Table:
-        queries = queries.rename_columns([c.removeprefix("ask_") for c in queries.column_names])
-        out: list[tuple] = []
-        if points.num_rows and queries.num_rows:
-            dim, wide = points.column("dim")[0].as_py(), _wide(points.column("q"), queries.column("q"))
-            ids = points.column("vec_id").to_numpy()
-            tree = KDTree(_matrix(points.column("q"), dim, wide))
-            floors = queries.column("floor").to_pylist()
-            asks = _matrix(queries.column("q"), dim, wide)
-            for query, own, floor in zip(asks, queries.column("vec_id").to_pylist(), floors):
-                out += [(own, i, max(-(2**63), min(2**63 - 1, int(s)))) for s, i in tree.search(query, ids, own, k, floor)]
-        cols = list(zip(*out)) if out else [(), (), ()]
-        return pa.table({n: pa.array(c, type=pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols)})
+def _top(col: pa.Array) -> float:
+    flat = col.flatten().to_numpy(zero_copy_only=False)
+    return float(np.abs(flat.astype(np.float64)).max()) if len(flat) else 0.0
+
+
+class _Shard:
+    """A shard's points, of which a tree is built when the first query comes: once, in doubles or in Python's integers."""
+
+    def __init__(self, dim: int):
+        self.dim, self.q, self.ids, self.copies, self.trees = dim, [], [], [], {}
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        self.q.append(rows.column("q"))
+        self.ids.append(rows.column("vec_id").to_numpy())
+        self.copies.append(rows.column("copies").to_numpy())
+
+    def search(self, rows: pa.RecordBatch, k: int) -> list[tuple]:
+        if not self.ids:
+            return []
+        if not self.trees:
+            self.points, self.ids, self.copies = pa.concat_arrays(self.q), [np.concatenate(self.ids)], [np.concatenate(self.copies)]
+            self.top = _top(self.points)
+        wide = self.top * _top(rows.column("q")) * self.dim >= 2**52  # beyond the whole numbers that doubles hold
+        if wide not in self.trees:
+            self.trees[wide] = KDTree(_matrix(self.points, self.dim, wide))
+        out, ids, copies = [], self.ids[0], self.copies[0]
+        for query, own, key, floor in zip(_matrix(rows.column("q"), self.dim, wide), rows.column("vec_id").to_pylist(), rows.column("ask").to_pylist(), rows.column("floor").to_pylist()):
+            for s, at in self.trees[wide].search(query, ids, own, k, floor):
+                out.append((own, key, int(ids[at]), max(-(2**63), min(2**63 - 1, int(s))), int(copies[at])))
+        return out
+
+
+_FOUND = "query_id long, ask long, vec_id long, score long, copies long"
+
+
+def _stream(k: int):
+    def run(batches):
+        """Rows come shard by shard, its points first, then its queries."""
+        names, key, shard = [c.split()[0] for c in _FOUND.split(", ")], None, None
+        for batch in batches:
+            marks = np.stack([batch.column(c).to_numpy() for c in ("dim", "shard", "kind")])
+            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            found: list[tuple] = []
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                dim, number, kind = marks[:, a].tolist()
+                if (dim, number) != key:
+                    key, shard = (dim, number), _Shard(dim)
+                if kind == 0:
+                    shard.add(batch.slice(a, b - a))
+                else:
+                    found += shard.search(batch.slice(a, b - a), k)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=names)
 
     return run
 
 
-def top_k(queries: DataFrame, points: DataFrame, k: int = 10, shard_rows: int = 8_192, query_rows: int = 2_048) -> DataFrame:
+def top_k(queries: DataFrame, points: DataFrame, k: int = 10, shard_rows: int = 8_192) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's ``k`` best other points, all if there are fewer.
 
-    Both sides as from :func:`quantised`. A point with the query's own id is no candidate; vectors of
-    another dimension than the query's take no part in it. Repeated rows stay separate candidates. Shards
-    hold about ``shard_rows`` points and meet the queries in blocks of ``query_rows``, so a task's memory
-    is bounded and no side is broadcast. Work is queries times points by the statement of the search; data
-    moved is points times query blocks plus queries times shards. Empty tables give no rows.
+    Both sides as from :func:`quantised`. A point with the query's own id is no candidate; vectors of another
+    dimension than the query's take no part in it. Repeated points stay separate candidates (they are searched
+    once and counted as often as they occur), repeated queries are asked once, and queries of one id with other
+    vectors have ranks of their own. Equal scores go to the smaller id. Scores beyond 64 bits are held at the
+    range's ends; such points rank by their true scores, and among points of one held score by id. Empty tables
+    give no rows; other columns play no part.
+
+    Shards hold about ``shard_rows`` points, dealt by id and vector; a task keeps one shard's tree and streams all
+    queries through it, so no side is broadcast. Work is queries times points by the statement of the search;
+    data moved is every point twice plus queries times shards.
     """
-    n, asked = points.count(), queries.count()
+    counted = checkpoint(points.groupBy("vec_id", "q", "dim").agg(F.least(F.count("*"), F.lit(k)).alias("copies")))
+    asks = checkpoint(queries.select("vec_id", "q", "dim").distinct().withColumn("ask", F.xxhash64("q")))
+    n = counted.count()
     shards = max(min(2 * shuffle_partitions(points), math.ceil(n / 256)), math.ceil(n / shard_rows), 1)
-    blocks = max(1, math.ceil(asked / query_rows))
-    home = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int")
-    sharded = points.withColumn("shard", home)
-    numbered = queries.withColumn("qblock", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int"))
-    spread = sharded.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys, schema = ["dim", "shard", "qblock"], "query_id long, vec_id long, score long"
-
-    def run(asks: DataFrame) -> DataFrame:
-        renamed = asks.select(*[F.col(c).alias(f"ask_{c}") for c in asks.columns])
-        return spread.groupBy(*keys).cogroup(renamed.groupBy(*[f"ask_{c}" for c in keys])).applyInArrow(_search_shard(k), schema)
-
-    pilot = checkpoint(run(numbered.withColumn("shard", home).withColumn("floor", F.lit(None).cast("long"))))
-    known = pilot.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("_n")).where(F.col("_n") >= k)
-    floors = numbered.join(known.select(F.col("query_id").alias("vec_id"), "floor"), "vec_id", "left")
-    others = floors.withColumn("home", home).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home").drop("home")
-    found = pilot.unionByName(run(others))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    home = F.pmod(F.xxhash64("vec_id", "q"), F.lit(shards)).cast("int")
+    none = F.lit(None).cast("long")
+    stored = counted.select("dim", home.alias("shard"), F.lit(0).alias("kind"), "vec_id", "q", "copies", none.alias("ask"), none.alias("floor"))
+
+    def run(asked: DataFrame) -> DataFrame:
+        rows = stored.unionByName(asked.select("dim", "shard", F.lit(1).alias("kind"), "vec_id", "q", none.alias("copies"), "ask", "floor"))
+        return rows.repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "kind").mapInArrow(_stream(k), _FOUND)
+
+    ask = ["query_id", "ask"]
+    pilot = checkpoint(run(asks.withColumn("shard", home).withColumn("floor", none)))
+    known = pilot.groupBy(*ask).agg(F.min("score").alias("floor"), F.count("*").alias("_n")).where(F.col("_n") >= k).drop("_n").withColumnRenamed("query_id", "vec_id")
+    others = asks.join(known, ["vec_id", "ask"], "left").withColumn("home", home).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home").drop("home")
+    found = pilot.unionByName(run(others)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    order = Window.partitionBy(*ask).orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

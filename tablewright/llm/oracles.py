@@ -12,11 +12,13 @@ WITH v AS (
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), a AS (
+  SELECT DISTINCT vec_id, q FROM v WHERE vec_id % 100 = 0
 ), s AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+  SELECT a.vec_id AS query_id, a.q AS asked, b.vec_id AS vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, asked ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
@@ -66,4 +68,89 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM x
 """
 
-ORACLES = {"op1_topk": TOPK, "op2_urls": URLS, "op5_mix": MIX}
+#: The control strings of the chat template in the order in which they are escaped, the escape character first.
+_CONTROLS = ("<|", "</s>", "<s>", "[/INST]", "[INST]", "<</SYS>>", "<<SYS>>")
+
+
+def _escaped(column: str) -> str:
+    out = f"replace({column}, '\\', '\\b')"
+    for c in _CONTROLS:
+        out = f"replace({out}, '{c}', '\\c{(chr(92) + 'j').join(c)}\\e')"
+    return out
+
+
+CHAT = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), f AS (
+  SELECT *, '<|turn|>' || {_escaped('role')} || '<|says|>' || {_escaped('text')} || '<|end|>' AS formatted FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, formatted)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, formatted) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(formatted)) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+#: Links of a table ``l(a, b)`` of both directions to the smallest number that each node reaches.
+_REACHED = """r(node, low) AS (
+  SELECT a, least(a, min(b)) FROM l GROUP BY a
+  UNION
+  SELECT l.a, min(r.low) FROM r JOIN l ON l.b = r.node GROUP BY l.a
+), p AS (SELECT node, min(low) AS component_id FROM r GROUP BY node)"""
+
+NEAR_VECTORS = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), u AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS size FROM v
+), l AS MATERIALIZED (
+  SELECT s.vec_id AS a, t.vec_id AS b FROM u s JOIN u t ON s.vec_id <> t.vec_id AND len(s.x) = len(t.x)
+  WHERE list_dot_product(s.x, t.x) / (s.size * t.size) >= 0.9
+), {_REACHED}, n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(p.component_id, e.vec_id) AS component_id, coalesce(p.component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN p ON p.node = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
+
+REPEATS = rf"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, {_WORDS.format('text')} AS w FROM documents
+), k AS MATERIALIZED (
+  SELECT doc_id, i, list_slice(w, i, i + 12) AS win FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13)
+), f AS (SELECT win, min(doc_id) AS first FROM k GROUP BY win HAVING min(doc_id) < max(doc_id)
+), g AS (
+  SELECT doc_id, list_distinct(flatten(list(generate_series(i, i + 12)))) AS gone FROM k JOIN f USING (win) WHERE first < doc_id GROUP BY doc_id
+), x AS (
+  SELECT d.doc_id, d.w, coalesce(g.gone, []) AS gone FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+), h AS (
+  SELECT doc_id, list_aggregate(list(word ORDER BY i), 'string_agg', ' ') AS kept FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM x) t
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id AS gd, unnest(gone) AS gi FROM x) q WHERE q.gd = t.doc_id AND q.gi = t.i) GROUP BY doc_id
+)
+SELECT x.doc_id, CAST(len(x.w) AS BIGINT) AS n_words, CAST(len(x.gone) AS BIGINT) AS n_removed, sha256(coalesce(h.kept, '')) AS kept_sha256
+FROM x LEFT JOIN h ON h.doc_id = x.doc_id
+"""
+
+JACCARD = rf"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, {_WORDS.format('text')} AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, list_sort(list_distinct(list_transform(generate_series(1, greatest(1, len(w) - 4)), lambda i: list_slice(w, i, i + 4)))) AS grams FROM d WHERE len(w) > 0
+), c AS MATERIALIZED (SELECT grams, min(doc_id) AS class_id, count(*) AS copies FROM s GROUP BY grams
+), g AS (SELECT class_id, len(grams) AS n, unnest(grams) AS gram FROM c
+), m AS (
+  SELECT x.class_id AS a, y.class_id AS b FROM g x JOIN g y ON x.gram = y.gram AND x.class_id < y.class_id
+  GROUP BY 1, 2 HAVING 5 * count(*) >= 4 * (any_value(x.n) + any_value(y.n) - count(*))
+), l AS MATERIALIZED (SELECT a, b FROM m UNION ALL SELECT b, a FROM m
+), {_REACHED}, n AS (SELECT a, sum(copies) AS n FROM l JOIN c ON c.class_id = l.b GROUP BY a)
+SELECT e.doc_id, coalesce(c.class_id, e.doc_id) AS class_id, CAST(coalesce(n.n, 0) + coalesce(c.copies - 1, 0) AS BIGINT) AS n_links,
+  coalesce(p.component_id, c.class_id, e.doc_id) AS component_id, coalesce(p.component_id, c.class_id, e.doc_id) = e.doc_id AS kept
+FROM documents e LEFT JOIN s ON s.doc_id = e.doc_id LEFT JOIN c ON c.grams = s.grams LEFT JOIN p ON p.node = c.class_id LEFT JOIN n ON n.a = c.class_id
+"""
+
+#: Ids are distinct in the tables of these; texts and vectors are whole.
+ORACLES = {
+    "op1_topk": TOPK, "op2_urls": URLS, "op4_chat": CHAT, "op5_mix": MIX, "op6_neardup_vectors": NEAR_VECTORS, "op8_repeats": REPEATS,
+    "op9_jaccard": JACCARD,
+}

@@ -67,7 +67,9 @@ class ChunkTable(dict):
 
 
 def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = True) -> DataFrame:
-    """Every whole text's ids and decoded form; a null text is an empty one.
+    """Every whole text's ids and decoded form; a null text is an empty one, repeated rows are encoded each.
+
+    An empty table gives no rows; other columns, of any name, play no part.
 
     With ``digests`` the columns are ``(id, n_tokens, ids_sha256, decoded_sha256)``, else ``(id, n_tokens,
     ids array<int>, decoded)``. ``model_file`` is a path on every executor. One pass, no shuffle: the table

@@ -1,7 +1,7 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained by FTRL-proximal.
 
 A text's features are counts, as shares of its words, of hashed 1- and 2-grams over two views of each word:
-the word in lower case, and its shape (runs of capitals, letters, digits, other marks), where a word equal to
+the word with A-Z in lower case, and its shape (runs of capitals, letters, digits, other marks), where a word equal to
 the one before it has a shape of its own. A score is a sparse dot product through the logistic function.
 """
 
@@ -42,12 +42,12 @@ def shape_of(word: str) -> str:
     """Kinds of the word's runs of characters: ``A`` capitals, ``Aa`` / ``a`` letters, ``9`` digits, marks as they are, once."""
     out = []
     for caps, letters, digits, marks in _RUNS.findall(word):
-        out.append("A" if len(caps) > 1 else "C" if caps else "a" if letters else "9" if digits else "".join(sorted(set(marks)))[:4])
-    return "".join(out)[:12]
+        out.append("A" if len(caps) > 1 else "C" if caps else "a" if letters else "9" if digits else "".join(sorted(set(marks))))
+    return "".join(out)
 
 
 class Features(dict):
-    """word -> (hash of the word in lower case, hash of its shape)."""
+    """word -> (hash of the word with A-Z in lower case, hash of its shape)."""
 
     def __init__(self, bits: int, limit: int = 200_000):
         super().__init__()
@@ -108,12 +108,14 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
     The sample is those of the least seeded hash among the rows of ``labels`` that ``allowed`` admits and
     whose label is 0 or 1; only their ids (a bounded table) are broadcast to pick the texts, and only their
     features come to the driver, all of them: partition by partition into a temporary file, from which they
-    are learnt row by row. Of a document labelled more than once the lowest label holds. Without
-    labelled rows all weights are 0.
+    are learnt row by row. Of a document labelled more than once the lowest label holds, of several texts of one
+    id the least by its bytes, so no more than ``train_rows`` rows come to the driver however often ids repeat.
+    Null texts are empty ones. Without labelled rows, or without documents, all weights are 0.
     """
     rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (allowed if allowed is not None else F.lit(True)))
     picked = rows.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_y")).withColumn("_rank", F.xxhash64(F.col("_id").cast("string"), F.lit(settings.seed))).orderBy("_rank", "_id").limit(settings.train_rows)
-    sample = docs.join(F.broadcast(picked), F.col(id_col) == F.col("_id")).select(F.col("_rank").alias("rank"), F.col("_y").cast("int").alias("y"), as_utf8(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("_doc"), F.coalesce(as_utf8(text_col), F.lit(b"")).alias("text")).join(F.broadcast(picked), F.col("_doc") == F.col("_id"))
+    sample = texts.groupBy(F.col("_id"), F.col("_rank").alias("rank"), F.col("_y").cast("int").alias("y")).agg(F.min("text").alias("text")).drop("_id")
 
     def run(batches):
         features = Features(settings.bits)
@@ -145,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
 def score(docs: DataFrame, weights: np.ndarray, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """``(id, score)`` and the ``carry`` columns for every row; null and empty texts are scored by the bias.
 
-    ``weights`` (2 ** bits doubles, a fixed size) travel with the task. One pass, no shuffle.
+    Repeated rows are scored each time, rows of equal texts alike; an empty table gives no rows. ``weights`` (2 ** bits doubles, a fixed size) travel with the task. One pass, no shuffle.
     """
     fields = docs.select(F.col(id_col).alias(id_col), *carry).schema.fields
 

@@ -20,15 +20,26 @@ def vec_table(spark, data):
 
 
 def brute_topk(data, k=10):
-    good = {i: np.floor(1024 * np.array(v, dtype=np.float32).astype(float)).astype(object) for i, v, _ in data if v and all(x is not None and np.isfinite(x) for x in v)}
+    good = [(i, np.floor(1024 * np.array(v, dtype=np.float32).astype(float)).astype(object)) for i, v, _ in data if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q in good:
+    for q, x in {(i, tuple(v)) for i, v in good}:
         if q % 100 == 0:
-            best = sorted((-int(good[q] @ good[i]), i) for i in good if i != q and len(good[i]) == len(good[q]))[:k]
+            best = sorted((-int(np.array(x, dtype=object) @ v), i) for i, v in good if i != q and len(v) == len(x))[:k]
             out += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
     return sorted(out, key=repr)
 
 
+def test_topk_of_repeated_rows(spark):
+    rng = np.random.default_rng(3)
+    data = [(i, rng.integers(-2, 3, 4).astype(float).tolist(), 0) for i in range(60)]
+    data += [data[0], data[0], data[5], data[5], data[7], (0, [1.0, 1.0, 2.0, 2.0], 0), (5, [2.0, 2.0, 2.0, 2.0], 0), (None, [9.0] * 4, 0)] + [(8, [2.0, 2.0, 2.0, 1.0], 0)] * 30
+    cols = "vec_id long, embedding array<float>, label int, q int, dim int, shard int, ask int, floor int, copies int, home int"
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4, 5, 6, 7) for r in data], cols)
+    points = knn.quantised(df, "vec_id", "embedding")
+    for size in (8, 8192):
+        assert rows(knn.top_k(points.where("vec_id % 100 = 0"), points, shard_rows=size)) == brute_topk(data)
+
+
 def test_topk_with_ties_and_unusable_vectors(spark):
     rng = np.random.default_rng(0)
     data = [(i, rng.integers(-2, 3, 6).astype(float).tolist(), 0) for i in range(420)]
@@ -56,14 +67,14 @@ def test_tree_prunes(spark):
     tree = knn.KDTree(points)
     q, ids = np.array([1.0, 0, 0, 0]), np.arange(1000)
     best = tree.search(q, ids, -1, 10)
-    assert [i for _, i in best] == np.lexsort((ids, -(points @ q)))[:10].tolist()
+    assert [ids[i] for _, i in best] == np.lexsort((ids, -(points @ q)))[:10].tolist()
     assert tree.search(q, ids, -1, 10, floor=1e9) == []
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got = QUERIES[name](spark, sf)
     want = con.execute(ORACLES[name]).fetchdf()[got.columns]
