@@ -149,15 +149,18 @@ def score(docs: DataFrame, weights: np.ndarray, settings: Settings = Settings(),
 
     Repeated rows are scored each time, rows of equal texts alike; an empty table gives no rows. ``weights`` (2 ** bits doubles, a fixed size) travel with the task. One pass, no shuffle.
     """
-    fields = docs.select(F.col(id_col).alias(id_col), *carry).schema.fields
+    from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
+
+    others = [c for c in carry if c != text_col]
+    fields = [*docs.select(id_col, *others).schema.fields, *([StructField("_text", BinaryType())] if text_col in carry else [])]
 
     def run(batches):
         features, bias = Features(settings.bits), weights[-1]
         for b in batches:
             z = np.array([float(weights[at] @ x) + bias for at, x in map(features.of, b.column("_text").to_pylist())], dtype=float)
             kept = [b.column(f.name) for f in fields]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))), pa.float64())], names=[*[f.name for f in fields], "score"])
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))), pa.float64())], names=[*[f.name for f in fields], "_score"])
 
-    return docs.select(id_col, *carry, as_utf8(text_col).alias("_text")).mapInArrow(run, StructType([*fields, StructField("score", DoubleType())]))
+    scored = docs.select(id_col, *others, as_utf8(text_col).alias("_text")).mapInArrow(run, StructType([*fields, StructField("_score", DoubleType())]))
+    shown = [F.col("_text").cast("string").alias(c) if c == text_col else F.col(c) for c in carry]
+    return scored.select(id_col, *shown, F.col("_score").alias("score"))  # a carried text goes to Python and back once

@@ -179,27 +179,31 @@ class RepeatedPassages:
         return np.cumsum(change[:-1]) > 0
 
 
-def _strip(n: int, names: list[str]):
+def _strip(n: int, names: list[str], keep_form: bool):
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        documents = [split_words(t) for t in docs.column("_text").to_pylist()]
+        texts = docs.column("_text").to_pylist()
+        documents = [split_words(t) for t in texts]
         earlier = np.sort(np.concatenate([unpack(b) for b in told.column("keys").to_pylist()])) if told.num_rows else np.empty(0, dtype=np.uint64)
         passages = RepeatedPassages(n, documents, docs.column("_id").to_pylist(), earlier)
         covered, kept = passages.covered(), []
         total = np.concatenate([[0], np.cumsum(covered)])
         removed = total[passages.ends] - total[passages.ends - passages.sizes]
-        for words, end, gone in zip(documents, passages.ends.tolist(), removed.tolist()):
-            kept.append(b" ".join(words if not gone else [w for w, g in zip(words, covered[end - len(words) : end].tolist()) if not g]))
+        for text, words, end, gone in zip(texts, documents, passages.ends.tolist(), removed.tolist()):
+            if gone:
+                words = [w for w, g in zip(words, covered[end - len(words) : end].tolist()) if not g]
+            kept.append(text if keep_form and not gone else b" ".join(words))
         out = [docs.column(c).combine_chunks() for c in names]
         return pa.Table.from_arrays([*out, pa.array(passages.sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=[*names, "_n_words", "_n_removed", "_kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), keep_form: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(id, carry columns, n_words, n_removed, kept binary)``, a row for every row of ``docs``.
 
     A word goes if a window of ``n`` words that covers it also starts in a document of a smaller id; windows
-    are those of the input. ``kept`` holds the other words joined by one blank. Rows of one id are one
+    are those of the input. ``kept`` holds the other words joined by one blank; with ``keep_form`` a text that loses
+    nothing stays as it is, null included. Rows of one id are one
     document, so they never count as earlier than each other; a null id counts for nobody and loses nothing.
     Null and empty texts have no words; an empty table gives no rows. Windows of different blocks meet as 64-bit
     hashes, inside a block they are compared word by word; a text is never split over tasks.
@@ -212,5 +216,5 @@ def remove_repeats(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_co
     told = exchange(ready, ranges, _ask(n, ranges), _answer).repartition(blocks, "block")  # the same rows, so Spark deals the texts out once
     fields = [StructField(k, docs.schema[c].dataType) for c, k in zip(names, kept)]
     schema = StructType([*fields, StructField("_n_words", LongType()), StructField("_n_removed", LongType()), StructField("_kept", BinaryType())])
-    out = ready.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_strip(n, kept), schema)
+    out = ready.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_strip(n, kept, keep_form), schema)
     return out.select(*[F.col(k).alias(c) for c, k in zip(names, kept)], F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("_kept").alias("kept"))

@@ -635,3 +635,30 @@ def test_pipeline_against_brute_force(spark, sf):
     assert words == Counter({i: n for i, n in taken.items() if n})
     out = cp.run(spark, sf)
     assert out.count() == mixed.count() and set(out.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf, tmp_path):
+    import corpus_pipeline as cp
+
+    long = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna"
+    odd = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "x " * 20_000, "en", "s", 40_000), (None, long, "en", None, 9), (None, long, "en", None, 9)]
+    odd += [(4, long + " a", "en", "s", 1), (4, long + " a", "de", "s", 1), (5, long + " b", "en", "t", 1), (6, long + " a", "en", "t", 1)]
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    extra = ", score double, block int, kept string, size long, class_id int, print int, turn int"
+    docs = spark.createDataFrame([(*r, 0.5, 1, "k", 9, 9, 9, 9) for r in odd], names + extra)
+    for name, stage in cp.STAGES:
+        out, none = stage(spark, docs, sf), stage(spark, docs.limit(0), sf)
+        assert none.count() == 0 and none.dtypes == out.dtypes, name
+        first, again = sorted(map(tuple, out.collect()), key=repr), sorted(map(tuple, stage(spark, docs.repartition(3), sf).collect()), key=repr)
+        assert first == again, name
+        if stage is not cp.tokenize:
+            assert out.columns == list(cp.COLUMNS), name
+    kept = sorted(map(tuple, cp.drop_near_copies(spark, docs, sf).collect()), key=repr)
+    assert kept == sorted([*odd[:5], odd[6]], key=repr)  # of 4, 4, 5 and 6 the least row of the smallest id
+    cut = {(r["doc_id"], r["text"]) for r in cp.drop_passages(spark, docs, sf).collect()}
+    assert cut == {(1, None), (2, ""), (3, odd[2][1]), (None, long), (4, long + " a"), (5, "b")}
+    words = Counter()
+    for r in cp.mix_sources(spark, docs, sf).collect():
+        words[r["source"]] += len(WORD.findall(r["text"]))
+    assert set(words) == {None, "s", "t"} and words["t"] <= 3 * 38 and words[None] <= 3 * 36
+    assert sum(r["n_tokens"] == 0 for r in cp.tokenize(spark, docs, sf).collect()) == 2
