@@ -19,36 +19,52 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a score of 0.7 or more; the classifier learns from the labels outside the held-out fold."""
+    """Documents of a score of 0.7 or more; the classifier learns from the labels outside the held-out fold.
+
+    Null and empty texts are scored by the bias alone; repeated rows share their score and stay or go together. An
+    empty table gives an empty one; only the columns of ``documents`` go on.
+    """
     weights = quality.train(docs, table(spark, sf_dir, "labels"), allowed=quality.remainder(F.col("doc_id"), 4) != 2)
-    # the texts do not pass through Python twice: they ride along and the score decides
-    return quality.score(docs.withColumn("_body", F.col("text")), weights, text_col="_body", carry=COLUMNS[1:]).where("score >= 0.7").select(*COLUMNS)
+    return quality.score(docs, weights, carry=COLUMNS[1:]).where("score >= 0.7").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a 5-gram Jaccard similarity of 0.8 or more, the one of the smallest id."""
-    return jaccard.keep_one(docs).dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    """Of documents linked by a 5-gram Jaccard similarity of 0.8 or more, the one of the smallest id.
+
+    Of repeated rows of one id and text the least row stays, so reruns agree. Texts without words and rows without an
+    id link with nothing and stay. Columns beside those of ``documents`` do not go on.
+    """
+    return jaccard.keep_one(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 13 words and more that an earlier document holds; untouched ones keep their form."""
-    out = repeats.remove_repeats(docs, carry=COLUMNS[1:])
-    text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("text"))
+    """Texts without the passages of 13 words and more that an earlier document holds; untouched ones keep their form.
+
+    A document that loses all its words goes. Null and empty texts and rows without an id lose nothing; repeated rows
+    of one id are one document and cut nothing from each other.
+    """
+    out = repeats.remove_repeats(docs, carry=("lang", "source", "n_chars"), keep_form=True)
+    text = F.col("kept").cast("string")
     left = out.where("n_removed = 0 or n_removed < n_words")
     return left.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it; a last partial repetition holds its first words."""
+    """Each document as often as the mixture takes it; a last partial repetition holds its first words.
+
+    Documents of which nothing is taken, those without words among them, go. A null source is a source of its own;
+    repeated rows are documents each.
+    """
     mixed = mixing.mix(docs, mixing.cycled_weights, seed=SEED, carry=("text", "lang", "source", "n_chars")).where("taken > 0")
-    turns = mixed.withColumn("turn", F.explode(F.sequence(F.lit(0), F.expr("int((taken - 1) div size)"))))
-    words = F.least(F.col("size"), F.col("taken") - F.col("turn") * F.col("size"))
+    turns = mixed.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.expr("int((taken - 1) div size)"))))
+    words = F.least(F.col("size"), F.col("taken") - F.col("_turn") * F.col("size"))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD_PATTERN), 0), 1, words.cast("int")), " ")
     text = F.when(words < F.col("size"), cut).otherwise(F.col("text"))
     return turns.select("doc_id", text.alias("text"), "lang", "source", F.when(words < F.col("size"), F.length(text)).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every text's number of ids and the digests of its ids and of what they decode to; null texts are empty ones."""
     return pieces.encode_decode(docs, tokenizer_file())
 
 
