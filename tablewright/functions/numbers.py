@@ -84,6 +84,7 @@ def date_key(date: str | Column, other: str | Column) -> tuple[Column, Column]:
 
 
 def _compiled() -> list:
+    # fixed values: what each field of a date form looks like
     names = {"%A": r"\w+", "%B": r"\w+", "%Y": r"\d{4}", "%b": r"\w{3}", "%d": r"\d{1,2}", "%m": r"\d{1,2}"}
     return [(f, fields, re.compile("^" + re.sub("%[ABYbdm]", lambda m: names[m[0]], re.escape(f).replace("\\ ", r"\s+")) + "$")) for f, fields in DATE_FORMS]
 
@@ -100,7 +101,8 @@ def read_date(text: str) -> dict | None:
     for form, fields, shape in _FORMS:
         if shape.match(text):
             try:
-                d = datetime.datetime.strptime(text, form)
+                # a form without a year is read in a leap year inside the range, so 29 February is a date
+                d = datetime.datetime.strptime(text, form) if "y" in fields else datetime.datetime.strptime(f"{text} 2000", f"{form} %Y")
             except ValueError:
                 continue
             if FIRST_YEAR <= d.year <= LAST_YEAR:

@@ -22,13 +22,20 @@ def keep_first(df: DataFrame, key: list[str], order: list) -> DataFrame:
 def similar_pairs(items: DataFrame, key: str, item: str, grams: str, threshold: float, compatible: Column | None = None) -> DataFrame:
     """Pairs ``a < b`` of one key whose sets of grams have a Jaccard similarity of ``threshold`` or more.
 
-    Pairs come from the grams they share, so pairs without common grams never arise.
+    Similar sets share one of their rarest grams: with grams in the order of their frequency, a set of n meets others
+    only by its first n - ceil(threshold * n) + 1, so common grams are never joined. Candidates are then compared whole.
     """
-    sets = items.select(key, item, F.array_distinct(grams).alias("_g")).withColumn("_n", F.size("_g"))
-    one = sets.select(key, item, "_n", F.explode("_g").alias("gram"))
-    a, b = one.alias("a"), one.alias("b")
-    met = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.gram") == F.col("b.gram")) & (F.col(f"a.{item}") < F.col(f"b.{item}")))
-    both = met.groupBy(F.col(f"a.{key}").alias(key), F.col(f"a.{item}").alias("a"), F.col(f"b.{item}").alias("b"), F.col("a._n").alias("na"), F.col("b._n").alias("nb")).agg(F.count("*").alias("both"))
+    sets = items.select(F.col(key).alias("_k"), F.col(item).alias("_i"), F.array_distinct(grams).alias("_g")).where(F.size("_g") > 0)
+    one = sets.select("_k", "_i", F.explode("_g").alias("gram"))
+    often = one.groupBy("_k", "gram").agg(F.count("*").alias("often"))
+    ordered = one.join(often, ["_k", "gram"]).groupBy("_k", "_i").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("_o"))
+    n = F.size("_o")
+    first = ordered.select("_k", "_i", n.alias("n"), F.explode(F.slice("_o", F.lit(1), (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))).alias("p")).select("_k", "_i", "n", F.col("p.gram").alias("gram"))
+    a, b = first.toDF("_k", "a", "na", "gram"), first.toDF("_k", "b", "nb", "gram")
+    alike = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
+    met = a.join(b, ["_k", "gram"]).where(alike).select("_k", "a", "b").distinct()
+    whole = met.join(sets.toDF("_k", "a", "ga"), ["_k", "a"]).join(sets.toDF("_k", "b", "gb"), ["_k", "b"])
+    both = whole.select(F.col("_k").alias(key), "a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).cast("long").alias("both"))
     out = both.withColumn("similarity", F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).where(F.col("similarity") >= threshold)
     return out if compatible is None else out.where(compatible)
 

@@ -16,13 +16,16 @@ def denotation(cells: DataFrame, question: str, text: str, agg: Column) -> DataF
     """
     value = numbers.to_float(text)
     shown = F.coalesce(F.round(value, 6).cast("string"), F.lower(text))
-    one = cells.withColumn("_agg", agg).groupBy(question, "_agg").agg(
-        F.count(text).alias("n"), F.count_if(value.isNull() & F.col(text).isNotNull()).alias("bad"), F.sum(value).alias("total"), F.sort_array(F.collect_list(shown)).alias("plain")
-    )
+    marked = cells.withColumn("_agg", agg)
+    one = marked.groupBy(question, "_agg").agg(F.count(text).alias("n"), F.count_if(value.isNull() & F.col(text).isNotNull()).alias("bad"), F.sum(value).alias("total"))
+    plain = (F.col("_agg") == "NONE") | ((F.col("bad") > 0) & (F.col("_agg") != "COUNT"))
+    # values are gathered only where they are the answer
+    lists = marked.join(one.where(plain).select(question, "_agg"), [question, "_agg"], "left_semi").groupBy(question, "_agg").agg(F.sort_array(F.collect_list(shown)).alias("plain"))
     single = lambda x: F.array(F.round(x.cast("double"), 6).cast("string"))
     numeric = F.when(F.col("_agg") == "SUM", single(F.col("total"))).when(F.col("_agg") == "AVERAGE", single(F.col("total") / F.col("n")))
-    out = F.when(F.col("_agg") == "COUNT", single(F.col("n"))).when((F.col("_agg") == "NONE") | (F.col("bad") > 0) | (F.col("n") == 0), F.col("plain")).otherwise(numeric)
-    return one.select(question, F.col("_agg").alias("aggregation"), out.alias("values"))
+    none = F.array().cast("array<string>")
+    out = F.when(F.col("_agg") == "COUNT", single(F.col("n"))).when(plain | (F.col("n") == 0), F.coalesce("plain", none)).otherwise(numeric)
+    return one.join(lists, [question, "_agg"], "left").select(question, F.col("_agg").alias("aggregation"), out.alias("values"))
 
 
 def accuracy(df: DataFrame, right: Column, weight: Column | None = None) -> DataFrame:
@@ -70,3 +73,88 @@ def end_to_end(preds: DataFrame, table_hit: str, answer_f1: str, exact: str, ans
     return preds.agg(
         mean(hit).alias("table_accuracy"), mean(right).alias("answer_accuracy"), mean(right, F.col(answered)).alias("answer_precision"), mean(F.col(answer_f1)).alias("answer_token_f1"), mean(right, F.col(table_hit)).alias("oracle_accuracy")
     )
+
+
+def join_predictions(examples: DataFrame, preds: DataFrame) -> DataFrame:
+    """Examples with ``pred_aggregation`` and ``pred_coordinates``; without a prediction NONE and no cells.
+
+    Both sides have ``question_id``; a prediction of an unknown question is an error, of repeated ones the first in
+    the order of their values counts.
+    """
+    kind = dict(preds.dtypes)["coordinates"]
+    one = preds.groupBy("question_id").agg(F.min(F.struct("aggregation", "coordinates")).alias("_p"))
+    met = examples.withColumn("_known", F.lit(True)).join(one, "question_id", "full")
+    known = F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit("prediction of an unknown question: "), F.col("question_id")))).otherwise(F.col("question_id"))
+    chosen = [F.coalesce("_p.aggregation", F.lit("NONE")).alias("pred_aggregation"), F.coalesce("_p.coordinates", F.array().cast(kind)).alias("pred_coordinates")]
+    return met.select(known.alias("question_id"), *[c for c in examples.columns if c != "question_id"], *chosen)
+
+
+def structure(joined: DataFrame) -> DataFrame:
+    """One row: ``aggregation_acc, cell_acc, joint_acc, n``; cells are compared as sets."""
+    same = F.array_sort(F.array_distinct("coordinates")) == F.array_sort(F.array_distinct("pred_coordinates"))
+    right = F.col("aggregation") == F.col("pred_aggregation")
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    return joined.agg(share(right).alias("aggregation_acc"), share(same).alias("cell_acc"), share(right & same).alias("joint_acc"), F.count("*").alias("n"))
+
+
+def same_denotation(gold: Column, pred: Column) -> Column:
+    """Whether two arrays of values are equal after sorting: numbers as floats of 32 bits, texts in lower case.
+
+    A gold answer that is not a number (NaN) and a prediction of no cells are equal.
+    """
+    plain = lambda a: F.array_sort(F.transform(a, lambda v: F.coalesce(numbers.to_float(v).cast("float").cast("string"), F.lower(F.trim(v)))))
+    nothing = (F.size(gold) == 1) & (F.lower(gold[0]) == "nan") & (F.size(pred) == 0)
+    return F.coalesce(nothing | (plain(gold) == plain(pred)), F.lit(False))
+
+
+def cell_selection(df: DataFrame, kind: str, gold: str, ranked: str, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """Metrics of selected cells for each value of ``kind`` and ALL: recall, precision over non-empty selections, non_empty,
+    answer_len, coverage (all gold cells selected), and recall among the first k."""
+    hit = F.size(F.array_intersect(gold, ranked))
+    part = lambda a, b: F.avg(F.when(b > 0, a / b))
+    metrics = {
+        "n": F.count("*"), "recall": part(hit, F.size(F.array_distinct(gold))), "precision": part(hit, F.size(F.array_distinct(ranked))), "non_empty": F.avg((F.size(ranked) > 0).cast("double")),
+        "answer_len": F.avg(F.size(ranked).cast("double")), "coverage": F.avg((F.size(F.array_except(gold, ranked)) == 0).cast("double")),
+        **{f"recall_at_{k}": part(F.size(F.array_intersect(gold, F.slice(ranked, 1, k))), F.size(F.array_distinct(gold))) for k in ks},
+    }
+    return grouped_report(df, kind, "ALL", metrics)
+
+
+def majority_label(votes: DataFrame, item: str, label: str, order: str) -> DataFrame:
+    """The most frequent label of each item; ties go to the one that was seen first."""
+    n = votes.groupBy(item, label).agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
+    return n.groupBy(item).agg(F.max_by(label, F.struct("_n", -F.col("_first"))).alias("label"), F.max("_n").alias("votes"))
+
+
+def best_step(steps: DataFrame, run: str, metric: str, step: str) -> DataFrame:
+    """The step of the best metric of each run, the later one of equals; null metrics do not count."""
+    return steps.where(F.col(metric).isNotNull()).groupBy(run).agg(F.max(F.struct(F.col(metric).alias("metric"), F.col(step).alias("step"))).alias("_b")).select(run, "_b.metric", "_b.step")
+
+
+def feature_headroom(df: DataFrame, experiment: str, features: str, right: str) -> DataFrame:
+    """For each feature the greatest loss over experiments: (overall accuracy - the feature's) times its share of rows."""
+    whole = df.groupBy(experiment).agg(F.avg(F.col(right).cast("double")).alias("overall"), F.count("*").alias("_all"))
+    one = df.select(experiment, F.explode(F.array_distinct(features)).alias("feature"), right).groupBy(experiment, "feature").agg(F.avg(F.col(right).cast("double")).alias("accuracy"), F.count("*").alias("n"))
+    met = one.join(whole, experiment).withColumn("headroom", (F.col("overall") - F.col("accuracy")) * F.col("n") / F.col("_all"))
+    return met.groupBy("feature").agg(F.max("headroom").alias("headroom"), F.sum("n").alias("n"))
+
+
+def huber(error: Column, delta: float = 1.0) -> Column:
+    size = F.abs(error)
+    return F.when(size <= delta, 0.5 * error * error).otherwise(delta * size - 0.5 * delta * delta)
+
+
+def softmax(logits: Column) -> Column:
+    top = F.array_max(logits)
+    powers = F.transform(logits, lambda x: F.exp(x - top))
+    total = F.aggregate(powers, F.lit(0.0), lambda s, x: s + x)
+    return F.transform(powers, lambda x: x / total)
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def argmax(values: Column) -> Column:
+    """Place (from 0) of the first greatest value."""
+    return F.array_position(values, F.array_max(values)).cast("int") - 1

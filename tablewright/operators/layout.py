@@ -16,15 +16,20 @@ def knapsack(columns: Column, budget: int) -> Column:
     return F.aggregate(F.sort_array(columns), start, step, lambda s: s["ids"])
 
 
-def largest_length(cells: DataFrame, group: list[str], size: Column, budget: int, most: int = 64) -> DataFrame:
+def largest_length(cells: DataFrame, group: list[str], size: Column, budget: int) -> DataFrame:
     """The largest number of tokens T a cell may keep so that the group's cells, each cut at T, fit the budget.
 
-    Costs of all T come from one histogram of cell sizes; 0 means that not even one token each fits.
+    Costs grow by one for each cell of more than T tokens, so they are sums over the distinct sizes: a window over a
+    histogram. Where all cells fit whole, T is the longest; 0 means that not even one token each fits.
     """
-    sizes = cells.select(*group, F.least(size, F.lit(most)).cast("int").alias("_s")).groupBy(*group, "_s").agg(F.count("*").alias("_n"))
-    tries = sizes.groupBy(*group).agg(F.collect_list(F.struct("_s", "_n")).alias("_h")).withColumn("_len", F.explode(F.sequence(F.lit(1), F.lit(most))))
-    cost = F.aggregate("_h", F.lit(0).cast("bigint"), lambda a, x: a + F.least(x["_s"], F.col("_len")) * x["_n"])
-    return tries.groupBy(*group).agg(F.coalesce(F.max(F.when(cost <= budget, F.col("_len"))), F.lit(0)).alias("length"))
+    sizes = cells.select(*group, size.cast("long").alias("_s")).where("_s > 0").groupBy(*group, "_s").agg(F.count("*").alias("_n"))
+    up, down = Window.partitionBy(*group).orderBy("_s"), Window.partitionBy(*group).orderBy(F.desc("_s"))
+    steps = sizes.withColumns({"_from": F.coalesce(F.lag("_s").over(up), F.lit(0)), "_more": F.sum("_n").over(down)})
+    steps = steps.withColumn("_cost", F.sum((F.col("_s") - F.col("_from")) * F.col("_more")).over(up))
+    left = F.lit(budget) - (F.col("_cost") - (F.col("_s") - F.col("_from")) * F.col("_more"))  # before this step
+    reach = F.least(F.col("_s"), F.col("_from") + F.floor(left / F.col("_more")))
+    found = steps.groupBy(*group).agg(F.max(F.when(left >= 0, reach)).cast("int").alias("_t"))
+    return cells.select(*group).distinct().join(found, group, "left").select(*group, F.coalesce("_t", F.lit(0)).alias("length"))
 
 
 def trim_tokens(tokens: DataFrame, group: list[str], order: list[str], cost: Column, budget: int) -> DataFrame:
@@ -57,3 +62,85 @@ def shard_ranges(n_rows: Column, n_cols: Column, cells: int = 50) -> Column:
     edge = lambda i: F.floor(i * n_rows / parts).cast("int")
     ranges = F.transform(F.sequence(F.lit(0).cast("bigint"), parts - 1), lambda i: F.struct(edge(i).alias("begin"), edge(i + 1).alias("end")))
     return F.filter(ranges, lambda r: r["end"] - r["begin"] >= 2)
+
+
+#: Relations of token pairs, in the order of their numbers from 1; 0 is none of them.
+RELATIONS = (
+    "same_row", "same_column", "same_cell", "cell_to_header", "header_to_cell", "header_to_sentence", "header_to_same_header", "header_to_other_header",
+    "sentence_to_header", "sentence_to_cell", "sentence_to_sentence", "cell_to_sentence",
+)
+
+
+def relations(segment: Column, column: Column, row: Column) -> Column:
+    """Relation numbers of all token pairs of one sequence, an array of rows; padding (segment and column 0 ...) is text.
+
+    Sentence tokens have segment 0; table tokens a column from 1 on and row 0 in the header. Of several relations of
+    two cells, the same cell outweighs the same column, and that the same row.
+    """
+    number = {r: i + 1 for i, r in enumerate(RELATIONS)}
+
+    def pair(i, j):
+        get = lambda a, k: F.get(a, k)
+        si, sj, ci, cj, ri, rj = get(segment, i), get(segment, j), get(column, i), get(column, j), get(row, i), get(row, j)
+        text_i, text_j, head_i, head_j = si == 0, sj == 0, (si == 1) & (ri == 0), (sj == 1) & (rj == 0)
+        cases = [
+            (text_i & text_j, "sentence_to_sentence"), (text_i & head_j, "sentence_to_header"), (text_i, "sentence_to_cell"), (head_i & text_j, "header_to_sentence"), (text_j, "cell_to_sentence"),
+            (head_i & head_j & (ci == cj), "header_to_same_header"), (head_i & head_j, "header_to_other_header"), (head_i & (ci == cj), "header_to_cell"), (head_j & (ci == cj), "cell_to_header"),
+            (~head_i & ~head_j & (ci == cj) & (ri == rj), "same_cell"), (~head_i & ~head_j & (ci == cj), "same_column"), (~head_i & ~head_j & (ri == rj), "same_row"),
+        ]
+        out = F.lit(0)
+        for holds, name in reversed(cases):
+            out = F.when(holds, F.lit(number[name])).otherwise(out)
+        return out
+
+    places = F.sequence(F.lit(0), F.size(segment) - 1)
+    return F.transform(places, lambda i: F.transform(places, lambda j: pair(i, j)))
+
+
+def span_mask(spans: Column, column: Column, row: Column) -> Column:
+    """1 for spans ``struct<begin, end>`` whose first and last token are in one cell below the header, else 0."""
+    same = lambda ids, s: (F.get(ids, s["begin"]) == F.get(ids, s["end"])) & (F.get(ids, s["begin"]) > 0)
+    return F.transform(spans, lambda s: F.coalesce(same(column, s) & same(row, s), F.lit(False)).cast("int"))
+
+
+def answer_labels(tokens: DataFrame, answers: DataFrame, strict: bool = True) -> DataFrame:
+    """``label`` 1 for tokens of an answer cell ``(question_id, column_id, row_id)``, else 0; a cell that no token shows is an error."""
+    cells = answers.select("question_id", "column_id", "row_id").distinct()
+    met = tokens.withColumn("_t", F.lit(1)).join(cells.withColumn("label", F.lit(1)), ["question_id", "column_id", "row_id"], "full")
+    lost = F.when(F.col("_t").isNull(), F.raise_error(F.lit("an answer cell has no token"))).otherwise(F.coalesce("label", F.lit(0)))
+    return (met.withColumn("label", lost) if strict else met.where("_t is not null").withColumn("label", F.coalesce("label", F.lit(0)))).select(*tokens.columns, "label")
+
+
+def numeric_scale(tokens: DataFrame) -> DataFrame:
+    """``numeric_value`` (NaN without one) and ``scale``, the number of tokens that share the value's cell (else 1)."""
+    cell = Window.partitionBy("question_id", "column_id", "row_id")
+    inside = (F.col("column_id") > 0) & (F.col("row_id") > 0)
+    return tokens.withColumns({"numeric_value": F.coalesce("value", F.lit(float("nan"))), "scale": F.when(inside, F.count("*").over(cell)).otherwise(F.lit(1)).cast("double")})
+
+
+def tokens_of_cells(tokens: DataFrame, cells: DataFrame) -> DataFrame:
+    """``(question_id, column_id, row_id, positions)`` for each asked cell; cells without tokens have none."""
+    keys = ["question_id", "column_id", "row_id"]
+    lists = tokens.join(cells.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    return cells.select(*keys).distinct().join(lists, keys, "left").withColumn("positions", F.coalesce("positions", F.array().cast("array<int>")))
+
+
+def gather_top(scores: Column, features: dict[str, Column], k: int) -> list[Column]:
+    """Every feature cut to the ``k`` places of the best scores, in the order of the scores, ties by place."""
+    places = F.transform(scores, lambda s, i: F.struct((-s).alias("s"), i.alias("i")))
+    best = F.transform(F.slice(F.array_sort(places), 1, k), lambda p: p["i"])
+    return [F.transform(best, lambda i: F.get(c, i)).alias(n) for n, c in features.items()]
+
+
+def boost_previous(scores: DataFrame, previous: DataFrame, group: list[str], column: str, score: str) -> DataFrame:
+    """``priority`` (less is earlier): the negated score, or, for columns of the previous answer, less than all others."""
+    marked = scores.join(previous.select(*group, column).distinct().withColumn("_p", F.lit(True)), [*group, column], "left")
+    n = F.count("*").over(Window.partitionBy(*group))
+    low = F.min(-F.col(score)).over(Window.partitionBy(*group))
+    return marked.withColumn("priority", F.when(F.col("_p"), low - n - 1 - F.col(score) * 0).otherwise(-F.col(score))).drop("_p")
+
+
+def padded(examples: DataFrame, id_col: str, batch: int, filler: str = "EMPTY-0_0") -> DataFrame:
+    """Examples and as many empty ones as make their number a multiple of ``batch``; sinks leave fillers out."""
+    missing = examples.agg(F.pmod(-F.count("*"), F.lit(batch)).cast("int").alias("m")).where("m > 0").select(F.explode(F.array_repeat(F.lit(filler), F.col("m"))).alias(id_col))
+    return examples.unionByName(missing, allowMissingColumns=True)

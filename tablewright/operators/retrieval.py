@@ -15,57 +15,87 @@ def small(df: DataFrame, most: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def postings(docs: DataFrame, doc_id: str, tokens: Column, min_rank: int = 0, drop_frequency: bool = True) -> DataFrame:
+def term_counts(docs: DataFrame, doc_id: str, tokens: Column) -> DataFrame:
+    """``(doc_id, token, tf)``: documents are dealt out once by id, so their terms are counted without a second shuffle."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.repartition(parts, doc_id).select(F.col(doc_id), F.explode(tokens).alias("token")).groupBy(doc_id, "token").agg(F.count("*").alias("tf"))
+
+
+def asked_terms(queries: DataFrame, query_id: str, tokens: Column) -> DataFrame:
+    """``(query_id, token, times)``; repeated query tokens count again."""
+    return queries.select(F.col(query_id), F.explode(tokens).alias("token")).groupBy(query_id, "token").agg(F.count("*").alias("times"))
+
+
+def _only(terms: DataFrame, asked: DataFrame | None) -> DataFrame:
+    """Rows of tokens that somebody asks for; all without a question."""
+    return terms if asked is None else terms.join(small(asked.select("token").distinct(), 100_000), "token", "left_semi")
+
+
+def postings(docs: DataFrame, doc_id: str, tokens: Column, min_rank: int = 0, drop_frequency: bool = True, asked: DataFrame | None = None) -> DataFrame:
     """``(token, doc_id, weight)``: 1 / (log2(collection frequency) + 1), times the count unless dropped.
 
-    ``min_rank`` most frequent tokens are left out; frequency ties are ordered by token.
+    ``min_rank`` most frequent tokens are left out; frequency ties are ordered by token. With ``asked``, only its
+    tokens get weights.
     """
-    pairs = docs.select(F.col(doc_id), F.explode(tokens).alias("token")).groupBy("token", doc_id).agg(F.count("*").alias("tf"))
+    pairs = term_counts(docs, doc_id, tokens)
+    if not min_rank:
+        pairs = _only(pairs, asked)
     frequency = pairs.groupBy("token").agg(F.sum("tf").alias("cf"))
     if min_rank:
         top = frequency.orderBy(F.desc("cf"), "token").limit(min_rank).select("token")
-        frequency = frequency.join(top, "token", "left_anti")
+        frequency = _only(frequency.join(top, "token", "left_anti"), asked)
     weight = F.lit(1.0) / (F.log2("cf") + 1)
     return pairs.join(frequency, "token").select("token", doc_id, (weight if drop_frequency else weight * F.col("tf")).alias("weight"))
 
 
-def lookup(queries: DataFrame, query_id: str, tokens: Column, index: DataFrame, doc_id: str, weight: str) -> DataFrame:
-    """Summed weights for each query and document; repeated query tokens count again."""
-    asked = queries.select(F.col(query_id), F.explode(tokens).alias("token")).groupBy(query_id, "token").agg(F.count("*").alias("times"))
+def lookup(asked: DataFrame, query_id: str, index: DataFrame, doc_id: str, weight: str) -> DataFrame:
+    """Summed weights for each query and document."""
     return index.join(small(asked, 100_000), "token").groupBy(query_id, doc_id).agg(F.sum(F.col("times") * F.col(weight)).alias("score"))
 
 
-def bm25_index(docs: DataFrame, doc_id: str, tokens: Column, k1: float = 1.5, b: float = 0.75, eps: float = 0.25) -> DataFrame:
-    """``(token, doc_id, weight)``; negative idf becomes ``eps`` times the mean idf."""
-    lists = docs.select(F.col(doc_id), tokens.alias("_t")).withColumn("dl", F.size("_t"))
-    whole = lists.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = lists.select(doc_id, "dl", F.explode("_t").alias("token")).groupBy("token", doc_id, "dl").agg(F.count("*").alias("tf"))
+def bm25_index(docs: DataFrame, doc_id: str, tokens: Column, k1: float = 1.5, b: float = 0.75, eps: float = 0.25, asked: DataFrame | None = None) -> DataFrame:
+    """``(token, doc_id, weight)``; negative idf becomes ``eps`` times the mean idf, which is that of all tokens.
+
+    Documents without tokens count towards the average length. With ``asked``, only its tokens get weights.
+    """
+    tf = term_counts(docs, doc_id, tokens)
+    length = tf.groupBy(doc_id).agg(F.sum("tf").alias("dl"))  # where the terms are already
+    whole = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("avgdl"))
     idf = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(whole))  # whole: one row
     idf = idf.withColumn("idf", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean = idf.agg(F.avg("idf").alias("mean_idf"))
-    idf = idf.crossJoin(F.broadcast(mean)).select("token", "avgdl", F.when(F.col("idf") < 0, F.lit(eps) * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
+    idf = _only(idf, asked).crossJoin(F.broadcast(mean)).select("token", "avgdl", F.when(F.col("idf") < 0, F.lit(eps) * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
     share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return tf.join(idf, "token").select("token", doc_id, (F.col("idf") * share).alias("weight"))
+    return _only(tf, asked).join(length, doc_id).join(idf, "token").select("token", doc_id, (F.col("idf") * share).alias("weight"))
+
 
+def tfidf_index(docs: DataFrame, doc_id: str, tokens: Column, min_df: int = 1, max_df: float = 1.0, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(unit document vectors ``(token, doc_id, weight)``, ``(token, idf)``) with idf ln((1+n)/(1+df)) + 1.
 
-def tfidf_index(docs: DataFrame, doc_id: str, tokens: Column, min_df: int = 1, max_df: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """(unit document vectors ``(token, doc_id, weight)``, ``(token, idf)``) with idf ln((1+n)/(1+df)) + 1."""
-    tf = docs.select(F.col(doc_id), F.explode(tokens).alias("token")).groupBy("token", doc_id).agg(F.count("*").alias("tf"))
+    Norms are those of whole documents; with ``asked``, only its tokens have rows.
+    """
+    tf = term_counts(docs, doc_id, tokens)
     whole = docs.agg(F.count("*").alias("n"))
     idf = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(whole)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
     idf = idf.select("token", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = tf.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
     norm = raw.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, doc_id).select("token", doc_id, (F.col("w") / F.col("norm")).alias("weight")), idf
+    return _only(raw, asked).join(norm, doc_id).select("token", doc_id, (F.col("w") / F.col("norm")).alias("weight")), idf
 
 
-def cosine(queries: DataFrame, query_id: str, tokens: Column, index: DataFrame, idf: DataFrame, doc_id: str) -> DataFrame:
-    raw = queries.select(F.col(query_id), F.explode(tokens).alias("token")).groupBy(query_id, "token").agg(F.count("*").alias("tf")).join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
+def cosine(asked: DataFrame, query_id: str, index: DataFrame, idf: DataFrame, doc_id: str) -> DataFrame:
+    raw = asked.join(idf, "token").withColumn("w", F.col("times") * F.col("idf"))
     norm = raw.groupBy(query_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     unit = raw.join(norm, query_id).select(query_id, "token", (F.col("w") / F.col("norm")).alias("_unit"))
     return index.join(small(unit, 100_000), "token").groupBy(query_id, doc_id).agg(F.sum(F.col("_unit") * F.col("weight")).alias("score"))
 
 
+def expand(tokens: Column, low: int, high: int) -> Column:
+    """Word n-grams of ``low`` to ``high`` words, joined by a blank."""
+    grams = lambda n: F.transform(F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+    return F.concat(*[grams(n) for n in range(low, high + 1)])
+
+
 def best(scores: DataFrame, query_id: str, doc_id: str, k: int, digits: int = 6, above: float | None = None) -> DataFrame:
     """The ``k`` best by rounded score, ties to the smaller id, with ``rank`` from 1."""
     s = scores.withColumn("score", F.round("score", digits))
@@ -78,11 +108,49 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def neighbours(queries: DataFrame, query_id: str, points: DataFrame, point_id: str, vector: str, k: int) -> DataFrame:
-    """Brute-force inner products of a stated query set against all points, queries in the broadcast side if few."""
-    q = small(queries.select(F.col(query_id), F.col(vector).alias("_q")))
-    pairs = points.select(F.col(point_id), F.col(vector).alias("_p")).crossJoin(q)
-    return best(pairs.select(query_id, point_id, dot(F.col("_p"), F.col("_q")).alias("score")), query_id, point_id, k)
+def neighbours(queries: DataFrame, query_id: str, points: DataFrame, point_id: str, vector: str, k: int, digits: int = 6, shard_rows: int = 16_384) -> DataFrame:
+    """The ``k`` best inner products of a stated query set against all points, a point of the query's own id left out.
+
+    Points are dealt to shards of bounded size; in each, queries stream past as matrix products and keep a top k, so
+    no side is broadcast and no pair becomes a row. Scores are rounded before ranking, ties go to the smaller id.
+    """
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    shards = max(1, math.ceil(points.count() / shard_rows), min(8, points.sparkSession.sparkContext.defaultParallelism))
+    home = F.pmod(F.xxhash64(point_id), F.lit(shards)).cast("int")
+    side = lambda df, key, shard, kind: df.where(F.col(vector).isNotNull()).select(shard.alias("shard"), F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    rows = side(points, point_id, home, 0).unionByName(side(queries, query_id, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))), 1))
+
+    def run(batches):
+        shard, ids, held, matrix = None, [], [], None
+        for b in batches:
+            marks = np.stack([b.column("shard").to_numpy(), b.column("kind").to_numpy()])
+            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+            for start, end in zip(cuts, cuts[1:]):
+                if start == end:
+                    continue
+                part = b.slice(start, end - start)
+                own, v = part.column("id").to_numpy(), np.array(part.column("v").to_pylist(), dtype=np.float64)
+                if marks[0, start] != shard:
+                    shard, ids, held, matrix = marks[0, start], [], [], None
+                if marks[1, start] == 0:
+                    ids.append(own)
+                    held.append(v)
+                elif held:
+                    matrix = (np.concatenate(ids), np.concatenate(held)) if matrix is None else matrix
+                    scores = np.round(v @ matrix[1].T, digits)
+                    scores[own[:, None] == matrix[0][None, :]] = -np.inf
+                    for q, row in zip(own.tolist(), scores):
+                        cut = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                        near = np.flatnonzero((row >= cut) & (row > -np.inf))
+                        near = near[np.lexsort((matrix[0][near], -row[near]))[:k]]
+                        yield pa.RecordBatch.from_arrays([pa.array([q] * len(near), pa.int64()), pa.array(matrix[0][near]), pa.array(row[near])], names=[query_id, point_id, "score"])
+
+    found = rows.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(run, f"`{query_id}` long, `{point_id}` long, score double")
+    return best(found, query_id, point_id, k, digits)
 
 
 def hit_rate(ranked: DataFrame, query_id: str, hit: Column, ks: list[int]) -> DataFrame:
@@ -100,5 +168,5 @@ def hard_negatives(ranked: DataFrame, query_id: str, doc_id: str, gold: DataFram
 
 
 def merge_queries(queries: DataFrame, query_id: str, vector: str, dim: int) -> DataFrame:
-    """Mean vectors of the rows of one query id, component by component without exploding."""
+    """Mean vectors (all ``dim`` components) of the rows of one query id, without exploding."""
     return queries.groupBy(query_id).agg(F.array(*[F.avg(F.col(vector)[i].cast("double")) for i in range(dim)]).alias("mean"), F.count("*").alias("n"))

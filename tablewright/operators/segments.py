@@ -83,3 +83,15 @@ def soft_aggregates(tokens: DataFrame, group: list[str], p: str, value: str, sca
     w = F.col(p) / F.col(scale)
     known = F.when(~F.isnan(value), F.col(value)).otherwise(0.0)
     return tokens.groupBy(*group).agg(F.sum(w).alias("expected_count"), F.sum(w * known).alias("expected_sum"), (F.sum(w * known) / (F.sum(w) + 1e-10)).alias("expected_average"))
+
+
+def distribution(df: DataFrame, group: list[str], order: list[str], tiles: int = 4) -> DataFrame:
+    """``tile, percent_rank, cume_dist`` of each row in its group's order."""
+    w = Window.partitionBy(*group).orderBy(*order)
+    return df.withColumns({"tile": F.ntile(tiles).over(w), "percent_rank": F.percent_rank().over(w), "cume_dist": F.cume_dist().over(w)})
+
+
+def within_range(df: DataFrame, group: list[str], at: str, low: int, high: int, value: str) -> DataFrame:
+    """``around``: the sum of the values of rows whose ``at`` lies from ``low`` below to ``high`` above the row's own."""
+    w = Window.partitionBy(*group).orderBy(at).rangeBetween(-low, high)
+    return df.withColumn("around", F.sum(value).over(w))

@@ -42,12 +42,12 @@ def r6(c):
     return F.round(c, 6)
 
 
-#: Words of letters a-z and digits, in lower case; the same in Spark and in DuckDB.
-ASCII_WORDS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
+#: Words of letters and digits of any script, in lower case; the same in Spark and in DuckDB.
+WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
 
-def ascii_words(c):
-    return F.regexp_extract_all(F.lower(F.col(c)), F.lit("[a-z0-9]+"), F.lit(0))
+def words(c):
+    return F.regexp_extract_all(F.lower(F.col(c)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 # projections, filters, structured queries
@@ -175,12 +175,12 @@ def bucket_histogram(spark, sf_dir):
     return evaluate.histogram(table(spark, sf_dir, "documents"), "n_chars", [500, 2000, 8000])
 
 
-@named(f"""WITH t AS (SELECT conv_id, turn, {ASCII_WORDS.format('text')} AS a, lead({ASCII_WORDS.format('text')}) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
+@named(f"""WITH t AS (SELECT conv_id, turn, {WORDS.format('text')} AS a, lead({WORDS.format('text')}) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
   k AS (SELECT conv_id, turn, a, b, unnest(list_distinct(a)) AS w FROM t WHERE b IS NOT NULL AND len(a) > 0 AND len(b) > 0),
   m AS (SELECT conv_id, turn, len(any_value(a)) AS na, len(any_value(b)) AS nb, sum(least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w)))) AS common FROM k GROUP BY 1, 2)
   SELECT conv_id, turn, round(CASE WHEN common = 0 THEN 0.0 ELSE 2.0 * (common / nb) * (common / na) / (common / nb + common / na) END, 6) AS f1 FROM m""")
 def token_f1(spark, sf_dir):
-    c = segments.previous(table(spark, sf_dir, "conversations").select("conv_id", (-F.col("turn")).alias("back"), "turn", ascii_words("text").alias("a")), ["conv_id"], ["back"], "a")
+    c = segments.previous(table(spark, sf_dir, "conversations").select("conv_id", (-F.col("turn")).alias("back"), "turn", words("text").alias("a")), ["conv_id"], ["back"], "a")
     some = c.where("previous is not null and size(a) > 0 and size(previous) > 0")
     return some.select("conv_id", "turn", r6(evaluate.token_f1(F.col("a"), F.col("previous"))).alias("f1"))
 
@@ -280,8 +280,8 @@ def soft_aggregates(spark, sf_dir):
 # retrieval
 
 
-_DOC_TF = f"d AS (SELECT doc_id, unnest({ASCII_WORDS.format('text')}) AS token FROM documents), tf AS (SELECT token, doc_id, count(*) AS tf FROM d GROUP BY 1, 2)"
-_ASKED = f"q AS (SELECT item_id, token, count(*) AS times FROM (SELECT item_id, unnest({ASCII_WORDS.format('text')}) AS token FROM benchmark) GROUP BY 1, 2)"
+_DOC_TF = f"d AS (SELECT doc_id, unnest({WORDS.format('text')}) AS token FROM documents), tf AS (SELECT token, doc_id, count(*) AS tf FROM d GROUP BY 1, 2)"
+_ASKED = f"q AS (SELECT item_id, token, count(*) AS times FROM (SELECT item_id, unnest({WORDS.format('text')}) AS token FROM benchmark) GROUP BY 1, 2)"
 _BEST = "r AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) SELECT item_id, doc_id, score, rank FROM r WHERE rank <= {}"
 
 
@@ -292,16 +292,18 @@ def _texts(spark, sf_dir):
 @named(f"WITH {_DOC_TF}, w AS (SELECT token, 1.0 / (log2(sum(tf)) + 1) AS weight FROM tf GROUP BY 1), {_ASKED}, s AS (SELECT item_id, doc_id, round(sum(times * weight), 6) AS score FROM tf JOIN w USING (token) JOIN q USING (token) GROUP BY 1, 2), {_BEST.format(3)}")
 def inverted_index_topk(spark, sf_dir):
     docs, asks = _texts(spark, sf_dir)
-    scores = retrieval.lookup(asks, "item_id", ascii_words("text"), retrieval.postings(docs, "doc_id", ascii_words("text")), "doc_id", "weight")
+    asked = retrieval.asked_terms(asks, "item_id", words("text"))
+    scores = retrieval.lookup(asked, "item_id", retrieval.postings(docs, "doc_id", words("text"), asked=asked), "doc_id", "weight")
     return retrieval.best(scores, "item_id", "doc_id", 3)
 
 
-@named(f"""WITH {_DOC_TF}, n AS (SELECT count(*) AS n, avg(len({ASCII_WORDS.format('text')})) AS avgdl FROM documents), dl AS (SELECT doc_id, len({ASCII_WORDS.format('text')}) AS dl FROM documents),
+@named(f"""WITH {_DOC_TF}, n AS (SELECT count(*) AS n, avg(len({WORDS.format('text')})) AS avgdl FROM documents), dl AS (SELECT doc_id, len({WORDS.format('text')}) AS dl FROM documents),
   i AS (SELECT token, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf, n GROUP BY token, n), j AS (SELECT token, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM i) ELSE idf END AS idf FROM i), {_ASKED},
   s AS (SELECT item_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN j USING (token) JOIN dl USING (doc_id) JOIN q USING (token), n GROUP BY 1, 2), {_BEST.format(3)}""")
 def bm25_topk(spark, sf_dir):
     docs, asks = _texts(spark, sf_dir)
-    scores = retrieval.lookup(asks, "item_id", ascii_words("text"), retrieval.bm25_index(docs, "doc_id", ascii_words("text")), "doc_id", "weight")
+    asked = retrieval.asked_terms(asks, "item_id", words("text"))
+    scores = retrieval.lookup(asked, "item_id", retrieval.bm25_index(docs, "doc_id", words("text"), asked=asked), "doc_id", "weight")
     return retrieval.best(scores, "item_id", "doc_id", 3)
 
 
@@ -310,8 +312,9 @@ def bm25_topk(spark, sf_dir):
   s AS (SELECT item_id, doc_id, round(sum(times * idf / qn.norm * tf * idf / dn.norm), 6) AS score FROM tf JOIN i USING (token) JOIN dn USING (doc_id) JOIN q USING (token) JOIN qn USING (item_id) GROUP BY 1, 2), {_BEST.format(3)}""")
 def tfidf_cosine_topk(spark, sf_dir):
     docs, asks = _texts(spark, sf_dir)
-    index, idf = retrieval.tfidf_index(docs, "doc_id", ascii_words("text"))
-    return retrieval.best(retrieval.cosine(asks, "item_id", ascii_words("text"), index, idf, "doc_id"), "item_id", "doc_id", 3)
+    asked = retrieval.asked_terms(asks, "item_id", words("text"))
+    index, idf = retrieval.tfidf_index(docs, "doc_id", words("text"), asked=asked)
+    return retrieval.best(retrieval.cosine(asked, "item_id", index, idf, "doc_id"), "item_id", "doc_id", 3)
 
 
 _KNN = """s AS (SELECT a.vec_id AS item_id, b.vec_id AS doc_id, a.label AS ql, b.label AS pl, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
@@ -322,9 +325,7 @@ def _neighbours(spark, sf_dir, k):
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("item_id"), "embedding")
     points = e.select(F.col("vec_id").alias("doc_id"), "embedding")
-    found = retrieval.neighbours(q, "item_id", points, "doc_id", "embedding", k + 1).where("item_id <> doc_id")
-    order = found.drop("rank")
-    return retrieval.best(order, "item_id", "doc_id", k)
+    return retrieval.neighbours(q, "item_id", points, "doc_id", "embedding", k)
 
 
 @named(f"WITH {_KNN} SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 5")
@@ -347,10 +348,12 @@ def hard_negatives(spark, sf_dir):
     return retrieval.hard_negatives(ranked, "item_id", "doc_id", gold, 3).select("item_id", "doc_id", "place")
 
 
-@named("SELECT label, count(*) AS n, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS m0, round(avg(CAST(embedding[2] AS DOUBLE)), 6) AS m1 FROM embeddings GROUP BY 1")
+@named("""WITH c AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) SELECT label, CAST(i AS INTEGER) AS component, count(*) AS n, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM c GROUP BY 1, 2""")
 def merge_query_embeddings(spark, sf_dir):
-    m = retrieval.merge_queries(table(spark, sf_dir, "embeddings"), "label", "embedding", 2)
-    return m.select("label", "n", r6(F.col("mean")[0]).alias("m0"), r6(F.col("mean")[1]).alias("m1"))
+    e = table(spark, sf_dir, "embeddings")
+    dim = e.select(F.max(F.size("embedding"))).first()[0]
+    m = retrieval.merge_queries(e, "label", "embedding", dim)
+    return m.select("label", "n", F.posexplode("mean").alias("c", "x")).select("label", (F.col("c") + 1).alias("component"), "n", r6("x").alias("mean"))
 
 
 # matching, overlap, near duplicates
@@ -363,14 +366,14 @@ def answer_containment(spark, sf_dir):
     return spread(docs).join(a, match.contains_all(F.col("text"), F.col("answers"))).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
-_SETS = "d AS (SELECT doc_id, list_distinct({0}) AS s FROM documents), b AS (SELECT item_id, list_distinct({0}) AS s FROM benchmark)".format(ASCII_WORDS.format("text"))
+_SETS = "d AS (SELECT doc_id, list_distinct({0}) AS s FROM documents), b AS (SELECT item_id, list_distinct({0}) AS s FROM benchmark)".format(WORDS.format("text"))
 
 
 @named(f"""WITH {_SETS}, dt AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM d), bt AS (SELECT item_id, len(s) AS n, unnest(s) AS t FROM b),
   s AS (SELECT item_id, doc_id, round(count(*) / (any_value(dt.n) + any_value(bt.n) - count(*)), 6) AS score FROM dt JOIN bt USING (t) GROUP BY 1, 2), {_BEST.format(2)}""")
 def jaccard_overlap(spark, sf_dir):
     docs, asks = _texts(spark, sf_dir)
-    sets = lambda df, key: df.select(key, F.array_distinct(ascii_words("text")).alias("s")).select(key, F.size("s").alias(f"n_{key}"), F.explode("s").alias("t"))
+    sets = lambda df, key: spread(df).select(key, F.array_distinct(words("text")).alias("s")).select(key, F.size("s").alias(f"n_{key}"), F.explode("s").alias("t"))
     both = sets(docs, "doc_id").join(retrieval.small(sets(asks, "item_id"), 100_000), "t").groupBy("item_id", "doc_id", "n_doc_id", "n_item_id").agg(F.count("*").alias("both"))
     scores = both.select("item_id", "doc_id", (F.col("both") / (F.col("n_doc_id") + F.col("n_item_id") - F.col("both"))).alias("score"))
     return retrieval.best(scores, "item_id", "doc_id", 2)
@@ -432,19 +435,24 @@ def hash_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.split_of(F.col("doc_id").cast("string"), 10).alias("split"))
 
 
-@named("""SELECT s_suppkey, x.mask AS mask, 'SUM' AS aggregation, round(x.t, 6) AS result FROM (SELECT -1 AS s_suppkey, unnest([struct_pack(mask := 0, t := 0.0)]) AS x) WHERE false""")
-def subset_sum_none(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").withColumn("g", F.col("s_suppkey"))
-    found = match.subsets(s, ["s_suppkey"], "g", "s_acctbal", F.lit(1e12))
-    return found.select("s_suppkey", "mask", "aggregation", r6("result").alias("result"))
+_SUBSETS = """m AS (SELECT g, v, target, unnest(generate_series(1, CAST(2 ** len(v) AS BIGINT) - 1)) AS mask FROM v),
+  c AS (SELECT g, target, list_filter(generate_series(0, len(v) - 1), lambda i: (mask >> i) & 1 = 1) AS pos, v FROM m),
+  e AS (SELECT g, target, pos, list_transform(pos, lambda i: v[i + 1]) AS c FROM c),
+  r AS (SELECT g, target, pos, unnest([struct_pack(a := 'SUM', x := list_sum(c)), struct_pack(a := 'AVERAGE', x := list_sum(c) / len(c)), struct_pack(a := 'COUNT', x := CAST(len(c) AS DOUBLE))]) AS p FROM e)
+  SELECT g, array_to_string(pos, ',') AS rows, p.a AS aggregation, round(p.x, 6) AS result FROM r WHERE abs(p.x - target) < 0.01"""
 
 
-@named("""WITH v AS (SELECT n_regionkey AS g, list(CAST(n_nationkey AS DOUBLE) ORDER BY n_nationkey) AS v FROM nation GROUP BY 1), m AS (SELECT g, v, unnest(generate_series(1, CAST(2 ** len(v) AS BIGINT) - 1)) AS mask FROM v),
-  c AS (SELECT g, mask, list_filter(list_transform(generate_series(1, len(v)), lambda i: CASE WHEN (mask >> (i - 1)) & 1 = 1 THEN v[i] END), lambda x: x IS NOT NULL) AS c FROM m)
-  SELECT g, CAST(mask AS INTEGER) AS mask, 'SUM' AS aggregation, CAST(list_sum(c) AS DOUBLE) AS result FROM c WHERE abs(list_sum(c) - 20) < 0.01 UNION ALL SELECT g, CAST(mask AS INTEGER), 'AVERAGE', list_sum(c) / len(c) FROM c WHERE abs(list_sum(c) / len(c) - 20) < 0.01""")
+@named(f"WITH v AS (SELECT n_regionkey AS g, list(CAST(n_nationkey AS DOUBLE) ORDER BY n_nationkey) AS v, 20.0 AS target FROM nation GROUP BY 1), {_SUBSETS}")
 def subset_sum_candidates(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("g"), "n_nationkey", F.col("n_nationkey").cast("double").alias("v"))
-    return match.subsets(n, ["g"], "n_nationkey", "v", F.lit(20.0))
+    return match.subsets(n, ["g"], "n_nationkey", "v", F.lit(20.0)).select("g", F.array_join("rows", ",").alias("rows"), "aggregation", r6("result").alias("result"))
+
+
+@named(f"WITH v AS (SELECT l_orderkey AS g, list(l_quantity ORDER BY l_linenumber, l_quantity) AS v, 51.0 AS target FROM lineitem WHERE l_orderkey % 7 = 0 GROUP BY 1), {_SUBSETS}")
+def subset_of_lines(spark, sf_dir):
+    """Which lines of every seventh order (the question) make up 51 pieces."""
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 0").select(F.col("l_orderkey").alias("g"), "l_linenumber", F.col("l_quantity").alias("v"))
+    return match.subsets(lines, ["g"], "l_linenumber", "v", F.lit(51.0)).select("g", F.array_join("rows", ",").alias("rows"), "aggregation", r6("result").alias("result"))
 
 
 # layout
@@ -467,15 +475,15 @@ def knapsack_totals(spark, sf_dir):
     return taken.join(p.select("p_partkey", "cost"), "p_partkey").groupBy("p_brand").agg(F.sum("cost").alias("used"), F.count("*").alias("n"))
 
 
-@named(f"""WITH t AS (SELECT doc_id, unnest({ASCII_WORDS.format('text')}) AS w, generate_subscripts({ASCII_WORDS.format('text')}, 1) AS i FROM documents),
+@named(f"""WITH t AS (SELECT doc_id, unnest({WORDS.format('text')}) AS w, generate_subscripts({WORDS.format('text')}, 1) AS i FROM documents),
   u AS (SELECT doc_id, w, sum(1 + length(w) // 4) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS used FROM t) SELECT doc_id, count(*) AS kept FROM u WHERE used <= 128 GROUP BY 1""")
 def token_budget_trim(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(ascii_words("text")).alias("i", "w"))
+    t = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words("text")).alias("i", "w"))
     return layout.trim_tokens(t, ["doc_id"], ["i"], F.expr("1 + length(w) div 4"), 128).groupBy("doc_id").agg(F.count("*").alias("kept"))
 
 
-@named("""WITH s AS (SELECT p_brand, length(p_name) AS s FROM part), t AS (SELECT p_brand, t, sum(least(s, t)) AS cost FROM s, (SELECT unnest(generate_series(1, 64)) AS t) GROUP BY 1, 2)
-  SELECT p_brand, CAST(coalesce(max(t) FILTER (cost <= 1000), 0) AS INTEGER) AS length FROM t GROUP BY 1""")
+@named("""WITH s AS (SELECT p_brand, length(p_name) AS s FROM part), t AS (SELECT p_brand, t, sum(least(s, t)) AS cost FROM s, (SELECT unnest(generate_series(1, 400)) AS t) GROUP BY 1, 2), m AS (SELECT p_brand, max(s) AS longest FROM s GROUP BY 1)
+  SELECT p_brand, CAST(coalesce(max(t) FILTER (cost <= 1000 AND t <= longest), 0) AS INTEGER) AS length FROM t JOIN m USING (p_brand) GROUP BY 1""")
 def fit_to_budget(spark, sf_dir):
     return layout.largest_length(table(spark, sf_dir, "part"), ["p_brand"], F.length("p_name"), 1000)
 
@@ -563,7 +571,7 @@ def synthesize_statements(spark, sf_dir):
 
 @named()
 def masked_positions(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", ascii_words("text").alias("t"))
+    d = table(spark, sf_dir, "documents").select("doc_id", words("text").alias("t"))
     return d.select("doc_id", F.array_join(synth.masked_positions(F.col("t"), F.col("doc_id")), ",").alias("positions"))
 
 

@@ -87,3 +87,22 @@ def test_partial_dates_compare_on_common_fields(spark):
     df = spark.createDataFrame([((2010, 5, 5), (2007, 8, None)), ((None, 3, None), (2000, None, None))], "a struct<year:int,month:int,day:int>, b struct<year:int,month:int,day:int>")
     x, y = numbers.date_key("a", "b")
     assert [(r["x"], r["y"]) for r in df.select(x.alias("x"), y.alias("y")).collect()] == [([2010, 5], [2007, 8]), (None, None)]
+
+
+@pytest.mark.parametrize(
+    "said, plain",
+    [
+        ("Café “x” [1] (note)", 'cafe "x"'), ("[12]", ""), ("[note]", "[note]"), ("a [b [c]", "a"), ("[a [b]", "[a"), ("a (b) (c)", "a"), ("(b)", "(b)"), ("x†‡ [2]*", "x"),
+        ('"a "b" c"', '"a "b" c"'), ("a–b—c", "a-b-c"), ("U.S..", "u.s."), ("<b>x</b>  y\n z", "x y z"), ("", ""), ("x (a [1])", "x"), ('"q" (r)', "q"), ("ends )", "ends )"),
+    ],
+)
+def test_full_normal_form(spark, said, plain):
+    assert one(spark, said, text.wtq_normalize) == plain
+
+
+def test_text_helpers(spark):
+    df = spark.createDataFrame([("no", "no nose, no-go no"), ("", "a")], "n string, h string")
+    assert [r[0] for r in df.select(text.find_all(F.col("n"), "h")).collect()] == [[0, 9, 15], []]
+    assert one(spark, "the cat the catalog the cat", lambda c: text.replace_phrase(c, F.lit("the cat"), F.lit("a dog"))) == "a dog the catalog a dog"
+    assert one(spark, "It isn't 3.5, (really) Bob's.", text.split_marks) == ["It", "is", "n't", "3.5", ",", "(", "really", ")", "Bob", "'s", "."]
+    assert one(spark, "One. Two? Three", text.sentences) == ["One.", "Two?", "Three"]

@@ -83,10 +83,10 @@ def test_bm25_and_cosine(spark):
     asks = spark.createDataFrame([(9, "x y")], "q int, text string")
     words = F.split("text", " ")
     index = retrieval.bm25_index(docs, "id", words)
-    top = retrieval.best(retrieval.lookup(asks, "q", words, index, "id", "weight"), "q", "id", 5).collect()
+    top = retrieval.best(retrieval.lookup(retrieval.asked_terms(asks, "q", words), "q", index, "id", "weight"), "q", "id", 5).collect()
     assert [r["id"] for r in sorted(top, key=lambda r: r["rank"])] == [1, 2]
     vectors, idf = retrieval.tfidf_index(docs, "id", words)
-    assert retrieval.best(retrieval.cosine(asks, "q", words, vectors, idf, "id"), "q", "id", 1).first()["score"] == pytest.approx(1.0)
+    assert retrieval.best(retrieval.cosine(retrieval.asked_terms(asks, "q", words), "q", vectors, idf, "id"), "q", "id", 1).first()["score"] == pytest.approx(1.0)
 
 
 def test_negatives_skip_gold(spark):
@@ -179,8 +179,39 @@ def test_sublists_and_subsets(spark):
     df = spark.createDataFrame([([2, 3], [1, 2, 3]), ([9], [1]), ([], [1])], "n array<int>, h array<int>")
     assert [r[0] for r in df.select(match.find_sublist(F.col("n"), F.col("h"))).collect()] == [1, None, None]
     grid = spark.createDataFrame([("c", 0, 1.0), ("c", 1, 2.0), ("c", 2, 1.0)], "c string, r int, v double")
-    got = {(r["mask"], r["aggregation"]) for r in match.subsets(grid, ["c"], "r", "v", F.lit(3.0)).collect()}
-    assert got == {(3, "SUM"), (6, "SUM")}
+    find = lambda df, target, **how: {(tuple(r["rows"]), r["aggregation"]) for r in match.subsets(df, ["c"], "r", "v", F.lit(target), **how).collect()}
+    assert find(grid, 3.0) == {((0, 1), "SUM"), ((1, 2), "SUM"), ((0, 1, 2), "COUNT")}
+    many = spark.createDataFrame([("c", i, float(i)) for i in range(11)], "c string, r int, v double")
+    got = find(many, 30.0)  # of eleven rows, in seeded draws of ten
+    assert got and got == find(many, 30.0) and all(a == "SUM" and sum(rows) == 30 and len(rows) <= 10 for rows, a in got)
+    assert len(find(many, 30.0, clip=5)) == 5 and find(many, 30.0, clip=5) <= got
+
+
+def test_pairs_by_prefixes_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    data = [(k, i, [rng.choice("abcdefghij") for _ in range(rng.randint(0, 9))]) for k in "xy" for i in range(60)]
+    df = spark.createDataFrame(data, "k string, i int, g array<string>")
+    for threshold in (0.5, 0.8, 1.0):
+        got = {(r["k"], r["a"], r["b"]) for r in dedup.similar_pairs(df, "k", "i", "g", threshold).collect()}
+        want = {(k, i, j) for k, i, g in data for m, j, h in data if k == m and i < j and set(g) and len(set(g) & set(h)) >= threshold * len(set(g) | set(h))}
+        assert got == want and want
+
+
+def test_neighbours_of_sharded_points(spark):
+    import random
+
+    rng = random.Random(6)
+    data = [(i, [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(90)] + [(200, None)]
+    df = spark.createDataFrame(data, "i long, v array<float>")
+    asks = df.where("i < 7").withColumnRenamed("i", "q")
+    got = {(r["q"], r["rank"], r["i"], r["score"]) for r in retrieval.neighbours(asks, "q", df, "i", "v", 5, shard_rows=20).collect()}
+    want = set()
+    for q, x in data[:7]:
+        best = sorted((-sum(a * b for a, b in zip(x, v)), i) for i, v in data if v and i != q)[:5]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    assert got == want
 
 
 def test_noisy_cells_are_wrong_and_near(spark):
