@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text, wordpiece
-from ..operators import attention, dedup, evaluate, layout, match, overlap, query, retrieval, segments, synth
+from ..operators import attention, dedup, evaluate, joins, layout, match, negatives, overlap, prepare, query, retrieval, segments, synth
 from ..schema import NUMERIC, from_cells, rectangular, to_cells, wide_to_cells
 from ..sources import readers
 
@@ -458,7 +458,10 @@ def subset_of_lines(spark, sf_dir):
 # layout
 
 
-@named()
+@named("""WITH RECURSIVE c AS (SELECT p_brand, p_partkey, CAST(length(p_name) AS BIGINT) AS cost, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS i FROM part),
+  k AS (SELECT p_brand, i, CASE WHEN cost <= 120 THEN cost ELSE 0 END AS used, CASE WHEN cost <= 120 THEN p_partkey END AS took FROM c WHERE i = 1
+  UNION ALL SELECT c.p_brand, c.i, k.used + CASE WHEN k.used + cost <= 120 THEN cost ELSE 0 END, CASE WHEN k.used + cost <= 120 THEN c.p_partkey END FROM k JOIN c ON c.p_brand = k.p_brand AND c.i = k.i + 1)
+  SELECT p_brand, coalesce(string_agg(CAST(took AS VARCHAR), ',' ORDER BY i) FILTER (took IS NOT NULL), '') AS ids FROM k GROUP BY 1""")
 def knapsack_columns(spark, sf_dir):
     p = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct(F.col("p_size").alias("priority"), F.col("p_partkey").alias("id"), F.length("p_name").cast("long").alias("cost")))).alias("c"))
     return p.select("p_brand", F.array_join(layout.knapsack(F.col("c"), 120), ",").alias("ids"))
@@ -488,7 +491,8 @@ def fit_to_budget(spark, sf_dir):
     return layout.largest_length(table(spark, sf_dir, "part"), ["p_brand"], F.length("p_name"), 1000)
 
 
-@named()
+@named("""WITH n AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), d AS (SELECT p_brand, n, CAST(2 ** greatest(0, ceil(log2(greatest(n, 1) / 8.0))) AS BIGINT) AS parts FROM n), e AS (SELECT p_brand, n, parts, unnest(generate_series(0, parts - 1)) AS i FROM d),
+  r AS (SELECT p_brand, CAST(i * n // parts AS INTEGER) AS "begin", CAST((i + 1) * n // parts AS INTEGER) AS "end" FROM e) SELECT p_brand, "begin", "end" FROM r WHERE "end" - "begin" >= 2""")
 def row_shards(spark, sf_dir):
     n = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
     return n.select("p_brand", F.explode(layout.shard_ranges(F.col("n"), F.lit(6))).alias("r")).select("p_brand", "r.begin", "r.end")
@@ -581,10 +585,241 @@ def masked_positions(spark, sf_dir):
 @named("""WITH s AS (SELECT user_id, event_id, ts, ts + INTERVAL 1 HOUR AS te FROM events WHERE event_type = 'view') SELECT s.event_id AS view_id, count(e.event_id) AS inside FROM s LEFT JOIN events e ON e.user_id = s.user_id AND e.ts >= s.ts AND e.ts <= s.te AND e.event_type <> 'view' GROUP BY 1""")
 def range_containment(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    spans = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("begin"), F.expr("ts + interval 1 hour").alias("finish"))
-    points = e.where("event_type <> 'view'").select("user_id", "event_id", "ts")
-    met = spans.alias("s").join(points.alias("p"), (F.col("s.user_id") == F.col("p.user_id")) & F.col("p.ts").between(F.col("s.begin"), F.col("s.finish")), "left")
-    return met.groupBy("view_id").agg(F.count("event_id").alias("inside"))
+    views = e.where("event_type = 'view'")
+    spans = views.select("user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("begin"), F.expr("ts + interval 1 hour").alias("finish"))
+    met = joins.points_in_intervals(spans, e.where("event_type <> 'view'").select("user_id", "event_id", "ts"), ["user_id"], "begin", "finish", "ts", 3600)
+    counts = met.groupBy("view_id").agg(F.count("*").alias("inside"))
+    return views.select(F.col("event_id").alias("view_id")).join(counts, "view_id", "left").withColumn("inside", F.coalesce("inside", F.lit(0)))
+
+
+@named("""WITH v AS (SELECT user_id, ts, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY 1, 2), p AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'purchase')
+  SELECT p.event_id AS event_id, v.view_id AS view_id FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts""")
+def last_view_before_purchase(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    views = e.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"))
+    return joins.as_of(e.where("event_type = 'purchase'").select("user_id", "event_id", "ts"), views, ["user_id"], "ts", ["view_id"]).select("event_id", "view_id")
+
+
+@named("""WITH v AS (SELECT user_id, ts, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY 1, 2), p AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'purchase')
+  SELECT p.event_id AS event_id, CASE WHEN v.ts >= p.ts - INTERVAL 6 HOUR THEN v.view_id END AS view_id FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts""")
+def recent_view_before_purchase(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    views = e.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"))
+    return joins.as_of(e.where("event_type = 'purchase'").select("user_id", "event_id", "ts"), views, ["user_id"], "ts", ["view_id"], F.expr("interval 6 hours")).select("event_id", "view_id")
+
+
+@named("SELECT p_partkey, CAST(ntile(4) OVER w AS INTEGER) AS tile, percent_rank() OVER w AS percent_rank, cume_dist() OVER w AS cume_dist FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey)")
+def distribution(spark, sf_dir):
+    return segments.distribution(table(spark, sf_dir, "part"), ["p_brand"], ["p_retailprice", "p_partkey"]).select("p_partkey", "tile", "percent_rank", "cume_dist")
+
+
+@named("SELECT p_partkey, CAST(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS around FROM part")
+def range_frame(spark, sf_dir):
+    return segments.within_range(table(spark, sf_dir, "part"), ["p_brand"], "p_size", 2, 1, "p_size").select("p_partkey", "around")
+
+
+# retrieved tables
+
+
+_HITS = "h AS (SELECT l_orderkey AS question_id, CAST(l_suppkey AS VARCHAR) AS table_id, l_linenumber AS rank, l_quantity AS score FROM lineitem)"
+
+
+def _hits(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("question_id"), F.col("l_suppkey").cast("string").alias("table_id"), F.col("l_linenumber").alias("rank"), F.col("l_quantity").alias("score"))
+
+
+@named(f"""WITH {_HITS}, b AS (SELECT question_id, table_id, min(rank) AS rank, min(struct_pack(r := rank, s := score)).s AS score FROM h GROUP BY 1, 2),
+  w AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank, table_id) - 1 AS place FROM b WHERE table_id <> CAST(question_id % 10 AS VARCHAR) AND NOT (contains(table_id, '1') AND contains(table_id, '2')))
+  SELECT question_id, CAST(place AS INTEGER) AS place, table_id, -score AS score FROM w WHERE place < 2
+  UNION ALL SELECT o_orderkey, 0, 'FAKE', NULL FROM orders WHERE o_orderkey NOT IN (SELECT question_id FROM w)""")
+def negatives_without_answers(spark, sf_dir):
+    asks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question_id"), (F.col("o_orderkey") % 10).cast("string").alias("gold_id"), F.array(F.lit("1"), F.lit("2")).alias("answers"))
+    return negatives.hard_negatives(asks, _hits(spark, sf_dir).withColumn("table_text", F.col("table_id")), 2)
+
+
+@named(f"WITH {_HITS} SELECT question_id, table_id, rank, s_name AS title FROM h JOIN supplier ON CAST(s_suppkey AS VARCHAR) = table_id")
+def hits_with_tables(spark, sf_dir):
+    tables = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("table_id"), F.col("s_name").alias("title"))
+    return negatives.with_tables(_hits(spark, sf_dir), tables.union(tables)).select("question_id", "table_id", "rank", "title")
+
+
+@named("""WITH t AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, CAST(row_number() OVER (ORDER BY CAST(s_suppkey AS VARCHAR)) - 1 AS INTEGER) AS place FROM supplier), g AS (SELECT s_nationkey AS query_id, list(place ORDER BY place) AS p FROM supplier JOIN t ON id = CAST(s_suppkey AS VARCHAR) GROUP BY 1)
+  SELECT query_id, array_to_string(list_concat(p, [-1, -1, -1, -1, -1, -1])[1:6], ',') AS places FROM g""")
+def gold_places(spark, sf_dir):
+    tables = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("table_id"), F.col("s_nationkey").alias("query_id"))
+    asks = tables.groupBy("query_id").agg(F.collect_list("table_id").alias("table_ids"))
+    return negatives.gold_places(asks, tables, 6).select("query_id", F.array_join("places", ",").alias("places"))
+
+
+@named(f"""WITH {_HITS}, d AS (SELECT DISTINCT question_id, table_id, rank, score FROM h WHERE rank <= 3), r AS (SELECT question_id, table_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score, table_id) AS INTEGER) AS rank, score FROM d),
+  g AS (SELECT o_orderkey AS question_id, CAST(o_orderkey % 10 + 1 AS VARCHAR) AS table_id, true AS is_gold FROM orders)
+  SELECT question_id, table_id, rank, score, coalesce(is_gold, false) AS is_gold FROM r FULL JOIN g USING (question_id, table_id)""")
+def retriever_info(spark, sf_dir):
+    asks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question_id"), (F.col("o_orderkey") % 10 + 1).cast("string").alias("gold_id"))
+    hits = _hits(spark, sf_dir).where("rank <= 3").distinct().drop("rank")
+    return negatives.retriever_info(asks, hits, True)
+
+
+# predictions
+
+
+@named("""WITH x AS (SELECT o_orderkey % 3 = 0 AS agg, o_orderkey % 5 <> 0 AS has, o_custkey % 2 = 0 AS ok FROM orders), y AS (SELECT (CASE WHEN agg THEN 'SUM' ELSE 'NONE' END) = (CASE WHEN has THEN 'SUM' ELSE 'NONE' END) AS a, has AND ok AS c FROM x)
+  SELECT round(avg(CAST(a AS DOUBLE)), 9) AS aggregation_acc, round(avg(CAST(c AS DOUBLE)), 9) AS cell_acc, round(avg(CAST(a AND c AS DOUBLE)), 9) AS joint_acc, count(*) AS n FROM y""")
+def structure_metrics(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question_id"), "o_custkey")
+    at = lambda r, c: F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"))
+    examples = o.select("question_id", F.when(F.col("question_id") % 3 == 0, "SUM").otherwise("NONE").alias("aggregation"), F.array(at(0, 1), at(2, 1)).alias("coordinates"))
+    right = F.when(F.col("o_custkey") % 2 == 0, F.array(at(2, 1), at(0, 1))).otherwise(F.array(at(2, 1)))
+    preds = o.where("question_id % 5 <> 0").select("question_id", F.lit("SUM").alias("aggregation"), right.alias("coordinates"))
+    m = evaluate.structure(evaluate.join_predictions(examples, preds))
+    return m.select(*[F.round(c, 9).alias(c) for c in m.columns[:3]], "n")
+
+
+@named("""WITH x AS (SELECT o_orderstatus AS kind, list(l_linenumber ORDER BY l_linenumber) FILTER (l_returnflag = 'A') AS g, list(l_linenumber ORDER BY l_quantity DESC, l_linenumber) FILTER (l_quantity > 25) AS r FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey, o_orderstatus),
+  y AS (SELECT kind, list_distinct(coalesce(g, [])) AS g, coalesce(r, []) AS r FROM x), m AS (SELECT *, len(list_intersect(g, r)) AS hit FROM y)
+  SELECT CASE WHEN grouping(kind) = 1 THEN 'ALL' ELSE kind END AS name, count(*) AS n, round(avg(hit / len(g)) FILTER (len(g) > 0), 9) AS recall, round(avg(hit / len(list_distinct(r))) FILTER (len(r) > 0), 9) AS precision, round(avg(CAST(len(r) > 0 AS DOUBLE)), 9) AS non_empty,
+  round(avg(len(r)), 9) AS answer_len, round(avg(CAST(hit = len(g) AS DOUBLE)), 9) AS coverage, round(avg(len(list_intersect(g, r[1:1])) / len(g)) FILTER (len(g) > 0), 9) AS recall_at_1,
+  round(avg(len(list_intersect(g, r[1:3])) / len(g)) FILTER (len(g) > 0), 9) AS recall_at_3, round(avg(len(list_intersect(g, r[1:5])) / len(g)) FILTER (len(g) > 0), 9) AS recall_at_5 FROM m GROUP BY GROUPING SETS ((kind), ())""")
+def cell_selection_metrics(spark, sf_dir):
+    lines, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("kind"))
+    ranked = F.transform(F.array_sort(F.collect_list(F.when(F.col("l_quantity") > 25, F.struct((-F.col("l_quantity")).alias("q"), F.col("l_linenumber").alias("n"))))), lambda x: x["n"])
+    cells = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.when(F.col("l_returnflag") == "A", F.col("l_linenumber")))).alias("gold"), ranked.alias("ranked")).join(o, "l_orderkey")
+    m = evaluate.cell_selection(cells, "kind", "gold", "ranked")
+    return m.select("name", "n", *[F.round(c, 9).alias(c) for c in m.columns if c not in ("name", "n")])
+
+
+@named("""WITH n AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1, 2) SELECT user_id, arg_max(event_type, struct_pack(n := n, f := -f)) AS label, max(n) AS votes FROM n GROUP BY 1""")
+def majority_label(spark, sf_dir):
+    return evaluate.majority_label(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
+
+
+@named("SELECT o_custkey, max(o_totalprice) AS metric, arg_max(o_orderkey, struct_pack(m := o_totalprice, s := o_orderkey)) AS step FROM orders GROUP BY 1")
+def best_step(spark, sf_dir):
+    return evaluate.best_step(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", "o_orderkey")
+
+
+@named(f"""WITH x AS (SELECT d.lang AS e, d.source AS s, l.quality = {_PREDICTED} AS ok FROM labels l JOIN documents d USING (doc_id)), o AS (SELECT e, avg(CAST(ok AS DOUBLE)) AS a, count(*) AS n FROM x GROUP BY 1),
+  g AS (SELECT e, feature, avg(CAST(ok AS DOUBLE)) AS a, count(*) AS n FROM (SELECT e, s AS feature, ok FROM x UNION ALL SELECT e, 'same', ok FROM x WHERE ok) GROUP BY 1, 2)
+  SELECT feature, round(max((o.a - g.a) * g.n / o.n), 9) AS headroom, CAST(sum(g.n) AS BIGINT) AS n FROM g JOIN o USING (e) GROUP BY 1""")
+def feature_headroom(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    x = _labelled(spark, sf_dir).join(d, "doc_id").withColumn("right", F.col("quality") == F.col("pred"))
+    features = F.array("source", F.when(F.col("right"), F.lit("same")).otherwise(F.col("source")))
+    h = evaluate.feature_headroom(x.withColumn("features", features), "lang", "features", "right")
+    return h.withColumn("headroom", F.round("headroom", 9))
+
+
+@named("""SELECT l_returnflag, round(avg(CASE WHEN abs(l_quantity - 25) <= 10 THEN 0.5 * (l_quantity - 25) * (l_quantity - 25) ELSE 10 * abs(l_quantity - 25) - 50 END), 6) AS huber, round(avg(1 / (1 + exp(-l_discount))), 9) AS sigmoid,
+  round(avg(exp(l_discount) / (exp(l_discount) + exp(l_tax) + 1)), 9) AS softmax, CAST(count(*) FILTER (l_tax > l_discount AND l_tax > 0) AS BIGINT) AS second FROM lineitem GROUP BY 1""")
+def loss_parts(spark, sf_dir):
+    three = F.array("l_discount", "l_tax", F.lit(0.0))
+    m = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
+        F.round(F.avg(evaluate.huber(F.col("l_quantity") - 25, 10.0)), 6).alias("huber"), F.round(F.avg(evaluate.sigmoid(F.col("l_discount"))), 9).alias("sigmoid"), F.round(F.avg(evaluate.softmax(three)[0]), 9).alias("softmax"),
+        F.count_if(evaluate.argmax(three) == 1).alias("second"),
+    )
+    return m
+
+
+# tokens of tables: a line of an order is a token, its supplier and part stand for column and row
+
+
+_CELL_TOKENS = "t AS (SELECT l_orderkey AS question_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) - 1 AS pos, CASE WHEN l_linenumber <= 2 THEN 0 ELSE 1 END AS s, CASE WHEN l_linenumber <= 2 THEN 0 ELSE CAST(l_suppkey % 2 AS INTEGER) + 1 END AS c, CASE WHEN l_linenumber <= 2 THEN 0 ELSE CAST(l_partkey % 3 AS INTEGER) END AS r, l_quantity AS q FROM lineitem)"
+
+
+def _cell_tokens(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    lines, text_part = table(spark, sf_dir, "lineitem"), F.col("l_linenumber") <= 2
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey")) - 1
+    ids = {"segment": F.lit(1), "column_id": (F.col("l_suppkey") % 2 + 1).cast("int"), "row_id": (F.col("l_partkey") % 3).cast("int")}
+    return lines.select(F.col("l_orderkey").alias("question_id"), place.alias("pos"), *[F.when(text_part, 0).otherwise(c).alias(n) for n, c in ids.items()], F.col("l_quantity").alias("value"))
+
+
+@named(f"""WITH {_CELL_TOKENS}, p AS (SELECT CASE WHEN a.s = 0 AND b.s = 0 THEN 11 WHEN a.s = 0 AND b.r = 0 THEN 9 WHEN a.s = 0 THEN 10 WHEN a.r = 0 AND b.s = 0 THEN 6 WHEN b.s = 0 THEN 12 WHEN a.r = 0 AND b.r = 0 AND a.c = b.c THEN 7 WHEN a.r = 0 AND b.r = 0 THEN 8
+  WHEN a.r = 0 AND a.c = b.c THEN 5 WHEN a.r = 0 THEN 0 WHEN b.r = 0 AND a.c = b.c THEN 4 WHEN b.r = 0 THEN 0 WHEN a.c = b.c AND a.r = b.r THEN 3 WHEN a.c = b.c THEN 2 WHEN a.r = b.r THEN 1 ELSE 0 END AS relation FROM t a JOIN t b USING (question_id)) SELECT CAST(relation AS INTEGER) AS relation, count(*) AS n FROM p GROUP BY 1""")
+def token_relations(spark, sf_dir):
+    one = _cell_tokens(spark, sf_dir).groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("pos", "segment", "column_id", "row_id"))).alias("t"))
+    r = one.select(layout.relations(F.col("t.segment"), F.col("t.column_id"), F.col("t.row_id")).alias("r"))
+    return r.select(F.explode(F.flatten("r")).alias("relation")).groupBy("relation").agg(F.count("*").alias("n"))
+
+
+@named(f"""WITH {_CELL_TOKENS} SELECT question_id, CAST(a.pos AS INTEGER) AS "begin", CAST(b.pos AS INTEGER) AS "end", CAST(a.c = b.c AND a.r = b.r AND a.c > 0 AND a.r > 0 AS INTEGER) AS inside FROM t a JOIN t b USING (question_id) WHERE a.pos < b.pos""")
+def span_masks(spark, sf_dir):
+    one = _cell_tokens(spark, sf_dir).groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("pos", "column_id", "row_id"))).alias("t"))
+    places = F.expr("flatten(transform(sequence(0, size(t) - 1), i -> transform(filter(sequence(0, size(t) - 1), j -> j > i), j -> named_struct('begin', i, 'end', j))))")
+    m = one.withColumn("spans", places).withColumn("m", layout.span_mask(F.col("spans"), F.col("t.column_id"), F.col("t.row_id")))
+    return m.select("question_id", F.explode(F.arrays_zip("spans", "m")).alias("x")).select("question_id", "x.spans.begin", "x.spans.end", F.col("x.m").alias("inside"))
+
+
+@named(f"WITH {_CELL_TOKENS} SELECT question_id, CAST(pos AS INTEGER) AS pos, q AS numeric_value, CAST(CASE WHEN c > 0 AND r > 0 THEN count(*) OVER (PARTITION BY question_id, c, r) ELSE 1 END AS DOUBLE) AS scale FROM t")
+def numeric_scale(spark, sf_dir):
+    return layout.numeric_scale(_cell_tokens(spark, sf_dir)).select("question_id", F.col("pos").cast("int").alias("pos"), "numeric_value", "scale")
+
+
+@named(f"WITH {_CELL_TOKENS} SELECT question_id, CAST(pos AS INTEGER) AS pos, CAST(c = 1 AND r = 1 AS INTEGER) AS label FROM t")
+def answer_labels(spark, sf_dir):
+    tokens = _cell_tokens(spark, sf_dir)
+    answers = tokens.select("question_id").distinct().withColumns({"column_id": F.lit(1), "row_id": F.lit(1)})
+    return layout.answer_labels(tokens, answers, strict=False).select("question_id", F.col("pos").cast("int").alias("pos"), "label")
+
+
+@named(f"WITH {_CELL_TOKENS} SELECT question_id, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM t WHERE c = 1 AND r = 1 GROUP BY 1 UNION ALL SELECT DISTINCT question_id, '' FROM t WHERE question_id NOT IN (SELECT question_id FROM t WHERE c = 1 AND r = 1)")
+def cell_positions(spark, sf_dir):
+    tokens = _cell_tokens(spark, sf_dir).withColumn("pos", F.col("pos").cast("int"))
+    asked = tokens.select("question_id").distinct().withColumns({"column_id": F.lit(1), "row_id": F.lit(1)})
+    return layout.tokens_of_cells(tokens, asked).select("question_id", F.array_join("positions", ",").alias("positions"))
+
+
+@named(f"WITH {_CELL_TOKENS} SELECT question_id, array_to_string(list(pos ORDER BY q DESC, pos)[1:3], ',') AS best, array_to_string(list(c ORDER BY q DESC, pos)[1:3], ',') AS columns FROM t GROUP BY 1")
+def top_tokens(spark, sf_dir):
+    one = _cell_tokens(spark, sf_dir).groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("pos", "column_id", "value"))).alias("t"))
+    cut = layout.gather_top(F.col("t.value"), {"best": F.col("t.pos"), "columns": F.col("t.column_id")}, 3)
+    return one.select("question_id", *cut).select("question_id", F.array_join("best", ",").alias("best"), F.array_join("columns", ",").alias("columns"))
+
+
+# preparing interactions
+
+
+@named("""WITH g AS (SELECT l_orderkey AS question_id, CAST(l_suppkey % 3 AS INTEGER) AS g, list(CAST(l_linenumber AS VARCHAR) ORDER BY l_linenumber) AS a FROM lineitem GROUP BY 1, 2 HAVING bool_and(l_quantity > 10)), n AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY g) AS i FROM g)
+  SELECT question_id, array_to_string(max(a) FILTER (i = 1), ',') AS answer, CAST(count(*) - 1 AS INTEGER) AS alternatives FROM n GROUP BY 1""")
+def answer_groups(spark, sf_dir):
+    lists = F.sort_array(F.collect_list(F.struct("l_linenumber", (F.col("l_quantity") > 10).alias("ok"))))
+    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("question_id"), (F.col("l_suppkey") % 3).alias("group_index")).agg(lists.alias("x"))
+    chosen = prepare.choose_answers(g.select("question_id", "group_index", F.col("x.l_linenumber").cast("array<string>").alias("answers"), F.col("x.ok").alias("located")))
+    return chosen.select("question_id", F.array_join("answer", ",").alias("answer"), F.size("alternatives").alias("alternatives"))
+
+
+@named("SELECT p_brand AS table_id, p_partkey FROM (SELECT p_brand, p_partkey, sum(length(p_name)) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS used FROM part) WHERE used <= 300")
+def rows_within_budget(spark, sf_dir):
+    cells = table(spark, sf_dir, "part").select(F.col("p_brand").alias("table_id"), "p_partkey", "p_name")
+    return prepare.fit_rows(cells, "p_partkey", F.length("p_name"), 300).select("table_id", "p_partkey")
+
+
+@named(f"""WITH t AS (SELECT CAST(c_nationkey AS VARCHAR) AS id, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) >= 3), s AS (SELECT id, {_SHA32.format(chr(39) * 4 + " || id || " + chr(39) * 4)} AS h FROM t)
+  SELECT id || '_' || CAST(i AS VARCHAR) AS id, CASE WHEN CAST(h AS BIGINT) % 4 = 0 THEN 'test' ELSE 'train' END AS split FROM s, (SELECT unnest([0, 1, 2]) AS i)""")
+def pretraining_split(spark, sf_dir):
+    cells = wide_to_cells(table(spark, sf_dir, "customer"), F.col("c_nationkey").cast("string"), ["c_custkey"], ["c_name", "c_acctbal"])
+    asked = prepare.inputs(from_cells(cells), "TABLE").withColumn("questions", F.array(F.lit(None).cast(prepare.INTERACTION["questions"].dataType.elementType)))
+    return prepare.pretraining(asked, 3, 3, 2, 4).select("id", "split")
+
+
+@named("SELECT CAST(n_regionkey AS VARCHAR) AS table_id, string_agg(n_name, '|' ORDER BY n_nationkey) AS row FROM nation WHERE n_nationkey % 2 = 0 GROUP BY 1")
+def picked_cells(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("table_id"), F.col("n_nationkey").alias("row_index"), F.lit(0).alias("column_index"), F.col("n_name").alias("text"))
+    return match.answer_table(n, n.where("row_index % 2 = 0")).select("table_id", F.array_join("row", "|").alias("row"))
+
+
+@named("SELECT n_nationkey AS row_index, CASE WHEN n_nationkey % 2 = 0 THEN '[[' || n_name || ']]' ELSE n_name END AS text FROM nation")
+def highlighted_cells(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("table_id"), F.col("n_nationkey").alias("row_index"), F.lit(0).alias("column_index"), F.col("n_name").alias("text"))
+    return match.highlight(n, n.where("row_index % 2 = 0")).select("row_index", "text")
+
+
+@named("SELECT a.n_nationkey AS question_id, b.n_nationkey AS row_index, CASE WHEN a.n_nationkey = b.n_nationkey THEN 'text' END AS via FROM nation a JOIN nation b USING (n_regionkey) WHERE a.n_nationkey = b.n_nationkey")
+def cells_naming_answers(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("table_id"), F.col("n_nationkey").alias("row_index"), F.lit(0).alias("column_index"), F.concat(F.lit("in "), "n_name", F.lit(" (state)")).alias("text"), F.array(F.concat_ws(" ", F.lit("near"), "n_name")).alias("descriptions"))
+    asked = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("question_id"), F.col("n_regionkey").alias("table_id"), F.col("n_name").alias("answer"))
+    return match.cells_naming(asked, n).select("question_id", "row_index", "via")
 
 
 @named("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
