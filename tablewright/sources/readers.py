@@ -124,52 +124,209 @@ def predictions_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 class _Tables(HTMLParser):
-    """Rows of text of every table of a page; nested tables are tables of their own, hidden elements are skipped."""
+    """Cells of every table of a page: kind, text, and where the content stands in the page; nested tables are tables of
+    their own, hidden elements are skipped, spans over rows or columns count as one cell."""
 
-    def __init__(self):
+    VOID = ("br", "img", "hr", "input", "meta", "link", "wbr", "col")
+
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.done, self.open, self.hidden = [], [], 0
+        self.lines = [0]
+        for line in html.split("\n"):
+            self.lines.append(self.lines[-1] + len(line) + 1)
+        self.feed(html)
+
+    def _at(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
 
     def handle_starttag(self, tag, attrs):
         style = dict(attrs).get("style") or ""
         if self.hidden or "display:none" in style.replace(" ", ""):
-            self.hidden += tag not in ("br", "img", "hr", "input", "meta", "link")
+            self.hidden += tag not in self.VOID
         elif tag == "table":
             self.open.append([])
         elif self.open and tag == "tr":
             self.open[-1].append([])
         elif self.open and tag in ("td", "th") and self.open[-1]:
-            self.open[-1][-1].append("")
+            begin = self._at() + len(self.get_starttag_text())
+            self.open[-1][-1].append([tag, "", begin, begin])
 
     def handle_endtag(self, tag):
         if self.hidden:
             self.hidden -= 1
         elif tag == "table" and self.open:
-            self.done.append([[" ".join(c.split()) for c in r] for r in self.open.pop() if r])
+            self.done.append([[(kind, " ".join(text.split()), a, b) for kind, text, a, b in r] for r in self.open.pop() if r])
+        elif tag in ("td", "th") and self.open and self.open[-1] and self.open[-1][-1]:
+            self.open[-1][-1][-1][3] = self._at()
 
     def handle_data(self, data):
         if self.open and not self.hidden and self.open[-1] and self.open[-1][-1]:
-            self.open[-1][-1][-1] += data
+            self.open[-1][-1][-1][1] += data
+
+
+def _laid_out(rows: list[list[tuple]]) -> tuple[str, list[list[tuple]]] | None:
+    """(layout, rows) of a rectangular table: pairs of a heading and a cell are an infobox, turned into two rows; else None."""
+    if not rows or len({len(r) for r in rows}) != 1:
+        return None
+    if all([c[0] for c in r] == ["th", "td"] for r in rows):
+        return "infobox", [[r[0] for r in rows], [r[1] for r in rows]]
+    return "horizontal", rows
 
 
 def html_tables(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """Rectangular tables of HTML pages as long cells; the parser is Python's, batch by batch."""
+    """Rectangular tables of HTML pages as long cells: ``(id, table_index, layout, row_index, column_index, text, begin, end)``.
+
+    ``begin`` and ``end`` are the content's places in the page's UTF-8 bytes (equal for a cell that is never closed).
+    Tables are numbered by where they end; the parser is Python's, batch by batch.
+    """
     kind = dict(pages.dtypes)[id_col]
 
     def cut(batches):
         for pdf in batches:
             out = []
             for key, html in zip(pdf.iloc[:, 0], pdf.iloc[:, 1]):
-                p = _Tables()
-                p.feed(html or "")
-                for t, rows in enumerate(p.done):
-                    if rows and len({len(r) for r in rows}) == 1:
-                        out += [(key, t, r, c, x) for r, row in enumerate(rows) for c, x in enumerate(row)]
-            yield pd.DataFrame(out, columns=[id_col, "table_index", "row_index", "column_index", "text"])
+                html = html or ""
+                place = (lambda i: i) if html.isascii() else (lambda i, html=html: len(html[:i].encode()))
+                for t, rows in enumerate(_Tables(html).done):
+                    if found := _laid_out(rows):
+                        out += [(key, t, found[0], r, c, x, place(a), place(b)) for r, row in enumerate(found[1]) for c, (_, x, a, b) in enumerate(row)]
+            yield pd.DataFrame(out, columns=[id_col, "table_index", "layout", "row_index", "column_index", "text", "begin", "end"])
 
-    return pages.select(id_col, html_col).mapInPandas(cut, f"`{id_col}` {kind}, table_index int, row_index int, column_index int, text string")
+    return pages.select(id_col, html_col).mapInPandas(cut, f"`{id_col}` {kind}, table_index int, layout string, row_index int, column_index int, text string, begin long, end long")
 
 
 def text_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON message a line (plain or gzip)."""
     return spark.read.schema(schema).json(path)
+
+
+def parse_message(text: str) -> dict:
+    """A message in text format: ``field: value``, ``field { ... }``, repeated fields as lists, enums as their names.
+
+    Every field is a list, as the text alone does not tell single from repeated ones. Raises ValueError on other text.
+    """
+    import ast
+    import re
+
+    token = re.compile(r"""\s*(?:\#[^\n]*\n\s*)*(?:([A-Za-z_][\w.]*)|("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(-?[\d.][\w.+-]*)|([{}<>:;,\[\]]))""")
+    found, at = [], 0
+    while at < len(text.rstrip()):
+        m = token.match(text, at)
+        if m is None:
+            raise ValueError(f"no token at {at}")
+        found.append((m.lastindex, m[m.lastindex]))
+        at = m.end()
+    found.append((0, ""))
+
+    def value(i):
+        kind, x = found[i]
+        if x in "{<" and kind == 4:
+            return fields(i + 1, "}" if x == "{" else ">")
+        if kind == 2:
+            parts = []
+            while found[i][0] == 2:  # neighbouring strings are one
+                parts.append(ast.literal_eval("b" + found[i][1]) if found[i][1].isascii() else ast.literal_eval(found[i][1]).encode())
+                i += 1
+            return b"".join(parts).decode("utf-8", "replace"), i
+        if kind == 1:
+            return {"true": True, "false": False}.get(x, x), i + 1
+        if kind == 3:
+            plain = x.rstrip("fF") if not x.lower().startswith("0x") else x
+            return (int(plain, 0) if re.fullmatch(r"-?(0x[0-9a-fA-F]+|\d+)", plain) else float(plain)), i + 1
+        raise ValueError(f"no value at token {i}")
+
+    def fields(i, end):
+        out: dict = {}
+        while found[i] != ((4, end) if end else (0, "")):
+            kind, name = found[i]
+            if kind != 1:
+                raise ValueError(f"no field at token {i}")
+            i += 1 + (found[i + 1] == (4, ":"))
+            if found[i] == (4, "["):
+                i += 1
+                while found[i] != (4, "]"):
+                    x, i = value(i)
+                    out.setdefault(name, []).append(x)
+                    i += found[i] == (4, ",")
+                i += 1
+            else:
+                x, i = value(i)
+                out.setdefault(name, []).append(x)
+            i += found[i] in ((4, ","), (4, ";"))
+        return out, i + bool(end)
+
+    return fields(0, "")[0]
+
+
+def _shaped(value, kind):
+    """A parsed field list in the form of a Spark type."""
+    from pyspark.sql import types as T
+
+    if isinstance(kind, T.ArrayType):
+        return [_shaped([v], kind.elementType) for v in value or []]
+    if not value:
+        return None
+    if isinstance(kind, T.StructType):
+        return {f.name: _shaped(value[-1].get(f.name), f.dataType) for f in kind.fields}
+    return str(value[-1]) if isinstance(kind, T.StringType) else float(value[-1]) if isinstance(kind, (T.FloatType, T.DoubleType)) else value[-1]
+
+
+def text_messages(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Text-format messages, one a line (plain or gzip), in the form of ``schema`` (a struct type); ``error`` says why a line is none."""
+    import json
+
+    from pyspark.sql import types as T
+
+    def read(batches):
+        for pdf in batches:
+            out, errors = [], []
+            for line in pdf.value:
+                try:
+                    out.append(json.dumps(_shaped([parse_message(line)], schema)))
+                    errors.append(None)
+                except (ValueError, SyntaxError, AttributeError) as e:
+                    out.append(None)
+                    errors.append(str(e))
+            yield pd.DataFrame({"j": out, "error": errors})
+
+    lines = spark.read.text(path).where(F.trim("value") != "").mapInPandas(read, "j string, error string")
+    return lines.select(F.from_json("j", T.StructType(schema.fields)).alias("m"), "error").select("m.*", "error")
+
+
+def split_files(spark: SparkSession, paths: dict[str, list[str]], schema: str, parts: int = 0) -> DataFrame:
+    """JSON lines of several files, tagged by their split; gzip files are one task each, so rows may be dealt out anew."""
+    import functools
+
+    one = [spark.read.schema(schema).json(files).withColumn("split", F.lit(name)) for name, files in paths.items()]
+    rows = functools.reduce(DataFrame.unionByName, one)
+    return rows.repartition(parts) if parts else rows
+
+
+def json_directory(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One JSON object a file: its columns and ``key``, the file's name without its ending. Equal names are an error."""
+    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    keyed = rows.withColumn("key", F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", ""))
+    from pyspark.sql.window import Window
+
+    once = F.count("*").over(Window.partitionBy("key"))
+    return keyed.withColumn("key", F.when(once > 1, F.raise_error(F.concat(F.lit("two files named "), F.col("key")))).otherwise(F.col("key")))
+
+
+def embedding_tsv(spark: SparkSession, path: str, id_col: str, vector_col: str) -> DataFrame:
+    """Vectors written as list literals: ``(id, vector array<double>)``."""
+    rows = spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    return rows.select(id_col, F.from_json(F.regexp_replace(vector_col, r"\s+", " "), "array<double>").alias("vector"))
+
+
+def reference_lists(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON object of question lists: ``(question_id, kind)`` for the ``table`` and ``passage`` answers, each once."""
+    rows = spark.read.schema("table array<string>, passage array<string>").option("multiLine", True).json(path)
+    lists = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("ids")) for k in ("table", "passage")]))
+    return rows.select(lists.alias("l")).select(F.explode("l.ids").alias("question_id"), "l.kind").distinct()
+
+
+def from_arrays(spark: SparkSession, examples: list[dict], schema: str) -> DataFrame:
+    """In-memory examples (dictionaries of values and arrays) as rows of a stated schema."""
+    return spark.createDataFrame(examples, schema)

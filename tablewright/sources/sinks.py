@@ -47,7 +47,7 @@ def answer_lines(examples: DataFrame, preds: DataFrame, path: str) -> None:
 
 def best_answers(preds: DataFrame, questions: DataFrame) -> DataFrame:
     """The best-scored answer of each question, an empty text if it has none."""
-    best = preds.groupBy("question_id").agg(F.max_by("answer", "score").alias("pred"))
+    best = preds.groupBy("question_id").agg(F.max(F.struct("score", F.col("answer").alias("pred"))).getField("pred").alias("pred"))  # ties to the greater text
     return questions.join(best, "question_id", "left").select("question_id", F.coalesce("pred", F.lit("")).alias("pred"))
 
 
@@ -59,3 +59,43 @@ def report(df: DataFrame, file_col: str, error_col: str) -> DataFrame:
 def one_file(df: DataFrame, path: str) -> None:
     """A single JSON part, for results that are known to be small."""
     df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def text_message(c: Column, kind) -> Column:
+    """A struct in text format, fields in order, nulls left out."""
+    from pyspark.sql import types as T
+
+    def one(name, x, k):
+        if isinstance(k, T.ArrayType):
+            return F.array_join(F.transform(x, lambda v: one(name, v, k.elementType)), " ")
+        if isinstance(k, T.StructType):
+            return F.when(x.isNotNull(), F.concat(F.lit(f"{name} {{ "), text_message(x, k), F.lit(" }")))
+        if isinstance(k, T.StringType):
+            for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+                x = F.replace(x, F.lit(plain), F.lit(escaped))
+            return F.concat(F.lit(f'{name}: "'), x, F.lit('"'))
+        return F.concat(F.lit(f"{name}: "), x.cast("string"))
+
+    return F.concat_ws(" ", *[F.nullif(one(f.name, c[f.name], f.dataType), F.lit("")) for f in kind.fields])
+
+
+def messages(df: DataFrame, path: str, compression: str = "none") -> None:
+    """Rows as text-format messages, one a line."""
+    lines = df.select(text_message(F.struct(*df.columns), df.schema).alias("value"))
+    lines.write.mode("overwrite").option("compression", compression).text(path)
+
+
+def tables_csv(cells: DataFrame, path: str) -> None:
+    """Every table as a folder of its own of quoted CSV lines, the header's first: one write, partitioned by table."""
+    quoted = lambda x: F.concat(F.lit('"'), F.replace(F.coalesce(x, F.lit("")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    line = lambda name: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("column_index", F.col(name).alias("x")))), lambda c: quoted(c["x"])), ",")
+    rows = cells.groupBy("table_id", "row_index").agg(line("text").alias("value"))
+    head = cells.where("row_index = 0").groupBy("table_id").agg(line("column_name").alias("value")).withColumn("row_index", F.lit(-1))
+    dealt = rows.unionByName(head).repartition("table_id").sortWithinPartitions("table_id", "row_index")
+    dealt.select("table_id", "value").write.mode("overwrite").partitionBy("table_id").text(path)
+
+
+def statements_xml(statements: DataFrame, labels: DataFrame, path: str) -> None:
+    """Statements with their majority label (``unknown`` without one) as XML rows."""
+    met = statements.join(labels, "statement_id", "left").select(F.col("statement_id").alias("_id"), F.col("text").alias("_text"), F.coalesce(F.col("label"), F.lit("unknown")).alias("_type"))
+    met.write.mode("overwrite").format("xml").option("rowTag", "statement").option("rootTag", "statements").save(path)

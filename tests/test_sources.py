@@ -82,3 +82,72 @@ def test_sequences_feed_answers_forward(spark):
     predict = lambda df: df.withColumn("answer", F.concat(F.coalesce("previous_answer", F.lit("")), F.lit("x")))
     got = {(r["sequence_id"], r["position"]): r["answer"] for r in files.previous_answers(turns, predict, 2).collect()}
     assert got == {("s", 0): "x", ("s", 1): "xx", ("r", 0): "x"}
+
+
+def test_html_layouts_and_byte_places(spark):
+    info = "<p>é</p><table><tr><th>Näme</th><td>Bo</td></tr><tr><th>Age</th><td>7</td></tr></table>"
+    wide = "<table>\n<tr><td rowspan=2>a</td><td>b</td></tr><tr><td>c<table><tr><td>in</td></tr></table></td><td style='display: none'>x</td><td>d</td></tr></table>"
+    odd = "<table><tr><td>a</td></tr><tr><td>b</td><td>c</td></tr></table>"
+    pages = spark.createDataFrame([(1, info), (2, wide), (3, odd), (4, None)], "p int, html string")
+    rows = readers.html_tables(pages, "p", "html").collect()
+    got = {(r["p"], r["table_index"], r["layout"], r["row_index"], r["column_index"]): r["text"] for r in rows}
+    assert {k: v for k, v in got.items() if k[0] == 1} == {(1, 0, "infobox", 0, 0): "Näme", (1, 0, "infobox", 0, 1): "Age", (1, 0, "infobox", 1, 0): "Bo", (1, 0, "infobox", 1, 1): "7"}
+    assert [got[2, 1, "horizontal", r, c] for r in (0, 1) for c in (0, 1)] == ["a", "b", "c", "d"] and got[2, 0, "horizontal", 0, 0] == "in"
+    assert not [k for k in got if k[0] in (3, 4)]
+    for r in rows:
+        if r["p"] == 1:
+            assert info.encode()[r["begin"] : r["end"]].decode() == r["text"]
+
+
+MESSAGE = """id: "t-0" table { columns { text: "A \\"q\\"" } columns { text: 'B' } rows { cells { text: "x" numeric_value { float_value: -1.5 } } cells: { text: "caf\\303\\251" } } } questions { id: "q" answer { aggregation: SUM is_valid: true class_index: 3 } } # end"""
+
+
+def test_text_messages_round_trip(spark, tmp_path):
+    from tablewright.schema import INTERACTION
+
+    (tmp_path / "in.txtpb").write_text(MESSAGE.replace("# end", "") + "\n\nid: {\n")
+    rows = readers.text_messages(spark, str(tmp_path / "in.txtpb"), INTERACTION)
+    good = rows.where("error is null").drop("error").first()
+    assert good["id"] == "t-0" and [c["text"] for c in good["table"]["columns"]] == ['A "q"', "B"]
+    assert [c["text"] for c in good["table"]["rows"][0]["cells"]] == ["x", "café"] and good["table"]["rows"][0]["cells"][0]["numeric_value"]["float_value"] == -1.5
+    assert (good["questions"][0]["answer"]["aggregation"], good["questions"][0]["answer"]["is_valid"], good["questions"][0]["answer"]["class_index"]) == ("SUM", True, 3)
+    assert rows.where("error is not null").count() == 1
+    sinks.messages(rows.where("error is null").drop("error"), str(tmp_path / "out"))
+    again = readers.text_messages(spark, str(tmp_path / "out"), INTERACTION).drop("error").first()
+    assert again["table"] == good["table"] and again["id"] == good["id"] and again["questions"][0]["answer"]["class_index"] == 3
+    assert readers.parse_message("a: [1, 0x10] b: 2f c < d: E > # note\n a: 3") == {"a": [1, 16, 3], "b": [2.0], "c": [{"d": ["E"]}]}
+
+
+def test_other_readers(spark, tmp_path):
+    (tmp_path / "dir").mkdir()
+    for name in ("a", "b.c"):
+        (tmp_path / "dir" / f"{name}.json").write_text(json.dumps({"x": name}, indent=1))
+    assert {(r["key"], r["x"]) for r in readers.json_directory(spark, str(tmp_path / "dir"), "x string").collect()} == {("a", "a"), ("b.c", "b.c")}
+    (tmp_path / "e.tsv").write_text("query_id\tquery_rep\nq\t[0.5, -1e-3,\t2]\n".replace(",\t2", ", 2"))
+    assert readers.embedding_tsv(spark, str(tmp_path / "e.tsv"), "query_id", "query_rep").first()["vector"] == [0.5, -0.001, 2.0]
+    (tmp_path / "r.json").write_text(json.dumps({"table": ["a", "a"], "passage": ["b"]}))
+    assert {tuple(r) for r in readers.reference_lists(spark, str(tmp_path / "r.json")).collect()} == {("a", "table"), ("b", "passage")}
+    for split in ("train", "dev"):
+        (tmp_path / f"{split}.jsonl").write_text('{"x": 1}\n')
+    files_ = {s: [str(tmp_path / f"{s}.jsonl")] for s in ("train", "dev")}
+    assert {(r["x"], r["split"]) for r in readers.split_files(spark, files_, "x int", 2).collect()} == {(1, "train"), (1, "dev")}
+    assert readers.from_arrays(spark, [{"a": [1, 2]}], "a array<int>").first()["a"] == [1, 2]
+
+
+def test_paths_and_exports(spark, tmp_path):
+    import pytest
+
+    from tablewright.sources import paths
+
+    assert paths.pairs(["x/b.txtpb.gz", "a.json"], "out") == [("a.json", "out/a"), ("x/b.txtpb.gz", "out/b")]
+    for bad in (["a.doc"], ["a.json", "b/a.txtpb"]):
+        with pytest.raises(ValueError):
+            paths.pairs(bad, "out")
+    cells = spark.createDataFrame([("t", 0, 0, "H", 'a"b'), ("t", 0, 1, "I", None), ("t", 1, 0, "H", "c"), ("t", 1, 1, "I", "d")], "table_id string, row_index int, column_index int, column_name string, text string")
+    sinks.tables_csv(cells, str(tmp_path / "csv"))
+    lines = [x for f in (tmp_path / "csv" / "table_id=t").glob("*.txt") for x in f.read_text().splitlines()]
+    assert lines == ['"H","I"', '"a\\"b",""', '"c","d"']
+    said = spark.createDataFrame([("s1", "x"), ("s2", "y")], "statement_id string, text string")
+    sinks.statements_xml(said, spark.createDataFrame([("s1", "entailed")], "statement_id string, label string"), str(tmp_path / "xml"))
+    back = spark.read.format("xml").option("rowTag", "statement").schema("_id string, _type string, _text string").load(str(tmp_path / "xml"))
+    assert {tuple(r) for r in back.collect()} == {("s1", "entailed", "x"), ("s2", "unknown", "y")}
