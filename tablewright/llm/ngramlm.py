@@ -241,8 +241,8 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     parts, place = ranges_for(size), F.xxhash64(f"_keep_{id_col}", "_text", F.lit(11))
     dealt = F.when(F.col("_held"), blocks + F.pmod(place, F.lit(held_blocks))).otherwise(F.pmod(place, F.lit(blocks))).cast("int")
     kept = [f"_keep_{c}" for c in names]
-    ready = marked.select(dealt.alias("block"), *kept, "_text", "_learn").repartition(blocks + held_blocks, "block")
-    told = exchange(ready, 2 * parts, _ask(parts), _answer(blocks)).repartition(blocks + held_blocks, "block")
+    ready = marked.select(dealt.alias("block"), *kept, "_text", "_learn").repartitionById(blocks + held_blocks, F.col("block"))
+    told = exchange(ready, 2 * parts, _ask(parts), _answer(blocks)).repartitionById(blocks + held_blocks, F.col("block"))
     events = ready.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_predict(parts, blocks), "event long, n long")
     cells = events.groupBy("event").agg(F.sum("n").alias("n"))
     weights = cells.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_learn, _WEIGHTS)  # cells: at most buckets x levels x levels, whatever the corpus

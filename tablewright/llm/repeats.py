@@ -211,9 +211,9 @@ def remove_repeats(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_co
     names, kept = [id_col, *carry], [f"_keep_{c}" for c in (id_col, *carry)]
     size = text_bytes(docs, text_col)
     dealt, blocks = with_block(docs, id_col, text_col, size, block_bytes)
-    ready = dealt.select("block", F.col(id_col).cast("long").alias("_id"), as_utf8(text_col).alias("_text"), *[F.col(c).alias(k) for c, k in zip(names, kept)]).repartition(blocks, "block")
+    ready = dealt.select("block", F.col(id_col).cast("long").alias("_id"), as_utf8(text_col).alias("_text"), *[F.col(c).alias(k) for c, k in zip(names, kept)]).repartitionById(blocks, F.col("block"))
     ranges = ranges_for(size)
-    told = exchange(ready, ranges, _ask(n, ranges), _answer).repartition(blocks, "block")  # the same rows, so Spark deals the texts out once
+    told = exchange(ready, ranges, _ask(n, ranges), _answer).repartitionById(blocks, F.col("block"))  # the same rows, so Spark deals the texts out once
     fields = [StructField(k, docs.schema[c].dataType) for c, k in zip(names, kept)]
     schema = StructType([*fields, StructField("_n_words", LongType()), StructField("_n_removed", LongType()), StructField("_kept", BinaryType())])
     out = ready.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_strip(n, kept, keep_form), schema)
