@@ -170,3 +170,44 @@ def hard_negatives(ranked: DataFrame, query_id: str, doc_id: str, gold: DataFram
 def merge_queries(queries: DataFrame, query_id: str, vector: str, dim: int) -> DataFrame:
     """Mean vectors (all ``dim`` components) of the rows of one query id, without exploding."""
     return queries.groupBy(query_id).agg(F.array(*[F.avg(F.col(vector)[i].cast("double")) for i in range(dim)]).alias("mean"), F.count("*").alias("n"))
+
+
+def search(docs: DataFrame, group: str, doc_id: str, tokens: Column, queries: DataFrame, query_tokens: Column, n: int, low: int = 1, high: int = 2, min_df: int = 1, max_df: float = 0.9, above: float = 0.0) -> DataFrame:
+    """``(group, doc_id, score, rank)``: in each group the ``n`` documents of a TF-IDF cosine above ``above`` to its query.
+
+    Each group (a question, say, with the sentences of its descriptions) is an index of its own over word n-grams of
+    ``low`` to ``high`` words; grams in fewer than ``min_df`` documents or more than ``max_df`` of them do not count,
+    but in an index of one document all do.
+    """
+    terms = docs.select(F.col(group), F.col(doc_id), F.explode(expand(tokens, low, high)).alias("token")).groupBy(group, doc_id, "token").agg(F.count("*").alias("tf"))
+    size = docs.groupBy(group).agg(F.count_distinct(doc_id).alias("_n"))
+    df = terms.groupBy(group, "token").agg(F.count("*").alias("_df")).join(size, group)
+    df = df.where((F.col("_n") == 1) | ((F.col("_df") >= min_df) & (F.col("_df") <= max_df * F.col("_n"))))
+    idf = df.select(group, "token", (F.ln((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("idf"))
+    weighted = lambda t, keys: t.join(idf, [group, "token"]).withColumn("w", F.col("tf") * F.col("idf")).select(*keys, "token", "w")
+    length = lambda w, keys, name: w.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
+    d = weighted(terms, [group, doc_id])
+    q = weighted(queries.select(F.col(group), F.explode(expand(query_tokens, low, high)).alias("token")).groupBy(group, "token").agg(F.count("*").alias("tf")), [group])
+    dots = d.join(q.withColumnRenamed("w", "_q"), [group, "token"]).groupBy(group, doc_id).agg(F.sum(F.col("w") * F.col("_q")).alias("dot"))
+    scores = dots.join(length(d, [group, doc_id], "_d"), [group, doc_id]).join(length(q, [group], "_l"), group)
+    return best(scores.select(group, doc_id, (F.col("dot") / (F.col("_d") * F.col("_l"))).alias("score")), group, doc_id, n, above=above)
+
+
+def describe_cells(cells: DataFrame, questions: DataFrame, descriptions: DataFrame, n: int = 3, with_title: bool = True) -> DataFrame:
+    """Cell texts followed by `` ( title : sentences )`` of the entities they name, the ``n`` sentences nearest the question.
+
+    ``cells``: ``question_id, row_index, column_index, text, entities array<string>``; ``questions``: ``question_id,
+    question``; ``descriptions``: ``question_id, identifier, title, text``. Sentences stay in the order of their text;
+    entities without a chosen sentence add nothing.
+    """
+    from ..functions import text as texts
+
+    one = descriptions.select("question_id", "identifier", "title", F.posexplode(texts.sentences("text")).alias("place", "sentence"))
+    one = one.withColumn("at", F.concat_ws("#", "identifier", F.lpad(F.col("place").cast("string"), 6, "0")))
+    words = lambda c: texts.tokenize(c)
+    near = search(one, "question_id", "at", words(F.col("sentence")), questions, words(F.col("question")), n).select("question_id", "at")
+    chosen = one.join(near, ["question_id", "at"]).groupBy("question_id", "identifier").agg(F.max("title").alias("title"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "sentence"))), lambda x: x["sentence"]), " ").alias("said"))
+    note = F.concat(F.lit(" ( "), F.when(F.lit(with_title) & F.col("title").isNotNull(), F.concat("title", F.lit(" : "))).otherwise(""), F.col("said"), F.lit(" )"))
+    asked = cells.select("question_id", "row_index", "column_index", F.posexplode("entities").alias("_e", "identifier")).join(chosen.withColumn("note", note), ["question_id", "identifier"])
+    notes = asked.groupBy("question_id", "row_index", "column_index").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_e", "note"))), lambda x: x["note"]), "").alias("_notes"))
+    return cells.join(notes, ["question_id", "row_index", "column_index"], "left").withColumn("text", F.concat("text", F.coalesce("_notes", F.lit("")))).drop("_notes")
