@@ -29,8 +29,9 @@ SHARD = 200_000
 #: A word is spelt in digits of this base, each place with characters of its own: nodes of the automata keep
 #: few children, which they search one by one, and no match begins inside a word.
 BASE = 32
-#: Windows compared word by word at once.
-_CHECKED = 1 << 18
+#: Words spelt for the automata, and windows compared word by word, at once.
+_READ = 1 << 17
+_CHECKED = 1 << 16
 
 
 def _ask(n: int, ranges: int):
@@ -98,19 +99,23 @@ class PhraseAutomata:
     @staticmethod
     def _spell(numbers: np.ndarray, digits: int) -> str:
         """Fixed-width spelling; -1 is a word that no phrase holds."""
-        places = np.arange(digits, dtype=np.int64)
-        codes = numbers[:, None] // BASE**places % BASE + places * BASE + 1
-        codes[numbers < 0] = 0
-        return codes.astype("<u4").tobytes().decode("utf-32-le")
-
-    def hits(self, words: np.ndarray) -> np.ndarray:
-        """First words of all phrases in a text, from every shard's automaton."""
-        ends: list[np.ndarray] = [np.empty(0, dtype=np.int64)]
+        codes, rest = np.empty((len(numbers), digits), dtype="<u4"), numbers.astype(np.int32)
+        for place in range(digits):
+            codes[:, place] = np.where(numbers < 0, 0, rest % BASE + (place * BASE + 1))
+            rest //= BASE
+        return codes.tobytes().decode("utf-32-le")
+
+    def hits(self, words: np.ndarray, most: int = _READ) -> np.ndarray:
+        """First words of all phrases in a text, from every shard's automaton; ``most`` words are spelt at a time."""
+        found: list[np.ndarray] = [np.empty(0, dtype=np.int64)]
         for letters, digits, machine in self.machines:
-            spot = np.minimum(np.searchsorted(letters, words), len(letters) - 1)
-            text = self._spell(np.where(letters[spot] == words, spot, -1), digits)
-            ends.append(np.fromiter((end for end, _ in machine.iter(text)), dtype=np.int64) // digits)
-        return np.unique(np.concatenate(ends)) - (self.length - 1)
+            for a in range(0, len(words), most):
+                part = words[a : a + most + self.length - 1]  # a phrase that begins here may end there
+                spot = np.minimum(np.searchsorted(letters, part), len(letters) - 1)
+                text = self._spell(np.where(letters[spot] == part, spot, -1), digits)
+                ends = np.fromiter((end for end, _ in machine.iter(text)), dtype=np.int64) // digits
+                found.append(ends + (a - self.length + 1))
+        return np.unique(np.concatenate(found))
 
 
 class RepeatedPassages:
@@ -119,9 +124,9 @@ class RepeatedPassages:
     def __init__(self, n: int, documents: list[list[bytes]], ids: list[int | None], earlier: np.ndarray, shard: int = SHARD):
         """``earlier``: sorted hashes of windows that documents of smaller ids, outside the block, hold."""
         self.n, words = n, Vocabulary()
-        numbers = [np.fromiter(map(words.__getitem__, d), dtype=np.int64, count=len(d)) for d in documents]
+        numbers = [np.fromiter(map(words.__getitem__, d), dtype=np.int32, count=len(d)) for d in documents]
         self.sizes = np.array([len(x) for x in numbers], dtype=np.int64)
-        self.flat = np.concatenate([np.empty(0, dtype=np.int64), *numbers])
+        self.flat = np.concatenate([np.empty(0, dtype=np.int32), *numbers])
         hashes = np.array(words.hashes, dtype=np.uint64)
         self.keys = window_hashes(hashes[self.flat], n)
         self.ends = np.cumsum(self.sizes)
@@ -134,8 +139,8 @@ class RepeatedPassages:
     def _confirm(self, earlier: np.ndarray) -> None:
         """Distinct windows that recur: their hashes, the smallest id that holds each, one place of each."""
         at = np.flatnonzero(self.whole)
-        order = np.argsort(self.keys[at], kind="stable")
-        keys, owner = self.keys[at][order], self.owner[at][order]
+        at = at[np.argsort(self.keys[at], kind="stable")]
+        keys, owner = self.keys[at], self.owner[at]
         starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), dtype=bool), keys[1:] != keys[:-1]]))
         none = np.empty(0, dtype=np.int64)
         first, last = (np.minimum.reduceat(owner, starts), np.maximum.reduceat(owner, starts)) if len(starts) else (none, none)
@@ -145,14 +150,14 @@ class RepeatedPassages:
             first = np.where(earlier[spot] == keys, np.iinfo(np.int64).min, first)
         recurs = first < last
         # a place in the earliest rows, so neighbouring windows are spelt from one document
-        self.recurring, self.first, self.place = keys[recurs], first[recurs], at[order[starts[recurs]]] if len(starts) else none
+        self.recurring, self.first, self.place = keys[recurs], first[recurs], at[starts[recurs]]
 
     def _phrases(self) -> np.ndarray:
         """The passages, maximal runs of recurring windows, cut every half window."""
         length = (self.n + 1) // 2
         spots = np.sort(self.place)
         if not len(spots):
-            return np.empty((0, length), dtype=np.int64)
+            return np.empty((0, length), dtype=np.int32)
         cut = np.flatnonzero(np.diff(spots) != 1) + 1
         begin, end = spots[np.concatenate([[0], cut])], spots[np.concatenate([cut - 1, [len(spots) - 1]])] + self.n
         count = (end - begin) // length
@@ -162,7 +167,7 @@ class RepeatedPassages:
 
     def covered(self) -> np.ndarray:
         """Which words lie in an occurrence of a passage that a smaller id holds, as the automata find them."""
-        change = np.zeros(len(self.flat) + 1, dtype=np.int64)
+        change = np.zeros(len(self.flat) + 1, dtype=np.int32)
         hits = self.automata.hits(self.flat) if len(self.recurring) else np.empty(0, dtype=np.int64)
         near = np.zeros(len(self.keys), dtype=bool)
         for back in range(self.n - self.automata.length + 1):

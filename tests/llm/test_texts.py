@@ -245,6 +245,8 @@ def test_automata_alone_find_the_passages(spark, monkeypatch):
     assert len(found[1].automata.machines) > len(found[0].automata.machines) == 1
     covered = [x.covered() for x in found]
     assert (covered[0] == covered[1]).all() and covered[0].sum() == 20 + 40 + 100 + 30
+    whole = found[0].automata.hits(found[0].flat)
+    assert len(whole) and all((found[0].automata.hits(found[0].flat, most) == whole).all() for most in (1, 5, 64, 10**6))
     monkeypatch.setattr(repeats.PhraseAutomata, "hits", lambda self, words: np.empty(0, dtype=np.int64))
     assert not found[0].covered().any()
 
