@@ -547,9 +547,23 @@ def parse_number_spans(spark, sf_dir):
     return d.groupBy("doc_id").agg(F.count("*").alias("spans"), F.count_if(F.exists("s.values", lambda v: v["date"].isNotNull())).alias("dates"))
 
 
-@named()
+@named("""WITH p AS (SELECT c_nationkey AS page, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r, c_name, c_mktsegment FROM customer), l AS (SELECT DISTINCT page FROM p)
+  SELECT page, 0 AS table_index, 'horizontal' AS layout, 0 AS row_index, 0 AS column_index, 'Näme' AS text FROM l UNION ALL SELECT page, 0, 'horizontal', 0, 1, 'Segment & more' FROM l
+  UNION ALL SELECT page, 0, 'horizontal', CAST(r AS INTEGER), 0, c_name FROM p UNION ALL SELECT page, 0, 'horizontal', CAST(r AS INTEGER), 1, c_mktsegment FROM p
+  UNION ALL SELECT page, 1, 'infobox', i, 0, CASE WHEN i = 0 THEN 'Nation' ELSE CAST(page AS VARCHAR) END FROM l, (SELECT unnest([0, 1]) AS i) UNION ALL SELECT page, 1, 'infobox', i, 1, CASE WHEN i = 0 THEN 'Kind' ELSE 'list' END FROM l, (SELECT unnest([0, 1]) AS i)""")
 def html_tables(spark, sf_dir):
-    return readers.html_tables(table(spark, sf_dir, "pages"), "page_id", "html")
+    """Tables of pages made of customers: a list with a heading, hidden cells and spans, then an infobox."""
+    c = table(spark, sf_dir, "customer")
+    row = F.concat(F.lit("<tr><td rowspan='1'>"), "c_name", F.lit("</td><td style='display:none'>x</td><td><b>"), "c_mktsegment", F.lit("</b>\n</td></tr>"))
+    lists = c.groupBy(F.col("c_nationkey").alias("page")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", row.alias("r")))), lambda x: x["r"]), "").alias("rows"))
+    html = F.concat(F.lit("<p>é</p><table><tr><th>Näme</th><th>Segment &amp; more</th></tr>"), "rows", F.lit("</table><table><tr><th>Nation</th><td>"), F.col("page").cast("string"), F.lit("</td></tr><tr><th>Kind</th><td>list</td></tr></table>"))
+    return readers.html_tables(lists.select("page", html.alias("html")), "page", "html").drop("begin", "end")
+
+
+@named("SELECT count(*) AS cells FROM pages WHERE false")
+def html_tables_of_pages(spark, sf_dir):
+    """The fixture's pages hold no table: whole pages are parsed and none is found."""
+    return readers.html_tables(table(spark, sf_dir, "pages"), "page_id", "html").agg(F.count("*").alias("cells"))
 
 
 # sampling and synthesis

@@ -31,16 +31,22 @@ def sessions(events: DataFrame, ts: str, key: str, gap: str, late: str | None =
     return src.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n"))
 
 
-def previous_answers(turns: DataFrame, predict: Callable[[DataFrame], DataFrame], steps: int) -> DataFrame:
-    """Answers position by position: ``predict`` sees each position with the answers of the one before."""
-    done: DataFrame | None = None
+def previous_answers(turns: DataFrame, predict: Callable[[DataFrame], DataFrame], steps: int, folder: str) -> DataFrame:
+    """Answers position by position: ``predict`` sees each position with the answers of the one before.
+
+    Each position's answers are written to ``folder`` (shared, new or empty) and read again, so ``predict`` runs once for
+    each and no plan holds an earlier one.
+    """
+    last: DataFrame | None = None
     for p in range(steps):
         here = turns.where(F.col("position") == p)
-        if done is None:
+        if last is None:
             asked = here.withColumn("previous_answer", F.lit(None).cast("string"))
         else:
-            last = done.where(F.col("position") == p - 1).select("sequence_id", F.col("answer").alias("previous_answer"))
-            asked = here.join(last, "sequence_id", "left")
-        answered = predict(asked)
-        done = answered if done is None else done.unionByName(answered)
-    return done if done is not None else turns.limit(0).withColumn("answer", F.lit(None).cast("string"))
+            asked = here.join(last.select("sequence_id", F.col("answer").alias("previous_answer")), "sequence_id", "left")
+        path = f"{folder}/step={p}"
+        predict(asked).write.mode("overwrite").parquet(path)
+        last = turns.sparkSession.read.parquet(path)
+    if last is None:
+        return turns.limit(0).withColumn("answer", F.lit(None).cast("string"))
+    return turns.sparkSession.read.schema(last.schema).parquet(*[f"{folder}/step={p}" for p in range(steps)])

@@ -77,10 +77,10 @@ def test_new_files_are_processed_once(spark, tmp_path):
     assert run() == 2 and seen == [1, 2, 3]
 
 
-def test_sequences_feed_answers_forward(spark):
+def test_sequences_feed_answers_forward(spark, tmp_path):
     turns = spark.createDataFrame([("s", 0), ("s", 1), ("r", 0)], "sequence_id string, position int")
     predict = lambda df: df.withColumn("answer", F.concat(F.coalesce("previous_answer", F.lit("")), F.lit("x")))
-    got = {(r["sequence_id"], r["position"]): r["answer"] for r in files.previous_answers(turns, predict, 2).collect()}
+    got = {(r["sequence_id"], r["position"]): r["answer"] for r in files.previous_answers(turns, predict, 2, str(tmp_path / "answers")).collect()}
     assert got == {("s", 0): "x", ("s", 1): "xx", ("r", 0): "x"}
 
 
