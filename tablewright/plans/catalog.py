@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text, wordpiece
-from ..operators import attention, dedup, evaluate, joins, layout, match, negatives, overlap, prepare, query, retrieval, segments, synth
+from ..operators import attention, dedup, evaluate, grammar, joins, layout, match, negatives, overlap, prepare, query, retrieval, segments, synth
 from ..schema import NUMERIC, from_cells, rectangular, to_cells, wide_to_cells
 from ..sources import readers
 
@@ -587,6 +587,12 @@ def synthesize_statements(spark, sf_dir):
     return synth.statements(p)
 
 
+@named()
+def grammar_statements(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    return grammar.statements(wide_to_cells(o, F.col("o_custkey"), ["o_orderkey"], ["o_totalprice", "o_orderstatus", "o_orderpriority"]))
+
+
 @named()
 def masked_positions(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", words("text").alias("t"))
