@@ -32,7 +32,7 @@ class Odds:
     constant: float = 0.5
     stop: float = 0.5
     count: float = 0.2
-    tries: int = 100
+    tries: int = 400
     shuffles: int = 4
 
 
