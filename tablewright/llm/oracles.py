@@ -149,8 +149,67 @@ SELECT e.doc_id, coalesce(c.class_id, e.doc_id) AS class_id, CAST(coalesce(n.n,
 FROM documents e LEFT JOIN s ON s.doc_id = e.doc_id LEFT JOIN c ON c.grams = s.grams LEFT JOIN p ON p.node = c.class_id LEFT JOIN n ON n.a = c.class_id
 """
 
+
+def _draw(group: int) -> str:
+    return f"CAST('0x' || substr(sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), {8 * group - 7}, 8) AS BIGINT)"
+
+
+INFILL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
+    {_draw(1)} AS h1, {_draw(2)} AS h2, {_draw(3)} AS h3, {_draw(4)} AS h4 FROM documents
+), c AS (
+  SELECT *, CAST(least(h1 % (n + 1), h2 % (n + 1)) AS BIGINT) AS a, CAST(greatest(h1 % (n + 1), h2 % (n + 1)) AS BIGINT) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d
+), p AS (
+  SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def _crc_table() -> str:
+    rows = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        rows.append(byte)
+    return "[" + ", ".join(map(str, rows)) + "]::BIGINT[]"
+
+
+_FEATURES = r"""
+  SELECT {key} AS id, w, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f
+  FROM (SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {table}) x"""
+
+RESAMPLE = rf"""
+WITH d AS MATERIALIZED ({_FEATURES.format(key="doc_id", table="documents")}
+), b AS MATERIALIZED ({_FEATURES.format(key="item_id", table="benchmark")}
+), df AS MATERIALIZED (SELECT id, unnest(f) AS f FROM d), bf AS MATERIALIZED (SELECT id, unnest(f) AS f FROM b
+), u AS (SELECT DISTINCT f, hex(encode(f)) AS x FROM (SELECT f FROM df UNION ALL SELECT f FROM bf)
+), k AS MATERIALIZED (
+  SELECT f, xor(list_reduce(list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)),
+    lambda s, c: xor(({_crc_table()})[(xor(s, c) & 255) + 1], s >> 8), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS bucket FROM u
+), s AS (SELECT bucket, count(*) AS s FROM df JOIN k USING (f) GROUP BY bucket
+), t AS (SELECT bucket, count(*) AS t FROM bf JOIN k USING (f) GROUP BY bucket
+), g AS (
+  SELECT s.bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST((SELECT count(*) FROM df) + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST((SELECT count(*) FROM bf) + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)
+), w AS (SELECT id, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM df JOIN k USING (f) JOIN g USING (bucket) GROUP BY id
+), r AS (
+  SELECT d.id, len(d.w) AS n_words, CAST(len(d.f) AS BIGINT) AS n_features, coalesce(w.weight, 0) AS weight,
+    coalesce(w.weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('7:' || coalesce(CAST(d.id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN w ON w.id = d.id
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, id) AS k, count(*) FILTER (n_words >= 20) OVER () AS n FROM r
+)
+SELECT id AS doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND k <= 25 * n // 100 THEN k END AS rank FROM o
+"""
+
 #: Ids are distinct in the tables of these; texts and vectors are whole.
 ORACLES = {
     "op1_topk": TOPK, "op2_urls": URLS, "op4_chat": CHAT, "op5_mix": MIX, "op6_neardup_vectors": NEAR_VECTORS, "op8_repeats": REPEATS,
-    "op9_jaccard": JACCARD,
+    "op9_jaccard": JACCARD, "op11_infill": INFILL, "op13_resample": RESAMPLE,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, knn, mixing, ngramlm, pieces, quality, repeats, urlrules, vectors
+from . import chat, importance, infill, jaccard, knn, mixing, ngramlm, pieces, quality, repeats, urlrules, vectors
 
 SEED = 20_240_501
 
@@ -83,4 +83,18 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_urls, op3_pieces, op4_chat, op5_mix, op6_neardup_vectors, op7_quality, op8_repeats, op9_jaccard, op10_lm)}
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.transform(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    restored = out.withColumn("_restored", infill.restore(F.col("output"), F.col("form")))
+    return restored.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(F.col("_restored").cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return importance.resample(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_urls, op3_pieces, op4_chat, op5_mix, op6_neardup_vectors, op7_quality, op8_repeats, op9_jaccard, op10_lm, op11_infill, op13_resample)}
