@@ -122,7 +122,7 @@ def draw(scored: DataFrame, percent: int, id_col: str = "doc_id", eligible: str
     low, high, total = scored.where(may).agg(F.min(id_col), F.max(id_col), F.count(F.lit(1))).first()
     wanted = percent * total // 100
     place = (F.col(id_col).cast("double") - F.lit(float(low or 0))) / F.lit(float(high or 0) - float(low or 0) + 1.0) * RANGES
-    ranged = scored.withColumn("_range", F.coalesce(F.least(F.floor(place), F.lit(RANGES - 1)), F.lit(-1)).cast("int"))
+    ranged = scored.withColumn("_range", F.when(F.col(id_col).isNull(), -1).otherwise(F.least(F.floor(place), F.lit(RANGES - 1))).cast("int"))
     cells = ranged.where(may).groupBy("score", "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_step", F.floor(F.col("score") / STEP))
     steps = cells.groupBy(F.col("_step").alias("_s")).agg(F.sum("_n").alias("_rows"))
     # one row for each step of scores: some hundreds, as scores are bounded by the logarithm of a count

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .license_rules import AFTER, BEFORE, compiled
 from .queries import SEED
 
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
@@ -208,8 +209,36 @@ WITH d AS MATERIALIZED ({_FEATURES.format(key="doc_id", table="documents")}
 SELECT id AS doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND k <= 25 * n // 100 THEN k END AS rank FROM o
 """
 
+_RULES = ", ".join(f"({r.number}, '{r.label}', '{r.keyword}', '{r.pattern}', {r.priority}, {r.confidence}, '{r.kind}')" for r in compiled())
+
+LICENSES = rf"""
+WITH rules(rule, label, keyword, pattern, priority, confidence, kind) AS (VALUES {_RULES}
+), d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), u AS (SELECT doc_id, w, unnest(range(0, len(w))) AS p FROM d
+), h AS (
+  SELECT doc_id, p, w[p + 1] AS k, ' ' || array_to_string(w[greatest(p - {BEFORE}, 0) + 1 : p], ' ') || CASE WHEN p > 0 THEN ' ' ELSE '' END || '@' || array_to_string(w[p + 1 : p + {AFTER + 1}], ' ') || ' ' AS around
+  FROM u WHERE w[p + 1] IN (SELECT keyword FROM rules)
+), m AS (
+  SELECT doc_id, p, rule, label, priority, confidence, kind, regexp_extract(around, pattern) AS m FROM h JOIN rules ON k = keyword WHERE regexp_matches(around, pattern)
+), i AS MATERIALIZED (
+  SELECT *, p - (len(string_split(string_split(m, '@')[1], ' ')) - 2) AS start, p - (len(string_split(string_split(m, '@')[1], ' ')) - 2) + len(string_split(m, ' ')) - 2 AS stop FROM m
+), k AS (
+  SELECT * FROM i x WHERE NOT EXISTS (
+    SELECT 1 FROM i y WHERE y.doc_id = x.doc_id AND y.start <= x.start AND y.stop >= x.stop AND y.priority >= x.priority
+      AND (y.start < x.start OR y.stop > x.stop OR y.priority > x.priority OR y.rule < x.rule))
+), b AS (
+  SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM i WHERE kind = 'BASE' GROUP BY doc_id
+), a AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM k UNION ALL SELECT doc_id, label FROM i WHERE kind = 'BASE') GROUP BY doc_id
+), s AS (SELECT doc_id, CAST(max(confidence) AS DOUBLE) AS score FROM k GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN a ON a.doc_id = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id
+"""
+
 #: Ids are distinct in the tables of these; texts and vectors are whole.
 ORACLES = {
     "op1_topk": TOPK, "op2_urls": URLS, "op4_chat": CHAT, "op5_mix": MIX, "op6_neardup_vectors": NEAR_VECTORS, "op8_repeats": REPEATS,
-    "op9_jaccard": JACCARD, "op11_infill": INFILL, "op13_resample": RESAMPLE,
+    "op9_jaccard": JACCARD, "op11_infill": INFILL, "op12_licenses": LICENSES, "op13_resample": RESAMPLE,
 }

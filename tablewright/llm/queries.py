@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, importance, infill, jaccard, knn, mixing, ngramlm, pieces, quality, repeats, urlrules, vectors
+from . import chat, importance, infill, jaccard, knn, licenses, mixing, ngramlm, pieces, quality, repeats, urlrules, vectors
 
 SEED = 20_240_501
 
@@ -92,9 +92,13 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.with_base(licenses.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return importance.resample(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_urls, op3_pieces, op4_chat, op5_mix, op6_neardup_vectors, op7_quality, op8_repeats, op9_jaccard, op10_lm, op11_infill, op13_resample)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_urls, op3_pieces, op4_chat, op5_mix, op6_neardup_vectors, op7_quality, op8_repeats, op9_jaccard, op10_lm, op11_infill, op12_licenses, op13_resample)}
