@@ -107,17 +107,41 @@ def same_denotation(gold: Column, pred: Column) -> Column:
     return F.coalesce(nothing | (plain(gold) == plain(pred)), F.lit(False))
 
 
-def cell_selection(df: DataFrame, kind: str, gold: str, ranked: str, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
-    """Metrics of selected cells for each value of ``kind`` and ALL: recall, precision over non-empty selections, non_empty,
-    answer_len, coverage (all gold cells selected), and recall among the first k."""
-    hit = F.size(F.array_intersect(gold, ranked))
-    part = lambda a, b: F.avg(F.when(b > 0, a / b))
-    metrics = {
-        "n": F.count("*"), "recall": part(hit, F.size(F.array_distinct(gold))), "precision": part(hit, F.size(F.array_distinct(ranked))), "non_empty": F.avg((F.size(ranked) > 0).cast("double")),
-        "answer_len": F.avg(F.size(ranked).cast("double")), "coverage": F.avg((F.size(F.array_except(gold, ranked)) == 0).cast("double")),
-        **{f"recall_at_{k}": part(F.size(F.array_intersect(gold, F.slice(ranked, 1, k))), F.size(F.array_distinct(gold))) for k in ks},
-    }
-    return grouped_report(df, kind, "ALL", metrics)
+def best_cells(tokens: DataFrame, question: str, row: str, column: str, probability: str, place: str) -> DataFrame:
+    """``(question, cells)``: each question's cells ``struct<row, column>``, by the mean probability of their tokens, the best first.
+
+    Ties keep the order of the cells' first tokens.
+    """
+    cells = tokens.groupBy(question, row, column).agg(F.avg(probability).alias("_p"), F.min(place).alias("_at"))
+    one = F.struct((-F.col("_p")).alias("p"), F.col("_at").alias("at"), F.struct(F.col(row).alias("row"), F.col(column).alias("column")).alias("cell"))
+    return cells.groupBy(question).agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["cell"]).alias("cells"))
+
+
+def answer_type(in_table: Column, in_text: Column) -> Column:
+    """The kind of a question's answer by how many of its cells the table itself and linked texts hold."""
+    named = [((in_table > 0) & (in_text > 0), "table_&_text"), (in_table == 1, "1_in_table"), (in_text == 1, "1_in_text"), (in_table > 0, "2+_in_table"), (in_text > 0, "2+_in_text")]
+    out = F.lit("no_answer")
+    for holds, name in reversed(named):
+        out = F.when(holds, F.lit(name)).otherwise(out)
+    return out
+
+
+def cell_selection(df: DataFrame, kind: str, gold: str, selected: str, ranked: str | None = None, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """Metrics of selected cells, one row for each value of ``kind`` and ``all``; every row of ``df`` is a question.
+
+    ``selected`` is the array of chosen cells, null for a question without a prediction; ``ranked`` all cells, the best
+    first. One right cell is enough: ``recall`` is the share of questions with a selected gold cell, ``recall_at_k`` that
+    of those with one among the first k. ``precision`` is the mean share of right cells over questions that select any
+    (null if none does), ``non_empty`` their share, ``answer_len`` the mean number of selected cells, ``coverage`` the
+    share of questions with a prediction.
+    """
+    chosen = F.array_distinct(F.coalesce(selected, F.slice(gold, 1, 0)))
+    hit, n = F.size(F.array_intersect(gold, chosen)), F.size(chosen)
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    metrics = {"n": F.count("*"), "recall": share(hit > 0), "precision": F.avg(F.when(n > 0, hit / n)), "non_empty": share(n > 0), "answer_len": F.avg(n.cast("double")), "coverage": share(F.col(selected).isNotNull())}
+    if ranked is not None:
+        metrics |= {f"recall_at_{k}": share(F.arrays_overlap(F.slice(ranked, 1, k), F.col(gold))) for k in ks}
+    return grouped_report(df, kind, "all", metrics)
 
 
 def majority_label(votes: DataFrame, item: str, label: str, order: str) -> DataFrame:

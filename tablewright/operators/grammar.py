@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..functions.numbers import read_number
+from ..functions.numbers import read_float
 
 # The words of the grammar.
 SELECTS = {
@@ -139,8 +139,8 @@ def compared(left: frozenset[str], compare: str, right: frozenset[str]) -> bool
 
 @functools.lru_cache(maxsize=1 << 16)
 def _number(text: str) -> float:
-    found = read_number(text) if text else None
-    return float("nan") if found is None else float(found)
+    found = read_float(text)
+    return float("nan") if found is None else found
 
 
 class _Drawer:

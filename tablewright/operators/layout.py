@@ -51,50 +51,56 @@ def features(tokens: DataFrame, length: int) -> DataFrame:
     return one.select("question_id", *[column(n) for n in names], mask)
 
 
-def shard_ranges(n_rows: Column, n_cols: Column, cells: int = 50) -> Column:
-    """Row ranges ``struct<begin, end>`` of shards of at most ``cells`` cells: halves of halves, of two rows or more.
+def shard_ranges(n_rows: Column, n_cols: Column, cells: int = 50, least: int = 2) -> Column:
+    """Row ranges ``struct<begin, end>`` of shards of at most ``cells`` cells, those under ``least`` rows left out.
 
-    Halving down to size s gives ``2**k`` shards whose edges are floors of equal parts, with k the depth needed.
+    A range that holds too many rows is cut at its middle, the smaller half first, and a half that fits is cut no
+    further. A table of more than ``cells`` columns has no shards.
     """
-    most = F.greatest(F.floor(F.lit(cells) / n_cols), F.lit(1))
-    depth = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(n_rows, F.lit(1)) / most))).cast("int")
-    parts = F.pow(F.lit(2), depth).cast("bigint")
-    edge = lambda i: F.floor(i * n_rows / parts).cast("int")
-    ranges = F.transform(F.sequence(F.lit(0).cast("bigint"), parts - 1), lambda i: F.struct(edge(i).alias("begin"), edge(i + 1).alias("end")))
-    return F.filter(ranges, lambda r: r["end"] - r["begin"] >= 2)
+    most = F.floor(F.lit(cells) / n_cols).cast("int")
+    depth = F.ceil(F.log2(F.greatest(n_rows, F.lit(1)) / most)).cast("int") + 1  # a half of an odd range has one row more
+    middle = lambda r: r["begin"] + F.floor((r["end"] - r["begin"]) / 2).cast("int")
+    part = lambda begin, end: F.struct(begin.alias("begin"), end.alias("end"))
+    halved = lambda rs: F.flatten(F.transform(rs, lambda r: F.when(r["end"] - r["begin"] <= most, F.array(r)).otherwise(F.array(part(r["begin"], middle(r)), part(middle(r), r["end"])))))
+    whole = F.array(part(F.lit(0), n_rows.cast("int")))
+    ranges = F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), whole, lambda rs, _: halved(rs))
+    return F.when(most > 0, F.filter(ranges, lambda r: r["end"] - r["begin"] >= least)).otherwise(F.array().cast("array<struct<begin:int,end:int>>"))
 
 
-#: Relations of token pairs, in the order of their numbers from 1; 0 is none of them.
+#: Relations of token pairs, in the order of their numbers from 1; 0 is none of them, or padding.
 RELATIONS = (
-    "same_row", "same_column", "same_cell", "cell_to_header", "header_to_cell", "header_to_sentence", "header_to_same_header", "header_to_other_header",
-    "sentence_to_header", "sentence_to_cell", "sentence_to_sentence", "cell_to_sentence",
+    "same_row", "same_column", "same_cell", "cell_to_header", "cell_to_sentence", "header_to_cell", "header_to_other_header", "header_to_same_header",
+    "header_to_sentence", "sentence_to_cell", "sentence_to_header", "sentence_to_sentence",
 )
 
 
-def relations(segment: Column, column: Column, row: Column) -> Column:
-    """Relation numbers of all token pairs of one sequence, an array of rows; padding (segment and column 0 ...) is text.
+def relations(segment: Column, column: Column, row: Column, mask: Column | None = None, without: str | None = None) -> Column:
+    """Relation numbers of all token pairs of one sequence, an array of rows, from the first token to the second.
 
-    Sentence tokens have segment 0; table tokens a column from 1 on and row 0 in the header. Of several relations of
-    two cells, the same cell outweighs the same column, and that the same row.
+    Sentence tokens have segment 0, table tokens segment 1, a column from 1 on and row 0 in the header. Places where
+    ``mask`` is 0 are padding and related to nothing. Of two cells' relations the same cell outweighs the others.
+    ``without`` leaves one relation out, which is then 0.
     """
     number = {r: i + 1 for i, r in enumerate(RELATIONS)}
-
-    def pair(i, j):
-        get = lambda a, k: F.get(a, k)
-        si, sj, ci, cj, ri, rj = get(segment, i), get(segment, j), get(column, i), get(column, j), get(row, i), get(row, j)
-        text_i, text_j, head_i, head_j = si == 0, sj == 0, (si == 1) & (ri == 0), (sj == 1) & (rj == 0)
-        cases = [
-            (text_i & text_j, "sentence_to_sentence"), (text_i & head_j, "sentence_to_header"), (text_i, "sentence_to_cell"), (head_i & text_j, "header_to_sentence"), (text_j, "cell_to_sentence"),
-            (head_i & head_j & (ci == cj), "header_to_same_header"), (head_i & head_j, "header_to_other_header"), (head_i & (ci == cj), "header_to_cell"), (head_j & (ci == cj), "cell_to_header"),
-            (~head_i & ~head_j & (ci == cj) & (ri == rj), "same_cell"), (~head_i & ~head_j & (ci == cj), "same_column"), (~head_i & ~head_j & (ri == rj), "same_row"),
+    real = F.transform(segment, lambda _: F.lit(1)) if mask is None else mask
+    #: "s" sentence, "h" header, "c" cell, "p" padding
+    kinds = F.transform(F.arrays_zip(real.alias("m"), segment.alias("s"), row.alias("r")), lambda t: F.when(t["m"] == 0, "p").when(t["s"] == 0, "s").when(t["r"] == 0, "h").otherwise("c"))
+    tokens = F.arrays_zip(kinds.alias("k"), column.alias("c"), row.alias("r"))
+
+    def pair(a: Column, b: Column) -> Column:
+        both, same_column, same_row = F.concat(a["k"], b["k"]), a["c"] == b["c"], a["r"] == b["r"]
+        named = {"cs": "cell_to_sentence", "hs": "header_to_sentence", "sc": "sentence_to_cell", "sh": "sentence_to_header", "ss": "sentence_to_sentence"}
+        cases = [(both == k, name) for k, name in named.items()] + [
+            ((both == "ch") & same_column, "cell_to_header"), ((both == "hc") & same_column, "header_to_cell"),
+            ((both == "hh") & same_column, "header_to_same_header"), (both == "hh", "header_to_other_header"),
+            ((both == "cc") & same_column & same_row, "same_cell"), ((both == "cc") & same_column, "same_column"), ((both == "cc") & same_row, "same_row"),
         ]
         out = F.lit(0)
         for holds, name in reversed(cases):
-            out = F.when(holds, F.lit(number[name])).otherwise(out)
+            out = F.when(holds, F.lit(0 if name == without else number[name])).otherwise(out)
         return out
 
-    places = F.sequence(F.lit(0), F.size(segment) - 1)
-    return F.transform(places, lambda i: F.transform(places, lambda j: pair(i, j)))
+    return F.transform(tokens, lambda a: F.transform(tokens, lambda b: pair(a, b)))
 
 
 def span_mask(spans: Column, column: Column, row: Column) -> Column:
@@ -137,7 +143,7 @@ def boost_previous(scores: DataFrame, previous: DataFrame, group: list[str], col
     marked = scores.join(previous.select(*group, column).distinct().withColumn("_p", F.lit(True)), [*group, column], "left")
     n = F.count("*").over(Window.partitionBy(*group))
     low = F.min(-F.col(score)).over(Window.partitionBy(*group))
-    return marked.withColumn("priority", F.when(F.col("_p"), low - n - 1 - F.col(score) * 0).otherwise(-F.col(score))).drop("_p")
+    return marked.withColumn("priority", F.when(F.col("_p"), low - n - 1).otherwise(-F.col(score))).drop("_p")
 
 
 def padded(examples: DataFrame, id_col: str, batch: int, filler: str = "EMPTY-0_0") -> DataFrame:

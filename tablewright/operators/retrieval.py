@@ -108,48 +108,67 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
+def usable(vector: str | Column) -> Column:
+    """Whether a vector can be compared: neither null nor empty, without null or non-finite components."""
+    v = F.col(vector) if isinstance(vector, str) else vector
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce((F.size(v) > 0) & ~bad, F.lit(False))
+
+
 def neighbours(queries: DataFrame, query_id: str, points: DataFrame, point_id: str, vector: str, k: int, digits: int = 6, shard_rows: int = 16_384) -> DataFrame:
     """The ``k`` best inner products of a stated query set against all points, a point of the query's own id left out.
 
     Points are dealt to shards of bounded size; in each, queries stream past as matrix products and keep a top k, so
     no side is broadcast and no pair becomes a row. Scores are rounded before ranking, ties go to the smaller id.
+    Vectors that are null, empty or hold null or non-finite components take no part; a query meets points of its own length.
     """
     import math
 
     import numpy as np
     import pyarrow as pa
 
-    shards = max(1, math.ceil(points.count() / shard_rows), min(8, points.sparkSession.sparkContext.defaultParallelism))
+    points, queries = points.where(usable(vector)), queries.where(usable(vector))
+    rows = points.count()
+    shards = max(1, math.ceil(rows / shard_rows), min(points.sparkSession.sparkContext.defaultParallelism, rows // 1024))
     home = F.pmod(F.xxhash64(point_id), F.lit(shards)).cast("int")
-    side = lambda df, key, shard, kind: df.where(F.col(vector).isNotNull()).select(shard.alias("shard"), F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    side = lambda df, key, shard, kind: df.select(shard.alias("shard"), F.size(vector).alias("dim"), F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     rows = side(points, point_id, home, 0).unionByName(side(queries, query_id, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))), 1))
 
+    def best_of(own, v, ids, matrix):
+        """(query, point, score) of the k best for each query of a block, all at once."""
+        scores = np.round(v @ matrix.T, digits)
+        scores[own[:, None] == ids[None, :]] = -np.inf
+        cut = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(own), -np.inf)
+        q, p = np.nonzero((scores >= cut[:, None]) & (scores > -np.inf))
+        order = np.lexsort((ids[p], -scores[q, p], q))
+        q, p = q[order], p[order]
+        first = np.searchsorted(q, q)  # where the query's run begins
+        kept = np.arange(len(q)) - first < k
+        return own[q[kept]], ids[p[kept]], scores[q[kept], p[kept]]
+
     def run(batches):
-        shard, ids, held, matrix = None, [], [], None
+        at, ids, held, matrix = None, [], [], None
         for b in batches:
-            marks = np.stack([b.column("shard").to_numpy(), b.column("kind").to_numpy()])
+            marks = np.stack([b.column(c).to_numpy() for c in ("shard", "dim", "kind")])
             cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
             for start, end in zip(cuts, cuts[1:]):
                 if start == end:
                     continue
                 part = b.slice(start, end - start)
-                own, v = part.column("id").to_numpy(), np.array(part.column("v").to_pylist(), dtype=np.float64)
-                if marks[0, start] != shard:
-                    shard, ids, held, matrix = marks[0, start], [], [], None
-                if marks[1, start] == 0:
-                    ids.append(own)
-                    held.append(v)
+                own, v = part.column("id").to_numpy(), part.column("v").flatten().to_numpy().reshape(end - start, -1)
+                if tuple(marks[:2, start]) != at:
+                    at, ids, held, matrix = tuple(marks[:2, start]), [], [], None
+                if marks[2, start] == 0:
+                    ids.append(own.copy())
+                    held.append(v.copy())
                 elif held:
                     matrix = (np.concatenate(ids), np.concatenate(held)) if matrix is None else matrix
-                    scores = np.round(v @ matrix[1].T, digits)
-                    scores[own[:, None] == matrix[0][None, :]] = -np.inf
-                    for q, row in zip(own.tolist(), scores):
-                        cut = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                        near = np.flatnonzero((row >= cut) & (row > -np.inf))
-                        near = near[np.lexsort((matrix[0][near], -row[near]))[:k]]
-                        yield pa.RecordBatch.from_arrays([pa.array([q] * len(near), pa.int64()), pa.array(matrix[0][near]), pa.array(row[near])], names=[query_id, point_id, "score"])
-
-    found = rows.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(run, f"`{query_id}` long, `{point_id}` long, score double")
+                    step = max(1, (1 << 23) // len(matrix[0]))  # scores of 64 MB at most
+                    for i in range(0, len(own), step):
+                        found = best_of(own[i : i + step], v[i : i + step], *matrix)
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=[query_id, point_id, "score"])
+
+    found = rows.repartition(shards, "shard").sortWithinPartitions("shard", "dim", "kind").mapInArrow(run, f"`{query_id}` long, `{point_id}` long, score double")
     return best(found, query_id, point_id, k, digits)
 
 

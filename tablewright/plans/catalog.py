@@ -435,24 +435,44 @@ def hash_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.split_of(F.col("doc_id").cast("string"), 10).alias("split"))
 
 
-_SUBSETS = """m AS (SELECT g, v, target, unnest(generate_series(1, CAST(2 ** len(v) AS BIGINT) - 1)) AS mask FROM v),
-  c AS (SELECT g, target, list_filter(generate_series(0, len(v) - 1), lambda i: (mask >> i) & 1 = 1) AS pos, v FROM m),
-  e AS (SELECT g, target, pos, list_transform(pos, lambda i: v[i + 1]) AS c FROM c),
-  r AS (SELECT g, target, pos, unnest([struct_pack(a := 'SUM', x := list_sum(c)), struct_pack(a := 'AVERAGE', x := list_sum(c) / len(c)), struct_pack(a := 'COUNT', x := CAST(len(c) AS DOUBLE))]) AS p FROM e)
-  SELECT g, array_to_string(pos, ',') AS rows, p.a AS aggregation, round(p.x, 6) AS result FROM r WHERE abs(p.x - target) < 0.01"""
+def _md5(*parts):
+    return "CAST('0x' || substr(md5('0|' || " + " || '|' || ".join(parts) + "), 1, 12) AS BIGINT)"
 
 
-@named(f"WITH v AS (SELECT n_regionkey AS g, list(CAST(n_nationkey AS DOUBLE) ORDER BY n_nationkey) AS v, 20.0 AS target FROM nation GROUP BY 1), {_SUBSETS}")
+#: Of ``v(g, v, target)``: subsets of all places, or of ten drawn from more, that explain the target; at most ``clip``.
+_SUBSETS = f"""f(g, d, j, n, s) AS (
+    SELECT g, d, len(v) - 10, len(v), CAST([] AS BIGINT[]) FROM v, (SELECT unnest(generate_series(1, 100)) AS d) WHERE len(v) > 10
+    UNION ALL SELECT g, d, j + 1, n, list_append(s, CASE WHEN list_contains(s, t) THEN j ELSE t END) FROM (SELECT *, {_md5("g", "d", "j")} % (j + 1) AS t FROM f WHERE j < n)),
+  k AS (SELECT g, range(0, len(v)) AS pick FROM v WHERE len(v) <= 10 UNION ALL SELECT g, list_sort(s) FROM f WHERE j = n),
+  m AS (SELECT g, pick, unnest(generate_series(1, CAST(2 ** len(pick) AS BIGINT) - 1)) AS mask FROM k),
+  c AS (SELECT DISTINCT g, list_filter(pick, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS pos FROM m),
+  e AS (SELECT g, target, pos, list_sum(list_transform(pos, lambda i: v[i + 1])) AS x FROM c JOIN v USING (g)),
+  r AS (SELECT g, target, array_to_string(pos, ',') AS rows, unnest([struct_pack(a := 'SUM', x := x), struct_pack(a := 'AVERAGE', x := x / len(pos))]) AS p FROM e),
+  q AS (SELECT g, rows, p.a AS aggregation, round(p.x, 6) AS result, row_number() OVER (PARTITION BY g ORDER BY {_md5("p.a", "rows")}, p.a, rows) AS i FROM r WHERE abs(p.x - target) < 0.01)
+  SELECT g, rows, aggregation, result FROM q WHERE i <= {{clip}}"""
+
+
+@named(f"WITH RECURSIVE v AS (SELECT n_regionkey AS g, list(CAST(n_nationkey AS DOUBLE) ORDER BY n_nationkey) AS v, 20.0 AS target FROM nation GROUP BY 1), {_SUBSETS.format(clip=500)}")
 def subset_sum_candidates(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("g"), "n_nationkey", F.col("n_nationkey").cast("double").alias("v"))
     return match.subsets(n, ["g"], "n_nationkey", "v", F.lit(20.0)).select("g", F.array_join("rows", ",").alias("rows"), "aggregation", r6("result").alias("result"))
 
 
-@named(f"WITH v AS (SELECT l_orderkey AS g, list(l_quantity ORDER BY l_linenumber, l_quantity) AS v, 51.0 AS target FROM lineitem WHERE l_orderkey % 7 = 0 GROUP BY 1), {_SUBSETS}")
+@named(f"WITH RECURSIVE v AS (SELECT l_orderkey AS g, list(l_quantity ORDER BY l_linenumber, l_quantity) AS v, 51.0 AS target FROM lineitem GROUP BY 1), {_SUBSETS.format(clip=3)}")
 def subset_of_lines(spark, sf_dir):
-    """Which lines of every seventh order (the question) make up 51 pieces."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 0").select(F.col("l_orderkey").alias("g"), "l_linenumber", F.col("l_quantity").alias("v"))
-    return match.subsets(lines, ["g"], "l_linenumber", "v", F.lit(51.0)).select("g", F.array_join("rows", ",").alias("rows"), "aggregation", r6("result").alias("result"))
+    """Which lines of an order (the question) make up 51 pieces, three ways at most."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("g"), "l_linenumber", F.col("l_quantity").alias("v"))
+    return match.subsets(lines, ["g"], "l_linenumber", "v", F.lit(51.0), clip=3).select("g", F.array_join("rows", ",").alias("rows"), "aggregation", r6("result").alias("result"))
+
+
+@named(f"""WITH n AS (SELECT p_brand AS g, count(*) AS n, CAST(ceil(0.75 * count(*)) AS BIGINT) AS t FROM part GROUP BY 1), d AS (SELECT g, t, d, unnest(range(0, n)) AS i FROM n, (SELECT unnest(generate_series(1, 100)) AS d)),
+  k AS (SELECT g, t, d, i, row_number() OVER (PARTITION BY g, d ORDER BY {_md5("g", "d", "i")}, i) AS r FROM d), s AS (SELECT DISTINCT g, t, rows FROM (SELECT g, t, d, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS rows FROM k WHERE r <= t GROUP BY 1, 2, 3)),
+  q AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {_md5("'COUNT'", "rows")}, rows) AS i FROM s) SELECT g, rows, CAST(t AS DOUBLE) AS result FROM q WHERE i <= 40""")
+def count_candidates(spark, sf_dir):
+    """Forty ways to choose three quarters of a brand's parts."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("g"), "p_partkey")
+    asked = parts.join(parts.groupBy("g").agg(F.ceil(F.count("*") * 0.75).alias("t")), "g")
+    return match.count_subsets(asked, ["g"], "p_partkey", F.col("t"), clip=40).select("g", F.array_join("rows", ",").alias("rows"), "result")
 
 
 # layout
@@ -491,8 +511,10 @@ def fit_to_budget(spark, sf_dir):
     return layout.largest_length(table(spark, sf_dir, "part"), ["p_brand"], F.length("p_name"), 1000)
 
 
-@named("""WITH n AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), d AS (SELECT p_brand, n, CAST(2 ** greatest(0, ceil(log2(greatest(n, 1) / 8.0))) AS BIGINT) AS parts FROM n), e AS (SELECT p_brand, n, parts, unnest(generate_series(0, parts - 1)) AS i FROM d),
-  r AS (SELECT p_brand, CAST(i * n // parts AS INTEGER) AS "begin", CAST((i + 1) * n // parts AS INTEGER) AS "end" FROM e) SELECT p_brand, "begin", "end" FROM r WHERE "end" - "begin" >= 2""")
+@named("""WITH RECURSIVE n AS (SELECT p_brand, CAST(count(*) AS INTEGER) AS n FROM part GROUP BY 1), r(p_brand, b, e) AS (
+    SELECT p_brand, 0, n FROM n
+    UNION ALL SELECT p_brand, unnest([b, b + (e - b) // 2]), unnest([b + (e - b) // 2, e]) FROM r WHERE e - b > 8)
+  SELECT p_brand, CAST(b AS INTEGER) AS "begin", CAST(e AS INTEGER) AS "end" FROM r WHERE e - b BETWEEN 2 AND 8""")
 def row_shards(spark, sf_dir):
     n = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
     return n.select("p_brand", F.explode(layout.shard_ranges(F.col("n"), F.lit(6))).alias("r")).select("p_brand", "r.begin", "r.end")
@@ -695,16 +717,19 @@ def structure_metrics(spark, sf_dir):
     return m.select(*[F.round(c, 9).alias(c) for c in m.columns[:3]], "n")
 
 
-@named("""WITH x AS (SELECT o_orderstatus AS kind, list(l_linenumber ORDER BY l_linenumber) FILTER (l_returnflag = 'A') AS g, list(l_linenumber ORDER BY l_quantity DESC, l_linenumber) FILTER (l_quantity > 25) AS r FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey, o_orderstatus),
-  y AS (SELECT kind, list_distinct(coalesce(g, [])) AS g, coalesce(r, []) AS r FROM x), m AS (SELECT *, len(list_intersect(g, r)) AS hit FROM y)
-  SELECT CASE WHEN grouping(kind) = 1 THEN 'ALL' ELSE kind END AS name, count(*) AS n, round(avg(hit / len(g)) FILTER (len(g) > 0), 9) AS recall, round(avg(hit / len(list_distinct(r))) FILTER (len(r) > 0), 9) AS precision, round(avg(CAST(len(r) > 0 AS DOUBLE)), 9) AS non_empty,
-  round(avg(len(r)), 9) AS answer_len, round(avg(CAST(hit = len(g) AS DOUBLE)), 9) AS coverage, round(avg(len(list_intersect(g, r[1:1])) / len(g)) FILTER (len(g) > 0), 9) AS recall_at_1,
-  round(avg(len(list_intersect(g, r[1:3])) / len(g)) FILTER (len(g) > 0), 9) AS recall_at_3, round(avg(len(list_intersect(g, r[1:5])) / len(g)) FILTER (len(g) > 0), 9) AS recall_at_5 FROM m GROUP BY GROUPING SETS ((kind), ())""")
+@named("""WITH x AS (SELECT l_orderkey, o_orderstatus AS kind, list(DISTINCT l_linenumber) FILTER (l_returnflag = 'A') AS g, list(DISTINCT l_linenumber) FILTER (l_quantity > 25) AS s, bool_or(l_linestatus = 'F') AS predicted FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+  c AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(avg(l_discount), 9) DESC, min(l_partkey)) AS k FROM lineitem GROUP BY 1, 2), b AS (SELECT l_orderkey, list(l_linenumber ORDER BY k) AS r FROM c GROUP BY 1),
+  y AS (SELECT kind, coalesce(g, []) AS g, CASE WHEN predicted THEN coalesce(s, []) ELSE [] END AS s, predicted, r FROM x JOIN b USING (l_orderkey)), m AS (SELECT *, len(list_intersect(g, s)) AS hit FROM y)
+  SELECT CASE WHEN grouping(kind) = 1 THEN 'all' ELSE kind END AS name, count(*) AS n, round(avg(CAST(hit > 0 AS DOUBLE)), 9) AS recall, round(avg(hit / len(s)) FILTER (len(s) > 0), 9) AS precision, round(avg(CAST(len(s) > 0 AS DOUBLE)), 9) AS non_empty,
+  round(avg(len(s)), 9) AS answer_len, round(avg(CAST(predicted AS DOUBLE)), 9) AS coverage, round(avg(CAST(list_has_any(r[1:1], g) AS DOUBLE)), 9) AS recall_at_1, round(avg(CAST(list_has_any(r[1:3], g) AS DOUBLE)), 9) AS recall_at_3,
+  round(avg(CAST(list_has_any(r[1:5], g) AS DOUBLE)), 9) AS recall_at_5 FROM m GROUP BY GROUPING SETS ((kind), ())""")
 def cell_selection_metrics(spark, sf_dir):
     lines, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("kind"))
-    ranked = F.transform(F.array_sort(F.collect_list(F.when(F.col("l_quantity") > 25, F.struct((-F.col("l_quantity")).alias("q"), F.col("l_linenumber").alias("n"))))), lambda x: x["n"])
-    cells = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.when(F.col("l_returnflag") == "A", F.col("l_linenumber")))).alias("gold"), ranked.alias("ranked")).join(o, "l_orderkey")
-    m = evaluate.cell_selection(cells, "kind", "gold", "ranked")
+    marked = lambda c: F.collect_set(F.when(c, F.col("l_linenumber")))
+    cells = lines.groupBy("l_orderkey").agg(marked(F.col("l_returnflag") == "A").alias("gold"), F.when(F.bool_or(F.col("l_linestatus") == "F"), marked(F.col("l_quantity") > 25)).alias("selected"))
+    tokens = lines.groupBy("l_orderkey", "l_linenumber").agg(F.round(F.avg("l_discount"), 9).alias("p"), F.min("l_partkey").alias("at")).withColumn("column", F.lit(0))
+    ranked = evaluate.best_cells(tokens, "l_orderkey", "l_linenumber", "column", "p", "at").select("l_orderkey", F.transform("cells", lambda c: c["row"]).alias("ranked"))
+    m = evaluate.cell_selection(cells.join(o, "l_orderkey").join(ranked, "l_orderkey"), "kind", "gold", "selected", "ranked")
     return m.select("name", "n", *[F.round(c, 9).alias(c) for c in m.columns if c not in ("name", "n")])
 
 
@@ -755,11 +780,13 @@ def _cell_tokens(spark, sf_dir):
     return lines.select(F.col("l_orderkey").alias("question_id"), place.alias("pos"), *[F.when(text_part, 0).otherwise(c).alias(n) for n, c in ids.items()], F.col("l_quantity").alias("value"))
 
 
-@named(f"""WITH {_CELL_TOKENS}, p AS (SELECT CASE WHEN a.s = 0 AND b.s = 0 THEN 11 WHEN a.s = 0 AND b.r = 0 THEN 9 WHEN a.s = 0 THEN 10 WHEN a.r = 0 AND b.s = 0 THEN 6 WHEN b.s = 0 THEN 12 WHEN a.r = 0 AND b.r = 0 AND a.c = b.c THEN 7 WHEN a.r = 0 AND b.r = 0 THEN 8
-  WHEN a.r = 0 AND a.c = b.c THEN 5 WHEN a.r = 0 THEN 0 WHEN b.r = 0 AND a.c = b.c THEN 4 WHEN b.r = 0 THEN 0 WHEN a.c = b.c AND a.r = b.r THEN 3 WHEN a.c = b.c THEN 2 WHEN a.r = b.r THEN 1 ELSE 0 END AS relation FROM t a JOIN t b USING (question_id)) SELECT CAST(relation AS INTEGER) AS relation, count(*) AS n FROM p GROUP BY 1""")
+@named(f"""WITH {_CELL_TOKENS}, k AS (SELECT question_id, c, r, CASE WHEN s = 0 THEN 'sentence' WHEN r = 0 THEN 'header' ELSE 'cell' END AS kind, q < 45 AS real FROM t),
+  p AS (SELECT CASE WHEN NOT (a.real AND b.real) THEN 0 ELSE CASE a.kind || ' ' || b.kind WHEN 'cell sentence' THEN 5 WHEN 'header sentence' THEN 9 WHEN 'sentence cell' THEN 10 WHEN 'sentence header' THEN 11 WHEN 'sentence sentence' THEN 12
+    WHEN 'cell header' THEN 4 * CAST(a.c = b.c AS INTEGER) WHEN 'header cell' THEN 6 * CAST(a.c = b.c AS INTEGER) WHEN 'header header' THEN 7 + CAST(a.c = b.c AS INTEGER)
+    WHEN 'cell cell' THEN CAST(a.r = b.r AS INTEGER) + 2 * CAST(a.c = b.c AS INTEGER) END END AS relation FROM k a JOIN k b USING (question_id)) SELECT CAST(relation AS INTEGER) AS relation, count(*) AS n FROM p GROUP BY 1""")
 def token_relations(spark, sf_dir):
-    one = _cell_tokens(spark, sf_dir).groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("pos", "segment", "column_id", "row_id"))).alias("t"))
-    r = one.select(layout.relations(F.col("t.segment"), F.col("t.column_id"), F.col("t.row_id")).alias("r"))
+    one = _cell_tokens(spark, sf_dir).withColumn("mask", (F.col("value") < 45).cast("int")).groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("pos", "segment", "column_id", "row_id", "mask"))).alias("t"))
+    r = one.select(layout.relations(F.col("t.segment"), F.col("t.column_id"), F.col("t.row_id"), F.col("t.mask")).alias("r"))
     return r.select(F.explode(F.flatten("r")).alias("relation")).groupBy("relation").agg(F.count("*").alias("n"))
 
 

@@ -452,7 +452,8 @@ def tables_as_interactions(tables: DataFrame) -> DataFrame:
 def inputs(spark: SparkSession, path: str, kind: str = "interaction") -> DataFrame:
     """``(id, table, questions)`` from TFRecord or text-format files of interactions or tables, by the path's ending.
 
-    Rows are dealt out by id, as neither form can be split. An unknown ending raises.
+    Rows are dealt out by id, as neither form can be split. A message that cannot be read is an error in both forms;
+    :func:`.readers.text_messages` returns errors beside the others. An unknown ending raises.
     """
     from .readers import text_messages
 
@@ -461,7 +462,9 @@ def inputs(spark: SparkSession, path: str, kind: str = "interaction") -> DataFra
     if plain.endswith((".tfrecord", ".tfrecords")):
         rows = read_messages(spark, path, what)
     elif plain.endswith(".txtpb"):
-        rows = text_messages(spark, path, what).where("error is null").drop("error")
+        read, name = text_messages(spark, path, what), "id" if kind == "interaction" else "table_id"
+        broken = F.raise_error(F.concat(F.lit("a message that cannot be read: "), F.col("error")))
+        rows = read.withColumn(name, F.when(F.col("error").isNotNull(), broken).otherwise(F.col(name))).drop("error")
     else:
         raise ValueError(f"unknown ending: {path}")
     rows = rows if kind == "interaction" else tables_as_interactions(rows)

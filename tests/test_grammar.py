@@ -74,3 +74,26 @@ def plain(c, texts):
         return a == b
     a, b = [float(x) for x in a], [float(x) for x in b]
     return max(a) < min(b) if c["compare"] == "LESSER" else min(a) > max(b)
+
+
+NUMBERS = ["1,5", "1st", "-inf", "1,000", "1.000.000", "1,2,3", "1.5e3", " 7 ", "", "nan", "1_000", "+3", "1,234.5", "--1", "12,3456", "0x1", "١", "1e400", ".5", "5.", "a"]
+
+
+def test_one_reader_of_numbers(spark):
+    """The grammar, its statements and the library's queries read the same texts as numbers, and as the same ones."""
+    from pyspark.sql import functions as F
+
+    from tablewright.functions import numbers
+
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(NUMBERS)], "i int, x string")
+    wide = [r[0] for r in df.orderBy("i").select(numbers.to_float("x")).collect()]
+    near = [numbers.read_float(x) for x in NUMBERS]
+    assert list(map(repr, wide)) == list(map(repr, near)) and near[:4] == [1.5, None, float("-inf"), 1000.0] and numbers.read_float(None) is None
+    from tablewright.operators import query
+
+    for bound in ("1,5", "2", "1,000"):
+        for compare, sign in (("GREATER", ">"), ("LESSER", "<")):
+            good = [x for x, v in zip(NUMBERS, near) if v is not None and v == v]
+            said = Grid({"x": good, "one": ["1"] * len(good)}).values(Expression("COUNT", "", (Filter("x", compare, bound),)))
+            asked = query.where_number(spark.createDataFrame([(x,) for x in good], "x string"), "x", sign, numbers.read_float(bound)).count()
+            assert said == (frozenset([str(asked)]) if asked else None), (bound, compare)

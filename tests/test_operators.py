@@ -180,11 +180,40 @@ def test_sublists_and_subsets(spark):
     assert [r[0] for r in df.select(match.find_sublist(F.col("n"), F.col("h"))).collect()] == [1, None, None]
     grid = spark.createDataFrame([("c", 0, 1.0), ("c", 1, 2.0), ("c", 2, 1.0)], "c string, r int, v double")
     find = lambda df, target, **how: {(tuple(r["rows"]), r["aggregation"]) for r in match.subsets(df, ["c"], "r", "v", F.lit(target), **how).collect()}
-    assert find(grid, 3.0) == {((0, 1), "SUM"), ((1, 2), "SUM"), ((0, 1, 2), "COUNT")}
+    assert find(grid, 3.0) == {((0, 1), "SUM"), ((1, 2), "SUM")} and find(grid, float("nan")) == find(grid, None) == set()
     many = spark.createDataFrame([("c", i, float(i)) for i in range(11)], "c string, r int, v double")
     got = find(many, 30.0)  # of eleven rows, in seeded draws of ten
-    assert got and got == find(many, 30.0) and all(a == "SUM" and sum(rows) == 30 and len(rows) <= 10 for rows, a in got)
+    assert got and got == find(many.repartition(3), 30.0) and all(a == "SUM" and sum(rows) == 30 and len(rows) <= 10 for rows, a in got)
     assert len(find(many, 30.0, clip=5)) == 5 and find(many, 30.0, clip=5) <= got
+    whole = {tuple(i for i in range(11) if m >> i & 1) for m in range(1, 1 << 11)}
+    assert got == {(rows, "SUM") for rows in whole if sum(rows) == 30 and len(rows) <= 10}  # a hundred draws of ten meet them all
+
+
+def test_counts_of_any_size_are_explained(spark):
+    df = spark.createDataFrame([("a", i, 12) for i in range(14)] + [("b", i, 3) for i in range(3)] + [("c", 0, 2), ("d", 0, 0)], "g string, r int, t int")
+    got = match.count_subsets(df, ["g"], "r", F.col("t")).collect()
+    of = lambda g: [tuple(r["rows"]) for r in got if r["g"] == g]
+    assert of("b") == [(0, 1, 2)] and not of("c") and not of("d")
+    assert 40 < len(of("a")) <= 91 and len(set(of("a"))) == len(of("a")) and all(len(set(x)) == 12 and set(x) <= set(range(14)) for x in of("a"))
+    assert not match.count_subsets(df.withColumn("t", F.lit(2.5)), ["g"], "r", F.col("t")).collect()
+
+
+def test_large_groups_are_sampled_without_their_subsets_of_values(spark):
+    """Of 5,000 rows only the sampled ones meet masks: at most ``draws`` picks of ten."""
+    df = spark.range(5_000).select(F.lit("g").alias("g"), F.col("id").alias("r"), F.lit(1.0).alias("v"))
+    got = match.subsets(df, ["g"], "r", "v", F.lit(3.0), draws=4, clip=10_000).collect()
+    assert {len(r["rows"]) for r in got} == {3} and 400 <= len(got) <= 480 and max(max(r["rows"]) for r in got) > 2_000
+
+
+@pytest.mark.parametrize("place, target, want", [
+    (None, 3.0, {("COUNT", c, (0, 1, 2)) for c in range(3)} | {("SUM", 0, (0, 1)), ("SUM", 0, (1, 2)), ("SUM", 1, (0,)), ("SUM", 1, (0, 1)), ("AVERAGE", 1, (0,)), ("AVERAGE", 2, (0, 2))}),
+    ((1, 0), 100.0, {("NONE", 0, (1,))}), (None, float("nan"), set()), (None, 2.5, set()),
+])
+def test_all_interpretations_of_a_number(spark, place, target, want):
+    grid = [(1.0, 3.0, 6.0), (2.0, 0.0, None), (1.0, None, 0.0)]
+    cells = spark.createDataFrame([("t", r, c, v) for r, row in enumerate(grid) for c, v in enumerate(row)], "table_id string, row_index int, column_index int, value double")
+    question = spark.createDataFrame([("q", "t", target, *(place or (None, None)))], "question_id string, table_id string, target double, row_index int, column_index int")
+    assert {(r["aggregation"], r["column_index"], tuple(r["rows"])) for r in match.interpretations(cells, question).collect()} == want
 
 
 def test_pairs_by_prefixes_equal_brute_force(spark):
@@ -214,6 +243,21 @@ def test_neighbours_of_sharded_points(spark):
     assert got == want
 
 
+def test_neighbours_leave_unusable_vectors_out(spark):
+    """38 good points and 40 with a null component, vectors of two lengths, and ones that are empty or not finite."""
+    good = [(i, [float(i % 5), float(i % 7)]) for i in range(38)]
+    bad = [(100 + i, [1.0, None]) for i in range(40)] + [(200, []), (201, [float("nan"), 1.0]), (202, [float("inf"), 0.0]), (203, None)]
+    longer = [(300 + i, [1.0, 1.0, float(i)]) for i in range(5)]
+    df = spark.createDataFrame(good + bad + longer, "i long, v array<double>")
+    asks = df.where("i in (3, 100, 201, 203, 302)").withColumnRenamed("i", "q")
+    got = [(r["q"], r["rank"], r["i"], r["score"]) for r in retrieval.neighbours(asks, "q", df, "i", "v", 30, shard_rows=16).orderBy("q", "rank").collect()]
+    want = []
+    for q, x in [good[3], longer[2]]:
+        best = sorted((-sum(a * b for a, b in zip(x, v)), i) for i, v in (good if len(x) == 2 else longer) if i != q)[:30]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == want and retrieval.neighbours(asks, "q", df.limit(0), "i", "v", 3).count() == 0
+
+
 def test_noisy_cells_are_wrong_and_near(spark):
     cells = spark.createDataFrame([("t", r, c) for r in range(3) for c in range(3)], "table_id string, row_index int, column_index int")
     truth = spark.createDataFrame([("t", 1, 1)], "table_id string, row_index int, column_index int")
@@ -227,13 +271,77 @@ def test_layout(spark):
     sizes = spark.createDataFrame([("t", 3), ("t", 10)], "t string, s int")
     assert layout.largest_length(sizes, ["t"], F.col("s"), 9).first()["length"] == 6
     assert layout.largest_length(sizes, ["t"], F.col("s"), 1).first()["length"] == 0
-    shards = spark.createDataFrame([(100, 5)], "n int, c int").select(layout.shard_ranges(F.col("n"), F.col("c")).alias("s")).first()["s"]
-    assert shards[0]["begin"] == 0 and shards[-1]["end"] == 100 and max(x["end"] - x["begin"] for x in shards) <= 10
     tokens = spark.createDataFrame([("q", 1, 7, 0, 0, 0), ("q", 0, 5, 0, 0, 0)], "question_id string, pos int, token_id int, segment_id int, column_id int, row_id int")
     row = layout.features(tokens, 4).first()
     assert (row["token_ids"], row["input_mask"]) == ([5, 7, 0, 0], [1, 1, 0, 0])
 
 
+def halves(begin, end, most):
+    if end - begin <= most:
+        return [(begin, end)]
+    middle = begin + (end - begin) // 2
+    return halves(begin, middle, most) + halves(middle, end, most)
+
+
+def test_shards_halve_each_branch_until_it_fits(spark):
+    shapes = [(n, c) for n in (0, 1, 2, 3, 5, 7, 9, 10, 17, 33, 100, 257) for c in (1, 2, 5, 7, 12, 25, 49, 50, 51)]
+    rows = spark.createDataFrame(shapes, "n int, c int").select("n", "c", layout.shard_ranges(F.col("n"), F.col("c")).alias("s"), layout.shard_ranges(F.col("n"), F.col("c"), least=0).alias("all")).collect()
+    for r in rows:
+        want = halves(0, r["n"], 50 // r["c"]) if r["c"] <= 50 else []
+        assert [tuple(x) for x in r["all"]] == want and [tuple(x) for x in r["s"]] == [x for x in want if x[1] - x[0] >= 2]
+    assert {(r["n"], r["c"]): [tuple(x) for x in r["s"]] for r in rows}[5, 25] == [(0, 2), (3, 5)]
+    assert {(r["n"], r["c"]): [tuple(x) for x in r["s"]] for r in rows}[9, 25] == [(0, 2), (2, 4), (4, 6), (7, 9)]
+
+
+#: Relations of Q1 Q2 | A0 B0 C0 | A1 B1 C1 | A2 B2 C2 | four places of padding, row by row.
+RELATED = """
+12 12 11 11 11 10 10 10 10 10 10 0 0 0 0
+12 12 11 11 11 10 10 10 10 10 10 0 0 0 0
+9 9 8 7 7 6 0 0 6 0 0 0 0 0 0
+9 9 7 8 7 0 6 0 0 6 0 0 0 0 0
+9 9 7 7 8 0 0 6 0 0 6 0 0 0 0
+5 5 4 0 0 3 1 1 2 0 0 0 0 0 0
+5 5 0 4 0 1 3 1 0 2 0 0 0 0 0
+5 5 0 0 4 1 1 3 0 0 2 0 0 0 0
+5 5 4 0 0 2 0 0 3 1 1 0 0 0 0
+5 5 0 4 0 0 2 0 1 3 1 0 0 0 0
+5 5 0 0 4 0 0 2 1 1 3 0 0 0 0
+"""
+
+
+def test_relations_of_a_question_and_its_table(spark):
+    want = [list(map(int, line.split())) for line in RELATED.strip().splitlines()] + [[0] * 15] * 4
+    ids = ([0, 0, *[1] * 9, 0, 0, 0, 0], [0, 0, 1, 2, 3, 1, 2, 3, 1, 2, 3, 0, 0, 0, 0], [0, 0, 0, 0, 0, 1, 1, 1, 2, 2, 2, 0, 0, 0, 0], [1] * 11 + [0] * 4)
+    df = spark.createDataFrame([ids, tuple(x[2:] for x in ids), ([0] * 5, [0] * 5, [0] * 5, [1, 1, 0, 0, 0])], "s array<int>, c array<int>, r array<int>, m array<int>")
+    columns = [F.col(x) for x in "scrm"]
+    both, table, text = [r[0] for r in df.select(layout.relations(*columns)).collect()]
+    assert both == want and table == [row[2:] for row in want[2:]] and text == [[12, 12, 0, 0, 0]] * 2 + [[0] * 5] * 3
+    less = df.limit(1).select(layout.relations(*columns, without="same_cell")).first()[0]
+    assert less == [[0 if x == 3 else x for x in row] for row in want]
+    assert df.select(layout.relations(*columns[:3])).collect()[2][0] == [[12] * 5] * 5
+
+
+def test_cell_selection_counts_questions(spark):
+    """Two questions: one with two gold cells, of which one is among three selected; one without gold cells or prediction."""
+    tokens = spark.createDataFrame([("b", 0, 1, 1, 0.8), ("b", 1, 2, 1, 0.7), ("b", 2, 2, 3, 0.4), ("b", 3, 6, 5, 0.9)], "q string, at int, c int, r int, p double")
+    best = evaluate.best_cells(tokens, "q", "r", "c", "p", "at")
+    assert [tuple(x) for x in best.first()["cells"]] == [(5, 6), (1, 1), (1, 2), (3, 2)]
+    mean = spark.createDataFrame([("q", 0, 1, 1, 0.8), ("q", 1, 1, 2, 0.7), ("q", 2, 3, 2, 0.4), ("q", 3, 1, 2, 1.0)], "q string, at int, c int, r int, p double")
+    assert [tuple(x) for x in evaluate.best_cells(mean, "q", "r", "c", "p", "at").first()["cells"]] == [(2, 1), (1, 1), (2, 3)]
+    schema = "q string, gold array<struct<row:int,column:int>>, selected array<struct<row:int,column:int>>, n_table int, n_text int"
+    df = spark.createDataFrame([("a", [], None, 0, 0), ("b", [(5, 6), (2, 3)], [(5, 6), (1, 1), (1, 2)], 0, 2)], schema).join(best, "q", "left")
+    df = df.withColumn("kind", evaluate.answer_type(F.col("n_table"), F.col("n_text")))
+    got = {r["name"]: tuple(r)[2:] for r in evaluate.cell_selection(df, "kind", "gold", "selected", "cells").select("name", "n", "recall", "precision", "non_empty", "answer_len", "coverage", "recall_at_1", "recall_at_3", "recall_at_5").collect()}
+    assert got == {"all": (0.5, 1 / 3, 0.5, 1.5, 0.5, 0.5, 0.5, 0.5), "2+_in_text": (1.0, 1 / 3, 1.0, 3.0, 1.0, 1.0, 1.0, 1.0), "no_answer": (0.0, None, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)}
+    kinds = spark.createDataFrame([(1, 1), (0, 0), (1, 0), (0, 1), (2, 0), (0, 2)], "a int, b int").select(evaluate.answer_type(F.col("a"), F.col("b")))
+    assert [r[0] for r in kinds.collect()] == ["table_&_text", "no_answer", "1_in_table", "1_in_text", "2+_in_table", "2+_in_text"]
+
+
+def test_statements_of_a_table_with_two_cells_in_a_place(spark):
+    cells = spark.createDataFrame([("t", 0, "a", "1,5"), ("t", 0, "a", "9"), ("t", 1, "a", "2")], "table_id string, row_index int, column_name string, text string")
+    assert {r["statement"] for r in synth.statements(cells).collect() if r["label"]} <= {"the total a is 3.50", "the average a is 1.75", "the highest a is 2", "the lowest a is 1.50"}
+
+
 def test_synthesis_is_seeded(spark):
     cells = wide_to_cells(spark.createDataFrame([(1, 2.0), (2, 4.0)], "a int, b double"), F.lit("t"), ["a"], ["a", "b"])
     first = sorted(synth.statements(cells).collect())

@@ -85,3 +85,9 @@ def test_inputs_by_ending(spark, tmp_path):
     assert again["id"] == "t" and again["table"]["columns"][0]["text"] == "A"
     with pytest.raises(ValueError, match="ending"):
         records.inputs(spark, str(tmp_path / "t.csv"))
+
+
+def test_a_broken_text_message_is_an_error(spark, tmp_path):
+    (tmp_path / "m.txtpb").write_text('id: "1"\nid: {\nid: "3"\n')
+    with pytest.raises(Exception, match="cannot be read"):
+        records.inputs(spark, str(tmp_path / "m.txtpb")).collect()
