@@ -650,6 +650,52 @@ def recent_view_before_purchase(spark, sf_dir):
     return joins.as_of(e.where("event_type = 'purchase'").select("user_id", "event_id", "ts"), views, ["user_id"], "ts", ["view_id"], F.expr("interval 6 hours")).select("event_id", "view_id")
 
 
+_VIEWS = """v AS (SELECT {0}ts, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY ALL), p AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'purchase')"""
+
+
+def _views_and_purchases(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id")), e.where("event_type = 'purchase'").select("user_id", "event_id", "ts")
+
+
+@named(f"WITH {_VIEWS.format('user_id, ')} SELECT p.event_id AS event_id, v.view_id AS view_id FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts <= v.ts")
+def first_view_after_purchase(spark, sf_dir):
+    views, purchases = _views_and_purchases(spark, sf_dir)
+    return joins.as_of(purchases, views, ["user_id"], "ts", ["view_id"], direction="forward").select("event_id", "view_id")
+
+
+@named(f"""WITH {_VIEWS.format('')}, b AS (SELECT p.event_id, p.ts, v.ts AS bt, v.view_id AS b FROM p ASOF LEFT JOIN v ON p.ts >= v.ts), a AS (SELECT p.event_id, v.ts AS late, v.view_id AS a FROM p ASOF LEFT JOIN v ON p.ts <= v.ts)
+  SELECT event_id, CASE WHEN a IS NULL OR ts - bt <= late - ts THEN b ELSE a END AS view_id FROM b JOIN a USING (event_id)""")
+def nearest_view_of_anybody(spark, sf_dir):
+    """Without a key: all rows are one group, cut by time."""
+    views, purchases = _views_and_purchases(spark, sf_dir)
+    return joins.as_of(purchases, views, [], "ts", ["view_id"], direction="nearest").select("event_id", "view_id")
+
+
+@named("""WITH e AS (SELECT event_id, user_id % 7 AS k, event_type, ts FROM events), l AS (SELECT event_id AS a, k, ts AS b, ts + INTERVAL 40 MINUTE AS f FROM e WHERE event_type = 'view'), r AS (SELECT event_id AS p, k, ts - INTERVAL 15 MINUTE AS b, ts + INTERVAL 15 MINUTE AS f FROM e WHERE event_type = 'purchase')
+  SELECT a, p FROM l JOIN r ON l.k = r.k AND l.b <= r.f AND r.b <= l.f""")
+def overlapping_intervals(spark, sf_dir):
+    views, purchases = _views_and_purchases(spark, sf_dir)
+    l = views.select(F.col("view_id").alias("a"), (F.col("user_id") % 7).alias("k"), F.col("ts").alias("lb"), F.expr("ts + interval 40 minutes").alias("le"))
+    r = purchases.select(F.col("event_id").alias("p"), (F.col("user_id") % 7).alias("k"), F.expr("ts - interval 15 minutes").alias("rb"), F.expr("ts + interval 15 minutes").alias("re"))
+    return joins.overlaps(l, r, ["k"], ("lb", "le"), ("rb", "re")).select("a", "p")
+
+
+@named("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND c_acctbal BETWEEN s_acctbal - 100 AND s_acctbal + 250")
+def balance_band(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal")
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal")
+    return joins.band(s, c, ["nation"], "s_acctbal", "c_acctbal", 100.0, 250.0).select("s_suppkey", "c_custkey")
+
+
+@named("SELECT s_suppkey, count(c_custkey) AS n_below, round(sum(c_acctbal), 2) AS total_below FROM supplier LEFT JOIN customer ON c_acctbal < s_acctbal GROUP BY 1")
+def customers_below(spark, sf_dir):
+    """How many customers have less than a supplier, and how much: an inequality join of all with all, without its pairs."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("at"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_acctbal").alias("at"), F.col("c_acctbal").alias("v"))
+    return joins.totals_below(s, c, [], "at", "v").select("s_suppkey", "n_below", F.round("total_below", 2).alias("total_below"))
+
+
 @named("SELECT p_partkey, CAST(ntile(4) OVER w AS INTEGER) AS tile, percent_rank() OVER w AS percent_rank, cume_dist() OVER w AS cume_dist FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey)")
 def distribution(spark, sf_dir):
     return segments.distribution(table(spark, sf_dir, "part"), ["p_brand"], ["p_retailprice", "p_partkey"]).select("p_partkey", "tile", "percent_rank", "cume_dist")
