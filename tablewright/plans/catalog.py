@@ -12,6 +12,7 @@ from ..functions import numbers, text, wordpiece
 from ..operators import attention, dedup, evaluate, grammar, joins, layout, match, negatives, overlap, prepare, query, retrieval, segments, synth
 from ..schema import NUMERIC, from_cells, rectangular, to_cells, wide_to_cells
 from ..sources import readers
+from ..streaming import folders, state
 
 QUERIES, ORACLES = {}, {}
 
@@ -983,3 +984,40 @@ def overlap_columns(spark, sf_dir):
     cells = part.select(F.col("p_brand").alias("table_id"), F.col("p_partkey").alias("row_index"), names.alias("column_index", "text"))
     asked = part.select(F.col("p_brand").alias("table_id")).distinct().select(F.col("table_id").alias("question_id"), "table_id", F.lit("Which economy parts are polished or plated, of size 20?").alias("question"))
     return overlap.score_columns(asked, cells)
+
+
+# streams: the events arrive in three steps, up to twenty minutes out of order
+
+
+def _replayed(spark, sf_dir, name, make):
+    """The events sent through a streaming operator in three steps; the closing row's user is -1."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    arrival = F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(1_200_000_000))
+    return state.replayed(events, "ts", arrival, 3, folders.shared_folder(spark, name), make, "12 hours", {"user_id": -1})[0]
+
+
+@named("""WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+  SELECT user_id, epoch_us(min(ts)) AS "begin", epoch_us(max(ts)) AS finish, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""")
+def stream_sessions(spark, sf_dir):
+    done = _replayed(spark, sf_dir, "sessions", lambda s: state.sessions(s, "user_id", "ts", "value", 7200, "1 hour"))
+    return done.select("user_id", F.unix_micros("begin").alias("begin"), F.unix_micros("finish").alias("finish"), "n", F.round("total", 4).alias("total"))
+
+
+@named(f"WITH {_VIEWS.format('user_id, ')} SELECT p.event_id AS event_id, v.view_id AS view_id FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts")
+def stream_last_views(spark, sf_dir):
+    """The last view before each purchase, answered when the watermark has passed it."""
+    kinds = F.col("event_type") == "purchase"
+    return _replayed(spark, sf_dir, "last-views", lambda s: state.as_of(s.where("event_type in ('view', 'purchase') or user_id = -1"), "user_id", "ts", "event_id", F.coalesce(kinds, F.lit(False)), "1 hour", ("event_id", "view_id")))
+
+
+@named(f"WITH {_VIEWS.format('user_id, ')}, w AS (SELECT user_id, event_id AS view_id, ts FROM events WHERE event_type = 'view') SELECT p.event_id AS event_id, w.view_id AS view_id FROM p LEFT JOIN w ON p.user_id = w.user_id AND w.ts <= p.ts AND w.ts >= p.ts - INTERVAL 6 HOUR")
+def stream_views_before_purchases(spark, sf_dir):
+    """A join of two streams, the views of the six hours before each purchase; closing rows are left out of the result."""
+
+    def make(s):
+        purchases = s.where("event_type = 'purchase' or user_id = -1").select("event_id", "user_id", "ts")
+        views = s.where("event_type = 'view' or user_id = -1").select(F.col("event_id").alias("view_id"), "user_id", F.col("ts").alias("seen"))
+        return state.joined_within(purchases, views, "user_id", "ts", "seen", "6 hours", "1 hour", "left_outer").select("event_id", "view_id")
+
+    return _replayed(spark, sf_dir, "views", make).where("event_id is not null")

@@ -1,0 +1,19 @@
+"""Where a query may write between its steps: the cluster's shared folder."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of that name under ``spark.checkpoint.dir``; only a local master without one gets a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return f"{named}/{name}-{uuid.uuid4().hex}"
