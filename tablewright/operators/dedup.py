@@ -1,14 +1,8 @@
-"""Near-duplicate tables: hashed n-gram cosine, compatibility, clustering with vetoes, merging; Jaccard pairs of any items."""
+"""Near duplicates of any items: first of a key, Jaccard pairs, single-link clusters, merging. Tables: see ``clusters``."""
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections import Counter
-
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,7 +35,7 @@ def similar_pairs(items: DataFrame, key: str, item: str, grams: str, threshold:
 
 
 def cluster(pairs: DataFrame, key: str) -> DataFrame:
-    """Single-link clusters inside each key: ``(key, item, cluster)``. Without vetoes (see :func:`group_similar_tables`).
+    """Single-link clusters inside each key: ``(key, item, cluster)``. Without vetoes (see ``clusters.group_similar_tables``).
 
     Each key's pairs are one group.
     """
@@ -69,137 +63,3 @@ def merge_versions(df: DataFrame, cluster_col: str, version: str, item: str, url
     best = F.max_by(F.struct(F.col(item).alias("item"), F.col(url).alias("url")), F.struct(F.col(version), F.col(item)))
     merged = df.groupBy(cluster_col).agg(best.alias("_b"), F.max(version).alias("version"), F.sort_array(F.collect_set(url)).alias("_u"))
     return merged.select(cluster_col, F.col("_b.item").alias("item"), "version", F.array_except("_u", F.array("_b.url")).alias("alternatives"))
-
-
-_SPECIAL = re.compile(r"\W")
-#: Tables that are hashed, and rows of hashed vectors that are multiplied, at once.
-_STRIP = 256
-
-
-def table_ngrams(header: list[str], rows: list[list[str]], header_weight: int, most: int):
-    """Runs of 1 to ``most`` tokens of each line; the header is a line ``header_weight`` times."""
-    for line in [*[header] * header_weight, *rows]:
-        tokens = [t for text in line for t in _SPECIAL.sub(" ", text or "").lower().split()]
-        for i in range(len(tokens)):
-            for n in range(1, min(most, len(tokens) - i) + 1):
-                yield " ".join(tokens[i : i + n])
-
-
-def _hashed(header_weight: int, most: int, dimension: int):
-    def vector(header, rows) -> tuple[np.ndarray, np.ndarray]:
-        count: Counter = Counter()
-        for gram, n in Counter(table_ngrams(header, rows, header_weight, most)).items():
-            count[int.from_bytes(hashlib.sha256(gram.encode()).digest(), "big") % dimension] += n
-        return np.fromiter(count, np.int32, len(count)), np.fromiter(count.values(), np.int32, len(count))
-
-    def run(batches):
-        for b in (part.slice(k, _STRIP) for part in batches for k in range(0, part.num_rows, _STRIP)):
-            headers, rows = b.column("_header").to_pylist(), b.column("_rows").to_pylist()
-            at, n = zip(*[vector(h or [], r or []) for h, r in zip(headers, rows)]) if len(headers) else ((), ())
-            kept = [b.column(c) for c in ("title", "table_id", "document_url", "urls")]
-            sizes = [pa.array([len(x or []) for x in xs], pa.int32()) for xs in (rows, headers)]
-            yield pa.RecordBatch.from_arrays([*kept, *sizes, pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=[x.split()[0] for x in _VECTORS.split(", ")])
-
-    return run
-
-
-_VECTORS = "title string, table_id string, document_url string, urls array<string>, n_rows int, n_cols int, at array<int>, n array<int>"
-
-
-class _Members:
-    """What two clusters must know of each other to tell whether all their tables are compatible."""
-
-    def __init__(self, urls: set, rows: int, columns: int):
-        self.urls, self.least, self.most, self.columns = set(urls), rows, rows, {columns}
-
-    def compatible(self, other: _Members) -> bool:
-        """No common document, row counts within two, equal column counts, for every table of one with every one of the other."""
-        return self.urls.isdisjoint(other.urls) and max(self.most - other.least, other.most - self.least) <= 2 and len(self.columns | other.columns) == 1
-
-    def add(self, other: _Members) -> None:
-        self.urls |= other.urls
-        self.least, self.most = min(self.least, other.least), max(self.most, other.most)
-        self.columns |= other.columns
-
-
-def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
-    """The lists of a column as views of its values."""
-    return [x.values.to_numpy() for x in column]
-
-
-def _similar(at: list[np.ndarray], n: list[np.ndarray], threshold: float, dimension: int):
-    """Pairs ``i < j`` of a cosine of ``threshold`` or more, by strips, from exact products of the counts: arrays of i, j, cosine."""
-    norm = np.array([(x.astype(np.float64) ** 2).sum() for x in n])
-
-    def strip(a: int) -> np.ndarray:
-        out = np.zeros((min(_STRIP, len(at) - a), dimension))
-        for row, i in zip(out, range(a, a + len(out))):
-            row[at[i]] = n[i]
-        return out
-
-    for a in range(0, len(at), _STRIP):
-        one = strip(a)
-        for b in range(a, len(at), _STRIP):
-            both = one @ (one if a == b else strip(b)).T
-            size = np.sqrt(np.outer(norm[a : a + _STRIP], norm[b : b + _STRIP]))
-            cosine = np.divide(both, size, out=np.zeros_like(both), where=size > 0)
-            i, j = np.nonzero(cosine >= threshold)
-            ok = i + a < j + b
-            yield i[ok] + a, j[ok] + b, cosine[i[ok], j[ok]]
-
-
-def _grouped(threshold: float, dimension: int):
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.sort_by([("table_id", "ascending"), ("document_url", "ascending")])
-        ids, urls, n_rows, n_cols = (rows.column(c).to_pylist() for c in ("table_id", "urls", "n_rows", "n_cols"))
-        first: dict = {}
-        own = [_Members(set(u or []), r, c) for u, r, c in zip(urls, n_rows, n_cols)]
-        clusters: dict = {}
-        for i, key in enumerate(ids):
-            if key in first:
-                clusters[key].add(own[i])
-            else:
-                first[key], clusters[key] = i, _Members(own[i].urls, n_rows[i], n_cols[i])
-        names, lead = list(first), list(first.values())
-        at, n = (_lists(rows.column(c).take(pa.array(lead))) for c in ("at", "n"))
-        parent = {key: key for key in names}
-
-        def find(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        first_of, second_of, cosine = (np.concatenate(x) for x in zip(*_similar(at, n, threshold, dimension)))
-        for k in np.lexsort((second_of, first_of, -cosine)):
-            i, j = first_of[k], second_of[k]
-            if not own[lead[i]].compatible(own[lead[j]]):
-                continue
-            x, y = sorted((find(names[i]), find(names[j])))
-            if x != y and clusters[x].compatible(clusters[y]):
-                parent[y] = x
-                clusters[x].add(clusters.pop(y))
-        return rows.select(["title", "table_id", "document_url"]).append_column("cluster", pa.array([find(x) for x in ids], pa.string()))
-
-    return run
-
-
-def group_similar_tables(tables: DataFrame, header_weight: int = 1, ngram_length: int = 4, threshold: float = 0.91, hash_dimension: int = 2048) -> DataFrame:
-    """``(document_title, table_id, document_url, cluster)``, a row for every row of nested ``tables`` (``TABLE`` columns).
-
-    Single-link clusters of the tables of one document title by the cosine of their hashed n-gram counts, merged
-    from the most similar pair down (ties by ids). Two clusters merge only if all their tables are compatible.
-    Tables of one id are one cluster from the start, of which the first by url is compared. ``cluster`` is the least
-    id. An array ``alternative_document_urls`` counts with ``document_url`` where there is one. The order matters,
-    so the tables of a title are one group: of hashed counts, not of cells.
-    """
-    urls = F.array_compact(F.array("document_url"))
-    if "alternative_document_urls" in tables.columns:
-        urls = F.array_union(urls, F.coalesce("alternative_document_urls", F.array().cast("array<string>")))
-    flat = tables.select(
-        F.col("document_title").alias("title"), "table_id", "document_url", urls.alias("urls"),
-        F.transform("columns", lambda c: c["text"]).alias("_header"), F.transform("rows", lambda r: F.transform(r["cells"], lambda c: c["text"])).alias("_rows"),
-    )
-    vectors = flat.mapInArrow(_hashed(header_weight, ngram_length, hash_dimension), _VECTORS)
-    found = vectors.groupBy("title").applyInArrow(_grouped(threshold, hash_dimension), "title string, table_id string, document_url string, cluster string")
-    return found.withColumnRenamed("title", "document_title")

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text, wordpiece
-from ..operators import attention, dedup, evaluate, grammar, joins, layout, match, negatives, overlap, prepare, query, retrieval, segments, synth
+from ..operators import attention, clusters, dedup, evaluate, grammar, joins, layout, match, negatives, overlap, prepare, query, retrieval, segments, synth
 from ..schema import NUMERIC, from_cells, rectangular, to_cells, wide_to_cells
+from ..shared import shared_folder
 from ..sources import readers
-from ..streaming import folders, state
+from ..streaming import state
 
 QUERIES, ORACLES = {}, {}
 
@@ -403,7 +404,7 @@ def cluster_tables(spark, sf_dir):
     title = F.array_join(F.slice(F.split(F.lower("text"), r"\s+"), 1, 4), " ")
     url = F.concat_ws("/", "source", "doc_id")
     tables = docs.select(F.col("doc_id").cast("string").alias("table_id"), F.array(cell(F.lit("text"))).alias("columns"), rows.alias("rows"), title.alias("document_title"), url.alias("document_url"))
-    return dedup.group_similar_tables(tables)
+    return clusters.group_similar_tables(tables)
 
 
 @named("""WITH x AS (SELECT source, doc_id, n_chars, lang FROM documents), m AS (SELECT source, arg_max(struct_pack(doc_id := doc_id, lang := lang), struct_pack(v := n_chars, d := doc_id)) AS b, max(n_chars) AS version, list_sort(list_distinct(list(lang))) AS l FROM x GROUP BY 1)
@@ -993,7 +994,7 @@ def _replayed(spark, sf_dir, name, make):
     """The events sent through a streaming operator in three steps; the closing row's user is -1."""
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     arrival = F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(1_200_000_000))
-    return state.replayed(events, "ts", arrival, 3, folders.shared_folder(spark, name), make, "12 hours", {"user_id": -1})[0]
+    return state.replayed(events, "ts", arrival, 3, shared_folder(spark, name), make, "12 hours", {"user_id": -1})[0]
 
 
 @named("""WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.operators import dedup, evaluate, layout, match, query, retrieval, segments, synth
-from tablewright.schema import TABLE, from_cells, rectangular, to_cells, wide_to_cells
+from tablewright.operators import clusters, dedup, evaluate, layout, match, query, retrieval, segments, synth
+from tablewright.schema import NUMERIC, TABLE, from_cells, rectangular, to_cells, wide_to_cells
 
 
 @pytest.fixture(scope="module")
@@ -141,8 +141,9 @@ def brute_groups(tables, threshold):
     return of
 
 
-def test_similar_tables_are_grouped_with_vetoes(spark, monkeypatch):
-    monkeypatch.setattr(dedup, "_STRIP", 7)
+@pytest.mark.parametrize("cut", [{}, {"small": 2, "strip": 5}])
+def test_similar_tables_are_grouped_with_vetoes(spark, monkeypatch, cut):
+    monkeypatch.setattr(clusters, "_STRIP", 7)
     rng = np.random.default_rng(3)
     tables = []
     for i in range(60):
@@ -154,18 +155,43 @@ def test_similar_tables_are_grouped_with_vetoes(spark, monkeypatch):
     cell = lambda x: (x, None)
     data = [(k, [cell(c) for c in h], [([cell(c) for c in r],) for r in rows], "T" if k != "t91" else None, u[0], u[1:]) for k, h, rows, u in tables]
     df = spark.createDataFrame(data, T.StructType([*TABLE.fields, T.StructField("alternative_document_urls", T.ArrayType(T.StringType()))]))
-    got = {(r["table_id"], r["document_url"]): r["cluster"] for r in dedup.group_similar_tables(df).collect()}
+    got = {(r["table_id"], r["document_url"]): r["cluster"] for r in clusters.group_similar_tables(df, **cut).collect()}
     want = brute_groups([t for t in tables if t[0] != "t91"], 0.91) | {"t91": "t91"}
     assert got == {(k, u[0]): want[k] for k, _, _, u in tables}
     free = brute_groups([(k, h, rows, []) for k, h, rows, _ in tables if k != "t91"], 0.91)
     assert 4 < len(set(want.values())) < 60 and len(set(free.values())) < len(set(want.values())) - 1
 
 
-@pytest.mark.parametrize("second, clusters", [((["A"], "b"), ["a", "a"]), ((["B"], "b"), ["a", "b"]), ((["A"], "a"), ["a", "b"])])
-def test_similar_tables_as_in_the_reference(spark, second, clusters):
+@pytest.mark.parametrize("second, wanted", [((["A"], "b"), ["a", "a"]), ((["B"], "b"), ["a", "b"]), ((["A"], "a"), ["a", "b"])])
+def test_two_similar_tables(spark, second, wanted):
     one = lambda i, h, url: (i, [(c, None) for c in h], [([("a", None)],)], "T", url)
     df = spark.createDataFrame([one("a", ["A"], "a"), one("b", *second)], TABLE)
-    assert [r["cluster"] for r in dedup.group_similar_tables(df, hash_dimension=16).orderBy("table_id").collect()] == clusters
+    assert [r["cluster"] for r in clusters.group_similar_tables(df, hash_dimension=16).orderBy("table_id").collect()] == wanted
+
+
+def test_merging_in_rounds_equals_merging_in_order(spark):
+    rng = np.random.default_rng(11)
+    names = [f"u{i:02}" for i in range(12)]
+    members = [(int(rng.integers(0, 4)), [f"d{int(rng.integers(0, 9))}"]) for _ in names]
+    pairs = [(names[i], names[j], float(rng.integers(910, 1000)) / 1000) for i in range(12) for j in range(i + 1, 12) if rng.random() < 0.35]
+    units = spark.createDataFrame([("k", n, r, r, u) for n, (r, u) in zip(names, members)], "key string, unit string, least int, most int, urls array<string>")
+    got = {r["unit"]: r["cluster"] for r in clusters.merge_in_rounds(spark.createDataFrame([("k", *p) for p in pairs], "key string, a string, b string, cosine double"), units, "key").collect()}
+    at = {n: i for i, n in enumerate(names)}
+    want = clusters._merged(names, [clusters._Members(u, r, r) for r, u in members], [at[p[0]] for p in pairs], [at[p[1]] for p in pairs], [p[2] for p in pairs])
+    assert got == dict(zip(names, want)) and 2 < len(set(want)) < 12
+    assert clusters._merged(names, [clusters._Members([], 0, 0) for _ in names], [at[p[0]] for p in pairs], [at[p[1]] for p in pairs], [1.0] * len(pairs)) != want
+
+
+def test_many_near_copies_of_one_title(spark):
+    """3,000 tables of one title, 2,500 of them equal in 1,250 documents twice: cells, components, no pair of equals."""
+    rows = [(f"t{i:05}", f"u{i // 2 if i < 2500 else i}", [f"w{k}" for k in range(20)] + ([] if i < 2500 else [f"x{i % 40}"])) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "table_id string, document_url string, words array<string>").repartition(4)
+    cell = lambda x: F.struct(x.alias("text"), F.lit(None).cast(NUMERIC).alias("numeric_value"))
+    tables = df.select("table_id", F.array(cell(F.lit("h"))).alias("columns"), F.transform("words", lambda w: F.struct(F.array(cell(w)).alias("cells"))).alias("rows"), F.lit("T").alias("document_title"), "document_url")
+    got = {r["table_id"]: r["cluster"] for r in clusters.group_similar_tables(tables, small=8, strip=16).collect()}
+    first, second = {got[f"t{i:05}"] for i in range(0, 2500, 2)}, {got[f"t{i:05}"] for i in range(1, 2500, 2)}
+    assert len(first) == len(second) == 1 and first != second
+    assert {got[f"t{i:05}"] for i in range(2500, 3000)} <= first | second
 
 
 def test_locating_answers(spark):
