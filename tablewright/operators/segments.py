@@ -95,3 +95,32 @@ def within_range(df: DataFrame, group: list[str], at: str, low: int, high: int,
     """``around``: the sum of the values of rows whose ``at`` lies from ``low`` below to ``high`` above the row's own."""
     w = Window.partitionBy(*group).orderBy(at).rangeBetween(-low, high)
     return df.withColumn("around", F.sum(value).over(w))
+
+
+def excluding(df: DataFrame, group: list[str], order: list[str], values: dict[str, Column], preceding: int | None, following: int | None, exclude: str, then: tuple[str, ...] = ()) -> DataFrame:
+    """Sums and counts over a frame of rows that leaves some of them out: SQL's EXCLUDE, which Spark's frames lack.
+
+    The frame reaches ``preceding`` rows back and ``following`` ahead (None: to the end of the group) in the order of the
+    columns ``order``, rows that are equal in these (peers) by ``then``. ``exclude`` is ``current row``, ``group`` (the row
+    and its peers) or ``ties`` (the peers without the row). Each of ``values`` is a number to sum: ``<name>`` is the sum,
+    null over no numbers, and ``<name>_n`` their count. Peers follow each other, so what the frame shares with them is
+    the same frame over the peers alone; the result is the difference of the two.
+    """
+    if exclude not in ("current row", "group", "ties"):
+        raise ValueError(f"unknown exclusion: {exclude}")
+    low, high = Window.unboundedPreceding if preceding is None else -preceding, Window.unboundedFollowing if following is None else following
+    frame = Window.partitionBy(*group).orderBy(*order, *then).rowsBetween(low, high)
+    shared = Window.partitionBy(*group, *order).orderBy(*(then or order)).rowsBetween(low, high)
+    own = (preceding is None or preceding >= 0) and (following is None or following >= 0)
+    out = df
+    for name, value in values.items():
+        number = value.cast("double")
+        total = lambda w: F.coalesce(F.sum(number).over(w), F.lit(0.0))  # noqa: B023, E731
+        self_sum, self_n = (F.coalesce(number, F.lit(0.0)), number.isNotNull().cast("long")) if own else (F.lit(0.0), F.lit(0).cast("long"))
+        gone = {
+            "current row": (self_sum, self_n), "group": (total(shared), F.count(number).over(shared)),
+            "ties": (total(shared) - self_sum, F.count(number).over(shared) - self_n),
+        }[exclude]
+        count = F.count(number).over(frame) - gone[1]
+        out = out.withColumns({f"{name}_n": count, name: F.when(count > 0, total(frame) - gone[0])})
+    return out

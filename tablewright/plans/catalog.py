@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import numbers, text, wordpiece
-from ..operators import attention, clusters, dedup, evaluate, grammar, joins, layout, match, negatives, overlap, prepare, query, retrieval, segments, synth
+from ..functions import numbers, tabular, text, wordpiece
+from ..operators import attention, clusters, dedup, evaluate, grammar, joins, layout, match, negatives, overlap, prepare, query, retrieval, segments, sketches, synth
 from ..schema import NUMERIC, from_cells, rectangular, to_cells, wide_to_cells
 from ..shared import shared_folder
-from ..sources import readers
+from ..sources import readers, shuffled
 from ..streaming import state
 
 QUERIES, ORACLES = {}, {}
@@ -708,6 +708,51 @@ def range_frame(spark, sf_dir):
     return segments.within_range(table(spark, sf_dir, "part"), ["p_brand"], "p_size", 2, 1, "p_size").select("p_partkey", "around")
 
 
+@named("""SELECT p_partkey, CAST(count(p_size) OVER (PARTITION BY p_brand ORDER BY p_type ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE TIES) AS BIGINT) AS ties_n,
+  CAST(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_type ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE TIES) AS DOUBLE) AS ties,
+  CAST(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_type ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE GROUP) AS DOUBLE) AS others,
+  CAST(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS DOUBLE) AS near FROM part""")
+def frames_with_exclusion(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    p = segments.excluding(p, ["p_brand"], ["p_type"], {"ties": F.col("p_size")}, None, None, "ties")
+    p = segments.excluding(p, ["p_brand"], ["p_type"], {"others": F.col("p_size")}, None, None, "group")
+    return segments.excluding(p, ["p_brand"], ["p_partkey"], {"near": F.col("p_size")}, 3, 2, "current row").select("p_partkey", "ties_n", "ties", "others", "near")
+
+
+# cubes and sketches
+
+
+@named("""SELECT CASE WHEN grouping(r) = 1 THEN 'ALL' ELSE r END AS flag, CASE WHEN grouping(s) = 1 THEN 'ALL' ELSE s END AS status, CASE WHEN grouping(y) = 1 THEN 'ALL' ELSE y END AS year,
+  CAST(grouping_id(r, s, y) AS INTEGER) AS level, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM (SELECT l_returnflag AS r, l_linestatus AS s, CAST(year(l_shipdate) AS VARCHAR) AS y, l_extendedprice FROM lineitem) GROUP BY CUBE (r, s, y)""")
+def line_cube(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.year("l_shipdate").alias("year"), "l_extendedprice")
+    return sketches.cubed(l, ["flag", "status", "year"], {"n": F.count("*"), "total": F.round(F.sum("l_extendedprice"), 2)})
+
+
+@named("""SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, true AS distinct_near, true AS distinct_theta_near, true AS q50_near, true AS q90_near FROM events GROUP BY 1""")
+def daily_sketches_merged(spark, sf_dir):
+    """Sketches by day and type, merged over days: exact sums beside estimates within their stated error of exact counts."""
+    e = table(spark, sf_dir, "events")
+    days = sketches.by_day(e, "ts", ["event_type"], "user_id", "value")
+    found = sketches.rolled_up(days, ["event_type"])
+    exact = e.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+    share = lambda q: F.avg((F.col("value") <= F.col(q)).cast("double")).alias(f"{q}_share")
+    ranks = e.join(F.broadcast(found.select("event_type", "q50", "q90")), "event_type").groupBy("event_type").agg(share("q50"), share("q90"))  # found: a row for each type
+    near = lambda c, error: F.abs(F.col(c) - F.col("users")) <= 1 + error * F.col("users")
+    met = found.join(exact, "event_type").join(ranks, "event_type")
+    return met.select(
+        "event_type", "n", F.round("total", 4).alias("total"), near("distinct", sketches.hll_error()).alias("distinct_near"), near("distinct_theta", sketches.theta_error()).alias("distinct_theta_near"),
+        *[(F.abs(F.col(f"q{q}_share") - q / 100) <= sketches.kll_error() + F.lit(1.0) / F.col("n")).alias(f"q{q}_near") for q in (50, 90)],
+    )
+
+
+@named("""WITH v AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view'), p AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase')
+  SELECT (SELECT count(*) FROM (SELECT * FROM v UNION SELECT * FROM p)) AS either, (SELECT count(*) FROM (SELECT * FROM v INTERSECT SELECT * FROM p)) AS "both", (SELECT count(*) FROM (SELECT * FROM v EXCEPT SELECT * FROM p)) AS only_left""")
+def viewers_who_buy(spark, sf_dir):
+    """Sets of up to 2 ** 14 users are kept whole by a theta sketch, so at this size the counts are exact."""
+    return sketches.overlap(sketches.by_day(table(spark, sf_dir, "events"), "ts", ["event_type"], "user_id", "value"), "event_type", "view", "purchase")
+
+
 # retrieved tables
 
 
@@ -1022,3 +1067,48 @@ def stream_views_before_purchases(spark, sf_dir):
         return state.joined_within(purchases, views, "user_id", "ts", "seen", "6 hours", "1 hour", "left_outer").select("event_id", "view_id")
 
     return _replayed(spark, sf_dir, "views", make).where("event_id is not null")
+
+
+@named("SELECT CAST(e AS BIGINT) AS epoch, count(*) AS n, count(DISTINCT c_custkey) AS customers, round(sum(c_acctbal), 2) AS total, CAST(0 AS BIGINT) AS first, count(*) - 1 AS last FROM customer, (SELECT unnest([0, 1]) AS e) GROUP BY 1")
+def shuffled_epochs(spark, sf_dir):
+    """Two epochs of the customers in seeded orders, stopped and resumed in between."""
+    path, folder = f"{sf_dir}/customer.parquet", shared_folder(spark, "epochs")
+    rows = table(spark, sf_dir, "customer").count()
+    stream = lambda: shuffled.repeated(spark, path, seed=7, buffer=1_000, rows_per_batch=rows, epochs=2)
+    done = shuffled.run_until(stream(), f"{folder}/out", f"{folder}/state", rows).count()
+    out = shuffled.run_until(stream(), f"{folder}/out", f"{folder}/state", 2 * rows - done)
+    return out.groupBy("epoch").agg(F.count("*").alias("n"), F.count_distinct("c_custkey").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("total"), F.min("position").alias("first"), F.max("position").alias("last"))
+
+
+# functions called from SQL text
+
+
+@named(f"""WITH {_CELL_TOKENS}, k AS (SELECT question_id, pos, CAST(q AS INTEGER) AS token, c, r FROM t)
+  SELECT question_id, string_agg(CAST(token AS VARCHAR), ',' ORDER BY pos) FILTER (pos < 4) AS tokens, string_agg(CAST(c AS VARCHAR), ',' ORDER BY pos) FILTER (pos < 4) AS columns, CAST(least(4, count(*)) AS INTEGER) AS shown, greatest(0, count(*) - 4) AS lost FROM k GROUP BY 1""")
+def sql_token_arrays(spark, sf_dir):
+    """A table function that makes one row of each partition."""
+    tabular.register(spark)
+    _cell_tokens(spark, sf_dir).createOrReplaceTempView("cell_tokens")
+    return spark.sql("""
+        SELECT question_id, array_join(slice(token_ids, 1, shown), ',') AS tokens, array_join(slice(column_ids, 1, shown), ',') AS columns, shown, lost
+        FROM (SELECT *, CAST(aggregate(input_mask, 0, (s, x) -> s + x) AS INT) AS shown FROM token_arrays(TABLE(SELECT question_id, pos, CAST(value AS INT) AS token_id, segment AS segment_id, column_id, row_id FROM cell_tokens), length => 4))""")
+
+
+@named("""WITH n AS (SELECT c_nationkey AS nation, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INTEGER) AS row_index, c_name, c_mktsegment FROM customer)
+  SELECT nation, row_index, 'c_name' AS column_name, c_name AS text FROM n UNION ALL SELECT nation, row_index, 'c_mktsegment', c_mktsegment FROM n""")
+def sql_table_cells(spark, sf_dir):
+    """A table function that makes many rows of one, beside the row it is made of."""
+    tabular.register(spark)
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customers")
+    return spark.sql("""
+        WITH t AS (SELECT c_nationkey AS nation, to_json(struct(array('c_name', 'c_mktsegment') AS columns, transform(array_sort(collect_list(struct(c_custkey, c_name, c_mktsegment))), x -> array(x.c_name, x.c_mktsegment)) AS rows)) AS j FROM customers GROUP BY 1)
+        SELECT nation, row_index, column_name, text FROM t, LATERAL table_cells(j)""")
+
+
+@named("""WITH s AS (SELECT o_orderpriority AS priority, o_totalprice AS v, sum(w) AS w FROM (SELECT *, CAST(o_custkey % 5 AS DOUBLE) AS w FROM orders) WHERE w > 0 GROUP BY 1, 2),
+  r AS (SELECT priority, v, sum(w) OVER (PARTITION BY priority ORDER BY v) AS run, sum(w) OVER (PARTITION BY priority) AS total FROM s) SELECT priority, min(v) AS median FROM r WHERE run >= total / 2 GROUP BY 1""")
+def sql_weighted_median(spark, sf_dir):
+    """An aggregate over Arrow arrays, called from SQL."""
+    tabular.register(spark)
+    table(spark, sf_dir, "orders").createOrReplaceTempView("all_orders")
+    return spark.sql("SELECT o_orderpriority AS priority, weighted_median(o_totalprice, CAST(o_custkey % 5 AS DOUBLE)) AS median FROM all_orders GROUP BY 1")
