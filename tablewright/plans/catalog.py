@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numbers, tabular, text, wordpiece
-from ..operators import attention, clusters, dedup, evaluate, grammar, joins, layout, match, negatives, overlap, prepare, query, retrieval, segments, sketches, synth
+from ..operators import attention, clusters, dedup, endtoend, evaluate, grammar, joins, layout, match, negatives, overlap, prepare, query, retrieval, segments, sentences, sketches, synth
 from ..schema import NUMERIC, from_cells, rectangular, to_cells, wide_to_cells
 from ..shared import shared_folder
 from ..sources import readers, shuffled
@@ -1112,3 +1112,57 @@ def sql_weighted_median(spark, sf_dir):
     tabular.register(spark)
     table(spark, sf_dir, "orders").createOrReplaceTempView("all_orders")
     return spark.sql("SELECT o_orderpriority AS priority, weighted_median(o_totalprice, CAST(o_custkey % 5 AS DOUBLE)) AS median FROM all_orders GROUP BY 1")
+
+
+# end to end: a brand is an example, its parts are candidate tables
+
+
+_E2E = f"""c AS (SELECT p_brand AS e, p_partkey AS id, p_size > 45 AS gold, CASE WHEN p_size < 6 THEN p_name END AS ref, CASE p_size % 3 WHEN 0 THEN 'The ' || p_name || '!' WHEN 1 THEN split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 2) END AS answer, p_retailprice AS score FROM part),
+  r AS (SELECT DISTINCT e, ref, string_split({_SQL_ANSWER.format('ref')}, ' ') AS g FROM c WHERE ref IS NOT NULL), a AS (SELECT *, string_split({_SQL_ANSWER.format('answer')}, ' ') AS p FROM c WHERE answer IS NOT NULL AND id % 4 <> 0),
+  m AS (SELECT r.e, a.id, a.gold, a.answer, a.score, r.g, coalesce(a.p, []) AS p FROM r LEFT JOIN a ON a.e = r.e),
+  n AS (SELECT *, CAST(list_sum(list_transform(list_distinct(g), lambda t: least(len(list_filter(g, lambda x: x = t)), len(list_filter(p, lambda x: x = t))))) AS DOUBLE) AS hit FROM m),
+  q AS (SELECT *, CASE WHEN len(p) > 0 THEN hit / len(p) ELSE 1.0 END AS pr, hit / len(g) AS rc FROM n),
+  f AS (SELECT *, CASE WHEN pr + rc >= 1e-5 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END AS f1, CASE WHEN g = p THEN 1.0 ELSE 0.0 END AS exact FROM q),
+  b AS (SELECT e, id, gold, answer, score, max(struct_pack(f1 := f1, exact := exact, pr := pr, rc := rc)) AS x FROM f GROUP BY ALL),
+  k AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY score DESC, id) AS i, max(CASE WHEN id IS NOT NULL THEN x.f1 ELSE 0.0 END) OVER (PARTITION BY e) AS of1, max(CASE WHEN id IS NOT NULL THEN x.exact ELSE 0.0 END) OVER (PARTITION BY e) AS oex FROM b),
+  o AS (SELECT DISTINCT e FROM c), z AS (SELECT o.e, k.e IS NOT NULL AS referenced, k.id IS NOT NULL AS predicted, coalesce(k.gold, false) AS hit, coalesce(x.f1, 0.0) AS f1, coalesce(x.exact, 0.0) AS exact, CASE WHEN x.pr + x.rc >= 1e-5 THEN x.pr ELSE 0.0 END AS pr, coalesce(x.rc, 0.0) AS rc, of1, oex,
+    k.e IS NOT NULL AND o.e IN (SELECT e FROM c WHERE gold) AS findable, o.e IN (SELECT e FROM c WHERE id % 2 = 0 AND c.score > 1000) AS in_table FROM o LEFT JOIN k ON k.e = o.e AND k.i = 1)"""
+
+
+@named(f"""WITH {_E2E} SELECT count(*) FILTER (hit) / count(*) AS table_accuracy, coalesce(count(*) FILTER (hit) / nullif(count(*) FILTER (predicted), 0), 1.0) AS table_precision, coalesce(count(*) FILTER (hit) / nullif(count(*) FILTER (findable), 0), 1.0) AS table_recall,
+  round(avg(exact), 9) AS answer_accuracy, round(coalesce(sum(exact) / nullif(count(*) FILTER (predicted), 0), 1.0), 9) AS answer_precision, round(avg(pr), 9) AS answer_token_precision, round(avg(rc), 9) AS answer_token_recall, round(avg(f1), 9) AS answer_token_f1,
+  round(coalesce(avg(f1) FILTER (in_table AND predicted), 1.0), 9) AS answer_token_f1_table, round(coalesce(avg(of1) FILTER (referenced), 1.0), 9) AS oracle_answer_token_f1, round(coalesce(avg(oex) FILTER (referenced), 1.0), 9) AS oracle_answer_accuracy FROM z""")
+def end_to_end_report(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    none = F.array().cast("array<array<string>>")
+    answers = F.when(F.col("p_size") < 6, F.array(F.array("p_name"))).otherwise(none)
+    candidates = p.select(F.col("p_brand").alias("example_id"), F.col("p_partkey").alias("candidate_id"), F.col("p_partkey").alias("place"), (F.col("p_size") > 45).alias("is_gold_table"), answers.alias("answers"))
+    second = F.get(F.split("p_name", " "), F.lit(1))
+    said = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("The "), "p_name", F.lit("!"))).when(F.col("p_size") % 3 == 1, F.concat_ws(" ", second, second))
+    predictions = p.where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("candidate_id"), said.alias("answer"), F.col("p_retailprice").alias("score"))
+    splits = p.where("p_partkey % 2 = 0 and p_retailprice > 1000").select(F.col("p_brand").alias("example_id"), F.lit("table").alias("split")).distinct()
+    out = endtoend.report(endtoend.examples(candidates, predictions), splits)
+    exact = ("table_accuracy", "table_precision", "table_recall")
+    kept = [*exact, "answer_accuracy", "answer_precision", "answer_token_precision", "answer_token_recall", "answer_token_f1", "answer_token_f1_table", "oracle_answer_token_f1", "oracle_answer_accuracy"]
+    return out.select(*[F.col(c) if c in exact else F.round(c, 9).alias(c) for c in kept])
+
+
+# sentences
+
+
+_CORE = r"regexp_replace(lower(regexp_replace(word, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$', '', 'g')), '^[0-9][0-9.,]*?(\.?)$', '##number##\1')"
+
+
+@named(rf"""WITH w AS (SELECT unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS word FROM documents), c AS (SELECT {_CORE} AS core FROM w), t AS (SELECT regexp_replace(core, '\.$', '') AS type, ends_with(core, '.') AS period FROM c),
+  k AS (SELECT type, count(*) FILTER (period) AS k, count(*) FILTER (NOT period) AS o FROM t WHERE type <> '' GROUP BY 1), s AS (SELECT sum(k) / sum(k + o) AS p FROM k), l AS (SELECT *, length(type) - length(replace(type, '.', '')) AS dots FROM k, s WHERE k > 0 AND regexp_matches(type, '\p{{L}}'))
+  SELECT type, k AS with_period, o AS without, round(-2 * (k * ln(p) + CASE WHEN o > 0 THEN o * ln(1 - p) ELSE 0 END - k * ln(0.99) - CASE WHEN o > 0 THEN o * ln(1 - 0.99) ELSE 0 END) * exp(-(length(type) - dots)) * (dots + 1) * pow(length(type) - dots, -o), 6) + 0.0 AS score FROM l""")
+def abbreviation_scores(spark, sf_dir):
+    found = sentences.abbreviation_scores(sentences.words(spread(table(spark, sf_dir, "documents").select("text")), "text"))
+    return found.withColumn("score", r6("score"))
+
+
+@named()
+def learnt_sentences(spark, sf_dir):
+    """Sentences of 4 to 32 tokens of every document, cut by what the documents teach."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return sentences.statements(docs, "doc_id", "text", sentences.train(docs)).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"), F.max("place").alias("last"))
