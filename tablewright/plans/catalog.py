@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numbers, tabular, text, wordpiece
-from ..operators import attention, clusters, dedup, endtoend, evaluate, grammar, joins, layout, match, negatives, overlap, prepare, query, retrieval, segments, sentences, sketches, synth
+from ..operators import attention, clusters, contrast, dedup, endtoend, evaluate, grammar, joins, layout, match, negatives, overlap, prepare, query, retrieval, segments, sentences, sketches, synth
 from ..schema import NUMERIC, from_cells, rectangular, to_cells, wide_to_cells
 from ..shared import shared_folder
 from ..sources import readers, shuffled
@@ -1166,3 +1166,26 @@ def learnt_sentences(spark, sf_dir):
     """Sentences of 4 to 32 tokens of every document, cut by what the documents teach."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return sentences.statements(docs, "doc_id", "text", sentences.train(docs)).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"), F.max("place").alias("last"))
+
+
+# contrastive statements: a nation's customers are a table, a sentence names one of them and their balance
+
+
+_OTHERS = """SELECT s.id, s.kind, s.name, s.balance, arg_min(o.t, struct_pack(h := CAST('0x' || substr(md5('0|' || s.id || '|' || o.t), 1, 12) AS BIGINT), t := o.t)) AS other FROM {0} GROUP BY ALL"""
+
+
+@named(f"""WITH c AS (SELECT c_nationkey AS nation, c_custkey AS id, c_name AS name, CAST(c_acctbal AS VARCHAR) AS balance FROM customer),
+  s AS (SELECT id, nation, name, balance, 'ENTITY' AS kind FROM c UNION ALL SELECT id, nation, name, balance, 'CARDINAL' FROM c),
+  n AS ({_OTHERS.format("(SELECT * FROM s WHERE kind = 'ENTITY') s JOIN (SELECT nation, name AS t FROM c) o ON o.nation = s.nation AND o.t <> s.name")}),
+  b AS ({_OTHERS.format("(SELECT * FROM s WHERE kind = 'CARDINAL') s JOIN (SELECT nation, balance AS t FROM c) o ON o.nation = s.nation AND o.t <> s.balance")})
+  SELECT id AS statement_id, kind, true AS has_support, 'The balance of ' || name || ' is ' || balance || ' dollars.' AS positive, 'The balance of ' || other || ' is ' || balance || ' dollars.' AS negative FROM n
+  UNION ALL SELECT id, kind, true, 'The balance of ' || name || ' is ' || balance || ' dollars.', 'The balance of ' || name || ' is ' || other || ' dollars.' FROM b""")
+def contrastive_statements(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("table_id"), F.col("c_custkey").alias("row_index"), "c_name", F.col("c_acctbal").cast("string").alias("balance"))
+    flat = F.explode(F.array(*[F.struct(F.lit(i).alias("column_index"), F.col(n).alias("text"), e.alias("entity")) for i, (n, e) in enumerate((("c_name", F.col("c_name")), ("balance", F.lit(None).cast("string"))))])).alias("x")
+    names = contrast.cell_identifiers(c.select("table_id", "row_index", flat).select("table_id", "row_index", "x.*"))
+    said = F.concat(F.lit("The balance of "), "c_name", F.lit(" is "), "balance", F.lit(" dollars."))
+    statements = c.select(F.col("row_index").alias("statement_id"), "table_id", said.alias("text"))
+    found = contrast.candidates(names, contrast.find_mentions(statements, names.select("table_id", "identifier", "kind", "text")))
+    out = contrast.rewrite(found, statements.select("statement_id", F.lit(0).alias("place"), F.col("text").alias("sentence")))
+    return out.where("row_index = statement_id").select("statement_id", "kind", "has_support", "positive", "negative")
