@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import split_marks
+from ..shared import checkpoint
 
 # Fixed values of the published method: what the ratios must reach, and the share of periods after an abbreviation.
 ABBREVIATION, COLLOCATION, STARTER, AFTER_ABBREVIATION = 0.3, 7.88, 30.0, 0.99
@@ -92,7 +93,7 @@ def train(docs: DataFrame, text: str = "text", known: tuple[str, ...] = (), most
     """A model from a corpus: each of its sets holds at most ``most`` entries, those of the greatest ratio (or count).
 
     ``known`` are abbreviations (lower case, without their last period) whatever the corpus says. Counts are taken over
-    all words in three passes; only the model comes to the driver. Null texts have no words.
+    all words in three passes over the texts; only the model comes to the driver. Null texts have no words.
     """
     tokens = words(docs, text)
     scored = abbreviation_scores(tokens).where(F.col("score") >= ABBREVIATION)
@@ -101,17 +102,19 @@ def train(docs: DataFrame, text: str = "text", known: tuple[str, ...] = (), most
     initial = F.regexp_like("type", F.lit(r"^\p{L}$"))
     marked = tokens.withColumn("open", F.col("period") & (short | initial | (F.col("type") == _NUMBER)))
     marked = marked.withColumn("ends", (F.col("period") & ~F.col("open")) | F.col("stop")).withColumn("next", F.regexp_replace(_core(F.col("after")), r"\.$", ""))
-    one = marked.groupBy("type").agg(F.count("*").alias("n"), F.count_if("lower").alias("low"), F.count_if(F.col("upper") & F.col("before").isNotNull() & ~F.regexp_like("before", F.lit(r"[.!?:;][^\p{L}\p{N}]*$"))).alias("inside"))
-    whole = marked.agg(F.count("*").cast("double").alias("_n"), F.count_if(F.col("ends") & F.col("after").isNotNull()).cast("double").alias("_ends"))
-    begun = marked.where(F.col("ends") & F.regexp_like("next", F.lit(r"\p{L}"))).groupBy(F.col("next").alias("type")).agg(F.count("*").cast("double").alias("first"))
+    one = checkpoint(marked.groupBy("type").agg(F.count("*").alias("n"), F.count_if("lower").alias("low"), F.count_if(F.col("upper") & F.col("before").isNotNull() & ~F.regexp_like("before", F.lit(r"[.!?:;][^\p{L}\p{N}]*$"))).alias("inside")))
+    # words that follow a word, by whether that ends a sentence or leaves it open: the rest needs no other pass over texts
+    follows = checkpoint(marked.where((F.col("ends") | F.col("open")) & F.col("after").isNotNull()).groupBy("type", "next", "ends", "open").agg(F.count("*").alias("times")))
+    whole = one.agg(F.sum("n").cast("double").alias("_n")).crossJoin(F.broadcast(follows.agg(F.coalesce(F.sum(F.when(F.col("ends"), F.col("times"))), F.lit(0)).cast("double").alias("_ends"))))  # one row
+    begun = follows.where(F.col("ends") & F.regexp_like("next", F.lit(r"\p{L}"))).groupBy(F.col("next").alias("type")).agg(F.sum("times").cast("double").alias("first"))
     starts = begun.join(one, "type").crossJoin(F.broadcast(whole)).withColumn("ll", ratio(F.col("_ends"), F.col("n").cast("double"), F.least("first", "n"), F.col("_n")))
     starters = _best(starts.where((F.col("ll") >= STARTER) & (F.col("first") / F.col("_ends") > F.col("n") / F.col("_n"))), F.col("type"), F.col("ll"), most)
-    pairs = marked.where(F.col("open") & F.regexp_like("next", F.lit(r"\p{L}|##"))).groupBy("type", "next").agg(F.count("*").cast("double").alias("ab")).where("ab > 1")
+    pairs = follows.where(F.col("open") & F.regexp_like("next", F.lit(r"\p{L}|##"))).groupBy("type", "next").agg(F.sum("times").cast("double").alias("ab")).where("ab > 1")
     sides = pairs.join(one.select("type", F.col("n").cast("double").alias("a")), "type").join(one.select(F.col("type").alias("next"), F.col("n").cast("double").alias("b")), "next").crossJoin(F.broadcast(whole))
     bound = sides.withColumn("ll", ratio(F.col("a"), F.col("b"), F.least("ab", "b"), F.col("_n"))).where((F.col("ll") >= COLLOCATION) & (F.col("ab") / F.col("a") > F.col("b") / F.col("_n")))
     collocations = _best(bound, F.concat_ws(" ", "type", "next"), F.col("ll"), most)
     # letters' case matters only for words that follow an open period
-    after = marked.where("open and next <> ''").groupBy(F.col("next").alias("type")).agg(F.count("*").alias("times")).join(one, "type")
+    after = follows.where("open and next <> ''").groupBy(F.col("next").alias("type")).agg(F.sum("times").alias("times")).join(one, "type")
     lower, inside = (_best(after.where(F.col(c) > 0), F.col("type"), F.col("times"), most) for c in ("low", "inside"))
     return Model(abbreviations, collocations, starters, lower, inside)
 
