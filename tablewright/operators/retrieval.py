@@ -10,15 +10,71 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Terms whose weights (some 40 bytes each) are broadcast; a larger vocabulary meets the documents' terms by a shuffle.
+BROADCAST_TERMS = 1_000_000
+
+
 def small(df: DataFrame, most: int = 10_000) -> DataFrame:
     """A broadcast hint for a side of at most ``most`` rows; other sides are joined by Spark's own choice."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def term_counts(docs: DataFrame, doc_id: str, tokens: Column) -> DataFrame:
-    """``(doc_id, token, tf)``: documents are dealt out once by id, so their terms are counted without a second shuffle."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.repartition(parts, doc_id).select(F.col(doc_id), F.explode(tokens).alias("token")).groupBy(doc_id, "token").agg(F.count("*").alias("tf"))
+    """``(doc_id, token, tf, dl)`` with the document's length: terms are counted inside the row, so no text is moved.
+
+    One row for every document and token, of a document one after another. A document without tokens has none.
+    """
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    ready = docs.select(F.col(doc_id), tokens.alias("_t"))
+    fields = ready.select(doc_id).schema.add("token", "string").add("tf", "long").add("dl", "long")
+
+    def run(batches):
+        for b in batches:
+            lists = b.column("_t").to_pylist()
+            counts = [Counter(t) if t else {} for t in lists]
+            sizes = np.fromiter(map(len, counts), np.int64, len(counts))
+            rows = np.repeat(np.arange(len(counts)), sizes)
+            lengths = np.fromiter((len(t or ()) for t in lists), np.int64, len(lists))
+            words, tf = pa.array([w for c in counts for w in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(doc_id).take(pa.array(rows)), words, tf, pa.array(lengths[rows])], names=[doc_id, "token", "tf", "dl"])
+
+    return ready.mapInArrow(run, fields)
+
+
+def vocabulary(docs: DataFrame, tokens: Column, limit: int = 500_000) -> DataFrame:
+    """``(token, df, cf)``, and one row of a null token with the number of documents and of all tokens; read once, kept.
+
+    Counted inside each task first, in a table that is sent on whenever it holds ``limit`` tokens.
+    """
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from ..shared import checkpoint
+
+    def rows(df, cf):
+        return pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64()), pa.array([cf[w] for w in df], pa.int64())], names=["token", "df", "cf"])
+
+    def run(batches):
+        df, cf = Counter(), Counter()
+        for b in batches:
+            for words in b.column("_t").to_pylist():
+                df[None] += 1
+                cf[None] += len(words or ())
+                cf.update(words or ())
+                df.update(set(words or ()))
+                if len(df) > limit:
+                    yield rows(df, cf)
+                    df, cf = Counter(), Counter()
+        if df:
+            yield rows(df, cf)
+
+    part = docs.select(tokens.alias("_t")).mapInArrow(run, "token string, df long, cf long")
+    return checkpoint(part.groupBy("token").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")))
 
 
 def asked_terms(queries: DataFrame, query_id: str, tokens: Column) -> DataFrame:
@@ -39,7 +95,7 @@ def postings(docs: DataFrame, doc_id: str, tokens: Column, min_rank: int = 0, dr
     """
     pairs = term_counts(docs, doc_id, tokens)
     if not min_rank:
-        pairs = _only(pairs, asked)
+        pairs = _only(pairs, asked)  # other terms go no further than their task
     frequency = pairs.groupBy("token").agg(F.sum("tf").alias("cf"))
     if min_rank:
         top = frequency.orderBy(F.desc("cf"), "token").limit(min_rank).select("token")
@@ -58,15 +114,15 @@ def bm25_index(docs: DataFrame, doc_id: str, tokens: Column, k1: float = 1.5, b:
 
     Documents without tokens count towards the average length. With ``asked``, only its tokens get weights.
     """
-    tf = term_counts(docs, doc_id, tokens)
-    length = tf.groupBy(doc_id).agg(F.sum("tf").alias("dl"))  # where the terms are already
-    whole = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("avgdl"))
-    idf = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(whole))  # whole: one row
+    words = vocabulary(docs, tokens)
+    whole = words.where("token is null").select(F.col("df").alias("n"), (F.col("cf") / F.col("df")).alias("avgdl"))
+    idf = words.where("token is not null").crossJoin(F.broadcast(whole))  # whole: one row
     idf = idf.withColumn("idf", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean = idf.agg(F.avg("idf").alias("mean_idf"))
     idf = _only(idf, asked).crossJoin(F.broadcast(mean)).select("token", "avgdl", F.when(F.col("idf") < 0, F.lit(eps) * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
     share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return _only(tf, asked).join(length, doc_id).join(idf, "token").select("token", doc_id, (F.col("idf") * share).alias("weight"))
+    met = term_counts(docs, doc_id, tokens).join(small(idf, BROADCAST_TERMS), "token")  # terms that nobody asks for end here
+    return met.select("token", doc_id, (F.col("idf") * share).alias("weight"))
 
 
 def tfidf_index(docs: DataFrame, doc_id: str, tokens: Column, min_df: int = 1, max_df: float = 1.0, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -74,11 +130,11 @@ def tfidf_index(docs: DataFrame, doc_id: str, tokens: Column, min_df: int = 1, m
 
     Norms are those of whole documents; with ``asked``, only its tokens have rows.
     """
-    tf = term_counts(docs, doc_id, tokens)
-    whole = docs.agg(F.count("*").alias("n"))
-    idf = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(whole)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
+    words = vocabulary(docs, tokens)
+    whole = words.where("token is null").select(F.col("df").alias("n"))
+    idf = words.where("token is not null").crossJoin(F.broadcast(whole)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))  # whole: one row
     idf = idf.select("token", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
+    raw = term_counts(docs, doc_id, tokens).join(small(idf, BROADCAST_TERMS), "token").withColumn("w", F.col("tf") * F.col("idf"))
     norm = raw.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return _only(raw, asked).join(norm, doc_id).select("token", doc_id, (F.col("w") / F.col("norm")).alias("weight")), idf
 
