@@ -101,18 +101,21 @@ class PartVisitor:
 
 
 def format_turn(role: str, parts: list[dict], visitor: PartVisitor | None = None, learn: frozenset[str] = frozenset({"assistant"})) -> Formatted:
-    """One turn; a conversation's text is its turns' texts in a row."""
+    """One turn; a conversation's text is its turns' texts in a row. The mask spans its runs of text parts, no placeholder."""
     visitor, out = visitor or PartVisitor(), Formatted()
     head = OPEN + escape(role) + ROLE_END
-    said, before = [], None
+    said, before, at, runs = [], None, len(head), []
     for part in parts:
         kind = part.get("type") or "text"
-        said += [_BORDER] * (kind == before == "text") + [visitor.visit(part, out.refs)]
-        before = kind
+        piece = _BORDER * (kind == before == "text") + visitor.visit(part, out.refs)
+        if kind == "text":
+            runs = [*runs[:-1], (runs[-1][0], at + len(piece))] if before == "text" else [*runs, (at, at + len(piece))]
+        said.append(piece)
+        before, at = kind, at + len(piece)
     body = "".join(said)
     out.text = head + body + CLOSE
     out.spans = [(role, len(head), len(head) + len(body))]
-    out.mask = list((a, b) for r, a, b in out.spans if r in learn)
+    out.mask = (runs or [(len(head), len(head))] * (not parts)) if role in learn else []
     return out
 
 
@@ -219,7 +222,6 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
         close()
         yield _digests(done)
 
-    # parts of a placeholder under the mask stay as they are: the loss sees their tokens
     dealt = formatted.select("conv_id", "turn", "formatted", "mask").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
     return dealt.mapInArrow(run, DIGEST)
 

@@ -228,7 +228,8 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     the add-one unigram model's log10 probability, ``score`` the mixture's. Null and empty texts are the end token
     alone. With no training text all counts are 0 and the floor is all. Tokens and bigrams meet as 64-bit hashes:
     two that collide share a count. The driver sees the texts' size only; an empty table gives no rows. Blocks
-    follow hashes of id and text, so null and repeated ids are dealt out like others; a text is never split.
+    follow hashes of id and text, so null and repeated ids are dealt out like others; rows equal in both, and a text
+    itself, are in one block.
     """
     names = list(dict.fromkeys([id_col, *carry]))
     text, learn = as_utf8(text_col), F.coalesce(learn, F.lit(False))

@@ -77,6 +77,15 @@ def test_parts_are_flattened():
     assert [r[1:] for r in chat.format_turn("user", odd).refs] == [("other", "v", 0), ("image", "", 1), ("audio", "", 0), ("audio", "", 0), ("document", "", 2**31 - 1)]
 
 
+def test_the_mask_holds_no_placeholder(spark):
+    parts = [("text", "a"), ("image", None), ("text", "b<|"), ("text", "|>c"), ("audio", None)]
+    df = spark.createDataFrame([(1, 0, "assistant", parts), (1, 1, "user", parts), (2, 0, "assistant", []), (2, 1, "assistant", [("image", None)])], "conv_id long, turn long, role string, parts array<struct<type:string,text:string>>")
+    got = {(r["conv_id"], r["turn"]): [chat.unescape(r["formatted"][m["start"] : m["end"]]) for m in r["mask"]] for r in chat.format_rows(df).collect()}
+    assert got == {(1, 0): ["a", "b<||>c"], (1, 1): [], (2, 0): [""], (2, 1): []}
+    out = {r["conv_id"]: r for r in chat.digest_conversations(chat.format_rows(df)).collect()}
+    assert (out[1]["loss_chars"], out[1]["loss_sha256"], out[2]["loss_chars"]) == (7, sha("ab<||>c"), 0)
+
+
 CONTROLS = re.compile(r"<\||</?s>|\[/?INST\]|<</?SYS>>")
 
 
