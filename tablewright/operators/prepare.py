@@ -91,13 +91,14 @@ def fit_rows(cells: DataFrame, n_rows: str, cost: Column, budget: int) -> DataFr
     return cells.join(run.select("table_id", n_rows), ["table_id", n_rows], "left_semi")
 
 
-def masked_words(pieces: Column, seed: Column, inner: str = "##", share: float = 0.15, most: int = 20, vocabulary: int = 30_000) -> Column:
+def masked_words(pieces: Column, seed: Column, vocabulary: Column | list[str], inner: str = "##", share: float = 0.15, most: int = 20) -> Column:
     """Masked-text instances ``array<struct<index, label, shown>>`` of a piece list, whole words at a time.
 
     A word is a piece and the ``inner`` ones that follow. Words are taken in a seeded order while they fit into
     min(most, max(1, round(share * pieces))) places. Of the places 8 in 10 show ``[MASK]``, 1 in 10 keep their piece
-    and 1 in 10 show the number of a drawn vocabulary entry.
+    and 1 in 10 show a piece drawn from ``vocabulary``, a list or an array column (of a joined row, where it is long).
     """
+    entries = vocabulary if isinstance(vocabulary, Column) else F.array(*map(F.lit, vocabulary))
     n = F.least(F.lit(most), F.greatest(F.lit(1), F.round(F.size(pieces) * share).cast("int")))
     draw = lambda i, kind: F.pmod(F.xxhash64(seed, i, F.lit(kind)), F.lit(10))
     places = F.sequence(F.lit(0), F.size(pieces) - 1)
@@ -108,7 +109,7 @@ def masked_words(pieces: Column, seed: Column, inner: str = "##", share: float =
     step = lambda s, w: F.when(fits(s, w), F.struct((s["used"] + w["size"]).alias("used"), F.concat(s["words"], F.array(F.struct(w["start"].alias("start"), w["size"].alias("size")))).alias("words"))).otherwise(s)
     taken = F.aggregate(F.array_sort(words), none, step, lambda s: s["words"])
     at = F.array_sort(F.flatten(F.transform(taken, lambda w: F.sequence(w["start"], w["start"] + w["size"] - 1))))
-    shown = lambda i: F.when(draw(i, "kind") < 8, F.lit("[MASK]")).when(draw(i, "kind") == 8, F.get(pieces, i)).otherwise(F.concat(F.lit("#"), F.pmod(F.xxhash64(seed, i, F.lit("word")), F.lit(vocabulary)).cast("string")))
+    shown = lambda i: F.when(draw(i, "kind") < 8, F.lit("[MASK]")).when(draw(i, "kind") == 8, F.get(pieces, i)).otherwise(F.get(entries, F.pmod(F.xxhash64(seed, i, F.lit("word")), F.size(entries)).cast("int")))
     out = F.transform(at, lambda i: F.struct(i.alias("index"), F.get(pieces, i).alias("label"), shown(i).alias("shown")))
     return F.when(F.size(pieces) > 0, out)
 
@@ -127,11 +128,17 @@ def table_size(rows: Column, columns: Column, seed: Column, cells: int) -> Colum
     return F.struct((F.pmod(F.xxhash64(seed, F.lit("rows")), room) + 1).cast("int").alias("rows"), wide.alias("columns"))
 
 
-def with_random_table(interactions: DataFrame, seed: int = 0, bins: int = 1000) -> DataFrame:
+#: Interactions of a bin, out of which a random table is taken.
+BIN_ROWS = 512
+
+
+def with_random_table(interactions: DataFrame, seed: int = 0, bins: int | None = None) -> DataFrame:
     """``other``: another interaction's table (of the same hash bin, the next one in a seeded order) for half of the rows.
 
-    Bins are of bounded share, so no window holds all tables; alone in its bin, an interaction gets none.
+    There is a bin for every ``BIN_ROWS`` interactions, so a window's tables are of a bounded number, whatever the
+    corpus; alone in its bin, an interaction gets none.
     """
+    bins = bins or max(1, interactions.count() // BIN_ROWS)
     bin_of = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(bins))
     order = Window.partitionBy(bin_of).orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id")
     around = Window.partitionBy(bin_of)

@@ -766,7 +766,7 @@ def _hits(spark, sf_dir):
 @named(f"""WITH {_HITS}, b AS (SELECT question_id, table_id, min(rank) AS rank, min(struct_pack(r := rank, s := score)).s AS score FROM h GROUP BY 1, 2),
   w AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank, table_id) - 1 AS place FROM b WHERE table_id <> CAST(question_id % 10 AS VARCHAR) AND NOT (contains(table_id, '1') AND contains(table_id, '2')))
   SELECT question_id, CAST(place AS INTEGER) AS place, table_id, -score AS score FROM w WHERE place < 2
-  UNION ALL SELECT o_orderkey, 0, 'FAKE', NULL FROM orders WHERE o_orderkey NOT IN (SELECT question_id FROM w)""")
+  UNION ALL SELECT o_orderkey, 0, 'FAKE', 0.0 FROM orders WHERE o_orderkey NOT IN (SELECT question_id FROM w)""")
 def negatives_without_answers(spark, sf_dir):
     asks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question_id"), (F.col("o_orderkey") % 10).cast("string").alias("gold_id"), F.array(F.lit("1"), F.lit("2")).alias("answers"))
     return negatives.hard_negatives(asks, _hits(spark, sf_dir).withColumn("table_text", F.col("table_id")), 2)

@@ -55,7 +55,7 @@ def test_masked_words_and_snippets(spark):
     pieces = [p for i in range(60) for p in ([f"w{i}"] if i % 3 else [f"w{i}", "##a", "##b"])]
     df = spark.range(40).withColumn("p", F.array(*map(F.lit, pieces)))
     kinds = {"mask": 0, "same": 0, "other": 0}
-    for r in df.select(prepare.masked_words(F.col("p"), F.col("id")).alias("m")).collect():
+    for r in df.select(prepare.masked_words(F.col("p"), F.col("id"), ["x", "##y", "z"]).alias("m")).collect():
         at = [x["index"] for x in r["m"]]
         assert at == sorted(set(at)) and 1 <= len(at) <= round(0.15 * len(pieces)) <= 20 and all(x["label"] == pieces[x["index"]] for x in r["m"])
         for i in at:  # whole words
@@ -63,6 +63,7 @@ def test_masked_words_and_snippets(spark):
             assert start in at
         for x in r["m"]:
             kinds["mask" if x["shown"] == "[MASK]" else "same" if x["shown"] == x["label"] else "other"] += 1
+            assert x["shown"] in ("[MASK]", x["label"], "x", "##y", "z")
     assert kinds["mask"] > 5 * kinds["same"] > 0 and kinds["other"] > 0
     cut = df.select(prepare.snippet(F.col("p"), F.col("id"), 5, 9).alias("s")).collect()
     assert {len(r["s"]) for r in cut} == {5, 6, 7, 8, 9} and all(" ".join(r["s"]) in " ".join(pieces) for r in cut)
@@ -88,7 +89,10 @@ def test_negatives_of_questions(spark):
     asks = spark.createDataFrame([("q", "g", ["ann", "bo"]), ("r", "g", ["z"]), ("s", None, [])], "question_id string, gold_id string, answers array<string>")
     hits = [("q", "a", 1, 0.9, "ann met bo"), ("q", "b", 2, 0.8, "ann"), ("q", "b", 4, 0.1, "ann"), ("q", "g", 0, 1.0, "x"), ("q", "c", 3, 0.7, None), ("r", "g", 0, 1.0, ""), ("t", "a", 0, 1.0, ""), ("s", "a", 0, 0.5, "y")]
     got = negatives.hard_negatives(asks, spark.createDataFrame(hits, "question_id string, table_id string, rank int, score double, table_text string"), 2)
-    assert sorted(map(tuple, got.collect())) == [("q", 0, "b", -0.8), ("q", 1, "c", -0.7), ("r", 0, "FAKE", None), ("s", 0, "a", -0.5)]
+    cells = [("q", "split", 1, 0.9, ["New", "York"]), ("q", "whole", 2, 0.8, ["x", "in New York"]), ("q", "none", 3, 0.7, None)]
+    near = negatives.hard_negatives(spark.createDataFrame([("q", "g", ["New York"])], "question_id string, gold_id string, answers array<string>"), spark.createDataFrame(cells, "question_id string, table_id string, rank int, score double, cells array<string>"), 5)
+    assert [r["table_id"] for r in near.orderBy("place").collect()] == ["split", "none"]  # an answer over two cells is in none
+    assert sorted(map(tuple, got.collect())) == [("q", 0, "b", -0.8), ("q", 1, "c", -0.7), ("r", 0, "FAKE", 0.0), ("s", 0, "a", -0.5)]
     tables = spark.createDataFrame([("a", "A"), ("a", "B")], "table_id string, title string")
     one = spark.createDataFrame([("q", "a")], "question_id string, table_id string")
     assert tuple(negatives.with_tables(one, tables).first()) == ("q", "a", "A")
