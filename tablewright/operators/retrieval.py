@@ -152,12 +152,16 @@ def expand(tokens: Column, low: int, high: int) -> Column:
     return F.concat(*[grams(n) for n in range(low, high + 1)])
 
 
-def best(scores: DataFrame, query_id: str, doc_id: str, k: int, digits: int = 6, above: float | None = None) -> DataFrame:
-    """The ``k`` best by rounded score, ties to the smaller id, with ``rank`` from 1."""
-    s = scores.withColumn("score", F.round("score", digits))
-    s = s if above is None else s.where(F.col("score") > above)
-    order = Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id)
-    return s.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def best(scores: DataFrame, query_id: str, doc_id: str, k: int, digits: int = 6, above: float | None = None, exact: int = 9) -> DataFrame:
+    """The ``k`` best, ties to the smaller id, with ``rank`` from 1; scores are shown with ``digits`` digits.
+
+    They are ranked by ``exact`` digits: enough to tell scores apart, and few enough that the order in which a score's
+    parts were added does not.
+    """
+    s = scores.withColumn("_exact", F.round("score", max(exact, digits)))
+    s = s if above is None else s.where(F.col("_exact") > above)
+    order = Window.partitionBy(query_id).orderBy(F.desc("_exact"), doc_id)
+    return s.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("score", F.round("_exact", digits)).drop("_exact")
 
 
 def dot(a: Column, b: Column) -> Column:

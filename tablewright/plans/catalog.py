@@ -284,14 +284,14 @@ def soft_aggregates(spark, sf_dir):
 
 _DOC_TF = f"d AS (SELECT doc_id, unnest({WORDS.format('text')}) AS token FROM documents), tf AS (SELECT token, doc_id, count(*) AS tf FROM d GROUP BY 1, 2)"
 _ASKED = f"q AS (SELECT item_id, token, count(*) AS times FROM (SELECT item_id, unnest({WORDS.format('text')}) AS token FROM benchmark) GROUP BY 1, 2)"
-_BEST = "r AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) SELECT item_id, doc_id, score, rank FROM r WHERE rank <= {}"
+_BEST = "r AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) SELECT item_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= {}"
 
 
 def _texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
 
 
-@named(f"WITH {_DOC_TF}, w AS (SELECT token, 1.0 / (log2(sum(tf)) + 1) AS weight FROM tf GROUP BY 1), {_ASKED}, s AS (SELECT item_id, doc_id, round(sum(times * weight), 6) AS score FROM tf JOIN w USING (token) JOIN q USING (token) GROUP BY 1, 2), {_BEST.format(3)}")
+@named(f"WITH {_DOC_TF}, w AS (SELECT token, 1.0 / (log2(sum(tf)) + 1) AS weight FROM tf GROUP BY 1), {_ASKED}, s AS (SELECT item_id, doc_id, round(sum(times * weight), 9) AS score FROM tf JOIN w USING (token) JOIN q USING (token) GROUP BY 1, 2), {_BEST.format(3)}")
 def inverted_index_topk(spark, sf_dir):
     docs, asks = _texts(spark, sf_dir)
     asked = retrieval.asked_terms(asks, "item_id", words("text"))
@@ -301,7 +301,7 @@ def inverted_index_topk(spark, sf_dir):
 
 @named(f"""WITH {_DOC_TF}, n AS (SELECT count(*) AS n, avg(len({WORDS.format('text')})) AS avgdl FROM documents), dl AS (SELECT doc_id, len({WORDS.format('text')}) AS dl FROM documents),
   i AS (SELECT token, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf, n GROUP BY token, n), j AS (SELECT token, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM i) ELSE idf END AS idf FROM i), {_ASKED},
-  s AS (SELECT item_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN j USING (token) JOIN dl USING (doc_id) JOIN q USING (token), n GROUP BY 1, 2), {_BEST.format(3)}""")
+  s AS (SELECT item_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM tf JOIN j USING (token) JOIN dl USING (doc_id) JOIN q USING (token), n GROUP BY 1, 2), {_BEST.format(3)}""")
 def bm25_topk(spark, sf_dir):
     docs, asks = _texts(spark, sf_dir)
     asked = retrieval.asked_terms(asks, "item_id", words("text"))
@@ -311,7 +311,7 @@ def bm25_topk(spark, sf_dir):
 
 @named(f"""WITH {_DOC_TF}, i AS (SELECT token, ln((1.0 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1), dn AS (SELECT doc_id, sqrt(sum(tf * idf * tf * idf)) AS norm FROM tf JOIN i USING (token) GROUP BY 1),
   {_ASKED}, qn AS (SELECT item_id, sqrt(sum(times * idf * times * idf)) AS norm FROM q JOIN i USING (token) GROUP BY 1),
-  s AS (SELECT item_id, doc_id, round(sum(times * idf / qn.norm * tf * idf / dn.norm), 6) AS score FROM tf JOIN i USING (token) JOIN dn USING (doc_id) JOIN q USING (token) JOIN qn USING (item_id) GROUP BY 1, 2), {_BEST.format(3)}""")
+  s AS (SELECT item_id, doc_id, round(sum(times * idf / qn.norm * tf * idf / dn.norm), 9) AS score FROM tf JOIN i USING (token) JOIN dn USING (doc_id) JOIN q USING (token) JOIN qn USING (item_id) GROUP BY 1, 2), {_BEST.format(3)}""")
 def tfidf_cosine_topk(spark, sf_dir):
     docs, asks = _texts(spark, sf_dir)
     asked = retrieval.asked_terms(asks, "item_id", words("text"))
@@ -372,7 +372,7 @@ _SETS = "d AS (SELECT doc_id, list_distinct({0}) AS s FROM documents), b AS (SEL
 
 
 @named(f"""WITH {_SETS}, dt AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM d), bt AS (SELECT item_id, len(s) AS n, unnest(s) AS t FROM b),
-  s AS (SELECT item_id, doc_id, round(count(*) / (any_value(dt.n) + any_value(bt.n) - count(*)), 6) AS score FROM dt JOIN bt USING (t) GROUP BY 1, 2), {_BEST.format(2)}""")
+  s AS (SELECT item_id, doc_id, round(count(*) / (any_value(dt.n) + any_value(bt.n) - count(*)), 9) AS score FROM dt JOIN bt USING (t) GROUP BY 1, 2), {_BEST.format(2)}""")
 def jaccard_overlap(spark, sf_dir):
     docs, asks = _texts(spark, sf_dir)
     sets = lambda df, key: spread(df).select(key, F.array_distinct(words("text")).alias("s")).select(key, F.size("s").alias(f"n_{key}"), F.explode("s").alias("t"))
