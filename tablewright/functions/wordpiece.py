@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,3 +60,50 @@ def whole_words(tokens: Column) -> Column:
     start = F.array().cast("array<string>")
     glued = lambda ws, p: F.concat(F.slice(ws, 1, F.size(ws) - 1), F.array(F.concat(F.element_at(ws, -1), F.substring(p, 3, 1 << 30))))
     return F.aggregate(tokens, start, lambda ws, p: F.when(is_inner(p) & (F.size(ws) > 0), glued(ws, p)).otherwise(F.concat(ws, F.array(p))))
+
+
+def aligned_pieces(x: str | Column, vocabulary: list[str], longest: int = 200) -> Column:
+    """Pieces with their places in the text as it was: ``array<struct<piece, begin, end>>``, in characters, end excluded.
+
+    Places are kept through normalising (cases, accents, control characters, CJK spacing), so the characters from the
+    begin of one piece to the end of another are what these pieces were made of. Null texts stay null, others that
+    format as empty have no pieces.
+    """
+    words = tuple(vocabulary)
+    kind = T.ArrayType(T.StructType().add("piece", T.StringType()).add("begin", T.IntegerType()).add("end", T.IntegerType()))
+
+    @F.pandas_udf(kind)
+    def cut(texts: pd.Series) -> pd.Series:
+        found = _tokenizer(words, longest).encode_batch(["" if t is None else t for t in texts], add_special_tokens=False)
+        rows = [None if t is None else [{"piece": p, "begin": b, "end": e} for p, (b, e) in zip(f.tokens, f.offsets)] for t, f in zip(texts, found)]
+        return pd.Series(rows, dtype=object)
+
+    return cut(F.col(x) if isinstance(x, str) else x)
+
+
+def original_text(text: str | Column, aligned: Column, first: Column, last: Column) -> Column:
+    """The text behind pieces ``first`` to ``last`` (places from 0, both in), whole words: to the ends of words that they cut."""
+    col = F.col(text) if isinstance(text, str) else text
+    places = F.sequence(F.lit(0), F.size(aligned) - 1)
+    inner = lambda i: F.coalesce(is_inner(F.get(aligned, i)["piece"]), F.lit(False))
+    start = F.array_max(F.filter(places, lambda i: (i <= first) & (~inner(i) | (i == 0))))
+    stop = F.coalesce(F.array_min(F.filter(places, lambda i: (i > last) & ~inner(i))) - 1, F.size(aligned) - 1)
+    begin, end = F.get(aligned, start)["begin"], F.get(aligned, stop)["end"]
+    return F.when((first >= 0) & (first <= last) & (last < F.size(aligned)), F.substring(col, begin + 1, end - begin))
+
+
+def answer_texts(answers: DataFrame, cells: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """``(question_id, text, row_index, column_index)``: the cell text that an answer's pieces were cut from.
+
+    ``answers``: ``question_id, table_id, pieces array<string>``; ``cells``: ``table_id, row_index, column_index, text``. Of
+    all places where the pieces stand in a cell of the table the shortest text counts, then the first cell. Pieces
+    that stand in none are joined to words, without a cell.
+    """
+    from ..operators.match import find_sublist
+
+    cut = cells.where("text is not null").withColumn("_a", aligned_pieces("text", vocabulary))
+    met = answers.where(F.size("pieces") > 0).join(cut, "table_id").withColumn("_at", find_sublist(F.col("pieces"), F.transform("_a", lambda p: p["piece"]))).where("_at is not null")
+    read = met.withColumn("_t", original_text("text", F.col("_a"), F.col("_at"), F.col("_at") + F.size("pieces") - 1))
+    best = read.groupBy("question_id").agg(F.min(F.struct(F.length("_t").alias("n"), "row_index", "column_index", F.col("_t").alias("text"))).alias("_b"))
+    out = answers.join(best, "question_id", "left")
+    return out.select("question_id", F.coalesce("_b.text", F.array_join(whole_words(F.col("pieces")), " ")).alias("text"), F.col("_b.row_index").alias("row_index"), F.col("_b.column_index").alias("column_index"))

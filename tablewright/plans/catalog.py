@@ -1189,3 +1189,19 @@ def contrastive_statements(spark, sf_dir):
     found = contrast.candidates(names, contrast.find_mentions(statements, names.select("table_id", "identifier", "kind", "text")))
     out = contrast.rewrite(found, statements.select("statement_id", F.lit(0).alias("place"), F.col("text").alias("sentence")))
     return out.where("row_index = statement_id").select("statement_id", "kind", "has_support", "positive", "negative")
+
+
+# from pieces back to texts
+
+
+@named("SELECT c_custkey AS question_id, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE c_name END AS text, CAST(c_custkey AS INTEGER) AS row_index, CAST((c_custkey + 1) % 2 AS INTEGER) AS column_index FROM customer")
+def pieces_to_cells(spark, sf_dir):
+    """Lower-cased pieces of a customer's name or segment, read back as the cell writes them; a customer is a table."""
+    c = table(spark, sf_dir, "customer")
+    letters = [*"abcdefghijklmnopqrstuvwxyz0123456789", "customer", "#"]
+    vocabulary = letters + [wordpiece.INNER + x for x in letters[:36]]
+    cell = lambda i, n: F.struct(F.col("c_custkey").cast("int").alias("row_index"), F.lit(i).alias("column_index"), F.col(n).alias("text"))
+    cells = c.select(F.col("c_custkey").alias("table_id"), F.explode(F.array(cell(0, "c_name"), cell(1, "c_mktsegment"))).alias("c")).select("table_id", "c.*")
+    asked = F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise(F.col("c_name"))
+    answers = c.select(F.col("c_custkey").alias("question_id"), F.col("c_custkey").alias("table_id"), wordpiece.pieces(F.lower(asked), vocabulary).alias("pieces"))
+    return wordpiece.answer_texts(answers, cells, vocabulary)

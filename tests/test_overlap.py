@@ -87,3 +87,40 @@ def test_wordpiece(spark, tmp_path):
         assert got[i][1] == ([w] if got[i][0] != ["[UNK]"] else ["[UNK]"])
     assert got[100][0] is None and got[101][0] == got[102][0] == ["[EMPTY]"]
     assert got[103][0] == ["abc", ",", "ab"] and got[104][0] == ["[UNK]"] and len(got[105][0]) == 200
+
+
+BACK = ["the", "new", "york", "yor", "##k", "caf", "##e", "3", "5", ".", "-", "ber", "##lin", "o", "##slo", "東", "京", "(", ")", "a", "##b", "##c", "s", "##tra", "##ss", "##e"]
+TEXTS = ["The New-York CAFÉ", "3.5 (Berlin)", "東京 Oslo", "Café", "Straße  x", "Abc\u200babc", "", None, "ÉÉ unknown cafe", "a\tb\u00a0abc 3-5"]
+
+
+def test_pieces_know_their_places(spark):
+    """Accents, cases, CJK and control characters: a piece's characters, normalised, are the piece."""
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "i int, t string").withColumn("a", wordpiece.aligned_pieces("t", BACK)).withColumn("p", wordpiece.pieces("t", BACK))
+    plain = lambda s: "".join(c for c in unicodedata.normalize("NFD", s).lower() if not unicodedata.combining(c))
+    for r in df.collect():
+        if r["t"] is None:
+            assert r["a"] is None
+            continue
+        if r["t"]:
+            assert [x["piece"] for x in r["a"]] == r["p"]
+        ends = [0] + [x["end"] for x in r["a"]]
+        assert all(x["begin"] >= before for x, before in zip(r["a"], ends))
+        for x in r["a"]:
+            if x["piece"] != wordpiece.UNKNOWN:
+                assert plain(r["t"][x["begin"] : x["end"]]).replace("\u200b", "") == x["piece"].removeprefix("##")
+    spans = [(0, 0, 0, "The"), (0, 1, 3, "New-York"), (0, 2, 2, "-"), (0, 4, 5, "CAFÉ"), (0, 5, 5, "CAFÉ"), (1, 0, 2, "3.5"), (1, 3, 3, "("), (1, 4, 4, "Berlin"), (2, 0, 0, "東"), (2, 0, 2, "東京 Oslo"), (0, 4, 99, None), (0, 2, 1, None), (6, 0, 0, None)]
+    asked = spark.createDataFrame(spans, "i int, first int, last int, want string").join(df, "i")
+    for r in asked.select("want", wordpiece.original_text("t", F.col("a"), F.col("first"), F.col("last")).alias("got")).collect():
+        assert r["got"] == r["want"]
+
+
+def test_answers_get_the_texts_of_their_cells(spark):
+    cells = spark.createDataFrame([("t", 0, 0, "The Café"), ("t", 0, 1, "CAFÉ"), ("t", 1, 0, "3.5 (Berlin)"), ("t", 1, 1, None), ("u", 0, 0, "Oslo")], "table_id string, row_index int, column_index int, text string")
+    asks = [("a", "t", ["caf", "##e"]), ("b", "t", ["3", ".", "5"]), ("c", "t", ["o", "##slo"]), ("d", "t", ["lin"]), ("e", "t", []), ("f", "v", ["the", "new"])]
+    df = spark.createDataFrame(asks, "question_id string, table_id string, pieces array<string>")
+    got = {r["question_id"]: (r["text"], r["row_index"], r["column_index"]) for r in wordpiece.answer_texts(df, cells, BACK).collect()}
+    assert got == {"a": ("Café", 0, 0), "b": ("3.5", 1, 0), "c": ("oslo", None, None), "d": ("lin", None, None), "e": ("", None, None), "f": ("the new", None, None)}
