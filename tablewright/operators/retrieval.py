@@ -152,6 +152,21 @@ def expand(tokens: Column, low: int, high: int) -> Column:
     return F.concat(*[grams(n) for n in range(low, high + 1)])
 
 
+def char_grams(x: str | Column, low: int, high: int, inside_words: bool = False) -> Column:
+    """Runs of ``low`` to ``high`` characters of a text in lower case with single blanks.
+
+    ``inside_words`` takes them from each word with a blank before and behind it; of a word that is no longer than a
+    run, itself is the last one.
+    """
+    c = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))), r"(?U)\s+", " "))
+    runs = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, n))
+    sizes = F.sequence(F.lit(low), F.lit(high))
+    if not inside_words:
+        return F.flatten(F.transform(F.filter(sizes, lambda n: n <= F.length(c)), lambda n: runs(c, n)))
+    words = F.transform(F.filter(F.split(c, " "), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    return F.flatten(F.transform(words, lambda w: F.flatten(F.transform(F.filter(sizes, lambda n: (n <= F.length(w)) | (n == low)), lambda n: runs(w, n)))))
+
+
 def best(scores: DataFrame, query_id: str, doc_id: str, k: int, digits: int = 6, above: float | None = None, exact: int = 9) -> DataFrame:
     """The ``k`` best, ties to the smaller id, with ``rank`` from 1; scores are shown with ``digits`` digits.
 
@@ -251,14 +266,17 @@ def merge_queries(queries: DataFrame, query_id: str, vector: str, dim: int) -> D
     return queries.groupBy(query_id).agg(F.array(*[F.avg(F.col(vector)[i].cast("double")) for i in range(dim)]).alias("mean"), F.count("*").alias("n"))
 
 
-def search(docs: DataFrame, group: str, doc_id: str, tokens: Column, queries: DataFrame, query_tokens: Column, n: int, low: int = 1, high: int = 2, min_df: int = 1, max_df: float = 0.9, above: float = 0.0) -> DataFrame:
+def search(docs: DataFrame, group: str, doc_id: str, tokens: Column, queries: DataFrame, query_tokens: Column, n: int, low: int = 1, high: int = 2, min_df: int = 1, max_df: float = 0.9, above: float = 0.0, analyzer: str = "word") -> DataFrame:
     """``(group, doc_id, score, rank)``: in each group the ``n`` documents of a TF-IDF cosine above ``above`` to its query.
 
     Each group (a question, say, with the sentences of its descriptions) is an index of its own over word n-grams of
     ``low`` to ``high`` words; grams in fewer than ``min_df`` documents or more than ``max_df`` of them do not count,
-    but in an index of one document all do.
+    but in an index of one document all do. With the ``analyzer`` ``char`` or ``char_wb`` both token columns are texts, and
+    grams are runs of characters, across words or inside each.
     """
-    terms = docs.select(F.col(group), F.col(doc_id), F.explode(expand(tokens, low, high)).alias("token")).groupBy(group, doc_id, "token").agg(F.count("*").alias("tf"))
+    kinds = {"word": expand, "char": char_grams, "char_wb": lambda x, a, b: char_grams(x, a, b, True)}
+    grams = lambda x: kinds[analyzer](x, low, high)
+    terms = docs.select(F.col(group), F.col(doc_id), F.explode(grams(tokens)).alias("token")).groupBy(group, doc_id, "token").agg(F.count("*").alias("tf"))
     size = docs.groupBy(group).agg(F.count_distinct(doc_id).alias("_n"))
     df = terms.groupBy(group, "token").agg(F.count("*").alias("_df")).join(size, group)
     df = df.where((F.col("_n") == 1) | ((F.col("_df") >= min_df) & (F.col("_df") <= max_df * F.col("_n"))))
@@ -266,7 +284,7 @@ def search(docs: DataFrame, group: str, doc_id: str, tokens: Column, queries: Da
     weighted = lambda t, keys: t.join(idf, [group, "token"]).withColumn("w", F.col("tf") * F.col("idf")).select(*keys, "token", "w")
     length = lambda w, keys, name: w.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
     d = weighted(terms, [group, doc_id])
-    q = weighted(queries.select(F.col(group), F.explode(expand(query_tokens, low, high)).alias("token")).groupBy(group, "token").agg(F.count("*").alias("tf")), [group])
+    q = weighted(queries.select(F.col(group), F.explode(grams(query_tokens)).alias("token")).groupBy(group, "token").agg(F.count("*").alias("tf")), [group])
     dots = d.join(q.withColumnRenamed("w", "_q"), [group, "token"]).groupBy(group, doc_id).agg(F.sum(F.col("w") * F.col("_q")).alias("dot"))
     scores = dots.join(length(d, [group, doc_id], "_d"), [group, doc_id]).join(length(q, [group], "_l"), group)
     return best(scores.select(group, doc_id, (F.col("dot") / (F.col("_d") * F.col("_l"))).alias("score")), group, doc_id, n, above=above)

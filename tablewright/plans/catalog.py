@@ -1205,3 +1205,17 @@ def pieces_to_cells(spark, sf_dir):
     asked = F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise(F.col("c_name"))
     answers = c.select(F.col("c_custkey").alias("question_id"), F.col("c_custkey").alias("table_id"), wordpiece.pieces(F.lower(asked), vocabulary).alias("pieces"))
     return wordpiece.answer_texts(answers, cells, vocabulary)
+
+
+@named("""WITH o AS (SELECT o_orderstatus AS status, o_orderkey AS k, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
+  SELECT CASE WHEN grouping(status) = 1 THEN 'ALL' ELSE status END AS name, count(*) AS n, round(avg(CASE k % 4 WHEN 0 THEN 1.0 WHEN 1 THEN CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END WHEN 2 THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM o GROUP BY GROUPING SETS ((status), ())""")
+def same_denotations(spark, sf_dir):
+    """Sums of an order's lines against answers in other forms: grouped digits, all lines, other orders of the same values, nothing."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"))
+    q = F.col("l_quantity").cast("string")
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_quantity").alias("t"), F.collect_list(q).alias("up"), F.sort_array(F.collect_list(F.concat(q, F.lit("0"))), asc=False).alias("down"))
+    kind, total = F.col("k") % 4, F.array(F.col("t").cast("string"))
+    gold = F.when(kind.isin(0, 1, 3), total).otherwise(F.col("up"))
+    pred = F.when(kind == 0, F.array(F.format_number("t", 2))).when(kind == 1, F.col("up")).when(kind == 2, F.col("down")).otherwise(F.array().cast("array<string>"))
+    met = lines.join(o, "k").withColumn("right", evaluate.same_denotation(gold, pred))
+    return evaluate.grouped_report(met, "status", "ALL", {"n": F.count("*"), "accuracy": F.round(F.avg(F.col("right").cast("double")), 9)})

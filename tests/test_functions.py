@@ -106,3 +106,18 @@ def test_text_helpers(spark):
     assert one(spark, "the cat the catalog the cat", lambda c: text.replace_phrase(c, F.lit("the cat"), F.lit("a dog"))) == "a dog the catalog a dog"
     assert one(spark, "It isn't 3.5, (really) Bob's.", text.split_marks) == ["It", "is", "n't", "3.5", ",", "(", "really", ")", "Bob", "'s", "."]
     assert one(spark, "One. Two? Three", text.sentences) == ["One.", "Two?", "Three"]
+
+
+def test_addresses_and_character_references(spark):
+    from urllib.parse import unquote
+
+    texts = ["a%20b", "a+b", "%E6%9D%B1", "100%", "%zz%41", "", "plain", "%2B%25"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(text.unquote("t")).collect()] == [*map(unquote, texts), None]
+    bad = spark.createDataFrame([("%ff",)], "t string")
+    assert bad.select(text.unquote("t")).first()[0] == "%ff"
+    refs = spark.createDataFrame([("a &amp; b &lt;i&gt; &#233;&nbsp;&nope;",), (None,)], "t string")
+    assert [r[0] for r in refs.select(text.unescape_html("t")).collect()] == ["a & b <i> \u00e9\u00a0&nope;", None]
+    urls = ["https://x.org/wiki/New_York#top", "https://x.org/w/index.php?title=S%C3%A3o_Paulo&oldid=1", "https://x.org/"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string")
+    assert [r[0] for r in pages.orderBy("i").select(text.page_title("u")).collect()] == ["New York", "S\u00e3o Paulo", ""]

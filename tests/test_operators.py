@@ -376,3 +376,28 @@ def test_synthesis_is_seeded(spark):
     assert 1400 < copies < 1600
     m = spark.createDataFrame([(list("abcdefghij" * 4), 1), ([], 2)], "t array<string>, k int").select(synth.masked_positions(F.col("t"), F.col("k")).alias("m")).collect()
     assert len(m[0]["m"]) == 6 and m[1]["m"] == []
+
+
+def plain_grams(text, low, high, inside):
+    text = " ".join(text.lower().split())
+    if not inside:
+        return [text[i : i + n] for n in range(low, high + 1) for i in range(len(text) - n + 1)]
+    out = []
+    for w in (f" {w} " for w in text.split()):
+        for n in range(low, high + 1):
+            out += [w[i : i + n] for i in range(max(1, len(w) - n + 1))]
+            if n >= len(w):
+                break
+    return out
+
+
+@pytest.mark.parametrize("low, high", [(1, 2), (2, 4), (5, 7)])
+def test_search_by_characters(spark, low, high):
+    texts = ["The  Cat", "a", "", "cats and dogs", "\u00c9t\u00e9 ab\n c", "abcdefgh"]
+    df = spark.createDataFrame([("g", i, t) for i, t in enumerate(texts)], "g string, i int, t string")
+    for inside in (False, True):
+        got = {r["i"]: r["grams"] for r in df.select("i", retrieval.char_grams("t", low, high, inside).alias("grams")).collect()}
+        assert {i: sorted(x) for i, x in got.items()} == {i: sorted(plain_grams(t, low, high, inside)) for i, t in enumerate(texts)}
+    asks = spark.createDataFrame([("g", "catz")], "g string, q string")
+    found = retrieval.search(df, "g", "i", F.col("t"), asks, F.col("q"), 2, 2, 3, analyzer="char_wb").orderBy("rank").collect()
+    assert {r["i"] for r in found} == {0, 3}
