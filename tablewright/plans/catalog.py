@@ -811,7 +811,7 @@ def structure_metrics(spark, sf_dir):
 
 
 @named("""WITH x AS (SELECT l_orderkey, o_orderstatus AS kind, list(DISTINCT l_linenumber) FILTER (l_returnflag = 'A') AS g, list(DISTINCT l_linenumber) FILTER (l_quantity > 25) AS s, bool_or(l_linestatus = 'F') AS predicted FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
-  c AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(avg(l_discount), 9) DESC, min(l_partkey)) AS k FROM lineitem GROUP BY 1, 2), b AS (SELECT l_orderkey, list(l_linenumber ORDER BY k) AS r FROM c GROUP BY 1),
+  c AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(avg(l_discount), 9) DESC, min(l_partkey), l_linenumber) AS k FROM lineitem GROUP BY 1, 2), b AS (SELECT l_orderkey, list(l_linenumber ORDER BY k) AS r FROM c GROUP BY 1),
   y AS (SELECT kind, coalesce(g, []) AS g, CASE WHEN predicted THEN coalesce(s, []) ELSE [] END AS s, predicted, r FROM x JOIN b USING (l_orderkey)), m AS (SELECT *, len(list_intersect(g, s)) AS hit FROM y)
   SELECT CASE WHEN grouping(kind) = 1 THEN 'all' ELSE kind END AS name, count(*) AS n, round(avg(CAST(hit > 0 AS DOUBLE)), 9) AS recall, round(avg(hit / len(s)) FILTER (len(s) > 0), 9) AS precision, round(avg(CAST(len(s) > 0 AS DOUBLE)), 9) AS non_empty,
   round(avg(len(s)), 9) AS answer_len, round(avg(CAST(predicted AS DOUBLE)), 9) AS coverage, round(avg(CAST(list_has_any(r[1:1], g) AS DOUBLE)), 9) AS recall_at_1, round(avg(CAST(list_has_any(r[1:3], g) AS DOUBLE)), 9) AS recall_at_3,
