@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shared import checkpoint
+
 
 #: Terms whose weights (some 40 bytes each) are broadcast; a larger vocabulary meets the documents' terms by a shuffle.
 BROADCAST_TERMS = 1_000_000
@@ -54,8 +56,6 @@ def vocabulary(docs: DataFrame, tokens: Column, limit: int = 500_000) -> DataFra
 
     import pyarrow as pa
 
-    from ..shared import checkpoint
-
     def rows(df, cf):
         return pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64()), pa.array([cf[w] for w in df], pa.int64())], names=["token", "df", "cf"])
 
@@ -94,8 +94,8 @@ def postings(docs: DataFrame, doc_id: str, tokens: Column, min_rank: int = 0, dr
     tokens get weights.
     """
     pairs = term_counts(docs, doc_id, tokens)
-    if not min_rank:
-        pairs = _only(pairs, asked)  # other terms go no further than their task
+    if not min_rank and asked is not None:
+        pairs = checkpoint(_only(pairs, asked))  # what is asked for, read once; other terms go no further than their task
     frequency = pairs.groupBy("token").agg(F.sum("tf").alias("cf"))
     if min_rank:
         top = frequency.orderBy(F.desc("cf"), "token").limit(min_rank).select("token")
