@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,9 @@ from .text import EMPTY, format_text
 #: Marks of the vocabulary.
 UNKNOWN, EMPTY_PIECE, UNUSED, INNER = "[UNK]", "[EMPTY]", "[unused0]", "##"
 
+#: Bytes of texts cut at once: a piece may be a character, and takes some hundred bytes until it is an Arrow value.
+CHUNK_BYTES = 1 << 18
+
 
 def read_vocabulary(spark: SparkSession, path: str) -> list[str]:
     """Pieces by id, one for each line; the first unused one becomes the piece of empty texts.
@@ -37,20 +42,47 @@ def _tokenizer(vocabulary: tuple[str, ...], longest: int):
     return out
 
 
+def _encoded(texts: pa.Array, words: tuple[str, ...], longest: int) -> Iterator[list]:
+    """The texts' encodings in order, null ones None, in lists of some ``CHUNK_BYTES`` of text, whatever the batch holds."""
+    bound, start, held = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).tolist(), 0, 0
+    for end, n in enumerate([*bound, CHUNK_BYTES]):
+        if start < end and (held + n > CHUNK_BYTES or end == len(bound)):
+            part = texts.slice(start, end - start).to_pylist()
+            found = _tokenizer(words, longest).encode_batch(["" if t is None else t for t in part], add_special_tokens=False)
+            yield [None if t is None else e for t, e in zip(part, found)]
+            start, held = end, 0
+        held += n
+
+
+def _joined(parts: Iterator[pa.Array], kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays([pa.array([], kind), *parts])
+
+
 def pieces(x: str | Column, vocabulary: list[str], longest: int = 200) -> Column:
     """Array of pieces. Words of more than ``longest`` characters or without a cover are ``[UNK]``; texts that format
     as empty are ``[EMPTY]``; null stays null."""
-    words = tuple(vocabulary)
+    words, kind = tuple(vocabulary), pa.list_(pa.string())
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cut(texts: pd.Series) -> pd.Series:
-        found = _tokenizer(words, longest).encode_batch(["" if t is None else t for t in texts], add_special_tokens=False)
-        return pd.Series([None if t is None else e.tokens for t, e in zip(texts, found)], dtype=object)
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def cut(texts: pa.Array) -> pa.Array:
+        return _joined((pa.array([None if e is None else e.tokens for e in part], kind) for part in _encoded(texts, words, longest)), kind)
 
     col = F.col(x) if isinstance(x, str) else x
     return F.when(format_text(col) == EMPTY, F.array(F.lit(EMPTY_PIECE))).otherwise(cut(col))
 
 
+def piece_counts(x: str | Column, vocabulary: list[str], longest: int = 200) -> Column:
+    """How many :func:`pieces` a text has, without making them columns."""
+    words = tuple(vocabulary)
+
+    @F.arrow_udf(T.LongType())
+    def count(texts: pa.Array) -> pa.Array:
+        return _joined((pa.array([None if e is None else len(e) for e in part], pa.int64()) for part in _encoded(texts, words, longest)), pa.int64())
+
+    col = F.col(x) if isinstance(x, str) else x
+    return F.when(format_text(col) == EMPTY, F.lit(1).cast("long")).otherwise(count(col))
+
+
 def is_inner(piece: Column) -> Column:
     return F.startswith(piece, F.lit(INNER))
 
@@ -72,11 +104,12 @@ def aligned_pieces(x: str | Column, vocabulary: list[str], longest: int = 200) -
     words = tuple(vocabulary)
     kind = T.ArrayType(T.StructType().add("piece", T.StringType()).add("begin", T.IntegerType()).add("end", T.IntegerType()))
 
-    @F.pandas_udf(kind)
-    def cut(texts: pd.Series) -> pd.Series:
-        found = _tokenizer(words, longest).encode_batch(["" if t is None else t for t in texts], add_special_tokens=False)
-        rows = [None if t is None else [{"piece": p, "begin": b, "end": e} for p, (b, e) in zip(f.tokens, f.offsets)] for t, f in zip(texts, found)]
-        return pd.Series(rows, dtype=object)
+    arrow = pa.list_(pa.struct([("piece", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
+
+    @F.arrow_udf(kind)
+    def cut(texts: pa.Array) -> pa.Array:
+        one = lambda e: None if e is None else [{"piece": p, "begin": b, "end": c} for p, (b, c) in zip(e.tokens, e.offsets)]
+        return _joined((pa.array([one(e) for e in part], arrow) for part in _encoded(texts, words, longest)), arrow)
 
     return cut(F.col(x) if isinstance(x, str) else x)
 

@@ -89,6 +89,19 @@ def test_wordpiece(spark, tmp_path):
     assert got[103][0] == ["abc", ",", "ab"] and got[104][0] == ["[UNK]"] and len(got[105][0]) == 200
 
 
+def test_texts_are_cut_in_parts_of_bounded_size(spark, monkeypatch):
+    """However long a batch is, a call to the tokenizer has some ``CHUNK_BYTES`` of text, or one text."""
+    import pyarrow as pa
+
+    texts = pa.array(["ab c", None, "", "x" * 30, "é" * 7, "a", "b"])
+    monkeypatch.setattr(wordpiece, "CHUNK_BYTES", 10)
+    parts = list(wordpiece._encoded(texts, ("a", "b", "c", "##b"), 200))
+    assert [len(p) for p in parts] == [3, 1, 1, 2] and [None if e is None else e.tokens for e in parts[0]] == [["a", "##b", "c"], None, []]
+    assert list(wordpiece._encoded(texts.slice(0, 0), ("a",), 200)) == []
+    df = spark.createDataFrame([("ab c",), (None,), ("",), ("n/a",)], "t string")
+    assert [r[0] for r in df.select(wordpiece.piece_counts("t", ["a", "c", "##b"])).collect()] == [3, None, 1, 1]
+
+
 BACK = ["the", "new", "york", "yor", "##k", "caf", "##e", "3", "5", ".", "-", "ber", "##lin", "o", "##slo", "東", "京", "(", ")", "a", "##b", "##c", "s", "##tra", "##ss", "##e"]
 TEXTS = ["The New-York CAFÉ", "3.5 (Berlin)", "東京 Oslo", "Café", "Straße  x", "Abc\u200babc", "", None, "ÉÉ unknown cafe", "a\tb\u00a0abc 3-5"]
 
