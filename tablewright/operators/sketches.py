@@ -64,4 +64,11 @@ def overlap(days: DataFrame, key: str, left, right) -> DataFrame:
     side = lambda v, n: days.where(F.col(key) == v).agg(F.theta_union_agg("item_set", THETA_BITS).alias(n))
     met = side(left, "_l").crossJoin(side(right, "_r"))  # a row with a row
     count = lambda c: F.round(F.theta_sketch_estimate(c)).cast("long")
-    return met.select(count(F.theta_union("_l", "_r")).alias("either"), count(F.theta_intersection("_l", "_r")).alias("both"), count(F.theta_difference("_l", "_r")).alias("only_left"))
+    return met.select(count(F.theta_union("_l", "_r", THETA_BITS)).alias("either"), count(F.theta_intersection("_l", "_r")).alias("both"), count(F.theta_difference("_l", "_r")).alias("only_left"))
+
+
+def exact_overlap(df: DataFrame, key: str, item: str, left, right) -> DataFrame:
+    """The row of :func:`overlap`, exact for sets of any size: one shuffle of a row for each item and task; null is an item of its own."""
+    side = lambda v: F.coalesce(F.bool_or(F.col(key) == v), F.lit(False))
+    met = df.where(F.col(key).isin(left, right)).groupBy(item).agg(side(left).alias("_l"), side(right).alias("_r"))
+    return met.agg(F.count("*").alias("either"), F.count_if(F.col("_l") & F.col("_r")).alias("both"), F.count_if(F.col("_l") & ~F.col("_r")).alias("only_left"))

@@ -85,6 +85,18 @@ def test_sketches_keep_their_errors_when_merged(spark):
     assert none.count() == 0
 
 
+def test_overlaps_of_large_sets_are_exact(spark):
+    """Past the sketches' 2 ** 14 items, and with a null item; a union of sketches keeps their size."""
+    df = spark.range(90_000).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("k"), (F.col("id") % 50_000).alias("item"))
+    df = df.union(spark.createDataFrame([("a", None), (None, 1)], "k string, item long"))
+    sides = {k: {r["item"] for r in df.where(F.col("k") == k).select("item").distinct().collect()} for k in "ab"}
+    want = (len(sides["a"] | sides["b"]), len(sides["a"] & sides["b"]), len(sides["a"] - sides["b"]))
+    assert tuple(sketches.exact_overlap(df, "k", "item", "a", "b").first()) == want
+    assert tuple(sketches.exact_overlap(df.limit(0), "k", "item", "a", "b").first()) == (0, 0, 0)
+    days = sketches.by_day(df.where("item < 9000").selectExpr("date'2024-01-01' as at", "k", "item", "1.0 as v"), "at", ["k"], "item", "v")
+    assert sketches.overlap(days, "k", "a", "b").first()["either"] == 9_000
+
+
 def test_cube_tells_nulls_from_totals(spark):
     df = spark.createDataFrame([("a", None, 1), ("a", "x", 2), (None, "x", 4)], "p string, q string, v int")
     got = {(r["p"], r["q"], r["level"]): r["v"] for r in sketches.cubed(df, ["p", "q"], {"v": F.sum("v")}).collect()}
