@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -175,6 +178,15 @@ def _laid_out(rows: list[list[tuple]]) -> tuple[str, list[list[tuple]]] | None:
     return "horizontal", rows
 
 
+def _byte_places(text: str) -> Callable[[int], int]:
+    """Where a place of the text stands in its UTF-8 bytes; the text is read once, whatever is asked."""
+    if text.isascii():
+        return lambda i: i
+    wide = [(i, len(c.encode("utf-8", "surrogatepass")) - 1) for i, c in enumerate(text) if c > "\x7f"]
+    places, extra = [i for i, _ in wide], [0, *itertools.accumulate(n for _, n in wide)]
+    return lambda i: i + extra[bisect.bisect_left(places, i)]
+
+
 def html_tables(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """Rectangular tables of HTML pages as long cells: ``(id, table_index, layout, row_index, column_index, text, begin, end)``.
 
@@ -184,15 +196,20 @@ def html_tables(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     kind = dict(pages.dtypes)[id_col]
 
     def cut(batches):
+        frame = lambda out: pd.DataFrame(out, columns=[id_col, "table_index", "layout", "row_index", "column_index", "text", "begin", "end"])
         for pdf in batches:
-            out = []
+            out: list[tuple] = []
             for key, html in zip(pdf.iloc[:, 0], pdf.iloc[:, 1]):
                 html = html or ""
-                place = (lambda i: i) if html.isascii() else (lambda i, html=html: len(html[:i].encode()))
+                place = _byte_places(html)
                 for t, rows in enumerate(_Tables(html).done):
                     if found := _laid_out(rows):
-                        out += [(key, t, found[0], r, c, x, place(a), place(b)) for r, row in enumerate(found[1]) for c, (_, x, a, b) in enumerate(row)]
-            yield pd.DataFrame(out, columns=[id_col, "table_index", "layout", "row_index", "column_index", "text", "begin", "end"])
+                        for r, row in enumerate(found[1]):
+                            out += [(key, t, found[0], r, c, x, place(a), place(b)) for c, (_, x, a, b) in enumerate(row)]
+                            if len(out) >= 20_000:  # a page may have any number of cells
+                                yield frame(out)
+                                out = []
+            yield frame(out)
 
     return pages.select(id_col, html_col).mapInPandas(cut, f"`{id_col}` {kind}, table_index int, layout string, row_index int, column_index int, text string, begin long, end long")
 

@@ -43,6 +43,16 @@ def test_html_tables(spark):
     assert got == [(0, 0, "A"), (0, 1, "B"), (1, 0, "1"), (1, 1, "&2")]
 
 
+def test_byte_places_of_long_pages(spark):
+    """A page of many cells beside wide characters: places come from one reading, rows in parts."""
+    text = "aé東𝄞" * 50 + "z"
+    place = readers._byte_places(text)
+    assert [place(i) for i in range(len(text) + 1)] == [len(text[:i].encode()) for i in range(len(text) + 1)] and readers._byte_places("ab")(2) == 2
+    html = "<p>é</p><table>" + "".join(f"<tr><td>é{i}</td><td>x</td></tr>" for i in range(15_000)) + "</table>"
+    got = readers.html_tables(spark.createDataFrame([(1, html), (2, "<table><tr><td>y</td></tr></table>")], "id int, html string"), "id", "html").collect()
+    assert len(got) == 30_001 and all(html.encode()[r["begin"] : r["end"]].decode() == r["text"] for r in got[::997] if r["id"] == 1)
+
+
 def test_hits_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("q", "b", 1, 1.0), ("q", "a", 0, 2.0)], "query_id string, table_id string, rank int, score double")
     sinks.hits(df, str(tmp_path / "hits"))
