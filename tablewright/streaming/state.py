@@ -9,11 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+#: No time of a timer, and no id.
+NO_TIMER = -(1 << 62)
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -64,22 +68,45 @@ def _micros(ts: pd.Series) -> pd.Series:
     return ts.astype("datetime64[us]").astype("int64")
 
 
+def _set_timer(handle, known: int, wanted: int) -> None:
+    """A key has one timer, the first that it waits for; ``NO_TIMER`` is none."""
+    if known != wanted:
+        if known != NO_TIMER:
+            handle.deleteTimer(known)
+        if wanted != NO_TIMER:
+            handle.registerTimer(wanted)
+
+
+def _packed(rows: list[tuple], kinds: str) -> bytes:
+    return np.array(rows, dtype=kinds).tobytes()
+
+
+def _unpacked(held, kinds: str) -> list[tuple]:
+    return np.frombuffer(bytes(held), dtype=kinds).tolist()
+
+
 class Sessions(StatefulProcessor):
-    """A key's rows, cut where more than ``gap`` microseconds pass without one; a timer closes a session for good."""
+    """A key's rows, cut where more than ``gap`` microseconds pass without one; a timer closes sessions for good.
+
+    A key's open sessions are one value and have one timer: when it is due, all that the watermark has passed are closed.
+    """
+
+    KINDS = "i8,i8,i8,f8"
 
     def __init__(self, gap: int, key: str):
         self.gap, self.names = gap, [key, "begin", "finish", "n", "total"]
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "begin long, finish long, n long, total double")
+        self.open = handle.getValueState("open", "timer long, spans binary")
 
     def due(self, finish: int) -> int:
         """The first millisecond at which no row can lengthen the session any more."""
         return (finish + self.gap) // 1000 + 1
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(s) for s in self.open.get()]
+        state = self.open.get()
+        known, held = (state[0], _unpacked(state[1], self.KINDS)) if state else (NO_TIMER, [])
         for pdf in rows:
             held += [(t, t, 1, 0.0 if pd.isna(v) else float(v)) for t, v in zip(_micros(pdf.iloc[:, 1]).tolist(), pdf.iloc[:, 2])]
         merged: list[tuple] = []
@@ -89,21 +116,19 @@ class Sessions(StatefulProcessor):
                 merged[-1] = (b, max(f, finish), m + n, t + total)
             else:
                 merged.append((begin, finish, n, total))
-        wanted = {self.due(s[1]) for s in merged}
-        known = set(self.handle.listTimers())
-        for t in known - wanted:
-            self.handle.deleteTimer(t)
-        for t in wanted - known:
-            self.handle.registerTimer(t)
-        self.open.put(merged)
+        first = self.due(merged[0][1]) if merged else NO_TIMER  # sessions do not overlap, so the first ends first
+        _set_timer(self.handle, known, first)
+        self.open.update((first, _packed(merged, self.KINDS)))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        held = [tuple(s) for s in self.open.get()]
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        state = self.open.get()
+        held = _unpacked(state[1], self.KINDS) if state else []
         closed, left = [s for s in held if self.due(s[1]) <= now], [s for s in held if self.due(s[1]) > now]
         if left:
-            self.open.put(left)
+            _set_timer(self.handle, NO_TIMER, self.due(left[0][1]))
+            self.open.update((self.due(left[0][1]), _packed(left, self.KINDS)))
         else:
             self.open.clear()
         if closed:
@@ -127,44 +152,58 @@ def sessions(stream: DataFrame, key: str, at: str, value: str, gap_seconds: int,
 
 
 class AsOf(StatefulProcessor):
-    """A key's open questions and the answers that may still be the last before one; a timer answers a question."""
+    """A key's open questions and the answers that may still be the last before one; a timer answers questions.
+
+    They are one value with one timer: when it is due, all questions that the watermark has passed are answered.
+    """
+
+    KINDS = "i8,i8"
 
     def __init__(self, names: list[str]):
         self.names = names
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.asked = handle.getListState("asked", "at long, id long")
-        self.seen = handle.getListState("seen", "at long, id long")
+        self.open = handle.getValueState("open", "timer long, asked binary, seen binary")
+
+    def held(self) -> tuple[int, list[tuple], list[tuple]]:
+        state = self.open.get()
+        return (state[0], _unpacked(state[1], self.KINDS), _unpacked(state[2], self.KINDS)) if state else (NO_TIMER, [], [])
+
+    def keep(self, known: int, asked: list[tuple], seen: list[tuple]) -> None:
+        # by then every answer that is not later has come
+        first = min(asked)[0] // 1000 + 1 if asked else NO_TIMER
+        _set_timer(self.handle, known, first)
+        self.open.update((first, _packed(asked, self.KINDS), _packed(seen, self.KINDS))) if asked or seen else self.open.clear()
+
+    @staticmethod
+    def needed(seen: list[tuple], now: int) -> list[tuple]:
+        """Of sorted answers older than the last before the watermark can be nobody's any more."""
+        old = sum(t // 1000 < now for t, _ in seen)
+        return seen[max(old - 1, 0) :]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known, asked, seen = self.held()
         for pdf in rows:
             at, ids, asks = (pdf.iloc[:, i] for i in (1, 2, 3))  # by place: a plan may drop an alias
-            both = list(zip(_micros(at).tolist(), ids.tolist(), asks.tolist()))
-            asked, seen = [(t, i) for t, i, question in both if question], [(t, i) for t, i, question in both if not question]
-            for t in {t // 1000 + 1 for t, _ in asked}:
-                self.handle.registerTimer(t)  # by then every answer that is not later has come
-            if asked:
-                self.asked.appendList(asked)
-            if seen:
-                self.seen.appendList(seen)
+            for t, i, question in zip(_micros(at).tolist(), ids.tolist(), asks.tolist()):
+                (asked if question else seen).append((t, NO_TIMER if pd.isna(i) else int(i)))
+        self.keep(known, asked, seen if asked else self.needed(sorted(seen), timerValues.getCurrentWatermarkInMs()))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        asked, seen = sorted(map(tuple, self.asked.get())), sorted(map(tuple, self.seen.get()))
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        _, asked, seen = self.held()
+        asked, seen = sorted(asked), sorted(seen)
         ready, left = [q for q in asked if q[0] // 1000 < now], [q for q in asked if q[0] // 1000 >= now]
         out, last, at = [], None, 0
         for t, i in ready:
             while at < len(seen) and seen[at][0] <= t:
                 last, at = seen[at][1], at + 1
-            out.append((i, last))
-        # older answers than the last before the watermark can be nobody's any more
-        old = [k for k, (t, _) in enumerate(seen) if t // 1000 < now]
-        self.asked.put(left) if left else self.asked.clear()
-        self.seen.put(seen[old[-1] :] if old else seen) if seen else self.seen.clear()
+            out.append(tuple(None if x == NO_TIMER else x for x in (i, last)))
+        self.keep(NO_TIMER, left, self.needed(seen, now))
         if out:
-            yield pd.DataFrame(out, columns=self.names).astype({self.names[1]: "Int64"})
+            yield pd.DataFrame(out, columns=self.names).astype("Int64")
 
     def close(self) -> None:
         pass

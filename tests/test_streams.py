@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +39,53 @@ def test_sessions_in_steps(spark, tmp_path, events, steps):
     assert run["late"] == 0 and run["rows"] == 401 and run["batches"] >= steps + 1
 
 
+def test_a_key_has_one_timer(spark, tmp_path):
+    """However many sessions and questions a key has open: one timer, due with the first, answers all that are."""
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.value = [], None
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+        def registerTimer(self, t):
+            self.timers.append(t)
+
+        def deleteTimer(self, t):
+            self.timers.remove(t)
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+        def getExpiryTimeInMs(self):
+            return self.timers.pop(0)
+
+    day = [DAY + timedelta(hours=h) for h in (5, 1, 3, 9)]
+    s, h = state.Sessions(60_000_000, "user"), Handle()
+    s.init(h)
+    list(s.handleInputRows((1,), iter([pd.DataFrame({"user": 1, "ts": day, "v": 1.0})]), h))
+    assert len(h.timers) == 1
+    h.now = int(pd.Timestamp(DAY + timedelta(hours=6), tz="UTC").timestamp() * 1000)
+    assert len(next(s.handleExpiredTimer((1,), h, h))) == 3 and len(h.timers) == 1
+    a, h = state.AsOf(["id", "last"]), Handle()
+    a.init(h)
+    h.now = 0
+    list(a.handleInputRows((1,), iter([pd.DataFrame({"k": 1, "ts": day, "id": [1, 2, 3, 4], "asks": [True, False, True, True]})]), h))
+    assert len(h.timers) == 1
+    h.now = int(pd.Timestamp(DAY + timedelta(hours=6), tz="UTC").timestamp() * 1000)
+    assert next(a.handleExpiredTimer((1,), h, h)).values.tolist() == [[3, 2], [1, 2]] and len(h.timers) == 1
+
+
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     at = lambda m: DAY + timedelta(minutes=m)
     batches = [[(1, at(0), 1.0), (1, at(200), 1.0)], [(1, at(195), 1.0), (2, at(300), 1.0)], [(1, at(1), 1.0), (2, at(304), 1.0)]]
