@@ -242,6 +242,20 @@ def test_all_interpretations_of_a_number(spark, place, target, want):
     assert {(r["aggregation"], r["column_index"], tuple(r["rows"])) for r in match.interpretations(cells, question).collect()} == want
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 20, 16])
+def test_texts_sought_all_at_once_equal_brute_force(spark, part_bytes):
+    import random
+
+    rng = random.Random(9)
+    docs = [(i, "".join(rng.choice("abé ") for _ in range(rng.randint(0, 300)))) for i in range(80)] + [(None, "ab"), (500, None), (-1, "é" * 200), (501, "")]
+    cut = [d[a : a + rng.choice([1, 2, 3, 5, 17, 64, 70, 150])] for d in (docs[rng.randrange(80)][1] for _ in range(40)) if d for a in [rng.randrange(len(d))]]
+    asks = [(i % 37, t) for i, t in enumerate([*cut, *cut[:5], "", None, "é" * 130, "zzz", "b" * 90])]
+    got = match.containing(spark.createDataFrame(docs, "d long, t string").repartition(3), "d", "t", spark.createDataFrame(asks, "i int, s string"), "i", "s", part_bytes)
+    met = [(i, d) for i, s in asks for d, t in docs if s is not None and t is not None and s in t]
+    want = {(i, sum(j == i for j, _ in met), min((d for j, d in met if j == i and d is not None), default=None)) for i, _ in met}
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 30
+
+
 def test_pairs_by_prefixes_equal_brute_force(spark):
     import random
 
