@@ -224,6 +224,21 @@ def test_counts_of_any_size_are_explained(spark):
     assert not match.count_subsets(df.withColumn("t", F.lit(2.5)), ["g"], "r", F.col("t")).collect()
 
 
+def test_shuffles_of_large_groups_are_made_in_many_tasks(spark, monkeypatch):
+    """Thirty shuffles of 300 places: dealt by their number of places, and the same that the definition chooses."""
+    monkeypatch.setattr(match, "DRAWN", 1_000)
+    monkeypatch.setattr(match, "SENT", 400)
+    df = spark.createDataFrame([("a", i, 200) for i in range(300)] + [("b", i, 2) for i in range(3)], "g string, r int, t int")
+    out = match.count_subsets(df, ["g"], "r", F.col("t"), draws=30, seed=4, clip=12)
+    head = lambda x: hashlib.md5(x.encode()).hexdigest()[:12]
+    want = set()
+    for g, n, t in (("a", 300, 200), ("b", 3, 2)):
+        sets = {tuple(sorted(sorted(range(n), key=lambda i: (head(f"4|{g}|{d}|{i}"), i))[:t])) for d in range(1, 31)}
+        want |= {(g, r, "COUNT", float(t)) for r in sorted(sets, key=lambda r: head("4|COUNT|" + ",".join(map(str, r))))[:12]}
+    assert {(r["g"], tuple(r["rows"]), r["aggregation"], r["result"]) for r in out.collect()} == want
+    assert out.rdd.getNumPartitions() >= 9
+
+
 def test_large_groups_are_sampled_without_their_subsets_of_values(spark):
     """Of 5,000 rows only the sampled ones meet masks: at most ``draws`` picks of ten."""
     df = spark.range(5_000).select(F.lit("g").alias("g"), F.col("id").alias("r"), F.lit(1.0).alias("v"))
