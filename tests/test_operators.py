@@ -298,6 +298,18 @@ def test_pairs_of_many_copies_are_made_where_they_are_returned(spark, monkeypatc
     assert "array_intersect" not in plan and "Generate" in plan  # sets are compared before, by class
 
 
+def test_documents_are_counted_a_bounded_number_of_tokens_at_a_time():
+    """No slice holds more tokens than stated, unless one document does; rows keep their order and none is lost."""
+    import pyarrow as pa
+
+    lists = [["a"] * n if n is not None else None for n in (3, 0, None, 4, 9, 1, 1, 1, 30, 0)]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(lists, pa.list_(pa.string()))], names=["id", "_t"])
+    for batch, ids in ((whole, list(range(10))), (whole.slice(3, 6), list(range(3, 9)))):
+        parts = [x for x in retrieval._token_slices(batch, 8)]
+        assert [i for x in parts for i in x.column("id").to_pylist()] == ids and len(parts) > 2
+        assert all(x.num_rows == 1 or sum(len(t or ()) for t in x.column("_t").to_pylist()) <= 8 for x in parts)
+
+
 def test_neighbours_of_sharded_points(spark):
     import random
 
