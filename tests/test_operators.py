@@ -325,6 +325,22 @@ def test_neighbours_of_sharded_points(spark):
     assert got == want
 
 
+def test_neighbours_hold_few_scores_at_a_time(spark, monkeypatch):
+    """Blocks of one or two queries against a shard's points, in several batches, find what all scores at once do."""
+    monkeypatch.setattr(retrieval, "SCORES", 40)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(70, 4)).round(2)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "i long, v array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = [tuple(r) for r in retrieval.neighbours(df.withColumnRenamed("i", "q"), "q", df, "i", "v", 4, shard_rows=30).select("q", "rank", "i", "score").orderBy("q", "rank").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    scores = (v @ v.T).round(6)
+    want = [(q, r + 1, i) for q in range(70) for r, i in enumerate(sorted((i for i in range(70) if i != q), key=lambda i: (-scores[q, i], i))[:4])]
+    assert [g[:3] for g in got] == want
+
+
 def test_neighbours_leave_unusable_vectors_out(spark):
     """38 good points and 40 with a null component, vectors of two lengths, and ones that are empty or not finite."""
     good = [(i, [float(i % 5), float(i % 7)]) for i in range(38)]
