@@ -473,3 +473,13 @@ def test_search_by_characters(spark, low, high):
     asks = spark.createDataFrame([("g", "catz")], "g string, q string")
     found = retrieval.search(df, "g", "i", F.col("t"), asks, F.col("q"), 2, 2, 3, analyzer="char_wb").orderBy("rank").collect()
     assert {r["i"] for r in found} == {0, 3}
+
+
+def test_tfidf_index_partitions_follow_the_rows(spark):
+    docs = spark.createDataFrame([(i, [f"w{i % 7}", f"w{i % 11}", "x"]) for i in range(200)], "id long, t array<string>")
+    asked = spark.createDataFrame([("w1",), ("x",)], "token string")
+    whole = retrieval.tfidf_index(docs, "id", F.col("t"), asked=asked)[0]
+    dealt = retrieval.tfidf_index(docs, "id", F.col("t"), asked=asked, task_rows=50)[0]
+    assert dealt.rdd.getNumPartitions() >= 11  # some 570 terms
+    rows = lambda df: sorted((r["token"], r["id"], round(r["weight"], 9)) for r in df.collect())
+    assert rows(dealt) == rows(whole) and {r[0] for r in rows(whole)} == {"w1", "x"}
