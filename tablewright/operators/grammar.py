@@ -12,7 +12,7 @@ import json
 import random
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.numbers import read_float
@@ -23,6 +23,7 @@ SELECTS = {
     "SUM": "the total {}", "RANGE": "the range of {}", "AVERAGE": "the average {}", "COUNT": "the count",
 }
 COMPARES = {"EQUALS": "is", "LESSER": "is less than", "GREATER": "is greater than"}
+_COMPARES, _COLUMN_SELECTS = list(COMPARES), [s for s in SELECTS if s != "COUNT"]
 
 
 @dataclasses.dataclass(frozen=True)
@@ -80,51 +81,55 @@ class Grid:
     """A table by columns: texts, and numbers with NaN where a text is none."""
 
     def __init__(self, texts: dict[str, list[str]]):
-        self.texts = {name: np.array(column, dtype=object) for name, column in texts.items()}
-        self.numbers = {name: np.array([_number(x) for x in column], dtype=float) for name, column in texts.items()}
+        self.texts = {name: list(column) for name, column in texts.items()}
+        self.numbers = {name: [_number(x) for x in column] for name, column in texts.items()}
         self.rows = len(next(iter(texts.values()), []))
 
     def shuffled(self, column: str, order: list[int]) -> Grid:
         out = Grid.__new__(Grid)
         out.texts, out.numbers, out.rows = dict(self.texts), dict(self.numbers), self.rows
-        out.texts[column], out.numbers[column] = self.texts[column][order], self.numbers[column][order]
+        texts, numbers = self.texts[column], self.numbers[column]
+        out.texts[column], out.numbers[column] = [texts[i] for i in order], [numbers[i] for i in order]
         return out
 
     def values(self, e: Expression) -> frozenset[str] | None:
         """The expression's values; None where it has none: no rows, one row to aggregate, texts where numbers are due."""
         if e.constant is not None:
             return frozenset(e.constant)
-        passed = np.ones(self.rows, dtype=bool)
+        at = range(self.rows)  # lists: tables are small, and an array's fixed costs are most of a draw's
         for f in e.filters:
             if f.compare == "EQUALS":
-                passed &= self.texts[f.column] == f.value
+                texts, value = self.texts[f.column], f.value
+                at = [i for i in at if texts[i] == value]
                 continue
             numbers, bound = self.numbers[f.column], _number(f.value)
-            if np.isnan(bound) or np.isnan(numbers[passed]).any():
+            if bound != bound or any(numbers[i] != numbers[i] for i in at):
                 return None
-            passed &= numbers < bound if f.compare == "LESSER" else numbers > bound
-        at = np.flatnonzero(passed)
-        if not len(at):
+            at = [i for i in at if numbers[i] < bound] if f.compare == "LESSER" else [i for i in at if numbers[i] > bound]
+        if not at:
             return None
         if e.select == "COUNT":
             return frozenset([str(len(at))])
-        texts, numbers = self.texts[e.column][at], self.numbers[e.column][at]
+        texts = self.texts[e.column]
         if e.select == "NONE":
-            return frozenset(texts)
+            return frozenset([texts[i] for i in at])
         if len(at) < 2:
             return None
         if e.select in ("FIRST", "LAST"):
-            return frozenset([texts[0 if e.select == "FIRST" else -1]])
-        if np.isnan(numbers).any():
+            return frozenset([texts[at[0 if e.select == "FIRST" else -1]]])
+        numbers = self.numbers[e.column]
+        if any(numbers[i] != numbers[i] for i in at):
             return None
         if e.select in ("LOWEST", "GREATEST"):
-            return frozenset([texts[np.argmin(numbers) if e.select == "LOWEST" else np.argmax(numbers)]])
+            return frozenset([texts[(min if e.select == "LOWEST" else max)(at, key=numbers.__getitem__)]])
+        numbers = np.array([numbers[i] for i in at])
         return frozenset([shown({"SUM": numbers.sum, "RANGE": lambda: np.ptp(numbers), "AVERAGE": numbers.mean}[e.select]())])
 
     def holds(self, c: Condition) -> bool | None:
         """Whether the condition is true; None where a side has no values or they do not compare."""
-        left, right = self.values(c.left), self.values(c.right)
-        return None if left is None or right is None else compared(left, c.compare, right)
+        left = self.values(c.left)
+        right = None if left is None else self.values(c.right)
+        return None if right is None else compared(left, c.compare, right)
 
 
 def compared(left: frozenset[str], compare: str, right: frozenset[str]) -> bool | None:
@@ -132,7 +137,7 @@ def compared(left: frozenset[str], compare: str, right: frozenset[str]) -> bool
     if compare == "EQUALS":
         return left == right
     a, b = [_number(x) for x in left], [_number(x) for x in right]
-    if not a or not b or np.isnan(a + b).any():
+    if not a or not b or any(x != x for x in a) or any(x != x for x in b):
         return None
     return max(a) < min(b) if compare == "LESSER" else min(a) > max(b)
 
@@ -143,26 +148,54 @@ def _number(text: str) -> float:
     return float("nan") if found is None else found
 
 
+def _below(rng: random.Random, n: int) -> int:
+    bits = n.bit_length()
+    found = rng.getrandbits(bits)
+    while found >= n:
+        found = rng.getrandbits(bits)
+    return found
+
+
+def _any(rng: random.Random, items: list):
+    """What ``rng.choice`` draws, without its checks."""
+    return items[_below(rng, len(items))]
+
+
+def _order(rng: random.Random, items) -> list:
+    """What ``rng.sample`` of all items draws, without its checks."""
+    pool, out, bits = list(items), [], rng.getrandbits
+    for left in range(len(pool), 0, -1):
+        k = left.bit_length()
+        at = bits(k)
+        while at >= left:
+            at = bits(k)
+        out.append(pool[at])
+        pool[at] = pool[left - 1]
+    return out
+
+
 class _Drawer:
     def __init__(self, grid: Grid, odds: Odds, rng: random.Random):
         self.grid, self.odds, self.rng, self.names = grid, odds, rng, sorted(grid.texts)
 
     def filters(self) -> tuple[Filter, ...]:
         out = []
-        for name in self.rng.sample(self.names, len(self.names)):
+        for name in _order(self.rng, self.names):
             if self.rng.random() < self.odds.stop:
                 break
-            out.append(Filter(name, self.rng.choice(list(COMPARES)), self.rng.choice(list(self.grid.texts[name]))))
+            out.append(Filter(name, _any(self.rng, _COMPARES), _any(self.rng, self.grid.texts[name])))
         return tuple(out)
 
     def condition(self, truth: bool) -> Condition | None:
         """One draw; None unless it has the wanted truth."""
         counting = self.rng.random() < self.odds.count
-        column = "" if counting else self.rng.choice(self.names)
-        sides = [Expression("COUNT" if counting else self.rng.choice([s for s in SELECTS if s != "COUNT"]), column, self.filters()) for _ in range(2)]
-        values = [self.grid.values(e) for e in sides]
-        if None in values:
-            return None
+        column = "" if counting else _any(self.rng, self.names)
+        sides = [Expression("COUNT" if counting else _any(self.rng, _COLUMN_SELECTS), column, self.filters()) for _ in range(2)]
+        values = []
+        for e in sides:
+            values.append(self.grid.values(e))
+            if values[-1] is None:
+                return None
         fitting = [c for c in COMPARES if compared(values[0], c, values[1]) is truth]
         if not fitting:
             return None
@@ -171,15 +204,15 @@ class _Drawer:
             sides[0] = given[0]
         elif self.rng.random() < self.odds.constant:
             sides[1] = given[1]
-        return Condition(sides[0], self.rng.choice(fitting), sides[1])
+        return Condition(sides[0], _any(self.rng, fitting), sides[1])
 
     def turned(self, condition: Condition, truth: bool) -> tuple[str, list[int]] | None:
         """A column and an order of its cells under which the condition's truth turns; other columns than its own cannot turn it."""
         sides = [e for e in (condition.left, condition.right) if e.constant is None]
         named = {e.column for e in sides if e.column} | {f.column for e in sides for f in e.filters}
-        for column in self.rng.sample(sorted(named), len(named)):
+        for column in _order(self.rng, sorted(named)):
             for _ in range(self.odds.shuffles):
-                order = self.rng.sample(range(self.grid.rows), self.grid.rows)
+                order = _order(self.rng, range(self.grid.rows))
                 if self.grid.shuffled(column, order).holds(condition) is (not truth):
                     return column, order
         return None
@@ -205,14 +238,17 @@ def statements(cells: DataFrame, opposite: bool = True, odds: Odds | None = None
     which no draw fits, or of one with two columns of a name or with two cells in a place. A table is one group; those of a corpus are small.
     """
     odds = odds or Odds()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        table, out = pdf.table_id.iloc[0], []
-        if table is None or pdf.duplicated(["row_index", "column_name"]).any() or pdf.column_name.isna().any():
-            return pd.DataFrame(out, columns=[f.split(" ")[0] for f in OUT.split(", ")])
-        names, at = sorted(set(pdf.column_name)), {row: i for i, row in enumerate(sorted(set(pdf.row_index)))}
+    kinds = pa.schema([("table_id", pa.string()), ("statement", pa.string()), ("condition", pa.string()), ("label", pa.int32()), ("shuffled_column", pa.string()), ("shuffled", pa.list_(pa.string()))])
+    made = lambda out: pa.Table.from_pylist([dict(zip(kinds.names, r)) for r in out], kinds)
+
+    def run(one: pa.Table) -> pa.Table:
+        table, out = one.column("table_id")[0].as_py(), []
+        rows, columns, cells = (one.column(c).to_pylist() for c in ("row_index", "column_name", "text"))
+        if table is None or len(set(zip(rows, columns))) < len(rows) or None in columns:
+            return made(out)
+        names, at = sorted(set(columns)), {row: i for i, row in enumerate(sorted(set(rows), key=lambda r: (r is None, r)))}
         texts = {name: [""] * len(at) for name in names}
-        for row, name, text in zip(pdf.row_index, pdf.column_name, pdf.text):
+        for row, name, text in zip(rows, columns, cells):
             texts[name][at[row]] = text or ""
         grid = Grid(texts)
         drawer = _Drawer(grid, odds, random.Random(f"{seed}|{table}"))
@@ -224,13 +260,13 @@ def statements(cells: DataFrame, opposite: bool = True, odds: Odds | None = None
             out.append((table, condition.say(), condition.as_json(), int(truth), None, None))
             if turned is not None:
                 column, order = turned
-                out.append((table, condition.say(), condition.as_json(), int(not truth), column, grid.texts[column][order].tolist()))
-        return pd.DataFrame(out, columns=[f.split(" ")[0] for f in OUT.split(", ")])
+                out.append((table, condition.say(), condition.as_json(), int(not truth), column, [grid.texts[column][i] for i in order]))
+        return made(out)
 
     wanted = cells.selectExpr("string(table_id) AS table_id", "row_index", "column_name", "text")
     # A stated number of partitions: drawing is heavy for its bytes, and few tasks would be made of them by size.
     wanted = wanted.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "table_id")
-    return wanted.groupBy("table_id").applyInPandas(run, OUT)
+    return wanted.groupBy("table_id").applyInArrow(run, OUT)
 
 
 def from_json(text: str) -> Condition:

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -97,3 +98,13 @@ def test_one_reader_of_numbers(spark):
             said = Grid({"x": good, "one": ["1"] * len(good)}).values(Expression("COUNT", "", (Filter("x", compare, bound),)))
             asked = query.where_number(spark.createDataFrame([(x,) for x in good], "x string"), "x", sign, numbers.read_float(bound)).count()
             assert said == (frozenset([str(asked)]) if asked else None), (bound, compare)
+
+
+def test_draws_are_those_of_the_random_module():
+    """Cheaper draws leave the statements as they were."""
+    for n in (1, 2, 3, 8, 40):
+        a, b, items = random.Random(f"{n}"), random.Random(f"{n}"), [f"x{i}" for i in range(n)]
+        assert grammar._order(a, items) == b.sample(items, n) and grammar._any(a, items) == b.choice(items)
+    grid = grammar.Grid({"n": [str(i * 7 % 10) for i in range(10)], "t": list("abcabcabca")})
+    assert isinstance(grid.numbers["n"], list) and isinstance(grid.texts["t"], list)  # no array's fixed costs in a draw
+    assert grid.values(grammar.Expression("LOWEST", "n", (grammar.Filter("t", "EQUALS", "b"),))) == {"7"}
