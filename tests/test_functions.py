@@ -121,3 +121,13 @@ def test_addresses_and_character_references(spark):
     urls = ["https://x.org/wiki/New_York#top", "https://x.org/w/index.php?title=S%C3%A3o_Paulo&oldid=1", "https://x.org/"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string")
     assert [r[0] for r in pages.orderBy("i").select(text.page_title("u")).collect()] == ["New York", "S\u00e3o Paulo", ""]
+
+
+def test_dates_are_sought_only_where_digits_or_months_are(monkeypatch):
+    asked = []
+    read = numbers.read_date
+    monkeypatch.setattr(numbers, "read_date", lambda x: asked.append(x) or read(x))
+    words = " ".join(["word"] * 500)
+    found = numbers.parse_spans(f"{words} May {words} 3 March 2001, twelve {words}")
+    assert [[v["date"] for v in f["values"]][0] for f in found] == [{"year": None, "month": 5, "day": None}, {"year": 2001, "month": 3, "day": 3}, None]
+    assert len(asked) < 40 and len(set(asked)) == len(asked)  # some 7,500 runs of tokens before
