@@ -143,3 +143,14 @@ def test_descriptions_nearest_the_question(spark):
     about = spark.createDataFrame([("q", "e1", "Ann Lee", "Ann sings. She was born in Rome. Cats sleep."), ("q", "e2", None, "Nothing here.")], "question_id string, identifier string, title string, text string")
     got = {r["column_index"]: r["text"] for r in retrieval.describe_cells(cells, asks, about, n=1).collect()}
     assert got == {0: "Ann ( Ann Lee : She was born in Rome. )", 1: "x"}
+
+
+def test_hard_negatives_partitions_follow_the_hits(spark):
+    hits = spark.createDataFrame([(f"q{i % 40}", f"t{i % 9}", i, float(i), f"x {i}") for i in range(400)], "question_id string, table_id string, rank int, score double, table_text string")
+    asks = spark.createDataFrame([(f"q{i}", "t1", ["x"]) for i in range(41)], "question_id string, gold_id string, answers array<string>")
+    open_asks = asks.withColumn("answers", F.array(F.lit("nowhere")))
+    dealt = negatives.hard_negatives(open_asks, hits, 2, task_rows=20)
+    shuffles = [x for x in dealt._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning(question_id" in x]
+    assert shuffles and all(", 20), REPARTITION_BY_NUM" in x for x in shuffles), shuffles  # no shuffle of another number
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, negatives.hard_negatives(open_asks, hits, 2).collect()))
+    assert {r["table_id"] for r in negatives.hard_negatives(asks, hits, 2, task_rows=20).collect()} == {"FAKE"}
