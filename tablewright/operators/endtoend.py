@@ -47,9 +47,9 @@ def examples(candidates: DataFrame, predictions: DataFrame) -> DataFrame:
     refs = references(candidates)
     said = candidates.join(predictions.where("answer is not null"), "candidate_id").select("example_id", "candidate_id", "place", "is_gold_table", "answer", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     every = candidates.groupBy("example_id").agg(F.bool_or(F.coalesce("is_gold_table", F.lit(False))).alias("gold"))
-    # an example's references beside each of its answers, or beside an empty one
-    met = refs.join(said, "example_id", "left").withColumn("_read", token_scores(tokens(F.col("reference")), tokens(F.coalesce("answer", F.lit("")))))
-    each = met.groupBy("example_id", "candidate_id", "place", "is_gold_table", "answer", "score").agg(F.max("_read").alias("_m"))
+    # an example's references beside each of its different answers, or beside an empty one; candidates meet what their answer got
+    met = refs.join(said.select("example_id", "answer").distinct(), "example_id", "left").withColumn("_read", token_scores(tokens(F.col("reference")), tokens(F.coalesce("answer", F.lit("")))))
+    each = met.groupBy("example_id", "answer").agg(F.max("_read").alias("_m")).join(said, ["example_id", "answer"], "left")
     rank = F.struct(F.col("score"), (-F.col("place")).alias("place"), "candidate_id")
     best = each.groupBy("example_id").agg(
         F.max_by(F.struct("candidate_id", "is_gold_table", "answer", "_m"), rank).alias("_b"), F.first("_m").alias("_only"),

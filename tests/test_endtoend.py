@@ -105,3 +105,14 @@ def test_random_examples_equal_plain_python(spark):
     got = report(spark, candidates, predictions, splits)
     want = plain(candidates, predictions, set(splits))
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
+def test_equal_answers_meet_references_once(spark):
+    cands = [(1, i, i, i == 3, [[f"a {i % 2}"]] if i < 4 else []) for i in range(300)]
+    preds = [(i, f"The a {i % 3}!", float(i % 7)) for i in range(300)]
+    c = spark.createDataFrame(cands, "example_id long, candidate_id long, place long, is_gold_table boolean, answers array<array<string>>")
+    p = spark.createDataFrame(preds, "candidate_id long, answer string, score double")
+    read = endtoend.examples(c, p)
+    assert read.first()["best_id"] == 6 and read.first()["f1"] == 1.0
+    # references met candidates before: an aggregate by candidate brought them together again
+    assert not re.search(r"Aggregate \[example_id#\w+, candidate_id#", read._jdf.queryExecution().optimizedPlan().toString())
