@@ -10,10 +10,11 @@ import json
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
+from pyspark.sql.window import Window
 
 
 class TokenArrays:
@@ -21,28 +22,41 @@ class TokenArrays:
 
     The table has ``question_id, pos, token_id, segment_id, column_id, row_id``. ``analyze`` asks for rows by question in
     the order of ``pos``, so the caller need not. Tokens beyond ``length`` are cut off and counted.
+
+    Spark hands each row of a table over by itself, a token costs some 80 microseconds. Large tables are called beside
+    ``whole_questions``: ``LATERAL token_arrays(question_id, n_tokens, token_id, segment_id, column_id, row_id, length => 8)``
+    takes a question's number of tokens and arrays of its first ones, in order.
     """
 
     ARRAYS = ("token_id", "segment_id", "column_id", "row_id")
 
     @staticmethod
-    def analyze(rows: AnalyzeArgument, length: AnalyzeArgument) -> AnalyzeResult:
-        if not rows.isTable:
+    def analyze(rows: AnalyzeArgument, *whole: AnalyzeArgument, length: AnalyzeArgument) -> AnalyzeResult:
+        if not rows.isTable and not whole:
             raise ValueError("the first argument must be a table")
-        kinds = {f.name: f.dataType for f in rows.dataType.fields}
+        if whole and (rows.isTable or len(whole) != 1 + len(TokenArrays.ARRAYS) or not all(isinstance(a.dataType, ArrayType) for a in whole[1:])):
+            raise ValueError(f"a question is its id, its number of tokens and the arrays {', '.join(TokenArrays.ARRAYS)}")
+        kinds = {f.name: f.dataType for f in rows.dataType.fields} if not whole else {"question_id": rows.dataType}
         missing = {"question_id", "pos", *TokenArrays.ARRAYS} - set(kinds)
-        if missing:
+        if missing and not whole:
             raise ValueError(f"missing columns: {sorted(missing)}")
         if not length.isConstantExpression or length.value is None or length.value < 1:
             raise ValueError("length must be a positive constant")
         arrays = [StructField(f"{n}s", ArrayType(IntegerType())) for n in TokenArrays.ARRAYS]
         schema = StructType([StructField("question_id", kinds["question_id"]), *arrays, StructField("input_mask", ArrayType(IntegerType())), StructField("lost", LongType())])
+        if whole:
+            return AnalyzeResult(schema)
         return AnalyzeResult(schema, partitionBy=[PartitioningColumn("question_id")], orderBy=[OrderingColumn("pos")])
 
     def __init__(self):
         self.question, self.rows, self.length, self.lost = None, [], 0, 0
 
-    def eval(self, row, length: int):
+    def eval(self, row, *whole, length: int):
+        if whole:
+            n, *arrays = whole
+            shown = min(length, len(arrays[0]))
+            pad = [0] * (length - shown)
+            return [(row, *[a[:length] + pad for a in arrays], [1] * shown + pad, n - shown)]
         self.question, self.length = row["question_id"], length
         if len(self.rows) < length:
             self.rows.append([row[n] for n in self.ARRAYS])
@@ -57,6 +71,15 @@ class TokenArrays:
         yield (self.question, *arrays, [1] * len(self.rows) + [0] * pad, self.lost)
 
 
+def whole_questions(tokens: DataFrame, length: int) -> DataFrame:
+    """``(question_id, n_tokens, token_id, segment_id, column_id, row_id)``, a row for each question: how many tokens it has and
+    arrays of the first ``length`` by ``pos``. No more of them are held, however long a question is."""
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy("pos"))
+    token = F.when(F.col("_place") <= length, F.struct("_place", *TokenArrays.ARRAYS))  # nulls are not collected
+    one = tokens.withColumn("_place", place).groupBy("question_id").agg(F.count("*").alias("n_tokens"), F.array_sort(F.collect_list(token)).alias("_t"))
+    return one.select("question_id", "n_tokens", *[F.col(f"_t.{n}").alias(n) for n in TokenArrays.ARRAYS])
+
+
 class TableCells:
     """``table_cells(json)``: a row for each cell of a JSON table ``{"columns": [...], "rows": [[...], ...]}``.
 

@@ -27,6 +27,21 @@ def test_token_arrays(spark, sql):
             sql(bad).collect()
 
 
+def test_token_arrays_of_whole_questions(spark, sql):
+    """One call for each question, with the rows of one call for each token; null ids and tokens, and more tokens than fit."""
+    rows = [(q, 7 * p % 11, None if p == 4 else 10 * p, p % 2, p % 3, p % 5) for q, n in (("a", 1), ("b", 11), (None, 6), ("d", 3)) for p in range(n)]
+    tokens = spark.createDataFrame(rows, "question_id string, pos int, token_id int, segment_id int, column_id int, row_id int").repartition(3)
+    tokens.createOrReplaceTempView("tok")
+    tabular.whole_questions(tokens, 3).createOrReplaceTempView("whole")
+    one = "SELECT a.* FROM whole, LATERAL token_arrays(question_id, n_tokens, token_id, segment_id, column_id, row_id, length => {}) a"
+    for length in (2, 3):
+        got, want = (sorted(map(tuple, sql(q).collect()), key=repr) for q in (one.format(length), f"SELECT * FROM token_arrays(TABLE(tok), length => {length})"))
+        assert got == want and len(got) == 4 and [r[-1] for r in got if r[0] == "b"] == [11 - length]
+    assert max(r["n"] for r in spark.table("whole").selectExpr("size(token_id) as n").collect()) == 3
+    with pytest.raises(Exception, match="arrays token_id"):
+        sql("SELECT a.* FROM whole, LATERAL token_arrays(question_id, n_tokens, length => 3) a").collect()
+
+
 def test_table_cells(spark, sql):
     tables = [("a", json.dumps({"columns": ["x", "y"], "rows": [["1", 2], ["3"]]})), ("b", "no json"), ("c", None), ("d", json.dumps({"columns": [], "rows": [[]]}))]
     spark.createDataFrame(tables, "id string, j string").createOrReplaceTempView("tabs")
