@@ -40,18 +40,34 @@ def _core(word: Column) -> Column:
     return F.regexp_replace(bare, r"^[0-9][0-9.,]*?(\.?)$", f"{_NUMBER}$1")
 
 
-def words(docs: DataFrame, text: str) -> DataFrame:
-    """A row for each word: ``word, type`` (its core without a last period), ``period, stop`` (ends with ! or ?), ``upper`` and ``lower``
-    (first letter), ``before, after`` (the words beside it, null at the ends)."""
+def _beside(docs: DataFrame, text: str) -> DataFrame:
+    """A row for each word: ``word, before, after`` (the words beside it, null at the ends)."""
     split = docs.select(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "").alias("_w")).where(F.size("_w") > 0)
     shifted = split.select(F.arrays_zip(F.col("_w").alias("word"), F.concat(F.array(F.lit(None).cast("string")), F.col("_w")).alias("before"), F.slice("_w", F.lit(2), F.size("_w")).alias("after")).alias("_z"))
-    rows = shifted.select(F.explode("_z").alias("z")).select("z.*").where("word is not null")
+    return shifted.select(F.explode("_z").alias("z")).select("z.*").where("word is not null")
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """Rows with a ``word`` and what it is by itself; words without letters and digits are left out."""
+    rest = [c for c in rows.columns if c != "word"]
     core, bare = _core(F.col("word")), F.regexp_replace("word", r"^[^\p{L}\p{N}]+", "")
-    marked = rows.select("word", "before", "after", core.alias("_core"), bare.alias("_bare"))
+    marked = rows.where(F.regexp_like("word", F.lit(r"[\p{L}\p{N}]"))).select("word", *rest, core.alias("_core"), bare.alias("_bare"))
     return marked.select(
         "word", F.regexp_replace("_core", r"\.$", "").alias("type"), F.col("_core").endswith(".").alias("period"), F.regexp_like("word", F.lit(r"[!?][^\p{L}\p{N}]*$")).alias("stop"),
-        F.regexp_like("_bare", F.lit(r"^\p{Lu}")).alias("upper"), F.regexp_like("_bare", F.lit(r"^\p{Ll}")).alias("lower"), "before", "after",
-    ).where("type <> ''")
+        F.regexp_like("_bare", F.lit(r"^\p{Lu}")).alias("upper"), F.regexp_like("_bare", F.lit(r"^\p{Ll}")).alias("lower"), *rest,
+    )
+
+
+def words(docs: DataFrame, text: str) -> DataFrame:
+    """A row for each word: ``word, type`` (its core without a last period), ``period, stop`` (ends with ! or ?), ``upper`` and ``lower``
+    (first letter), ``before, after`` (the words beside it, null at the ends)."""
+    return _marked(_beside(docs, text))
+
+
+def different_words(docs: DataFrame, text: str) -> DataFrame:
+    """The same for each different word, with ``times``, how often it occurs: a word is looked into once, not at every place."""
+    split = docs.select(F.explode(F.split(F.col(text), r"\s+")).alias("word")).where("word <> ''")
+    return _marked(split.groupBy("word").agg(F.count("*").alias("times")))
 
 
 def _log(k: Column, n: Column, x: Column) -> Column:
@@ -71,8 +87,11 @@ def abbreviation_scores(tokens: DataFrame) -> DataFrame:
 
     The ratio of an abbreviation's share of periods against that of any word, times e to the minus of the length,
     the number of periods, and the length to the minus of the occurrences without one. Types that never abbreviate get 0 or less.
+    ``tokens``: ``words``, or ``different_words`` with their ``times``. The counts are checkpointed, as they are read twice.
     """
-    counts = tokens.groupBy("type").agg(F.count_if("period").alias("with_period"), F.count_if(~F.col("period")).alias("without"))
+    times = F.col("times") if "times" in tokens.columns else F.lit(1)
+    of = lambda c: F.sum(F.when(c, times).otherwise(0)).cast("long")
+    counts = checkpoint(tokens.groupBy("type").agg(of(F.col("period")).alias("with_period"), of(~F.col("period")).alias("without")))
     whole = counts.agg(F.sum("with_period").alias("_p"), F.sum(F.col("with_period") + F.col("without")).alias("_n"))
     some = counts.where((F.col("with_period") > 0) & F.regexp_like("type", F.lit(r"\p{L}"))).crossJoin(F.broadcast(whole))  # whole: one row
     share = F.col("_p") / F.col("_n")

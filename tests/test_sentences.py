@@ -45,6 +45,15 @@ def test_scores_equal_plain_ones(spark, corpus):
     assert set(got) == set(want) and all(got[w] == pytest.approx(want[w], rel=1e-9, abs=1e-300) for w in want)
 
 
+def test_different_words_score_as_all_words_do(spark, corpus):
+    odd = spark.createDataFrame([(903, "e.g. E.g. (e.g.), x.y... 3.5. 3.5 -- ?! a.b.c, ;. A.B.c \u0130. caf\u00e9. 12,5.")], "id int, text string")
+    df = corpus[1].unionByName(odd)
+    every, different = sentences.words(df, "text"), sentences.different_words(df, "text")
+    assert different.count() == every.select("word").distinct().count() and different.agg(F.sum("times")).first()[0] == every.count()
+    got, want = (sorted(map(tuple, sentences.abbreviation_scores(x).collect())) for x in (different, every))
+    assert got == want and len(got) > 5
+
+
 def test_what_is_learnt(spark, corpus):
     model = sentences.train(corpus[1])
     assert {"vol", "dr"} <= model.abbreviations and not {"stones", "however", "the"} & model.abbreviations
