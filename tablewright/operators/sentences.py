@@ -70,6 +70,14 @@ def different_words(docs: DataFrame, text: str) -> DataFrame:
     return _marked(split.groupBy("word").agg(F.count("*").alias("times")))
 
 
+def contexts(docs: DataFrame, text: str) -> DataFrame:
+    """``word, inside, after, times``: each different word by whether it follows a word without a mark behind it, and, where the word
+    has a mark that may end a sentence, by the word after it (else null)."""
+    inside = F.col("before").isNotNull() & ~F.regexp_like("before", F.lit(r"[.!?:;][^\p{L}\p{N}]*$"))
+    after = F.when(F.regexp_like("word", F.lit("[.!?]")), F.col("after"))
+    return _beside(docs, text).groupBy("word", F.coalesce(inside, F.lit(False)).alias("inside"), after.alias("after")).agg(F.count("*").alias("times"))
+
+
 def _log(k: Column, n: Column, x: Column) -> Column:
     """Log-likelihood of ``k`` of ``n`` at probability ``x``; nothing times log 0 is 0."""
     part = lambda a, p: F.when(a > 0, a * F.ln(p)).otherwise(F.lit(0.0))
@@ -111,19 +119,21 @@ def _best(df: DataFrame, name: Column, score: Column, most: int) -> frozenset[st
 def train(docs: DataFrame, text: str = "text", known: tuple[str, ...] = (), most: int = 20_000) -> Model:
     """A model from a corpus: each of its sets holds at most ``most`` entries, those of the greatest ratio (or count).
 
-    ``known`` are abbreviations (lower case, without their last period) whatever the corpus says. Counts are taken over
-    all words in three passes over the texts; only the model comes to the driver. Null texts have no words.
+    ``known`` are abbreviations (lower case, without their last period) whatever the corpus says. One pass over the texts
+    counts words in their contexts, all else is made of these; only the model comes to the driver. Null texts have no words.
     """
-    tokens = words(docs, text)
+    following = F.when(F.col("after").isNotNull(), F.regexp_replace(_core(F.col("after")), r"\.$", ""))
+    tokens = checkpoint(_marked(contexts(docs, text)).withColumn("next", following))
     scored = abbreviation_scores(tokens).where(F.col("score") >= ABBREVIATION)
     abbreviations = _best(scored, F.col("type"), F.col("score"), most) | frozenset(known)
     short = F.col("type").isin(*sorted(abbreviations)) if len(abbreviations) <= 500 else _member(abbreviations)(F.col("type"))
     initial = F.regexp_like("type", F.lit(r"^\p{L}$"))
     marked = tokens.withColumn("open", F.col("period") & (short | initial | (F.col("type") == _NUMBER)))
-    marked = marked.withColumn("ends", (F.col("period") & ~F.col("open")) | F.col("stop")).withColumn("next", F.regexp_replace(_core(F.col("after")), r"\.$", ""))
-    one = checkpoint(marked.groupBy("type").agg(F.count("*").alias("n"), F.count_if("lower").alias("low"), F.count_if(F.col("upper") & F.col("before").isNotNull() & ~F.regexp_like("before", F.lit(r"[.!?:;][^\p{L}\p{N}]*$"))).alias("inside")))
+    marked = marked.withColumn("ends", (F.col("period") & ~F.col("open")) | F.col("stop"))
+    of = lambda c: F.sum(F.when(c, F.col("times")).otherwise(0))
+    one = checkpoint(tokens.groupBy("type").agg(F.sum("times").alias("n"), of(F.col("lower")).alias("low"), of(F.col("upper") & F.col("inside")).alias("inside")))
     # words that follow a word, by whether that ends a sentence or leaves it open: the rest needs no other pass over texts
-    follows = checkpoint(marked.where((F.col("ends") | F.col("open")) & F.col("after").isNotNull()).groupBy("type", "next", "ends", "open").agg(F.count("*").alias("times")))
+    follows = checkpoint(marked.where((F.col("ends") | F.col("open")) & F.col("after").isNotNull()).groupBy("type", "next", "ends", "open").agg(F.sum("times").alias("times")))
     whole = one.agg(F.sum("n").cast("double").alias("_n")).crossJoin(F.broadcast(follows.agg(F.coalesce(F.sum(F.when(F.col("ends"), F.col("times"))), F.lit(0)).cast("double").alias("_ends"))))  # one row
     begun = follows.where(F.col("ends") & F.regexp_like("next", F.lit(r"\p{L}"))).groupBy(F.col("next").alias("type")).agg(F.sum("times").cast("double").alias("first"))
     starts = begun.join(one, "type").crossJoin(F.broadcast(whole)).withColumn("ll", ratio(F.col("_ends"), F.col("n").cast("double"), F.least("first", "n"), F.col("_n")))

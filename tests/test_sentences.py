@@ -54,6 +54,19 @@ def test_different_words_score_as_all_words_do(spark, corpus):
     assert got == want and len(got) > 5
 
 
+def test_training_reads_the_texts_once(spark, corpus):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    docs = corpus[1].select("id", seen.asNondeterministic()("text").alias("text"))
+    assert sentences.train(docs) == sentences.train(corpus[1])
+    assert read.value == corpus[1].count()
+
+
 def test_what_is_learnt(spark, corpus):
     model = sentences.train(corpus[1])
     assert {"vol", "dr"} <= model.abbreviations and not {"stones", "however", "the"} & model.abbreviations
