@@ -2,13 +2,14 @@
 
 A word is an abbreviation if it stands before a period much more often than words do, the shorter and the more often the
 better; the words around abbreviations then tell collocations and sentence starters by log-likelihood ratios. All of it
-is counts of words and of pairs, aggregated over the corpus; the model is a few sets of words. A token pass cuts texts.
+is counts of words and of pairs, aggregated over the corpus; the model is a few sets of words. A token pass cuts texts:
+by one model, or, where the sets are too large for that, by what each text asks of them, which joins bring to it.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,10 +18,13 @@ from pyspark.sql import types as T
 
 from ..functions.text import split_marks
 from ..shared import checkpoint
+from .retrieval import small
 
 # Fixed values of the published method: what the ratios must reach, and the share of periods after an abbreviation.
 ABBREVIATION, COLLOCATION, STARTER, AFTER_ABBREVIATION = 0.3, 7.88, 30.0, 0.99
 _NUMBER = "##number##"
+#: Entries of a set that may come to the driver and to every task; larger sets are met by joins.
+MOST = 20_000
 
 
 @dataclass(frozen=True)
@@ -34,6 +38,30 @@ class Model:
     upper_inside: frozenset[str] = field(default_factory=frozenset)
 
 
+@dataclass(frozen=True)
+class Learnt:
+    """The same sets, whole, as frames ``(name, score)``."""
+
+    abbreviations: DataFrame
+    collocations: DataFrame
+    starters: DataFrame
+    seen_lower: DataFrame
+    upper_inside: DataFrame
+
+    def sets(self) -> dict[str, DataFrame]:
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
+    def model(self, most: int | None = None) -> Model | None:
+        """All of it as a model, or None if a set has more than ``most`` entries."""
+        found = {}
+        for name, df in self.sets().items():
+            rows = df.select("name").limit((most or MOST) + 1).collect()
+            if len(rows) > (most or MOST):
+                return None
+            found[name] = frozenset(r[0] for r in rows)
+        return Model(**found)
+
+
 def _core(word: Column) -> Column:
     """A word in lower case without marks around it, but for a period behind it; numbers are one word."""
     bare = F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$", ""))
@@ -111,24 +139,20 @@ def abbreviation_scores(tokens: DataFrame) -> DataFrame:
     return some.select("type", "with_period", "without", score.alias("score"))
 
 
-def _best(df: DataFrame, name: Column, score: Column, most: int) -> frozenset[str]:
-    """At most ``most`` names of the greatest score: the model's size has a bound, whatever the corpus."""
-    return frozenset(r[0] for r in df.select(name.alias("n"), score.alias("s")).orderBy(F.desc("s"), "n").limit(most).collect())
-
-
-def train(docs: DataFrame, text: str = "text", known: tuple[str, ...] = (), most: int = 20_000) -> Model:
-    """A model from a corpus: each of its sets holds at most ``most`` entries, those of the greatest ratio (or count).
+def learn(docs: DataFrame, text: str = "text", known: tuple[str, ...] = (), most: int | None = None) -> Learnt:
+    """What a corpus teaches, whole; ``most`` is a bound on the abbreviations, as in :func:`train`.
 
     ``known`` are abbreviations (lower case, without their last period) whatever the corpus says. One pass over the texts
-    counts words in their contexts, all else is made of these; only the model comes to the driver. Null texts have no words.
+    counts words in their contexts, all else is made of these; nothing comes to the driver. Null texts have no words.
     """
     following = F.when(F.col("after").isNotNull(), F.regexp_replace(_core(F.col("after")), r"\.$", ""))
     tokens = checkpoint(_marked(contexts(docs, text)).withColumn("next", following))
-    scored = abbreviation_scores(tokens).where(F.col("score") >= ABBREVIATION)
-    abbreviations = _best(scored, F.col("type"), F.col("score"), most) | frozenset(known)
-    short = F.col("type").isin(*sorted(abbreviations)) if len(abbreviations) <= 500 else _member(abbreviations)(F.col("type"))
+    scored = _best(abbreviation_scores(tokens).where(F.col("score") >= ABBREVIATION).select(F.col("type").alias("name"), "score"), most)
+    given = docs.sparkSession.createDataFrame([(x, None) for x in known], "name string, score double")
+    abbreviations = checkpoint(scored.unionByName(given).groupBy("name").agg(F.max("score").alias("score")))
+    short = small(abbreviations.select(F.col("name").alias("type"), F.lit(True).alias("_short")), MOST)
     initial = F.regexp_like("type", F.lit(r"^\p{L}$"))
-    marked = tokens.withColumn("open", F.col("period") & (short | initial | (F.col("type") == _NUMBER)))
+    marked = tokens.join(short, "type", "left").withColumn("open", F.col("period") & (F.coalesce("_short", F.lit(False)) | initial | (F.col("type") == _NUMBER)))
     marked = marked.withColumn("ends", (F.col("period") & ~F.col("open")) | F.col("stop"))
     of = lambda c: F.sum(F.when(c, F.col("times")).otherwise(0))
     one = checkpoint(tokens.groupBy("type").agg(F.sum("times").alias("n"), of(F.col("lower")).alias("low"), of(F.col("upper") & F.col("inside")).alias("inside")))
@@ -137,19 +161,28 @@ def train(docs: DataFrame, text: str = "text", known: tuple[str, ...] = (), most
     whole = one.agg(F.sum("n").cast("double").alias("_n")).crossJoin(F.broadcast(follows.agg(F.coalesce(F.sum(F.when(F.col("ends"), F.col("times"))), F.lit(0)).cast("double").alias("_ends"))))  # one row
     begun = follows.where(F.col("ends") & F.regexp_like("next", F.lit(r"\p{L}"))).groupBy(F.col("next").alias("type")).agg(F.sum("times").cast("double").alias("first"))
     starts = begun.join(one, "type").crossJoin(F.broadcast(whole)).withColumn("ll", ratio(F.col("_ends"), F.col("n").cast("double"), F.least("first", "n"), F.col("_n")))
-    starters = _best(starts.where((F.col("ll") >= STARTER) & (F.col("first") / F.col("_ends") > F.col("n") / F.col("_n"))), F.col("type"), F.col("ll"), most)
+    starters = starts.where((F.col("ll") >= STARTER) & (F.col("first") / F.col("_ends") > F.col("n") / F.col("_n")))
     pairs = follows.where(F.col("open") & F.regexp_like("next", F.lit(r"\p{L}|##"))).groupBy("type", "next").agg(F.sum("times").cast("double").alias("ab")).where("ab > 1")
     sides = pairs.join(one.select("type", F.col("n").cast("double").alias("a")), "type").join(one.select(F.col("type").alias("next"), F.col("n").cast("double").alias("b")), "next").crossJoin(F.broadcast(whole))
     bound = sides.withColumn("ll", ratio(F.col("a"), F.col("b"), F.least("ab", "b"), F.col("_n"))).where((F.col("ll") >= COLLOCATION) & (F.col("ab") / F.col("a") > F.col("b") / F.col("_n")))
-    collocations = _best(bound, F.concat_ws(" ", "type", "next"), F.col("ll"), most)
     # letters' case matters only for words that follow an open period
-    after = follows.where("open and next <> ''").groupBy(F.col("next").alias("type")).agg(F.sum("times").alias("times")).join(one, "type")
-    lower, inside = (_best(after.where(F.col(c) > 0), F.col("type"), F.col("times"), most) for c in ("low", "inside"))
-    return Model(abbreviations, collocations, starters, lower, inside)
+    after = checkpoint(follows.where("open and next <> ''").groupBy(F.col("next").alias("type")).agg(F.sum("times").alias("times")).join(one, "type"))
+    lower, inside = (after.where(F.col(c) > 0).select(F.col("type").alias("name"), F.col("times").alias("score")) for c in ("low", "inside"))
+    return Learnt(abbreviations, checkpoint(bound.select(F.concat_ws(" ", "type", "next").alias("name"), F.col("ll").alias("score"))), checkpoint(starters.select(F.col("type").alias("name"), F.col("ll").alias("score"))), lower, inside)
+
 
+def _best(df: DataFrame, most: int | None) -> DataFrame:
+    return df if most is None else df.orderBy(F.desc("score"), "name").limit(most)
 
-def _member(names: frozenset[str]):
-    return F.pandas_udf(lambda x: x.isin(names), T.BooleanType())
+
+def train(docs: DataFrame, text: str = "text", known: tuple[str, ...] = (), most: int = MOST) -> Model:
+    """A model of bounded size: each set holds at most ``most`` entries, those of the greatest ratio (or count), and ``known``.
+
+    Of a corpus that teaches more, :func:`learn` keeps all.
+    """
+    found = learn(docs, text, known, most).sets()
+    whole = found.pop("abbreviations")
+    return Model(frozenset(r[0] for r in whole.select("name").collect()), **{name: frozenset(r[0] for r in _best(df, most).select("name").collect()) for name, df in found.items()})
 
 
 _WORD = re.compile(r"\S+")
@@ -202,8 +235,48 @@ def sentences(text: str | Column, model: Model) -> Column:
     return F.pandas_udf(lambda x: x.map(lambda t: cut(t, model)), T.ArrayType(T.StringType()))(text)
 
 
-def statements(docs: DataFrame, id_col: str, text: str, model: Model, least: int = 4, most: int = 32, title: str | None = None) -> DataFrame:
+def asked(text: str | None) -> list[tuple[str, str]]:
+    """The different pairs of a word with a last period and the word after it that :func:`cut` asks a model about."""
+    out = set()
+    for line in (text or "").split("\n"):
+        found = line.split()
+        for word, after in zip(found, found[1:]):
+            bare = word.rstrip(_CLOSING)
+            if bare.endswith(".") and not bare.endswith("..."):
+                out.add((_typed(bare).rstrip("."), _typed(after).rstrip(".")))
+    return sorted(out)
+
+
+def _own_models(docs: DataFrame, id_col: str, text: str, learnt: Learnt) -> DataFrame:
+    """``docs`` with the entries of each set that the document asks about, as arrays ``_abbreviations`` and so on (null: none).
+
+    A row may see what another one of its id, or of the id's hash, asks about: entries hold for all texts.
+    """
+    pairs = F.pandas_udf(lambda x: x.map(lambda t: [{"kind": k, "following": f} for k, f in asked(t)]), T.ArrayType(T.StructType().add("kind", "string").add("following", "string")))
+    keyed = docs.withColumn("_key", F.xxhash64(id_col))
+    rows = checkpoint(keyed.select("_key", F.explode(pairs(text)).alias("p")).select("_key", "p.*").distinct())
+    met = rows.select("kind", "following").distinct()
+    name_of = {"abbreviations": F.col("kind"), "collocations": F.concat_ws(" ", "kind", "following")}
+    for name, df in learnt.sets().items():
+        met = met.withColumn("name", name_of.get(name, F.col("following"))).join(df.select("name", F.lit(True).alias(f"_{name}")), "name", "left").drop("name")
+    # of a word that is no abbreviation, initial or number no more is asked
+    met = met.where(F.col("_abbreviations") | (F.length("kind") == 1) | (F.col("kind") == _NUMBER))
+    kept = [F.collect_set(F.when(F.col(f"_{name}"), name_of.get(name, F.col("following")))).alias(f"_{name}") for name in learnt.sets()]
+    return keyed.join(rows.join(met, ["kind", "following"]).groupBy("_key").agg(*kept), "_key", "left").drop("_key")
+
+
+def _cut_by_own(text: pd.Series, *sets: pd.Series) -> pd.Series:
+    return pd.Series([cut(t, Model(*(frozenset(() if x is None else x) for x in own))) for t, *own in zip(text, *sets)], dtype=object)
+
+
+def statements(docs: DataFrame, id_col: str, text: str, model: Model | Learnt, least: int = 4, most: int = 32, title: str | None = None) -> DataFrame:
     """``(id, place, sentence, n_tokens)``: sentences of ``least`` to ``most`` tokens; rows whose ``title`` is null or empty have none."""
     kept = docs if title is None else docs.where(F.coalesce(F.trim(F.col(title)) != "", F.lit(False)))
-    one = kept.select(F.col(id_col), F.posexplode(sentences(text, model)).alias("place", "sentence"))
+    whole = model.model() if isinstance(model, Learnt) else model
+    if whole is not None:
+        found = sentences(text, whole)
+    else:
+        kept = _own_models(kept, id_col, text, model)
+        found = F.pandas_udf(lambda t, a, b, c, d, e: _cut_by_own(t, a, b, c, d, e), T.ArrayType(T.StringType()))(text, *[f"_{name}" for name in model.sets()])
+    one = kept.select(F.col(id_col), F.posexplode(found).alias("place", "sentence"))
     return one.withColumn("n_tokens", F.size(split_marks("sentence"))).where(F.col("n_tokens").between(least, most))

@@ -101,6 +101,20 @@ def test_statements_are_filtered_by_length_and_title(spark):
     assert sentences.statements(df, "id", "text", MODEL).select("id").distinct().count() == 3
 
 
+def test_sets_beyond_the_bound_are_met_whole(spark, corpus, monkeypatch):
+    """Each document is cut by all entries that it asks about, where the sets are too large for one model."""
+    odd = [(1000, "Dr. Weber vol. 4. However (approx.) nine. J. However 5. Stones.\nvol."), (1000, "In vol. Stones. by Dr. However."), (None, "By Dr. Weber. However it is.")]
+    docs = corpus[1].unionByName(spark.createDataFrame(odd, "id int, text string"))
+    learnt = sentences.learn(docs)
+    whole = learnt.model()
+    assert whole == sentences.train(docs) and len(whole.abbreviations) > 1 and learnt.model(1) is None
+    rows = lambda df: sorted(map(repr, df.collect()))
+    want = rows(sentences.statements(docs, "id", "text", whole, 1, 99))
+    monkeypatch.setattr(sentences, "MOST", 1)
+    assert rows(sentences.statements(docs, "id", "text", learnt, 1, 99)) == want
+    assert rows(sentences.statements(docs, "id", "text", sentences.learn(docs), 1, 99)) == want != rows(sentences.statements(docs, "id", "text", sentences.train(docs, most=1), 1, 99))
+
+
 def test_cut_covers_every_word(spark, sf):
     """Nothing is lost: the sentences' words are the text's words, in order."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("text")
